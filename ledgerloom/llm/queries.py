@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import licences, mixing, packing
+from ledgerloom.llm import licences, mixing, packing, simhash
 from ledgerloom.llm.common import documents
 
 
@@ -54,6 +54,11 @@ LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h
 """
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(documents(spark, sf_dir))
     base = F.filter("findings", lambda f: f["kind"] == "base")
@@ -71,6 +76,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_mixing": op5_mixing,
+    "op6_simhash": op6_simhash,
     "op9_licences": op9_licences,
 }
 ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
