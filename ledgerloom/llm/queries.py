@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import licences, mixing, packing, simhash
+from ledgerloom.llm import licences, mixing, packing, quality, simhash
 from ledgerloom.llm.common import documents
 
 
@@ -73,10 +73,18 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rules = documents(spark, sf_dir), quality.QualityRules()
+    trusted = quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"), rules)
+    judged = quality.judge(docs, quality.fit(docs, trusted, rules), rules)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op9_licences": op9_licences,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
