@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import licences, mixing, packing, quality, simhash
+from ledgerloom.llm import licences, mixing, packing, pii, quality, simhash
 from ledgerloom.llm.common import documents
 
 
@@ -59,6 +59,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kn: F.size(F.filter(base, lambda s: s["kn"] == kn)).cast("long")
+    numbers = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.BASE_KINDS)]
+    return found.select("doc_id", *numbers, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(documents(spark, sf_dir))
     base = F.filter("findings", lambda f: f["kind"] == "base")
@@ -84,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
+    "op8_pii": op8_pii,
     "op9_licences": op9_licences,
     "op10_quality": op10_quality,
 }
