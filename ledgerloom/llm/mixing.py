@@ -76,6 +76,24 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text
     without words is never taken. An empty table gives an empty result. Columns
     other than the three named are not read, whatever their names.
     """
+    sized, targets, cuts, n = _planned(docs, plan, id_col, text_col, source_col)
+    out = _near(sized, targets.join(cuts, "skey", "left"), n, plan)
+    copies = copies_of("size", "h", "whole", "cut", "edge_in")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "skey")
+
+
+def copies_of(size: str, h: str, whole: str, cut: str, edge_in: str) -> Column:
+    """How often a document is taken: its source's whole rounds, and once more below the threshold."""
+    once_more = F.coalesce((F.col(h) < F.col(cut)) | (F.col(edge_in) & F.col(h).startswith(F.col(cut))), F.lit(False))
+    return F.when(F.col(size) > 0, F.col(whole) + once_more.cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def plan_sources(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, int]:
+    """(targets, thresholds, number of sources): what a mix of ``docs`` takes from each source."""
+    return _planned(docs, plan, id_col, text_col, source_col)[1:]
+
+
+def _planned(docs: DataFrame, plan: MixPlan, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     skey = F.when(F.col(source_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source_col)))
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -91,11 +109,7 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text
     targets = targets.withColumn("whole", whole.cast("long")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
     targets = staged(targets, "mix-targets")
     n = targets.count()
-    cuts = thresholds(sized, targets, n, plan)
-    once_more = F.coalesce((F.col("h") < F.col("cut")) | (F.col("edge_in") & F.col("h").startswith(F.col("cut"))), F.lit(False))
-    copies = F.when(F.col("size") > 0, F.col("whole") + once_more.cast("long")).otherwise(F.lit(0))
-    out = _near(sized, targets.join(cuts, "skey", "left"), n, plan)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"), "skey")
+    return sized, targets, thresholds(sized, targets, n, plan), n
 
 
 def thresholds(sized: DataFrame, targets: DataFrame, n: int, plan: MixPlan) -> DataFrame:
@@ -121,3 +135,20 @@ def thresholds(sized: DataFrame, targets: DataFrame, n: int, plan: MixPlan) -> D
         if last or open_.isEmpty():
             break
     return found
+
+
+def repeated(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, all columns kept; rows not taken go.
+
+    A row's copies follow from its hash, its size and its source's threshold, so
+    the texts are never shuffled: the thresholds, one row per source, are joined.
+    """
+    taken = set(docs.columns)
+    names = {n: next(x for k in range(len(taken) + 1) if (x := f"{n}_{k}") not in taken) for n in ("skey", "h", "size", "cut", "edge", "whole", "copies", "copy")}
+    skey = F.when(F.col(source_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source_col)))
+    targets, cuts, n = plan_sources(docs, plan, id_col, text_col, source_col)
+    small = targets.join(cuts, "skey", "left").select(*[F.col(a).alias(names[b]) for a, b in (("skey", "skey"), ("whole", "whole"), ("cut", "cut"), ("edge_in", "edge"))])
+    df = docs.withColumns({names["skey"]: skey, names["h"]: _hash(id_col, plan.salt), names["size"]: word_count(text_col)})
+    df = df.join(F.broadcast(small) if n <= plan.broadcast_sources else small, names["skey"])
+    df = df.withColumn(names["copies"], copies_of(*[names[x] for x in ("size", "h", "whole", "cut", "edge")])).where(F.col(names["copies"]) > 0)
+    return df.withColumn(names["copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["copies"])))).select(*docs.columns)

@@ -23,6 +23,7 @@ from itertools import product
 from math import ceil, log, log1p
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -322,11 +323,9 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, te
     """``docs`` without the rows whose text scores ``threshold`` or more, all columns kept."""
 
     @F.pandas_udf("double")
-    def of(batches):
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = model.lexicon.automaton()
         for texts in batches:
-            import pandas as pd
-
             yield pd.Series(scored(pa.array(texts, pa.string(), from_pandas=True), model, machine)[1], dtype="float64")
 
     return docs.where(of(F.col(text_col)) < threshold)
