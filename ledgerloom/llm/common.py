@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the operators' contracts have it.
@@ -52,3 +52,18 @@ def lower_ascii(col: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def neighbour(points: DataFrame, keys: list[str], order: str, ahead: bool, width: int, name: str) -> DataFrame:
+    """``points`` with ``name``: the next (``ahead``) or previous value of ``order`` in the same key, or null.
+
+    ``points`` must be distinct in (keys, order), ``order`` whole numbers. A key is cut into stretches of
+    ``width``, so no task sorts more than one stretch or one row per stretch.
+    """
+    side = F.lead if ahead else F.lag
+    cut = F.floor(F.col(order) / F.lit(width))
+    df = points.withColumn("stretch", cut)
+    df = df.withColumn("near", side(order).over(Window.partitionBy(*keys, "stretch").orderBy(order)))
+    edges = df.groupBy(*keys, "stretch").agg((F.min if ahead else F.max)(order).alias("edge"))
+    edges = edges.withColumn("beyond", side("edge").over(Window.partitionBy(*keys).orderBy("stretch"))).drop("edge")
+    return df.join(edges, [*keys, "stretch"]).withColumn(name, F.coalesce("near", "beyond")).drop("stretch", "near", "beyond")

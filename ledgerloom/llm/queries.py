@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import licences, mixing, packing, pii, quality, simhash, topk, toxicity
+from ledgerloom.llm import licences, mixing, packing, pii, quality, quotes, simhash, topk, toxicity, urllists
 from ledgerloom.llm.common import documents
 
 
@@ -17,6 +17,35 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP1_SQL = r"""
+WITH l AS (
+  SELECT conv_id, turn, i, line,
+         len(regexp_replace(regexp_extract(line, '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g')) AS level,
+         trim(regexp_replace(translate(regexp_replace(line, '^(?:[ \t]{0,3}>)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r]+', ' ', 'g')) AS norm
+  FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM conversations)),
+m AS (SELECT conv_id, turn, count(*) FILTER (level > 0 AND norm <> '') AS n_quoted, coalesce(max(level) FILTER (norm <> ''), 0) AS max_level FROM l GROUP BY ALL),
+said AS (
+  SELECT l.* FROM l JOIN m USING (conv_id, turn)
+  WHERE level = 0 AND NOT (n_quoted > 0 AND regexp_matches(line, '(?i)^[ \t]*(?:on .{1,200} wrote|am .{1,200} schrieb .{0,100}|le .{1,200} a écrit|el .{1,200} escribió)[ \t]?:[ \t\r]*$'))),
+origin AS (SELECT conv_id, norm, min(turn) AS origin FROM said WHERE norm <> '' GROUP BY ALL),
+votes AS (
+  SELECT q.conv_id, q.turn, origin, count(*) AS n, count(*) FILTER (level = 1) AS direct
+  FROM l q JOIN origin o ON q.conv_id = o.conv_id AND q.norm = o.norm WHERE q.level > 0 AND origin < q.turn GROUP BY ALL),
+a AS (SELECT conv_id, turn, arg_max(origin, (direct, origin)) FILTER (direct > 0) AS answered, CAST(sum(n) AS BIGINT) AS n_linked FROM votes GROUP BY ALL),
+p AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+own AS (SELECT conv_id, turn, regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY i), '^(?:[ \t\r]*\n)+', ''), '\s+$', '') AS own FROM said GROUP BY ALL)
+SELECT c.conv_id, c.turn, c.role, coalesce(answered, previous) AS reply_to,
+       coalesce(lpad(CAST(coalesce(answered, previous) + 1000000000000000000 AS VARCHAR), 19, '0'), repeat('0', 19)) || '.' || lpad(CAST(c.turn + 1000000000000000000 AS VARCHAR), 19, '0') AS reply_order,
+       n_quoted, CAST(max_level AS BIGINT) AS max_level, coalesce(n_linked, 0) AS n_linked, coalesce(own, '') AS own
+FROM conversations c JOIN m USING (conv_id, turn) JOIN p USING (conv_id, turn)
+LEFT JOIN a USING (conv_id, turn) LEFT JOIN own USING (conv_id, turn)
+"""
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return topk.search(vectors, F.col("vec_id") % 50 == 0)
@@ -41,6 +70,49 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op4_urllists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold neither fetch times nor a list, so both follow from page ids.
+
+    A page is fetched at a second of 2024 or 2025; three of four domains are listed
+    from some day on, taken off the list again, and a third of them listed anew.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    captures = pages.select("page_id", "url", (F.lit(START) + F.pmod(F.col("page_id") * 7919, F.lit(731)) * urllists.DAY + F.pmod(F.col("page_id") * 31, F.lit(urllists.DAY))).alias("fetched_at"))
+    domain = F.regexp_replace(urllists.host_of(F.col("url")), r"^(?:www|blog|m)\.", "")
+    listed = pages.select(domain.alias("domain"), "page_id").where("domain is not null").groupBy("domain").agg(F.min("page_id").alias("x")).where("x % 4 <> 0")
+    category = F.get(F.array(F.lit("malware"), F.lit("spam"), F.lit("adult")), (F.col("x") % 3).cast("int"))
+    day = lambda d: (F.lit(START) + d * urllists.DAY).cast("long")
+    first = F.col("x") % 300
+    steps = F.array(
+        F.struct(day(first).alias("at"), F.lit(True).alias("listed")),
+        F.struct(day(first + 30 + F.col("x") % 97).alias("at"), F.lit(False).alias("listed")),
+        F.struct(day(first + 200 + F.col("x") % 50).alias("at"), (F.col("x") % 3 == 0).alias("listed")),
+    )
+    entries = listed.select("domain", category.alias("category"), F.explode(steps).alias("s")).select("domain", "category", "s.at", "s.listed")
+    judged = urllists.judge(captures, entries)
+    return judged.select("page_id", "url", "fetched_at", "verdict.host", "verdict.blocked", "verdict.domain", "verdict.category", "verdict.since", "verdict.until")
+
+
+START = 1_704_067_200  # 2024-01-01
+
+OP4_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, 1704067200 + (page_id * 7919) % 731 * 86400 + (page_id * 31) % 86400 AS fetched_at,
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '\.$', ''), '') AS host
+  FROM pages),
+x AS (SELECT regexp_replace(host, '^(?:www|blog|m)\.', '') AS domain, min(page_id) AS x FROM c WHERE host IS NOT NULL GROUP BY 1 HAVING min(page_id) % 4 <> 0),
+e AS (
+  SELECT domain, ['malware', 'spam', 'adult'][1 + x % 3] AS category, 1704067200 + (x % 300) * 86400 AS since, 1704067200 + (x % 300 + 30 + x % 97) * 86400 AS until FROM x
+  UNION ALL
+  SELECT domain, 'malware', 1704067200 + (x % 300 + 200 + x % 50) * 86400, 4294967295 FROM x WHERE x % 3 = 0),
+h AS (
+  SELECT c.host, c.fetched_at, e.*, row_number() OVER (PARTITION BY c.host, c.fetched_at ORDER BY len(e.domain) DESC, e.category, e.since) AS r
+  FROM (SELECT DISTINCT host, fetched_at FROM c) c JOIN e ON (c.host = e.domain OR ends_with(c.host, '.' || e.domain)) AND c.fetched_at >= e.since AND c.fetched_at < e.until)
+SELECT c.page_id, c.url, c.fetched_at, c.host, h.domain IS NOT NULL AS blocked, h.domain, h.category, h.since, h.until
+FROM c LEFT JOIN h ON c.host = h.host AND c.fetched_at = h.fetched_at AND h.r = 1
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -115,8 +187,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotes": op1_quotes,
     "op2_topk": op2_topk,
     "op3_packing": op3_packing,
+    "op4_urllists": op4_urllists,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
@@ -124,4 +198,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licences": op9_licences,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {"op2_topk": OP2_SQL, "op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quotes": OP1_SQL, "op2_topk": OP2_SQL, "op4_urllists": OP4_SQL, "op5_mixing": OP5_SQL}
