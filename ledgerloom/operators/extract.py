@@ -1,0 +1,209 @@
+"""Document text to typed line items. Pages stay pages; lines keep their numbers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import dates, money, predicates, text
+
+PAGE = ["file", "page"]
+CODE = "(?:" + "|".join(money.ISO) + ")"
+DMY = r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+FIGURE = r"-?\(?[0-9]{1,3}(?:[ ,][0-9]{3})*(?:[.,][0-9]{2})?\)?|-?\(?[0-9]+(?:[.,][0-9]{2})?\)?"
+
+
+def unwrap(pages: DataFrame) -> DataFrame:
+    """``pages`` with hard-wrapped lines joined: cents, currencies, dates and amounts that stand alone."""
+    rules = [
+        (r"([0-9])\.?[ \t]*\n[ \t]*([0-9]{2})[ \t]*(?=\n|$)", "$1.$2"),  # 123 / 45
+        (rf"[ \t]*\n[ \t]*({CODE})[ \t]*\n[ \t]*({DMY})", " $1 $2"),  # currency, then date
+        (rf"[ \t]*\n[ \t]*({CODE})[ \t]*\n[ \t]*({FIGURE})[ \t]*(?=\n|$)", " $1 $2"),  # currency, then amount
+        (rf"({CODE})[ \t]*\n[ \t]*({DMY}|{FIGURE})", "$1 $2"),  # line ends in a currency
+        (rf"({DMY})[ \t]*\n[ \t]*(?=[A-Za-z])", "$1 "),  # line ends in a date
+    ]
+    out = F.regexp_replace("text", r"\r\n?", "\n")
+    for pattern, joined in rules:
+        out = F.regexp_replace(out, pattern, joined)
+    return pages.withColumn("text", out)
+
+
+def lines_of(pages: DataFrame) -> DataFrame:
+    """(file, page, line_no, line): the lines of every page, in order."""
+    return pages.select(*PAGE, F.posexplode(F.split("text", r"\R")).alias("line_no", "line"))
+
+
+def with_context(lines: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
+    """Non-blank lines with ``prev1``, ``prev2``... and ``next1``... of the same page."""
+    order = Window.partitionBy(*PAGE).orderBy("line_no")
+    df = lines.where(F.trim("line") != "").withColumn("line", F.trim("line"))
+    near = {f"prev{k}": F.lag("line", k).over(order) for k in range(1, before + 1)} | {f"next{k}": F.lead("line", k).over(order) for k in range(1, after + 1)}
+    return df.withColumns(near)
+
+
+def receipt_rows(lines: DataFrame) -> DataFrame:
+    """(file, page, line_no, date, currency, description, amount, form) of one-line receipts.
+
+    Forms: ``wide`` (columns two blanks apart), ``row`` (currency, date, text,
+    amount), ``bare`` (an amount alone).
+    """
+    wide = rf"^(\S.+?)\s{{2,}}(\S.+?)\s{{2,}}({CODE})\s+({DMY})\s{{2,}}(.+?)\s{{2,}}({FIGURE})\s*$"
+    row = rf"(?i)({CODE})\s+({DMY})\s+(.+?)\s+({FIGURE})\s*$"
+    bare = rf"^\s*({FIGURE})\s*$"
+    part = lambda p, g: F.regexp_extract("line", p, g)
+    form = F.when(F.col("line").rlike(wide), "wide").when(F.col("line").rlike(row), "row").when(F.col("line").rlike(bare), "bare")
+    df = lines.withColumn("form", form).where("form is not null")
+    pick = lambda w, r, b: F.when(F.col("form") == "wide", part(wide, w)).when(F.col("form") == "row", part(row, r)).otherwise(b)
+    return df.select(
+        *PAGE, "line_no",
+        dates.parse_date(pick(4, 2, F.lit(None).cast("string"))).alias("date"),
+        F.upper(pick(3, 1, F.lit(None).cast("string"))).alias("currency"),
+        text.spaced(pick(5, 3, F.lit("(no desc)"))).alias("description"),
+        money.parse_amount(F.regexp_replace(pick(6, 4, part(bare, 1)), ",", "")).alias("amount"), "form",
+    ).where("amount is not null and description <> ''")
+
+
+def stacked_receipts(lines: DataFrame, most: int = 3) -> DataFrame:
+    """Receipts in a stack: a date line, up to ``most`` lines of text, a currency line, an amount line. Keeps its own date."""
+    df = with_context(lines, 0, most + 2).where(F.col("line").rlike(rf"^{DMY}$"))
+    nexts = F.array(*[F.col(f"next{k}") for k in range(1, most + 3)])
+    df = df.withColumn("ahead", F.filter(nexts, lambda x: x.isNotNull()))
+    at = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: F.get("ahead", k).rlike(rf"(?i)^{CODE}$") & F.get("ahead", k + 1).rlike(r"^[0-9]{1,7}[.,][0-9]{2}$")))
+    df = df.withColumn("k", at).where("k is not null").withColumn("words", F.slice("ahead", 1, F.col("k")))
+    df = df.where(~F.exists("words", lambda w: w.rlike(predicates.TABLE_HEADER) | w.rlike(rf"(?i)^\s*(?:{predicates.TOTAL_PHRASES})\b")))
+    return df.select(*PAGE, "line_no", dates.parse_date(F.col("line")).alias("date"), F.upper(F.get("ahead", F.col("k"))).alias("currency"), text.spaced(F.array_join("words", " ")).alias("description"), money.parse_amount(F.get("ahead", F.col("k") + 1)).alias("amount"))
+
+
+def dual_currency_due(lines: DataFrame) -> DataFrame:
+    """(file, page, line_no, amount) in SGD where an amount due is given in USD and SGD, on a line or across two; once per match."""
+    figure = r"[$€£¥]?\s*(?<![0-9,.])([0-9]{1,3}(?:,[0-9]{3})+\.[0-9]{2}|[0-9]+\.[0-9]{2})"
+    pattern = rf"(?i)\bamount\s+due\b.*?{figure}\s*USD.*?{figure}\s*SGD"
+    df = with_context(lines, 0, 1)
+    joined = F.concat_ws(" ", "line", "next1")
+    crossing = ~F.col("line").rlike(pattern) & joined.rlike(pattern) & ~F.coalesce(F.col("next1").rlike(pattern), F.lit(False))
+    hit = F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 2)).when(crossing, F.regexp_extract(joined, pattern, 2))
+    return df.withColumn("hit", hit).where("hit is not null").select(*PAGE, "line_no", money.parse_amount(F.regexp_replace("hit", ",", "")).alias("amount"))
+
+
+def trailing_totals(lines: DataFrame, page: str = "SGD") -> DataFrame:
+    """(file, page, line_no, description, currency, amount) of total lines; the text comes from up to three lines above."""
+    df = with_context(lines, 3, 0).where(predicates.is_trailing_total(F.col("line")))
+    df = df.withColumn("pick", money.best_amount(F.col("line"), money.amounts(F.col("line"), F.lit(page)), F.lit(page))).where("pick is not null")
+    stop = lambda c: c.isNull() | predicates.is_table_header(c) | predicates.says_total(c)
+    usable = lambda c: F.when(predicates.is_side_cost(c), F.lit("")).otherwise(c)
+    one, two, three = (F.col(f"prev{k}") for k in (1, 2, 3))
+    enough = lambda c: F.size(text.tokens(c)) >= 2
+    first = F.when(stop(one), "").otherwise(usable(one))
+    second = F.when(stop(one) | stop(two) | enough(first), first).otherwise(F.trim(F.concat_ws(" ", usable(two), first)))
+    third = F.when(stop(one) | stop(two) | stop(three) | enough(second), second).otherwise(F.trim(F.concat_ws(" ", usable(three), second)))
+    described = F.coalesce(text.null_if_empty(text.spaced(third)), F.lit("Item Total"))
+    return df.select(*PAGE, "line_no", F.left(described, F.lit(160)).alias("description"), "pick.currency", "pick.amount").where(money.nonzero(F.col("amount")))
+
+
+def labelled_amounts(lines: DataFrame, page: str = "SGD") -> DataFrame:
+    """(file, page, line_no, kind, currency, amount): totals and items named on a line, the line before or behind it."""
+    df = with_context(lines, 1, 1)
+    total = predicates.says_total(F.col("line"))
+    item = F.col("line").rlike(predicates.ITEM_LABEL) & ~total
+    df = df.withColumn("kind", F.when(total, "total").when(item, "item")).where("kind is not null")
+    here, below = money.amounts(F.col("line"), F.lit(page)), money.amounts(F.coalesce("next1", F.lit("")), F.lit(page))
+    df = df.withColumn("found", F.when(F.size(here) > 0, here).otherwise(below)).where(F.size("found") > 0)
+    df = df.withColumn("pick", money.best_amount(F.col("line"), F.col("found"), F.lit(page)))
+    return df.select(*PAGE, "line_no", "kind", "pick.currency", "pick.amount").where(money.nonzero(F.col("amount")))
+
+
+def dated_amounts(pages: DataFrame, reach: int = 800, page: str = "SGD") -> DataFrame:
+    """(file, page, n, amount, currency, date): amounts of free text with the nearest date within ``reach`` characters.
+
+    Equally near: the first; none near: the page's last date.
+    """
+    parts = F.split(F.regexp_replace("text", f"({dates.DATE_TOKEN})", "\u0001$1\u0002"), "[\u0001\u0002]")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<at:int,d:string>>").alias("out"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), p.alias("d"))))).otherwise(acc["out"]).alias("out"))
+    df = pages.withColumn("days", F.aggregate(parts, zero, step, lambda acc: acc["out"]))
+    marked = F.split(F.regexp_replace("text", rf"(?<![\w.,/-])((?:{CODE}\s+)[0-9]{{1,3}}(?:,?[0-9]{{3}})*\.[0-9]{{2}})(?![\w/])", "\u0001$1\u0002"), "[\u0001\u0002]")
+    df = df.withColumn("figures", F.aggregate(marked, zero, step, lambda acc: acc["out"]))
+    df = df.select(*PAGE, "days", F.posexplode("figures").alias("n", "f"))
+    near = F.array_min(F.transform(F.filter("days", lambda d: F.abs(d["at"] - F.col("f.at")) <= reach), lambda d: F.struct(F.abs(d["at"] - F.col("f.at")).alias("apart"), d["at"].alias("at"), d["d"].alias("d"))))
+    day = F.coalesce(near["d"], F.get(F.reverse("days"), 0)["d"])
+    amount = money.parse_amount(F.regexp_replace(F.regexp_extract("f.d", r"([0-9][0-9,]*\.[0-9]{2})", 1), ",", ""))
+    return df.select(*PAGE, "n", amount.alias("amount"), F.left("f.d", F.lit(3)).alias("currency"), dates.parse_date(day).alias("date"))
+
+
+# Positioned words (file, page, x, y, word, ...)
+
+
+def assemble_lines(words: DataFrame) -> DataFrame:
+    """(file, page, block, par, line, text) from scanned words, in order of ``word_no``; blank words don't count."""
+    kept = words.where(F.trim("word") != "")
+    ordered = F.array_sort(F.collect_list(F.struct("word_no", "word")))
+    return kept.groupBy(*PAGE, "block", "par", "line").agg(F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("text"))
+
+
+def dominant_column(words: DataFrame, width: int = 10) -> DataFrame:
+    """(file, page, x, n): the fullest stretch of x positions per page; of equals the leftmost."""
+    counts = words.groupBy(*PAGE, (F.bround(F.col("x") / width) * width).alias("x")).agg(F.count("*").alias("n"))
+    best = counts.groupBy(*PAGE).agg(F.max(F.struct("n", -F.col("x"))).alias("b"))
+    return best.select(*PAGE, (-F.col("b.col2")).alias("x"), "b.n")
+
+
+def right_margin(gaps: DataFrame, least: float = 12.0, most: float = 28.0, usual: float = 24.0) -> DataFrame:
+    """(file, page, margin): the lower quartile of gaps before amounts, between ``least`` and ``most``."""
+    quartile = F.coalesce(F.percentile("gap", 0.25), F.lit(usual))
+    return gaps.groupBy(*PAGE).agg(F.greatest(F.lit(least), F.least(F.lit(most), quartile)).alias("margin"))
+
+
+def noise_words(words: DataFrame, share: float = 0.6) -> DataFrame:
+    """(file, page, word): words of three letters or more on at least ``share`` of a page's lines."""
+    n = words.groupBy(*PAGE).agg(F.count_distinct("line_no").alias("n_lines"))
+    seen = words.withColumn("word", F.lower("word")).where(F.col("word").rlike("^[a-z]{3,}$")).groupBy(*PAGE, "word").agg(F.count_distinct("line_no").alias("n"))
+    return seen.join(n, PAGE).where(F.col("n") >= share * F.col("n_lines")).select(*PAGE, "word", "n")
+
+
+def vertical_groups(lines: DataFrame, gap: float = 20.0) -> DataFrame:
+    """``lines`` (file, page, y, ...) with ``grp``: lines follow on while they are at most ``gap`` apart."""
+    order = Window.partitionBy(*PAGE).orderBy("y", "line_no")
+    new = F.coalesce((F.col("y") - F.lag("y").over(order) > gap).cast("int"), F.lit(0))
+    return lines.withColumn("new", new).withColumn("grp", F.sum("new").over(order)).drop("new")
+
+
+def layout_rows(words: DataFrame, page: str = "SGD", band: float = 15.0) -> DataFrame:
+    """(file, page, line_no, description, amount) of a table given as positioned words (x, y, word).
+
+    Lines are two points high. The amount is the rightmost figure within ``band`` of
+    the page's dominant column; the text is what stands left of it by the page's
+    margin, without the page's noise words, two words at least.
+    """
+    df = words.withColumn("line_no", F.floor(F.col("y") / 2).cast("int"))
+    value = money.parse_amount(F.regexp_replace("word", ",", ""))
+    df = df.withColumn("value", F.when(F.col("word").rlike(r"^\(?-?[0-9][0-9,]*\.[0-9]{2}\)?$"), value))
+    figures = df.where("value is not null")
+    column = dominant_column(figures).select(*PAGE, F.col("x").alias("column"))
+    amounts = figures.join(column, PAGE).where(F.abs(F.col("x") - F.col("column")) <= band)
+    right = amounts.groupBy(*PAGE, "line_no").agg(F.max(F.struct("x", "value")).alias("a")).select(*PAGE, "line_no", F.col("a.x").alias("ax"), F.col("a.value").alias("amount"))
+    placed = df.where("value is null").join(right, [*PAGE, "line_no"])
+    gaps = placed.where("x < ax").groupBy(*PAGE, "line_no").agg((F.first("ax") - F.max("x")).alias("gap"))
+    noise = noise_words(placed.select(*PAGE, "line_no", "word")).select(*PAGE, "word")
+    texts = placed.join(right_margin(gaps), PAGE).where(F.col("x") < F.col("ax") - F.col("margin")).withColumn("low", F.lower("word"))
+    texts = texts.join(noise.withColumnRenamed("word", "low"), [*PAGE, "low"], "left_anti")
+    ordered = F.array_sort(F.collect_list(F.struct("x", "word")))
+    grouped = texts.groupBy(*PAGE, "line_no").agg(F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("description"))
+    out = grouped.join(right.drop("ax"), [*PAGE, "line_no"]).where(F.size(text.tokens(F.col("description"))) >= 2)
+    return out.select(*PAGE, "line_no", "description", "amount")
+
+
+# Items
+
+
+def first_seen(items: DataFrame) -> DataFrame:
+    """Items without repeats of (amount, description) in a file; the first emitted stays."""
+    key = F.trim(F.regexp_replace(F.lower("description"), r"\s+", " "))
+    rank = F.row_number().over(Window.partitionBy("file", "cents", key).orderBy("emit_seq"))
+    return items.withColumn("rank", rank).where("rank = 1").drop("rank")
+
+
+def replicate_for_echoes(items: DataFrame) -> DataFrame:
+    """Primary items as often as they have echoes, and once without any; ``parent_id`` ties an echo to its primary."""
+    echoes = items.where("parent_id is not null").groupBy(F.col("parent_id").alias("item_id")).agg(F.count("*").alias("m"))
+    primary = items.where("parent_id is null").join(echoes, "item_id", "left")
+    return primary.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.coalesce("m", F.lit(1)), F.lit(1)).cast("long")))).drop("m")
