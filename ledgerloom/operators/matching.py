@@ -68,12 +68,22 @@ def amount_islands(items: DataFrame, ledger: DataFrame, tol: int) -> tuple[DataF
 def greedy_assign(items: DataFrame, ledger: DataFrame, tol: int) -> DataFrame:
     """One-to-one: items in order take the nearest free row within ``tol`` (docno, item_id, row_id).
 
-    Sequential inside an island of amounts and parallel across islands and documents.
+    Islands with one item or one row are settled by a join and a minimum; only those
+    with several of both need the sequence, in one task per island.
     """
     left, right = amount_islands(items, ledger, tol)
-    both = left.select("docno", "island", F.lit(True).alias("item"), F.col("item_id").alias("id"), "cents").unionByName(
-        right.select("docno", "island", F.lit(False).alias("item"), F.col("row_id").alias("id"), "cents")
-    )
+    left = left.select("docno", "island", "item_id", F.col("cents").alias("item_cents"))
+    right = right.select("docno", "island", "row_id", F.col("cents").alias("row_cents"))
+    key = ["docno", "island"]
+    sizes = left.groupBy(*key).agg(F.count("*").alias("n_items")).join(right.groupBy(*key).agg(F.count("*").alias("n_rows")), key)
+    plain = sizes.where("n_items = 1 or n_rows = 1")
+    apart = F.abs(F.col("item_cents") - F.col("row_cents"))
+    pairs = left.join(plain, key).join(right, key).where(apart <= tol)
+    first = F.struct(F.when(F.col("n_items") == 1, apart).otherwise(F.col("item_id")).alias("o"), "item_id", "row_id")
+    easy = pairs.groupBy(*key).agg(F.min(first).alias("b")).select("docno", "b.item_id", "b.row_id")
+    crowded = sizes.where("n_items > 1 and n_rows > 1").select(*key)
+    both = left.select(*key, F.lit(True).alias("item"), F.col("item_id").alias("id"), F.col("item_cents").alias("cents"))
+    both = both.unionByName(right.select(*key, F.lit(False).alias("item"), F.col("row_id").alias("id"), F.col("row_cents").alias("cents"))).join(crowded, key, "left_semi")
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
         free = group[~group["item"]].sort_values("id")
@@ -85,7 +95,7 @@ def greedy_assign(items: DataFrame, ledger: DataFrame, tol: int) -> DataFrame:
                 out.append((row.docno, row.id, ids[best[1]]))
         return pd.DataFrame(out, columns=["docno", "item_id", "row_id"])
 
-    return both.groupBy("docno", "island").applyInPandas(assign, "docno long, item_id long, row_id long")
+    return easy.unionByName(both.groupBy(*key).applyInPandas(assign, "docno long, item_id long, row_id long"))
 
 
 def exact_assign(items: DataFrame, ledger: DataFrame) -> DataFrame:
