@@ -17,7 +17,6 @@ def unwrap(pages: DataFrame) -> DataFrame:
     """``pages`` with hard-wrapped lines joined: cents, currencies, dates and amounts that stand alone."""
     rules = [
         (r"([0-9])\.?[ \t]*\n[ \t]*([0-9]{2})[ \t]*(?=\n|$)", "$1.$2"),  # 123 / 45
-        (rf"[ \t]*\n[ \t]*({CODE})[ \t]*\n[ \t]*({DMY})", " $1 $2"),  # currency, then date
         (rf"[ \t]*\n[ \t]*({CODE})[ \t]*\n[ \t]*({FIGURE})[ \t]*(?=\n|$)", " $1 $2"),  # currency, then amount
         (rf"({CODE})[ \t]*\n[ \t]*({DMY}|{FIGURE})", "$1 $2"),  # line ends in a currency
         (rf"({DMY})[ \t]*\n[ \t]*(?=[A-Za-z])", "$1 "),  # line ends in a date
@@ -130,6 +129,32 @@ def dated_amounts(pages: DataFrame, reach: int = 800, page: str = "SGD") -> Data
     return df.select(*PAGE, "n", amount.alias("amount"), F.left("f.d", F.lit(3)).alias("currency"), dates.parse_date(day).alias("date"))
 
 
+def header_table(lines: DataFrame, reach: int = 79, page: str = "SGD") -> DataFrame:
+    """(file, page, line_no, description, currency, amount) of lines below a table's heading, up to its total row or ``reach`` lines.
+
+    Columns are two blanks apart in the raw line; the first is the text, the last the amount.
+    """
+    marks = lines.withColumn("head", predicates.is_table_header(F.col("line"))).withColumn("stop", predicates.is_total_row(F.col("line")))
+    order = Window.partitionBy(*PAGE).orderBy("line_no")
+    marks = marks.withColumn("at", F.last(F.when(F.col("head"), F.col("line_no")), ignorenulls=True).over(order))
+    marks = marks.withColumn("ended", F.last(F.when(F.col("stop"), F.col("line_no")), ignorenulls=True).over(order))
+    body = marks.where(~F.col("head") & ~F.col("stop") & (F.col("line_no") - F.col("at") <= reach) & (F.coalesce("ended", F.lit(-1)) < F.col("at")))
+    body = body.withColumn("cols", F.split(F.trim("line"), r"\s{2,}")).where(F.size("cols") >= 2)
+    body = body.withColumn("pick", money.best_amount(F.col("line"), money.amounts(F.element_at("cols", -1), F.lit(page)), F.lit(page))).where("pick is not null")
+    return body.select(*PAGE, "line_no", text.spaced(F.get("cols", 0)).alias("description"), "pick.currency", "pick.amount")
+
+
+def page_routes(pages: DataFrame) -> DataFrame:
+    """(file, page, origin, destination): each page's route, found on it, else on the page before, the next or the one after."""
+    own = pages.select(*PAGE, F.posexplode(F.split("text", r"\R")).alias("n", "line")).where(F.col("line").rlike(r"(?i)\bfrom\b.+\bto\b|\bto\b.+\bfrom\b"))
+    own = own.withColumn("r", text.route(F.col("line"))).where("r.origin <> '' and r.destination <> ''")
+    own = own.groupBy(*PAGE).agg(F.min_by("r", "n").alias("r"))
+    # A route found on page p serves p, p + 1, p - 1 and p - 2, in that order of preference.
+    served = own.select("file", F.explode(F.arrays_zip(F.array(*[F.col("page") + d for d in (0, 1, -1, -2)]).alias("page"), F.array(*map(F.lit, range(4))).alias("rank"))).alias("s"), "r")
+    best = served.groupBy("file", F.col("s.page").alias("page")).agg(F.min_by("r", "s.rank").alias("r"))
+    return pages.select(*PAGE).join(best, PAGE, "left").select(*PAGE, "r.origin", "r.destination")
+
+
 # Positioned words (file, page, x, y, word, ...)
 
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.config import ReconcileConfig
 from ledgerloom.functions import dates, money, predicates, text
 from ledgerloom.operators import docpool, extract, matching, netting, totals, verdicts
+from ledgerloom.plans import reconcile as whole
 from ledgerloom.plans import views
 from ledgerloom.plans.views import ITEMS, LEDGER, PAY, SIGNED
 from ledgerloom.sources import discover
@@ -535,6 +537,72 @@ def total_lines(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", predicates.says_total(F.concat(F.col("text"), F.when(F.col("turn") % 2 == 0, " Grand  Total 5.00").otherwise(" sum"))).alias("total"))
 
 
+@query(f"WITH {LEDGER} SELECT 'o' || CAST(docno AS VARCHAR) AS file, doc_date AS date, 'SGD' AS currency, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS description, cents FROM ledger", day="date")
+def unwrapped_receipts(spark: SparkSession, sf: str) -> DataFrame:
+    """Receipts whose currency and cents were wrapped onto lines of their own."""
+    pages = views.receipts(spark, sf, "row")
+    wrapped = pages.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"SGD ", "SGD\n"), r"\.([0-9]{2})(?=\n|$)", "\n$1"))
+    rows = extract.receipt_rows(extract.lines_of(extract.unwrap(wrapped)))
+    return rows.select("file", "date", "currency", "description", money.cents(F.col("amount")).alias("cents"))
+
+
+@query(f"WITH {LEDGER} SELECT 'o' || CAST(docno AS VARCHAR) AS file, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS description, 'SGD' AS currency, cents FROM ledger WHERE cents > 0")
+def header_table(spark: SparkSession, sf: str) -> DataFrame:
+    pages = views.receipts(spark, sf, "table")
+    text_ = F.concat(F.lit("Invoice 12.00\nDescription    Amount\n"), F.col("text"), F.lit("\nGrand Total    99.00\nnot a row    5.00"))
+    rows = extract.header_table(extract.lines_of(pages.withColumn("text", text_)))
+    return rows.select("file", "description", "currency", money.cents(F.col("amount")).alias("cents"))
+
+
+@query(f"""WITH {LEDGER}, n AS (SELECT docno, count(*) AS n FROM ledger GROUP BY 1)
+SELECT 'o' || CAST(docno AS VARCHAR) AS file, CAST(p AS INTEGER) AS page, CASE WHEN p IN (2, 3, 1, 4) AND n >= 1 THEN 'Home' END AS origin, CASE WHEN p IN (2, 3, 1, 4) AND n >= 1 THEN 'Office ' || CAST(docno AS VARCHAR) END AS destination
+FROM n, (SELECT unnest([1, 2, 3, 4, 5]) AS p)""")
+def page_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Five pages per order; the third tells the route, which serves pages one to four."""
+    docs = views.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
+    pages = docs.select(F.concat(F.lit("o"), F.col("k").cast("string")).alias("file"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("page"), "k")
+    said = F.when(F.col("page") == 3, F.concat(F.lit("Receipt\nGrab from Home to Office "), F.col("k").cast("string"))).otherwise("nothing here")
+    return extract.page_routes(pages.withColumn("text", said))
+
+
+@query("""SELECT p_partkey, list_aggregate(list_filter(string_split(trim(regexp_replace(p_name || ' ' || p_type, '\\s+', ' ', 'g')), ' '), lambda w: NOT regexp_full_match(w, '[0-9.,]+')), 'string_agg', ' ') AS description FROM part""")
+def compact_description(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.table(spark, sf, "part")
+    line = F.concat(F.lit("31/7/2025 the "), F.col("p_name"), F.lit(" 12.50 of "), F.col("p_type"))
+    return p.select("p_partkey", text.compact_description(line).alias("description"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 50.0 WHEN 1 THEN 10.0 WHEN 2 THEN -30.0 ELSE -15.0 END + CASE WHEN c_nationkey % 2 = 0 THEN 2.0 ELSE 0.0 END + c_nationkey * 0.001 AS score FROM customer""")
+def context_score(spark: SparkSession, sf: str) -> DataFrame:
+    c, k = views.table(spark, sf, "customer"), F.col("c_custkey") % 4
+    left = F.when(k == 0, "Total incl. GST").when(k == 1, "Total without GST").when(k == 2, "GST payable").otherwise("service charge")
+    currency = F.when(F.col("c_nationkey") % 2 == 0, "SGD").otherwise("USD")
+    return c.select("c_custkey", money.context_score(left, currency, F.lit("SGD"), F.col("c_nationkey")).alias("score"))
+
+
+@query("""SELECT CAST(c_nationkey AS VARCHAR) AS file, 's' AS sheet, CASE WHEN c_nationkey % 2 = 0 THEN 'Total pay' ELSE 'Paid' END AS "column", CAST(sum(CASE WHEN c_nationkey % 2 = 0 THEN 100 ELSE 100 * c_custkey END) AS BIGINT) AS cents FROM customer GROUP BY ALL""")
+def support_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Sheets whose total column is named, and sheets where the largest column is taken."""
+    c, even = views.table(spark, sf, "customer"), F.col("c_nationkey") % 2 == 0
+    cell = lambda no, header, value: F.struct(F.lit(no).alias("col_no"), header.alias("header"), value.alias("value"))
+    cells = F.array(cell(0, F.lit("Name"), F.col("c_name")), cell(1, F.when(even, "Amount").otherwise("Paid"), F.col("c_custkey").cast("string")), cell(2, F.when(even, "Total pay").otherwise("Count"), F.lit("1.00")))
+    rows = c.select(F.col("c_nationkey").cast("string").alias("file"), F.lit("s").alias("sheet"), F.explode(cells).alias("c"))
+    return totals.support_summary(rows.select("file", "sheet", "c.*"))
+
+
+@query(f"""WITH {LEDGER} SELECT 'o' || CAST(docno AS VARCHAR) AS file, CAST(row_id * 6 AS INTEGER) AS line_no,
+  array_to_string(list_transform(string_split(trim(regexp_replace(description, '\\s+', ' ', 'g')), ' '), lambda w: w || CAST(row_id AS VARCHAR)), ' ') AS description, cents FROM ledger""")
+def layout_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as words on a page: text from the left, the amount at 500, a repeated mark between."""
+    df = views.ledger(spark, sf).withColumn("words", F.split(F.trim("description"), r"\s+"))
+    amount = F.concat(F.expr("cents div 100").cast("string"), F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"))
+    at = F.transform("words", lambda w, i: F.struct((i * 60.0).alias("x"), F.concat(w, F.col("row_id").cast("string")).alias("word")))
+    every = F.concat(at, F.array(F.struct(F.lit(400.0).alias("x"), F.lit("qtymark").alias("word")), F.struct(F.lit(500.0).alias("x"), amount.alias("word"))))
+    words = df.select(F.concat(F.lit("o"), F.col("docno").cast("string")).alias("file"), F.lit(1).alias("page"), (F.col("row_id") * 12.0).alias("y"), F.explode(every).alias("w")).select("file", "page", "y", "w.*")
+    rows = extract.layout_rows(words)
+    return rows.select("file", "line_no", "description", money.cents(F.col("amount")).alias("cents"))
+
+
 # Positioned words: the words of conversations, placed by their numbers
 
 
@@ -643,6 +711,15 @@ def comment_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.comments(m)
 
 
+@query()
+def reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """Every phase over all items and rows."""
+    from datetime import date
+
+    config = ReconcileConfig(claim_start=date(1995, 1, 1), claim_end=date(2000, 12, 31))
+    return whole.reconcile(views.items(spark, sf), views.ledger(spark, sf), config)
+
+
 # Sources
 
 

@@ -86,7 +86,7 @@ def receipts(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
         "row": F.concat_ws(" ", F.lit("SGD"), day, "description", amount),
         "stack": F.concat_ws("\n", day, "description", F.lit("SGD"), amount),
         "total": F.concat_ws("\n", F.col("description"), F.concat(F.lit("Item total: SGD "), amount), F.lit("")),
-        "due": F.concat(F.lit("Amount due USD 1.00"), F.lit("")),
+        "table": F.concat_ws("    ", "description", amount),
         "free": F.concat_ws(" ", F.lit("Paid on"), day, F.lit("for"), "description", F.lit("the sum of SGD"), F.concat(amount, F.lit(";"))),
         "dual": F.concat_ws(" ", F.lit("Amount due 1.00 USD or"), amount, F.lit("SGD")),
     }[form]
