@@ -66,9 +66,10 @@ def read_ledger(rows: DataFrame, doc_col: str | None = None) -> DataFrame:
             name = h.strip()
             seen[name] = seen.get(name, 0) + 1
             named.append(F.get("cells", i).alias(name if seen[name] == 1 else f"{name}.{seen[name]}"))
-    doc = F.get("cells", pick_column(header, [doc_col])) if doc_col else F.lit(None).cast("string")
-    if doc_col and pick_column(header, [doc_col]) is None:
+    at = pick_column(header, [doc_col]) if doc_col else None
+    if doc_col and at is None:
         raise ValueError(f"the ledger has no column {doc_col!r}")
+    doc = F.lit(None).cast("string") if at is None else F.get("cells", at)
     norm = text.identifier(doc)
     digits = F.regexp_replace(norm, "[^0-9]", "")
     value = F.get("cells", amount).try_cast("double")
