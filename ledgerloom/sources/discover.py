@@ -62,6 +62,7 @@ def support(files: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def password(text: Column) -> Column:
     """The password a message tells, or null. It is never logged."""
+    # How messages tell a password, in order of trust.
     forms = [r"(?i)pw\s*(?:for [^:]+)?:\s*([^\s\"']+)", r"(?i)password\s*[:=]\s*([^\s\"']+)", r"(?i)\bpass(?:word)?\s+is\s+\"?([^\s\"']+)\"?", r"(?i)\bpwd\s*[:=]\s*([^\s\"']+)"]
     found = [F.regexp_replace(F.regexp_extract(text, p, 1), r"\.$", "") for p in forms]
     return F.coalesce(*[F.when(F.length(x) >= 4, x) for x in found])
