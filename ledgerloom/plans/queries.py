@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import ReconcileConfig
 from ledgerloom.functions import dates, money, predicates, text
 from ledgerloom.operators import docpool, extract, matching, netting, totals, verdicts
+from ledgerloom.plans import line_items as items_plan
 from ledgerloom.plans import reconcile as whole
 from ledgerloom.plans import views
 from ledgerloom.plans.views import ITEMS, LEDGER, PAY, SIGNED
@@ -373,6 +374,12 @@ def eom_totals_backstop(spark: SparkSession, sf: str) -> DataFrame:
     return totals.backstop(claims, pay, totals.line_match(claims, pay, TOL), TOL)
 
 
+@query()
+def eom_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines one to one, then pairs of what is left."""
+    return totals.end_of_month(*views.claims_and_pay(spark, sf), TOL)
+
+
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS day FROM events WHERE event_id % 7 = 0 OR CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'", day="day")
 def period_filter_null_true(spark: SparkSession, sf: str) -> DataFrame:
     return _in_period(spark, sf, dates.in_period)
@@ -669,6 +676,16 @@ def echo_synth(spark: SparkSession, sf: str) -> DataFrame:
     return extract.replicate_for_echoes(items.select(key.alias("item_id"), parent.alias("parent_id"), "cents")).select("item_id", "cents", "copy")
 
 
+@query(f"""WITH {LEDGER}, r AS (SELECT docno, doc_date, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS description, cents, row_id, row_number() OVER (PARTITION BY docno, cents, lower(trim(regexp_replace(description, '\\s+', ' ', 'g'))) ORDER BY row_id) AS n FROM ledger)
+SELECT CAST(docno + 10000000 AS VARCHAR) AS docno, doc_date AS date, description, cents, 'receipt_row' AS source FROM r WHERE n = 1""", day="date")
+def line_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Receipts of every order through all extractors; the file name tells the document."""
+    pages = views.receipts(spark, sf, "row")
+    number = (F.regexp_replace("file", "o", "").cast("long") + 10_000_000).cast("string")
+    items = items_plan.line_items(pages.withColumn("file", F.concat(F.lit("Invoice "), number, F.lit(" (2).pdf"))))
+    return items.select("docno", "date", "description", "cents", "source")
+
+
 # Verdicts
 
 

@@ -173,3 +173,25 @@ def test_echoes_and_first_seen(spark):
     assert sorted(r["item_id"] for r in extract.replicate_for_echoes(df).collect()) == [1, 1, 4]
     seen = spark.createDataFrame([("f", 5, "A  b", 1), ("f", 5, "a B", 2), ("g", 5, "a b", 3)], "file string, cents long, description string, emit_seq int")
     assert sorted(r["emit_seq"] for r in extract.first_seen(seen).collect()) == [1, 3]
+
+
+def test_claims_take_payroll_rows_in_order(spark):
+    random.seed(13)
+    claims = [(k, i, random.randint(0, 40), random.randint(0, 2)) for k in range(8) for i in range(random.randint(1, 6))]
+    pay = [(k, i, random.randint(0, 40), random.randint(0, 2)) for k in range(8) for i in range(random.randint(0, 6))]
+    c = spark.createDataFrame(claims, "key long, claim_id long, claim_cents long, d int").selectExpr("key", "claim_id", "claim_cents", "date_from_unix_date(d) as claim_day")
+    p = spark.createDataFrame(pay, "key long, pay_id long, pay_cents long, d int").selectExpr("key", "pay_id", "pay_cents", "date_from_unix_date(d) as pay_day")
+    want, used = set(), set()
+    for k, i, cents, day in sorted(claims):
+        free = [x for x in pay if x[0] == k and (k, x[1]) not in used]
+        free = [x for x in free if x[3] == day] or free
+        best = min(((abs(x[2] - cents), x[1]) for x in free), default=None)
+        if best and best[0] <= 4:
+            used.add((k, best[1]))
+            want.add((k, i, best[1]))
+    assert {tuple(r) for r in totals.line_assign(c, p, 4).collect()} == want
+    found = {(r["key"], r["claim_id"]): (r["rule"], r["pay_ids"]) for r in totals.end_of_month(c, p, 4).collect()}
+    assert len(found) == len(claims)
+    assert {k for k, v in found.items() if v[0] == "eom_line_match"} == {(k, i) for k, i, _ in want}
+    taken = [(k, i) for (k, _), (rule, ids) in found.items() if rule == "eom_line_match" for i in ids.split(",")]
+    assert len(taken) == len(set(taken))
