@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from ledgerloom.staging import shared_dir, staged
 
-__all__ = ["SPACE", "WORD", "documents", "lower_ascii", "neighbour", "shared_dir", "staged", "text_or_empty"]
+__all__ = ["SPACE", "WORD", "documents", "lower_ascii", "neighbour", "shared_dir", "small_batches", "staged", "text_or_empty"]
 
 #: ASCII white space, as the operators' contracts have it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of 8 MB, whatever their lengths, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m"):  # Spark's default
+        spark.conf.set(key, "8m")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import small_batches
+
 WINDOW = 4096
 PIECES = "doc_id {id}, start long, length long, doc_tokens long, bucket int, ids binary, offset long"
 
@@ -37,7 +39,7 @@ class WordIds(dict):
 
     MARKS = ".,;:!?#$%&*|"  # neither letters, digits, white space nor the apostrophe
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -109,6 +111,7 @@ def pack(
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     end = end_id.to_bytes(4, "little")
 
@@ -126,7 +129,7 @@ def pack(
                         column.append(value)
                     start += n
                 held += len(data)
-                if held > 16_000_000:
+                if held > 8_000_000:
                     yield _batch(batch.column(0), rows)
                     rows, held = [[], [], [], [], [], []], 0
             if rows[0]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import small_batches, staged
 
 BITS = 64
 SEED = 42
@@ -57,6 +57,8 @@ def fingerprint(text: str | None, size: int = 4) -> int:
 def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp", size: int = 4) -> DataFrame:
     """``docs`` with its fingerprints as signed 64-bit integers in column ``name``."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import product
 from math import ceil, log, log1p
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged
+from ledgerloom.llm.common import small_batches, staged
 
 #: Seed words of each symbol.
 INSULTS = "idiot moron stupid fool loser scum trash clown pathetic worthless disgusting imbecile dummkopf trottel arschloch crétin imbécile abruti idiota imbécil estúpido basura".split()
@@ -217,7 +217,7 @@ def counted(rows: DataFrame, longest: int, harmless: frozenset[str] = frozenset(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (t.as_py() for t in batch.column(0)):
                 found = word_features(text, longest, harmless)
                 n.update(found if wanted is None else found & wanted)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["feature", "n"])
@@ -266,6 +266,7 @@ def learn_lexicon(rows: DataFrame, rules: ToxicityRules) -> Lexicon:
 
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn lexicon and context weights from labelled documents that aren't held out."""
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, rules, id_col, text_col, label_col)
     lexicon = learn_lexicon(rows, rules)
 
@@ -301,20 +302,21 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     and get the model's base score. Rows that share an id are scored each for
     itself; an empty table gives an empty result; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.lexicon.automaton()
         for batch in batches:
-            x, p = scored(batch.column(1), model, machine)
+            x, p = scored((t.as_py() for t in batch.column(1)), model, machine)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "score", "features"])
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return named.mapInArrow(run, f"doc_id {kind.simpleString()}, score double, features array<double>")
 
 
-def scored(texts: pa.Array, model: ToxicityModel, machine) -> tuple[list[list[float]], list[float]]:
-    x = [features(t.as_py(), model.lexicon, machine) for t in texts]
+def scored(texts: Iterable[str | None], model: ToxicityModel, machine) -> tuple[list[list[float]], list[float]]:
+    x = [features(t, model.lexicon, machine) for t in texts]
     z = np.array(x).reshape(len(x), len(model.weights)) @ np.array(model.weights) + model.bias
     return x, (1 / (1 + np.exp(-np.clip(z, -30, 30)))).round(12).tolist()
 
@@ -322,10 +324,13 @@ def scored(texts: pa.Array, model: ToxicityModel, machine) -> tuple[list[list[fl
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more, all columns kept."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = model.lexicon.automaton()
         for texts in batches:
-            yield pd.Series(scored(pa.array(texts, pa.string(), from_pandas=True), model, machine)[1], dtype="float64")
+            plain = (t if isinstance(t, str) else None for t in texts)
+            yield pd.Series(scored(plain, model, machine)[1], dtype="float64")
 
     return docs.where(of(F.col(text_col)) < threshold)
