@@ -579,7 +579,7 @@ def compact_description(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", text.compact_description(line).alias("description"))
 
 
-@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 50.0 WHEN 1 THEN 10.0 WHEN 2 THEN -30.0 ELSE -15.0 END + CASE WHEN c_nationkey % 2 = 0 THEN 2.0 ELSE 0.0 END + c_nationkey * 0.001 AS score FROM customer""")
+@query("""SELECT c_custkey, (CASE c_custkey % 4 WHEN 0 THEN 50.0 WHEN 1 THEN 10.0 WHEN 2 THEN -30.0 ELSE -15.0 END)::DOUBLE + (CASE WHEN c_nationkey % 2 = 0 THEN 2.0 ELSE 0.0 END)::DOUBLE + c_nationkey * 0.001::DOUBLE AS score FROM customer""")
 def context_score(spark: SparkSession, sf: str) -> DataFrame:
     c, k = views.table(spark, sf, "customer"), F.col("c_custkey") % 4
     left = F.when(k == 0, "Total incl. GST").when(k == 1, "Total without GST").when(k == 2, "GST payable").otherwise("service charge")
