@@ -39,7 +39,7 @@ class WordIds(dict):
 
     MARKS = ".,;:!?#$%&*|"  # neither letters, digits, white space nor the apostrophe
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 120_000):
         from tokenizers import Tokenizer
 
         super().__init__()
