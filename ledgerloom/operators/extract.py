@@ -129,6 +129,44 @@ def dated_amounts(pages: DataFrame, reach: int = 800, page: str = "SGD") -> Data
     return df.select(*PAGE, "n", amount.alias("amount"), F.left("f.d", F.lit(3)).alias("currency"), dates.parse_date(day).alias("date"))
 
 
+def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
+    """(file, page, line_no, description, currency, amount, source, parent_line) of money lines without columns.
+
+    ``text_row``: a line with an amount in a named currency; its text is what stands
+    left of the amount, and grows upwards until it has two telling words.
+    ``text_row_total``: the same on a total line, or a total line whose amount is on
+    the next. Behind a line that says allocation or percentage, and up to a blank
+    line, amounts belong to the row above it: ``text_row|echo`` where they repeat it,
+    else ``text_row|alloc_part``.
+    """
+    order = Window.partitionBy(*PAGE).orderBy("line_no")
+    latest = lambda c: F.last(F.when(c, F.col("line_no")), ignorenulls=True).over(order)
+    df = lines.withColumn("line", F.trim("line")).withColumn("found", money.amounts(F.col("line"), F.lit(page)))
+    df = df.withColumn("blank_at", latest(F.col("line") == "")).withColumn("alloc_at", latest(F.col("line").rlike(r"(?i)allocation|percentage")))
+    inside = (F.col("alloc_at") > F.coalesce("blank_at", F.lit(-1))) & (F.col("line_no") > F.col("alloc_at"))
+    df = df.withColumn("part", F.coalesce(inside, F.lit(False)))
+    near = {f"prev{k}": F.lag("line", k).over(order) for k in (1, 2)} | {"next_line": F.lead("line").over(order), "next_found": F.lead("found").over(order)}
+    df = df.withColumns(near).withColumn("total", predicates.says_total(F.col("line")))
+    df = df.withColumn("below", F.col("total") & (F.size("found") == 0) & (F.size("next_found") > 0))
+    df = df.withColumn("pick", money.best_amount(F.col("line"), F.when(F.col("below"), F.col("next_found")).otherwise(F.col("found")), F.lit(page)))
+    taken = F.coalesce(F.lag("below").over(order), F.lit(False))
+    hint = F.col("line").rlike("(?i)" + CODE + r"|[$€£¥]")
+    row = F.col("pick").isNotNull() & money.nonzero(F.col("pick.amount")) & ~F.col("part") & ~taken & (hint | F.col("total"))
+    df = df.withColumn("row", F.coalesce(row, F.lit(False)))
+    parent = F.last(F.when(F.col("row"), F.struct("line_no", "pick.amount")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("parent", parent)
+    bare = F.trim(F.regexp_replace("line", rf"(?i)(?:\b{CODE}\b|[A-Z]{{0,2}}[$€£¥])|\(?-?[0-9][0-9,]*\.[0-9]{{2}}\)?", " "))
+    usable = lambda c: c.isNotNull() & (c != "") & ~(predicates.is_table_header(c) | predicates.is_total_row(c) | predicates.is_side_cost(c)) & (F.size(money.amounts(c, F.lit(page))) == 0)
+    good = lambda c: F.size(text.tokens(c)) >= 2
+    one = F.when(good(bare) | ~usable(F.col("prev1")), bare).otherwise(F.concat_ws(" ", "prev1", bare))
+    two = F.when(good(one) | ~usable(F.col("prev1")) | ~usable(F.col("prev2")), one).otherwise(F.concat_ws(" ", F.col("prev2"), one))
+    described = F.left(text.spaced(two), F.lit(160))
+    echo = F.abs(F.col("pick.amount") - F.col("parent.amount")) <= 0.005
+    source = F.when(F.col("part"), F.when(echo, "text_row|echo").otherwise("text_row|alloc_part")).otherwise(F.when(F.col("total"), "text_row_total").otherwise("text_row"))
+    wanted = (F.col("row") & (good(described) | F.col("total"))) | (F.col("part") & F.col("pick").isNotNull() & F.col("parent").isNotNull())
+    return df.where(wanted).select(*PAGE, "line_no", described.alias("description"), "pick.currency", "pick.amount", source.alias("source"), F.when(F.col("part"), F.col("parent.line_no")).alias("parent_line"))
+
+
 def header_table(lines: DataFrame, reach: int = 79, page: str = "SGD") -> DataFrame:
     """(file, page, line_no, description, currency, amount) of lines below a table's heading, up to its total row or ``reach`` lines.
 

@@ -26,6 +26,9 @@ def line_items(pages: DataFrame, config: ReconcileConfig = ReconcileConfig(), de
         extract.dual_currency_due(lines).select(*key, day.alias("date"), F.lit("Amount due").alias("description"), F.lit("SGD").alias("currency"), "amount", F.lit("kv_total").alias("source")),
         extract.trailing_totals(lines, default_currency).select(*key, day.alias("date"), "description", "currency", "amount", F.lit("trail_total").alias("source")),
     ]
+    ragged = extract.ragged_rows(lines).where(~F.col("source").contains("|")).select(*key, day.alias("date"), "description", "currency", "amount", "source")
+    named = extract.receipt_rows(lines).select(*key)
+    found.append(ragged.join(named, key, "left_anti"))
     every = found[0]
     for df in found[1:]:
         every = every.unionByName(df)

@@ -195,3 +195,17 @@ def test_claims_take_payroll_rows_in_order(spark):
     assert {k for k, v in found.items() if v[0] == "eom_line_match"} == {(k, i) for k, i, _ in want}
     taken = [(k, i) for (k, _), (rule, ids) in found.items() if rule == "eom_line_match" for i in ids.split(",")]
     assert len(taken) == len(set(taken))
+
+
+def test_ragged_rows(spark):
+    text = "Blue widget\nlarge box SGD 12.50\nAllocations\nWBS A1 SGD 12.50\nWBS A2 SGD 4.00\n\nTeam dinner at pier USD 30.00\nGrand total\nSGD 42.50\nroom 12 of 1999\n7.00 plain figure\n"
+    rows = extract.ragged_rows(extract.lines_of(pages(spark, text))).orderBy("line_no").collect()
+    assert [(r["line_no"], r["source"], r["amount"], r["parent_line"]) for r in rows] == [(1, "text_row", 12.5, None), (3, "text_row|echo", 12.5, 1), (4, "text_row|alloc_part", 4.0, 1), (6, "text_row", 30.0, None), (7, "text_row_total", 42.5, None)]
+    assert rows[0]["description"] == "large box" and rows[3]["currency"] == "USD"
+
+
+def test_end_of_month_rows(spark):
+    df = spark.createDataFrame([("Payroll June", "5.00", "30/6/2025"), ("lunch", "1.00", None), ("CPF", "x", None), ("net pay", "7", "45838")], "`Budget Category` string, Amount string, `Document Date` string")
+    rows = totals.end_of_month_rows(df, "Amount", "Document Date").collect()
+    assert [(r["eom_cents"], str(r["eom_date"])) for r in rows] == [(500, "2025-06-30"), (700, "2025-06-30")]
+    assert totals.end_of_month_rows(df.drop("Budget Category"), "Amount", "x").count() == 0 and totals.end_of_month_rows(df, "none", "x").count() == 0
