@@ -178,7 +178,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def classes(by_doc: DataFrame, distance: int = 4) -> DataFrame:
     """(fp, root, component_id) for the fingerprints in ``by_doc`` (doc_id, fp)."""
     fps = staged(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(links(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
+    return rooted_classes(fps, links(fps.select("fp"), distance))
+
+
+def rooted_classes(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root, component_id) from distinct fingerprints (fp, first_id) and the edges (a, b) between them."""
+    roots = components(edges).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rooted.join(least, "root").select("fp", "root", "component_id")
@@ -203,11 +208,21 @@ def keep_one(docs: DataFrame, distance: int = 4, size: int = 4, id_col: str = "d
 
     Of rows alike in id and fingerprint one stays; where a component's ids are all null, one row stays.
     """
-    taken = set(docs.columns)
-    fp = next(name for k in range(len(taken) + 1) if (name := f"fp_{k}") not in taken)
+    fp = free_name(docs, "fp")
     marked = staged(with_fingerprint(docs, text_col, fp, size), "simhash-documents")
     by_doc = marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"))
-    rows = by_doc.groupBy("doc_id", "fp").count().join(classes(by_doc, distance), "fp")
+    return one_each(marked, by_doc, classes(by_doc, distance), fp, id_col).drop(fp)
+
+
+def free_name(docs: DataFrame, stem: str) -> str:
+    """The first of ``stem_0``, ``stem_1``... that isn't a column of ``docs``."""
+    taken = set(docs.columns)
+    return next(name for k in range(len(taken) + 1) if (name := f"{stem}_{k}") not in taken)
+
+
+def one_each(marked: DataFrame, by_doc: DataFrame, classed: DataFrame, fp: str, id_col: str) -> DataFrame:
+    """The rows of ``marked`` that stay: one of each component in ``classed`` (fp, root, component_id)."""
+    rows = by_doc.groupBy("doc_id", "fp").count().join(classed, "fp")
     chosen = rows.groupBy("root", "component_id", "doc_id").agg(F.min("fp").alias("fp"), F.min_by("count", "fp").alias("n"))
     chosen = chosen.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = staged(chosen.select("doc_id", "fp", "n"), "simhash-chosen")
@@ -215,4 +230,4 @@ def keep_one(docs: DataFrame, distance: int = 4, size: int = 4, id_col: str = "d
     same = (F.col(f"l.{fp}") == F.col("r.fp")) & F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id"))
     once = left.join(right.where("n = 1"), same, "left_semi")
     often = left.join(right.where("n > 1"), same, "left_semi").dropDuplicates([id_col, fp])
-    return once.unionByName(often).drop(fp)
+    return once.unionByName(often)

@@ -1,0 +1,149 @@
+"""Near duplicates by shingle similarity: MinHash bands find candidates, whole shingle sets decide.
+
+A text is the set of its shingles of ``SIZE`` words. Two sets of Jaccard similarity
+``s`` share one of ``BANDS`` bands of ``ROWS`` minima with a chance of
+``1 - (1 - s**ROWS)**BANDS``: at 0.8 one pair in some 20 million is never compared.
+Every candidate is then measured on the sets themselves, so no other text is linked.
+
+Texts with one set are never paired. Of bands with more than ``hot`` members the pairs
+are not emitted: they are cut into chunks, and each pair of chunks is a task of its own
+that returns the edges of a spanning forest.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.common import small_batches, staged
+from ledgerloom.llm.simhash import LOWER, SEED, free_name, one_each, rooted_classes
+
+SIZE = 5
+LEAST = 0.8
+BANDS = 32
+ROWS = 4
+#: Odd factors, one for each minimum.
+FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; one of the whole text where it has fewer words than ``size``, none without words."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().translate(LOWER).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    line = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxh64_intdigest(line, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(lengths) - 1
+    starts = (ends - lengths + 1)[: len(words) - size + 1].tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+
+
+def sketch(text: str | None, size: int = SIZE) -> tuple[int, list[int]]:
+    """A hash of a text's shingle set, and its bands; zero and no bands without words."""
+    from xxhash import xxh64_intdigest
+
+    found = shingles(text, size)
+    if not len(found):
+        return 0, []
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1024):
+        np.minimum(least, (FACTORS[:, None] * found[None, at : at + 1024]).min(axis=1), out=least)
+    bands = np.array([xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64)
+    return int(np.uint64(xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64)), bands.view(np.int64).tolist()
+
+
+def links(marked: DataFrame, fp: str, bands: str, text_col: str, least: float = LEAST, size: int = SIZE, hot: int = 64, chunk: int = 300_000) -> DataFrame:
+    """(a, b): edges that connect the sets which are linked, over the bands of ``marked``; a chunk has about ``chunk`` shingles."""
+    nodes = marked.select(F.col(fp).alias("fp"), F.col(bands).alias("bands")).dropDuplicates(["fp"])
+    keyed = staged(nodes.select("fp", F.explode("bands").alias("key")), "similar-keys")
+    groups = keyed.groupBy("key").count().where("count > 1")
+    shared = staged(keyed.join(groups, "key"), "similar-shared")
+
+    @F.pandas_udf("array<long>")
+    def set_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles(t, size).view(np.int64) for t in texts])
+
+    suspects = shared.select("fp").distinct()
+    texts = marked.select(F.col(fp).alias("fp"), F.col(text_col).alias("text")).join(suspects, "fp", "left_semi")
+    sets = texts.groupBy("fp").agg(F.first("text").alias("text")).select("fp", set_of("text").alias("grams"))
+    sets = staged(sets.withColumn("n", F.size("grams")), "similar-sets")
+
+    few = shared.where(F.col("count") <= hot)
+    a, b = (few.select("key", F.col("fp").alias(x)) for x in "ab")
+    pairs = staged(a.join(b, "key").where("a < b").select("a", "b").distinct(), "similar-pairs")
+    left, right = (sets.select(F.col("fp").alias(x), F.col("grams").alias(f"{x}_grams"), F.col("n").alias(f"{x}_n")) for x in "ab")
+    pairs = pairs.join(left, "a").join(right, "b").where(F.least("a_n", "b_n") / F.greatest("a_n", "b_n") >= least)
+    common = F.size(F.array_intersect("a_grams", "b_grams"))
+    near = pairs.where(common / (F.col("a_n") + F.col("b_n") - common) >= least).select("a", "b")
+
+    many = shared.where(F.col("count") > hot).select("key", "fp")
+    weights = many.join(sets.select("fp", "n"), "fp").groupBy("key").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("pieces"))
+    crowded = many.join(weights, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    crowded = crowded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    crowded = crowded.select("key", "fp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(sets.select("fp", "grams"), "fp")
+
+    def forest(group: pd.DataFrame) -> pd.DataFrame:
+        side = None if group["i"].iat[0] == group["j"].iat[0] else (group["mine"] == group["j"]).to_numpy()
+        return pd.DataFrame(spanning(group["fp"].to_numpy(np.int64), group["grams"].tolist(), side, least), columns=["a", "b"])
+
+    return near.unionByName(crowded.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long"))
+
+
+def spanning(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, least: float = LEAST) -> np.ndarray:
+    """Edges of a spanning forest of the links among ``nodes``, or only of those between the two sides."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros(len(values), np.int32)
+    unseen = np.ones(len(nodes), bool)
+    edges = []
+    for root in range(len(nodes)):
+        front = [root] if unseen[root] else []
+        unseen[root] = False
+        while front:
+            now = front.pop()
+            mine = codes[starts[now] : ends[now]]
+            has[mine] = 1
+            common = np.add.reduceat(has[codes], starts)
+            has[mine] = 0
+            near = unseen & (common / (sizes + sizes[now] - common) >= least)
+            if side is not None:
+                near &= side != side[now]
+            found = np.flatnonzero(near)
+            unseen[found] = False
+            edges.append(np.column_stack([np.full(len(found), nodes[now]), nodes[found]]))
+            front.extend(found.tolist())
+    return np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
+
+
+def keep_one(docs: DataFrame, least: float = LEAST, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", hot: int = 64, chunk: int = 300_000) -> DataFrame:
+    """``docs`` without near duplicates: of texts linked by a similarity of ``least`` or more the row of the smallest id stays.
+
+    Links are followed from text to text. Texts without words, null among them, are copies of each
+    other. Ids, repeated rows and other columns are treated as in :func:`simhash.keep_one`.
+    """
+    small_batches(docs.sparkSession)
+    fp, bands = free_name(docs, "fp"), free_name(docs, "bands")
+
+    @F.pandas_udf("fp long, bands array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([sketch(t, size) for t in texts], columns=["fp", "bands"])
+
+    both = free_name(docs, "sketch")
+    marked = docs.withColumn(both, of(F.col(text_col))).withColumn(fp, F.col(f"{both}.fp")).withColumn(bands, F.col(f"{both}.bands")).drop(both)
+    marked = staged(marked, "similar-documents")
+    by_doc = marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"))
+    fps = staged(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "similar-distinct")
+    classed = rooted_classes(fps, links(marked, fp, bands, text_col, least, size, hot, chunk))
+    return one_each(marked.drop(bands), by_doc, classed, fp, id_col).drop(fp)

@@ -1,0 +1,71 @@
+import random
+
+import pytest
+from helpers import awkward, documents, empty
+
+import corpus_pipeline
+from ledgerloom.llm import similar, simhash
+
+
+def grams(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def truth(texts, least=0.8):
+    """The smallest index of each component of texts by brute force."""
+    root = list(range(len(texts)))
+    sets = [grams(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return set(root)
+
+
+def variants(n, seed=3, words=120):
+    """Texts around common bases, from near copies to mere relatives."""
+    random.seed(seed)
+    bases = [[f"w{random.randint(0, 5000)}" for _ in range(words)] for _ in range(6)]
+    texts = []
+    for _ in range(n):
+        text = list(random.choice(bases))
+        for _ in range(random.randint(0, 5)):
+            text[random.randrange(words)] = f"x{random.randint(0, 10**6)}"
+        texts.append(" ".join(text))
+    return texts
+
+
+def test_the_stage_drops_a_copy_of_similarity_083_that_is_many_bits_away(spark):
+    for seed in range(100):
+        random.seed(seed)
+        words = [f"w{random.randint(0, 5000)}" for _ in range(115)]
+        other = [*words[:30], "new", *words[31:80], "newer", *words[81:]]
+        a, b = " ".join(words), " ".join(other)
+        if (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 4:
+            break
+    assert 0.8 <= len(grams(a) & grams(b)) / len(grams(a) | grams(b)) < 0.85
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, [a, b, "something else altogether"]), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+
+
+@pytest.mark.parametrize(("hot", "chunk"), [(64, 300_000), (3, 300_000), (3, 700)])
+def test_components_are_those_of_brute_force(spark, hot, chunk):
+    texts = variants(90)
+    want = truth(texts)
+    assert 10 < len(want) < 80
+    assert {r["doc_id"] for r in similar.keep_one(documents(spark, texts), hot=hot, chunk=chunk).select("doc_id").collect()} == want
+
+
+def test_similarity_of_just_080_is_enough(spark):
+    a = "a b c d e f g h"  # four shingles, all among the five of the longer text
+    kept = similar.keep_one(documents(spark, [a, a + " i", "A  b c\td e f g h", "a b c d e f g x y"]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3]
+
+
+def test_awkward_and_empty(spark):
+    kept = similar.keep_one(awkward(spark))
+    assert kept.columns == awkward(spark).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+    assert similar.keep_one(empty(spark)).count() == 0
