@@ -62,15 +62,26 @@ def receipt_rows(lines: DataFrame) -> DataFrame:
     ).where("amount is not null and description <> ''")
 
 
-def stacked_receipts(lines: DataFrame, most: int = 3) -> DataFrame:
-    """Receipts in a stack: a date line, up to ``most`` lines of text, a currency line, an amount line. Keeps its own date."""
-    df = with_context(lines, 0, most + 2).where(F.col("line").rlike(rf"^{DMY}$"))
-    nexts = F.array(*[F.col(f"next{k}") for k in range(1, most + 3)])
-    df = df.withColumn("ahead", F.filter(nexts, lambda x: x.isNotNull()))
-    at = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: F.get("ahead", k).rlike(rf"(?i)^{CODE}$") & F.get("ahead", k + 1).rlike(r"^[0-9]{1,7}[.,][0-9]{2}$")))
-    df = df.withColumn("k", at).where("k is not null").withColumn("words", F.slice("ahead", 1, F.col("k")))
-    df = df.where(~F.exists("words", lambda w: w.rlike(predicates.TABLE_HEADER) | w.rlike(rf"(?i)^\s*(?:{predicates.TOTAL_PHRASES})\b")))
-    return df.select(*PAGE, "line_no", dates.parse_date(F.col("line")).alias("date"), F.upper(F.get("ahead", F.col("k"))).alias("currency"), text.spaced(F.array_join("words", " ")).alias("description"), money.parse_amount(F.get("ahead", F.col("k") + 1)).alias("amount"))
+def stacked_receipts(lines: DataFrame) -> DataFrame:
+    """Receipts in a stack: a date line, lines of text, a currency line, an amount line. Keeps its own date.
+
+    The text reads on up to the next currency and amount; a heading or total line
+    before them ends the receipt. A further date line in between is text.
+    """
+    order = Window.partitionBy(*PAGE).orderBy("line_no")
+    onward = order.rowsBetween(0, Window.unboundedFollowing)
+    next_at = lambda c: F.min(F.when(c, F.col("line_no"))).over(onward)
+    df = with_context(lines, 0, 1)
+    pair = F.col("line").rlike(rf"(?i)^{CODE}$") & F.col("next1").rlike(r"^[0-9]{1,7}[.,][0-9]{2}$")
+    df = df.withColumn("pair_at", next_at(pair)).withColumn("stop_at", next_at(predicates.is_table_header(F.col("line")) | predicates.is_total_row(F.col("line"))))
+    begins = F.col("line").rlike(rf"^{DMY}$") & (F.col("stop_at").isNull() | (F.col("pair_at") < F.col("stop_at")))
+    df = df.where("pair_at is not null")
+    df = df.withColumn("start", F.min(F.when(begins, F.col("line_no"))).over(Window.partitionBy(*PAGE, "pair_at"))).where("line_no >= start")
+    words = F.array_sort(F.collect_list(F.when((F.col("line_no") > F.col("start")) & (F.col("line_no") < F.col("pair_at")), F.struct("line_no", "line"))))
+    only = lambda c, at: F.max(F.when(F.col("line_no") == F.col(at), F.col(c)))
+    df = df.groupBy(*PAGE, "start", "pair_at").agg(words.alias("words"), only("line", "start").alias("day"), only("line", "pair_at").alias("code"), only("next1", "pair_at").alias("figure")).where(F.size("words") > 0)
+    description = text.spaced(F.array_join(F.transform("words", lambda w: w["line"]), " "))
+    return df.select(*PAGE, F.col("start").alias("line_no"), dates.parse_date(F.col("day")).alias("date"), F.upper("code").alias("currency"), description.alias("description"), money.parse_amount(F.col("figure")).alias("amount"))
 
 
 def dual_currency_due(lines: DataFrame) -> DataFrame:

@@ -151,6 +151,14 @@ def test_receipts(spark):
     assert [(str(r["date"]), r["description"], r["amount"]) for r in rows] == [("2025-02-01", "Team dinner at the pier", 88.5)]
 
 
+def test_stacked_receipts_have_any_number_of_lines(spark):
+    long = "\n".join(["1/2/2025", *[f"part {k}" for k in range(9)], "SGD", "88.50"])
+    text = f"{long}\n2/2/2025\nDescription Amount\n3/2/2025\nlunch\n\n4/2/2025\nusd\n7.00\n5/2/2025\nSGD\n9.00\n6/2/2025\ntaxi\n"
+    rows = extract.stacked_receipts(extract.lines_of(pages(spark, text, "SGD\n1.00"))).orderBy("line_no").collect()
+    words = " ".join(f"part {k}" for k in range(9))
+    assert [(str(r["date"]), r["currency"], r["description"], r["amount"]) for r in rows] == [("2025-02-01", "SGD", words, 88.5), ("2025-02-03", "USD", "lunch 4/2/2025", 7.0)]
+
+
 def test_wrapped_lines_are_joined(spark):
     rows = extract.unwrap(pages(spark, "taxi 12\n50\nlunch\nSGD\n30.00\nSGD\n1/2/2025 x")).first()["text"].split("\n")
     assert rows == ["taxi 12.50", "lunch SGD 30.00", "SGD 1/2/2025 x"]
