@@ -1,12 +1,14 @@
 """Matching line items to ledger rows inside a document. Amounts are whole cents.
 
-Every join carries the document as an equality key, so Spark hashes or splits on
-it; amounts are residual conditions. Where a document is large, the greedy
+Every join carries the document and a stretch of amounts as equality keys, so a
+large document is spread and an item meets only the rows near its amount. The greedy
 one-to-one assignment works on islands of amounts that can't reach each other.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,20 +24,40 @@ def _sides(items: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, ledger.select("docno", *[F.col(a).alias(b) for a, b in ROW.items()])
 
 
+def near(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tol: int) -> DataFrame:
+    """Pairs of equal ``keys`` whose amounts ``a`` and ``b`` are at most ``tol`` apart; a row of ``left`` meets two stretches of amounts."""
+    width = F.lit(2 * tol + 1)
+    ends = F.array_distinct(F.array(F.floor((F.col(a) - tol) / width), F.floor((F.col(a) + tol) / width)))
+    pairs = left.withColumn("stretch", F.explode(ends)).join(right.withColumn("stretch", F.floor(F.col(b) / width)), [*keys, "stretch"])
+    return pairs.where(F.abs(F.col(a) - F.col(b)) <= tol).drop("stretch")
+
+
 def candidates(items: DataFrame, ledger: DataFrame, tol: int, pct: int = 0) -> DataFrame:
     """Pairs of item and ledger row of one document whose amounts agree (docno, item_*, row_*)."""
     left, right = _sides(items, ledger)
+    if not pct:
+        return near(left, right, ["docno"], "item_cents", "row_cents", tol)
     return left.join(right, "docno").where(money.within(F.col("row_cents"), F.col("item_cents"), tol, pct))
 
 
 def nearest_amount(items: DataFrame, ledger: DataFrame, tol: int | None = None) -> DataFrame:
-    """The row with the nearest amount for each item; equals go to the smaller row_id."""
+    """The row with the nearest amount for each item; equals go to the smaller row_id. Items and rows without an amount take no part.
+
+    Without ``tol`` items and rows are sorted together by amount, and the row before
+    and the row behind an item are compared; no pairs are made.
+    """
     left, right = _sides(items, ledger)
-    pairs = left.join(right, "docno").withColumn("apart", F.abs(F.col("row_cents") - F.col("item_cents")))
     if tol is not None:
-        pairs = pairs.where(F.col("apart") <= tol)
-    best = pairs.groupBy("docno", "item_id").agg(F.min(F.struct("apart", "row_id", "row_cents")).alias("b"))
-    return best.select("docno", "item_id", "b.row_id", "b.row_cents", "b.apart")
+        pairs = near(left, right, ["docno"], "item_cents", "row_cents", tol).withColumn("apart", F.abs(F.col("row_cents") - F.col("item_cents")))
+        best = pairs.groupBy("docno", "item_id").agg(F.min(F.struct("apart", "row_id", "row_cents")).alias("b"))
+        return best.select("docno", "item_id", "b.row_id", "b.row_cents", "b.apart")
+    rows = right.where("row_cents is not null").groupBy("docno", "row_cents").agg(F.min("row_id").alias("row_id"))
+    points = rows.select("docno", F.col("row_cents").alias("cents"), F.struct("row_id", "row_cents").alias("row"), F.lit(None).alias("item_id"))
+    points = points.unionByName(left.where("item_cents is not null").select("docno", F.col("item_cents").alias("cents"), F.lit(None).alias("row"), "item_id"))
+    upto = lambda order: F.last("row", ignorenulls=True).over(Window.partitionBy("docno").orderBy(order, F.col("item_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    placed = points.withColumn("below", upto(F.asc("cents"))).withColumn("above", upto(F.desc("cents"))).where("item_id is not null")
+    option = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.row_cents") - F.col("cents")).alias("apart"), F.col(f"{c}.row_id").alias("row_id"), F.col(f"{c}.row_cents").alias("row_cents")))
+    return placed.withColumn("b", F.least(option("below"), option("above"))).where("b is not null").select("docno", "item_id", "b.row_id", "b.row_cents", "b.apart")
 
 
 def best_coverage(items: DataFrame, ledger: DataFrame, tol: int) -> DataFrame:
@@ -65,6 +87,15 @@ def amount_islands(items: DataFrame, ledger: DataFrame, tol: int) -> tuple[DataF
     return put(items), put(ledger)
 
 
+def nearest_free(free: list[tuple[int, int]], cents: int) -> tuple[int, int] | None:
+    """Of the sorted (cents, id) the nearest to ``cents``; equals go to the smaller id."""
+    at = bisect_left(free, (cents, -(2**63)))
+    options = free[at : at + 1]
+    if at:
+        options.append(free[bisect_left(free, (free[at - 1][0], -(2**63)))])
+    return min(options, key=lambda x: (abs(x[0] - cents), x[1]), default=None)
+
+
 def greedy_assign(items: DataFrame, ledger: DataFrame, tol: int) -> DataFrame:
     """One-to-one: items in order take the nearest free row within ``tol`` (docno, item_id, row_id).
 
@@ -86,13 +117,13 @@ def greedy_assign(items: DataFrame, ledger: DataFrame, tol: int) -> DataFrame:
     both = both.unionByName(right.select(*key, F.lit(False).alias("item"), F.col("row_id").alias("id"), F.col("row_cents").alias("cents"))).join(crowded, key, "left_semi")
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
-        free = group[~group["item"]].sort_values("id")
-        ids, cents, taken, out = free["id"].tolist(), free["cents"].tolist(), [False] * len(free), []
+        rows, out = group[~group["item"]], []
+        free = sorted(zip(rows["cents"].tolist(), rows["id"].tolist(), strict=True))
         for row in group[group["item"]].sort_values("id").itertuples():
-            best = min(((abs(c - row.cents), i) for i, c in enumerate(cents) if not taken[i] and abs(c - row.cents) <= tol), default=None)
-            if best:
-                taken[best[1]] = True
-                out.append((row.docno, row.id, ids[best[1]]))
+            best = nearest_free(free, row.cents)
+            if best and abs(best[0] - row.cents) <= tol:
+                free.pop(bisect_left(free, best))
+                out.append((row.docno, row.id, best[1]))
         return pd.DataFrame(out, columns=["docno", "item_id", "row_id"])
 
     return easy.unionByName(both.groupBy(*key).applyInPandas(assign, "docno long, item_id long, row_id long"))
@@ -113,15 +144,15 @@ def match_items(items: DataFrame, ledger: DataFrame, tol: int, threshold: int =
     ``price_doc_total_sum``, ``price_grossup``, else a NO_MATCH and its kind.
     """
     left, right = _sides(items, ledger)
-    near = candidates(items, ledger, tol)
+    pairs = candidates(items, ledger, tol)
     same = (text.normal_text(F.col("item_desc")) == text.normal_text(F.col("row_desc"))).cast("int")
     score = F.round(text.coverage(F.col("item_desc"), F.col("row_desc")) * 100, 1)
-    near = near.withColumn("exact", same).withColumn("score", F.when(same == 1, 100.0).otherwise(score))
-    near = near.withColumn("apart", F.abs(F.col("row_cents") - F.col("item_cents")))
+    pairs = pairs.withColumn("exact", same).withColumn("score", F.when(same == 1, 100.0).otherwise(score))
+    pairs = pairs.withColumn("apart", F.abs(F.col("row_cents") - F.col("item_cents")))
     order = F.struct("exact", F.when(F.col("exact") == 1, -F.col("apart")).otherwise(0).alias("near"), "score", -F.col("row_id"))
     weak = ~text.same_words(F.col("item_desc"), F.col("row_desc")) & (F.col("score") < threshold)
-    near = near.withColumn("rule", F.when(F.col("exact") == 1, "price_then_exact").when(weak, "price_then_coverage|weak_desc").otherwise("price_then_coverage"))
-    best = near.groupBy("docno", "item_id").agg(F.max_by(F.struct("row_id", "score", "rule"), order).alias("b"))
+    pairs = pairs.withColumn("rule", F.when(F.col("exact") == 1, "price_then_exact").when(weak, "price_then_coverage|weak_desc").otherwise("price_then_coverage"))
+    best = pairs.groupBy("docno", "item_id").agg(F.max_by(F.struct("row_id", "score", "rule"), order).alias("b"))
     sums = right.groupBy("docno").agg(F.sum(F.coalesce("row_cents", F.lit(0))).alias("doc_cents"), F.count("*").alias("doc_rows"))
     gross = gross_up_match(items, ledger, tol, pct).select("docno", "item_id", F.col("row_id").alias("gross_row"))
     out = left.join(best, ["docno", "item_id"], "left").join(gross, ["docno", "item_id"], "left").join(sums, "docno", "left")

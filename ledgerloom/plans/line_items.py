@@ -36,5 +36,5 @@ def line_items(pages: DataFrame, config: ReconcileConfig = ReconcileConfig(), de
     docno = text.doc_id(stem, config.docno_mode, config.docno_segment, config.docno_pattern, config.docno_group)
     items = every.where(money.nonzero(F.col("amount"))).withColumn("cents", money.cents(F.col("amount"))).withColumn("docno", docno)
     items = extract.first_seen(items.withColumn("emit_seq", F.struct("page", "line_no", "source")))
-    items = items.withColumn("in_period", dates.in_period(F.col("date"), config.claim_start, config.claim_end))
+    items = items.withColumn("in_period", dates.in_period(F.col("date"), config.period_start, config.period_end))
     return netting.item_net_zero(items).select("docno", "file", "page", "line_no", "date", "description", "currency", "cents", "source", "in_period", "net_zero_pair")

@@ -260,18 +260,30 @@ def docpool_alpha(spark: SparkSession, sf: str) -> DataFrame:
     return docpool.by_tag(docpool.documents(docs), docpool.ledger_ids(book, "doc"))
 
 
-@query(f"""WITH {ALPHA},
+CASCADE = ALPHA + """,
 t1 AS (SELECT * FROM eq), t2 AS (SELECT * FROM suffix WHERE docno NOT IN (SELECT docno FROM t1)),
 t3 AS (SELECT * FROM contain WHERE docno NOT IN (SELECT docno FROM t1 UNION SELECT docno FROM t2)),
 t4 AS (SELECT * FROM alpha WHERE docno NOT IN (SELECT docno FROM t1 UNION SELECT docno FROM t2 UNION SELECT docno FROM t3)),
-hits AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4)
-SELECT * FROM hits UNION ALL SELECT docno, NULL, 'none' FROM docs WHERE docno NOT IN (SELECT docno FROM hits)""")
+hits AS MATERIALIZED (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4)"""
+
+
+@query(f"""WITH {CASCADE} SELECT * FROM hits UNION ALL SELECT docno, NULL, 'none' FROM docs WHERE docno NOT IN (SELECT docno FROM hits)""")
 def docpool_cascade(spark: SparkSession, sf: str) -> DataFrame:
     docs, book = docs_and_ids(spark, sf)
     return docpool.pool(docs, book, "doc", with_overlap=False)
 
 
-@query()
+OVERLAP = CASCADE + """,
+rest AS MATERIALIZED (SELECT docno, number, length(number) AS n FROM docs WHERE length(number) >= 4 AND docno NOT IN (SELECT docno FROM hits)),
+mine AS MATERIALIZED (SELECT DISTINCT docno, number, n, substr(number, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS piece FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM (SELECT *, unnest(range(4, n + 1)) AS k FROM rest))),
+theirs AS MATERIALIZED (SELECT DISTINCT ledger_id, m, substr(ledger_id, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS piece FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT ledger_id, length(ledger_id) AS m, unnest(range(4, length(ledger_id) + 1)) AS k FROM ids WHERE length(ledger_id) >= 4))),
+share AS (SELECT docno, ledger_id, max(length(piece)) / least(any_value(n), any_value(m)) AS share FROM mine JOIN theirs USING (piece)
+  WHERE regexp_matches(piece, '[0-9]') AND length(piece) >= 0.8 * least(n, m) GROUP BY docno, ledger_id),
+frac AS (SELECT docno, ledger_id, 'doc_frac_' || printf('%.2f', max(share) OVER (PARTITION BY docno)) AS tier FROM share),
+pool AS (SELECT * FROM hits UNION ALL SELECT * FROM frac UNION ALL SELECT docno, NULL, 'none' FROM docs WHERE docno NOT IN (SELECT docno FROM hits UNION SELECT docno FROM frac))"""
+
+
+@query(f"WITH {OVERLAP} SELECT * FROM pool")
 def docpool_overlap(spark: SparkSession, sf: str) -> DataFrame:
     docs, book = docs_and_ids(spark, sf)
     return docpool.pool(docs, book, "doc")
@@ -294,8 +306,10 @@ def book_net_zero(spark: SparkSession, sf: str) -> DataFrame:
     return netting.ledger_net_zero(views.signed_ledger(spark, sf), TOL)
 
 
-@query(f"""WITH {SIGNED}, r AS (SELECT docno, {NDESC} AS ndesc, row_id, cents, row_number() OVER (PARTITION BY docno, {NDESC}, abs(cents), sign(cents) ORDER BY row_id) AS nth FROM signed WHERE cents <> 0)
-SELECT p.docno, p.ndesc, p.row_id AS plus_row, m.row_id AS minus_row, p.cents FROM r p JOIN r m ON p.docno = m.docno AND p.ndesc = m.ndesc AND p.cents = -m.cents AND p.nth = m.nth WHERE p.cents > 0""")
+@query(f"""WITH {SIGNED}, d AS MATERIALIZED (SELECT docno, {NDESC} AS ndesc, row_id, cents FROM signed WHERE cents <> 0),
+plus AS MATERIALIZED (SELECT docno, ndesc, row_id AS plus_row, cents, row_number() OVER (PARTITION BY docno, ndesc, cents ORDER BY row_id) AS nth FROM d WHERE cents > 0),
+minus AS MATERIALIZED (SELECT docno, ndesc, row_id AS minus_row, -cents AS cents, row_number() OVER (PARTITION BY docno, ndesc, cents ORDER BY row_id) AS nth FROM d WHERE cents < 0)
+SELECT docno, ndesc, plus_row, minus_row, cents FROM plus JOIN minus USING (docno, ndesc, cents, nth)""")
 def offset_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return netting.offset_pairs(views.signed_ledger(spark, sf))
 
@@ -341,43 +355,59 @@ def eom_keyword(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", predicates.is_end_of_month(said).alias("eom"))
 
 
-SAME = PAY + """, pairs AS (SELECT key, claim_id, claim_cents, pay_id, pay_cents, claim_day = pay_day AS same_day, bool_or(claim_day = pay_day) OVER (PARTITION BY key, claim_id) AS any_same FROM claims JOIN pay USING (key)),
-cand AS (SELECT key, claim_id, claim_cents, pay_id, pay_cents, same_day FROM pairs WHERE same_day OR NOT any_same)"""
+SAME = PAY + """, pairs AS (SELECT key, entry_id, entry_cents, pay_id, pay_cents, entry_day = pay_day AS same_day, bool_or(entry_day = pay_day) OVER (PARTITION BY key, entry_id) AS any_same FROM entries JOIN pay USING (key)),
+cand AS (SELECT key, entry_id, entry_cents, pay_id, pay_cents, same_day FROM pairs WHERE same_day OR NOT any_same)"""
 
 
 @query(f"WITH {SAME} SELECT * FROM cand")
 def eom_same_day(spark: SparkSession, sf: str) -> DataFrame:
-    return totals.same_day_candidates(*views.claims_and_pay(spark, sf))
+    return totals.same_day_candidates(*views.entries_and_pay(spark, sf))
 
 
-LINE = SAME + """, r AS (SELECT key, claim_id, pay_id, abs(pay_cents - claim_cents) AS apart, row_number() OVER (PARTITION BY key, claim_id ORDER BY abs(pay_cents - claim_cents), pay_id) AS n FROM cand),
-lines AS (SELECT key, claim_id, pay_id, apart FROM r WHERE n = 1 AND apart <= 5)"""
+LINE = SAME + """, r AS (SELECT key, entry_id, pay_id, abs(pay_cents - entry_cents) AS apart, row_number() OVER (PARTITION BY key, entry_id ORDER BY abs(pay_cents - entry_cents), pay_id) AS n FROM cand),
+lines AS (SELECT key, entry_id, pay_id, apart FROM r WHERE n = 1 AND apart <= 5)"""
 
 
 @query(f"WITH {LINE} SELECT * FROM lines")
 def eom_line_match(spark: SparkSession, sf: str) -> DataFrame:
-    return totals.line_match(*views.claims_and_pay(spark, sf), TOL)
+    return totals.line_match(*views.entries_and_pay(spark, sf), TOL)
 
 
-@query(f"""WITH {PAY}, r AS (SELECT c.key, claim_id, a.pay_id AS first_pay_id, b.pay_id AS second_pay_id, row_number() OVER (PARTITION BY c.key, claim_id ORDER BY a.pay_id, b.pay_id) AS n
-  FROM claims c JOIN pay a ON a.key = c.key JOIN pay b ON b.key = c.key AND a.pay_id < b.pay_id AND abs(a.pay_cents + b.pay_cents - claim_cents) <= 5)
-SELECT key, claim_id, first_pay_id, second_pay_id FROM r WHERE n = 1""")
+@query(f"""WITH {PAY}, r AS (SELECT c.key, entry_id, a.pay_id AS first_pay_id, b.pay_id AS second_pay_id, row_number() OVER (PARTITION BY c.key, entry_id ORDER BY a.pay_id, b.pay_id) AS n
+  FROM entries c JOIN pay a ON a.key = c.key JOIN pay b ON b.key = c.key AND a.pay_id < b.pay_id AND abs(a.pay_cents + b.pay_cents - entry_cents) <= 5)
+SELECT key, entry_id, first_pay_id, second_pay_id FROM r WHERE n = 1""")
 def eom_pair_sum(spark: SparkSession, sf: str) -> DataFrame:
-    return totals.pair_sums(*views.claims_and_pay(spark, sf), TOL)
+    return totals.pair_sums(*views.entries_and_pay(spark, sf), TOL)
 
 
-@query(f"""WITH {LINE}, c AS (SELECT coalesce(CAST(sum(claim_cents) AS BIGINT), 0) AS claims_left FROM claims WHERE (key, claim_id) NOT IN (SELECT (key, claim_id) FROM lines)),
+@query(f"""WITH {LINE}, c AS (SELECT coalesce(CAST(sum(entry_cents) AS BIGINT), 0) AS entries_left FROM entries WHERE (key, entry_id) NOT IN (SELECT (key, entry_id) FROM lines)),
 p AS (SELECT coalesce(CAST(sum(pay_cents) AS BIGINT), 0) AS payroll_left FROM pay WHERE (key, pay_id) NOT IN (SELECT (key, pay_id) FROM lines))
-SELECT abs(claims_left - payroll_left) <= 5 AS totals_match, claims_left, payroll_left FROM c, p""")
+SELECT abs(entries_left - payroll_left) <= 5 AS totals_match, entries_left, payroll_left FROM c, p""")
 def eom_totals_backstop(spark: SparkSession, sf: str) -> DataFrame:
-    claims, pay = views.claims_and_pay(spark, sf)
-    return totals.backstop(claims, pay, totals.line_match(claims, pay, TOL), TOL)
+    entries, pay = views.entries_and_pay(spark, sf)
+    return totals.backstop(entries, pay, totals.line_match(entries, pay, TOL), TOL)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAY},
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY entry_id) AS k FROM entries),
+c AS (SELECT key, k, list({{'same': coalesce(pay_day = entry_day, false), 'apart': abs(pay_cents - entry_cents), 'id': pay_id}} ORDER BY abs(pay_cents - entry_cents), pay_id) AS options FROM o JOIN pay USING (key) GROUP BY ALL),
+step AS (
+  SELECT DISTINCT key, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS entry_id, NULL::BIGINT AS pay_id FROM o
+  UNION ALL
+  SELECT key, k, CASE WHEN pick.apart <= 5 THEN list_append(used, pick.id) ELSE used END, entry_id, CASE WHEN pick.apart <= 5 THEN pick.id END
+  FROM (SELECT key, k, used, entry_id, coalesce(list_filter(free, lambda x: x.same)[1], free[1]) AS pick
+        FROM (SELECT s.key, o.k, used, o.entry_id, list_filter(options, lambda x: NOT list_contains(used, x.id)) AS free
+              FROM step s JOIN o ON o.key = s.key AND o.k = s.k + 1 LEFT JOIN c ON c.key = s.key AND c.k = o.k))),
+lines AS MATERIALIZED (SELECT key, entry_id, pay_id FROM step WHERE pay_id IS NOT NULL),
+rest AS MATERIALIZED (SELECT * FROM entries ANTI JOIN lines USING (key, entry_id)), free_pay AS MATERIALIZED (SELECT * FROM pay ANTI JOIN lines USING (key, pay_id)),
+pairs AS (SELECT c.key, entry_id, min((a.pay_id, b.pay_id)) AS p
+  FROM rest c JOIN free_pay a ON a.key = c.key JOIN free_pay b ON b.key = c.key AND a.pay_id < b.pay_id AND abs(a.pay_cents + b.pay_cents - entry_cents) <= 5 GROUP BY ALL)
+SELECT e.key, e.entry_id, CASE WHEN pay_id IS NOT NULL THEN 'eom_line_match' WHEN p IS NOT NULL THEN 'eom_pair_match' ELSE '' END AS rule,
+  CASE WHEN pay_id IS NOT NULL THEN CAST(pay_id AS VARCHAR) WHEN p IS NOT NULL THEN CAST(p[1] AS VARCHAR) || ',' || CAST(p[2] AS VARCHAR) ELSE '' END AS pay_ids
+FROM entries e LEFT JOIN lines USING (key, entry_id) LEFT JOIN pairs USING (key, entry_id)""")
 def eom_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     """Lines one to one, then pairs of what is left."""
-    return totals.end_of_month(*views.claims_and_pay(spark, sf), TOL)
+    return totals.end_of_month(*views.entries_and_pay(spark, sf), TOL)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS day FROM events WHERE event_id % 7 = 0 OR CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'", day="day")
@@ -733,7 +763,7 @@ def reconcile(spark: SparkSession, sf: str) -> DataFrame:
     """Every phase over all items and rows."""
     from datetime import date
 
-    config = ReconcileConfig(claim_start=date(1995, 1, 1), claim_end=date(2000, 12, 31))
+    config = ReconcileConfig(period_start=date(1995, 1, 1), period_end=date(2000, 12, 31))
     return whole.reconcile(views.items(spark, sf), views.ledger(spark, sf), config)
 
 
@@ -748,13 +778,13 @@ def header_detect(spark: SparkSession, sf: str) -> DataFrame:
     return ledger_source.header_rows(rows).select("file", "header_row")
 
 
-@query("""WITH f AS (SELECT '/in/d' || CAST(page_id % 9 AS VARCHAR) || '/' || n AS path, n FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'claims report ' WHEN 1 THEN 'notes ' WHEN 2 THEN 'payroll posting ' WHEN 3 THEN '~$claims ' WHEN 4 THEN 'salary schedule ' ELSE 'actual ledger ' END || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 4 = 0 THEN '.csv' ELSE '.xlsx' END AS n FROM pages)),
-l AS (SELECT path, row_number() OVER (ORDER BY CASE WHEN n LIKE '%.csv' AND n LIKE '%report%' THEN 0 WHEN regexp_matches(n, 'claims|ledger|actual|posting|report') THEN 1 ELSE 2 END, CASE WHEN n LIKE '%.csv' THEN 0 ELSE 1 END, length(n), path) AS r FROM f WHERE n NOT LIKE '~$%'),
+@query("""WITH f AS (SELECT '/in/d' || CAST(page_id % 9 AS VARCHAR) || '/' || n AS path, n FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'account report ' WHEN 1 THEN 'notes ' WHEN 2 THEN 'payroll posting ' WHEN 3 THEN '~$account ' WHEN 4 THEN 'salary schedule ' ELSE 'actual ledger ' END || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 4 = 0 THEN '.csv' ELSE '.xlsx' END AS n FROM pages)),
+l AS (SELECT path, row_number() OVER (ORDER BY CASE WHEN n LIKE '%.csv' AND n LIKE '%report%' THEN 0 WHEN regexp_matches(n, 'ledger|actual|posting|report') THEN 1 ELSE 2 END, CASE WHEN n LIKE '%.csv' THEN 0 ELSE 1 END, length(n), path) AS r FROM f WHERE n NOT LIKE '~$%'),
 p AS (SELECT path, row_number() OVER (ORDER BY CASE WHEN n LIKE '%payroll%' THEN 0 ELSE 1 END, CASE WHEN n LIKE '%posting%' THEN 0 ELSE 1 END, length(n), path) AS r FROM f WHERE n LIKE '%.xlsx' AND regexp_matches(n, 'schedule|payroll|salary|cpf|sdf') AND n NOT LIKE '~$%')
 SELECT 'ledger' AS kind, path FROM l WHERE r = 1 UNION ALL SELECT 'payroll', path FROM p WHERE r = 1""")
 def file_rank(spark: SparkSession, sf: str) -> DataFrame:
     p, k = views.table(spark, sf, "pages"), F.col("page_id")
-    stems = ["claims report ", "notes ", "payroll posting ", "~$claims ", "salary schedule ", "actual ledger "]
+    stems = ["account report ", "notes ", "payroll posting ", "~$account ", "salary schedule ", "actual ledger "]
     name = F.concat(F.get(F.array(*map(F.lit, stems)), (k % 6).cast("int")), k.cast("string"), F.when(k % 4 == 0, ".csv").otherwise(".xlsx"))
     files = p.select(F.concat(F.lit("/in/d"), (k % 9).cast("string"), F.lit("/"), name).alias("path")).withColumn("name", discover.file_name(F.col("path")))
     return discover.ledger(files).select(F.lit("ledger").alias("kind"), "path").unionByName(discover.payroll(files).select(F.lit("payroll").alias("kind"), "path"))

@@ -64,16 +64,16 @@ signed AS (
 )
 
 
-def claims_and_pay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Events as claims (even ids) and payroll rows (odd ids), by user; amounts in whole units, as cents."""
+def entries_and_pay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as entries (even ids) and payroll rows (odd ids), by user; amounts in whole units, as cents."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", F.floor(F.col("value")).cast("long").alias("cents"), F.to_date("ts").alias("day"))
-    claims = e.where("event_id % 2 = 0").select("key", F.col("event_id").alias("claim_id"), F.col("cents").alias("claim_cents"), F.col("day").alias("claim_day"))
+    entries = e.where("event_id % 2 = 0").select("key", F.col("event_id").alias("entry_id"), F.col("cents").alias("entry_cents"), F.col("day").alias("entry_day"))
     pay = e.where("event_id % 2 = 1").select("key", F.col("event_id").alias("pay_id"), F.col("cents").alias("pay_cents"), F.col("day").alias("pay_day"))
-    return claims, pay
+    return entries, pay
 
 
 PAY = """e AS (SELECT user_id AS key, event_id, CAST(floor(value) AS BIGINT) AS cents, CAST(ts AS DATE) AS day FROM events),
-claims AS (SELECT key, event_id AS claim_id, cents AS claim_cents, day AS claim_day FROM e WHERE event_id % 2 = 0),
+entries AS (SELECT key, event_id AS entry_id, cents AS entry_cents, day AS entry_day FROM e WHERE event_id % 2 = 0),
 pay AS (SELECT key, event_id AS pay_id, cents AS pay_cents, day AS pay_day FROM e WHERE event_id % 2 = 1)"""
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words in file names.
-LEDGER_WORDS = "claims|ledger|actual|posting|report"
+#: Words in file names that tell a ledger; a parameter of :func:`ledger`.
+LEDGER_WORDS = ("ledger", "actual", "posting", "report")
+#: Words in file names that tell a payroll.
 PAYROLL_WORDS = "schedule|payroll|salary|cpf|sdf"
 
 
@@ -32,11 +33,11 @@ def _first(files: DataFrame, condition: Column, rank: Column) -> DataFrame:
     return files.where(condition & ~is_temporary(F.col("name"))).agg(F.min_by("path", F.struct(rank, "path")).alias("path"))
 
 
-def ledger(files: DataFrame) -> DataFrame:
-    """One row: the ledger. A CSV report comes first, then names with a telling word; CSV before Excel, short names first."""
+def ledger(files: DataFrame, words: tuple[str, ...] = LEDGER_WORDS) -> DataFrame:
+    """One row: the ledger. A CSV report comes first, then names with one of ``words``; CSV before Excel, short names first."""
     n = F.col("name")
     csv = n.endswith(".csv")
-    first = F.when(csv & n.contains("report"), 0).when(n.rlike(LEDGER_WORDS), 1).otherwise(2)
+    first = F.when(csv & n.contains("report"), 0).when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(n, w)), 1).otherwise(2)
     return _first(files, csv | _excel(n), F.struct(first, F.when(csv, 0).otherwise(1), F.length(n)))
 
 

@@ -115,7 +115,7 @@ def test_periods_treat_nulls_apart(spark):
 
 
 def test_months_in_names(spark):
-    assert values(spark, dates.month_in_name, ("claims jul 25.xlsx",), ("July2025",), ("none",)) == [date(2025, 7, 1), date(2025, 7, 1), None]
+    assert values(spark, dates.month_in_name, ("report jul 25.xlsx",), ("July2025",), ("none",)) == [date(2025, 7, 1), date(2025, 7, 1), None]
 
 
 def test_predicates(spark):

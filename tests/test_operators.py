@@ -94,23 +94,23 @@ def test_netting(spark):
 
 def test_pair_sums_are_the_first_pair(spark):
     random.seed(12)
-    claims = [(k, i, random.randint(0, 80)) for k in range(4) for i in range(5)]
+    entries = [(k, i, random.randint(0, 80)) for k in range(4) for i in range(5)]
     pay = [(k, i, random.randint(-10, 60)) for k in range(4) for i in range(12)]
-    c = spark.createDataFrame(claims, "key long, claim_id long, claim_cents long")
+    c = spark.createDataFrame(entries, "key long, entry_id long, entry_cents long")
     p = spark.createDataFrame(pay, "key long, pay_id long, pay_cents long")
     want = {}
-    for k, i, t in claims:
+    for k, i, t in entries:
         mine = [(b, v) for a, b, v in pay if a == k]
         pairs = [(a, b) for a, x in mine for b, y in mine if a < b and abs(x + y - t) <= 2]
         if pairs:
             want[k, i] = min(pairs)
-    assert {(r["key"], r["claim_id"]): (r["first_pay_id"], r["second_pay_id"]) for r in totals.pair_sums(c, p, 2).collect()} == want
+    assert {(r["key"], r["entry_id"]): (r["first_pay_id"], r["second_pay_id"]) for r in totals.pair_sums(c, p, 2).collect()} == want
 
 
-def test_backstop_without_claims_says_nothing(spark):
-    c = spark.createDataFrame([], "key long, claim_id long, claim_cents long")
+def test_backstop_without_entries_says_nothing(spark):
+    c = spark.createDataFrame([], "key long, entry_id long, entry_cents long")
     p = spark.createDataFrame([(1, 1, 5)], "key long, pay_id long, pay_cents long")
-    none = spark.createDataFrame([], "key long, claim_id long, pay_id long")
+    none = spark.createDataFrame([], "key long, entry_id long, pay_id long")
     assert totals.backstop(c, p, none, 1).first()["totals_match"] is None
 
 
@@ -129,7 +129,7 @@ def test_whole_reconciliation(spark):
     rows = [(1, 1, "Blue Pen", 500), (1, 2, "other", 900), (2, 1, "a", 100), (2, 2, "b", 200), (3, 1, "fee", 50), (3, 2, "fee", -50), (4, 1, "lost", 7), (None, 1, "meta", 0)]
     left = spark.createDataFrame(items, ITEM)
     right = spark.createDataFrame([(*r, date(2025, 1, 1)) for r in rows] + [(5, 1, "late", 5, date(2026, 1, 1))], ROW + ", doc_date date")
-    config = ReconcileConfig(claim_start=date(2025, 1, 1), claim_end=date(2025, 12, 31))
+    config = ReconcileConfig(period_start=date(2025, 1, 1), period_end=date(2025, 12, 31))
     found = {(r["docno"], r["row_id"]): (r["status"], r["rule"], r["comment"]) for r in reconcile.reconcile(left, right, config).collect()}
     assert len(found) == 9
     assert found[1, 1][:2] == ("OK", "price_then_exact") and found[1, 2][:2] == ("NO_MATCH", "")
@@ -183,14 +183,14 @@ def test_echoes_and_first_seen(spark):
     assert sorted(r["emit_seq"] for r in extract.first_seen(seen).collect()) == [1, 3]
 
 
-def test_claims_take_payroll_rows_in_order(spark):
+def test_entries_take_payroll_rows_in_order(spark):
     random.seed(13)
-    claims = [(k, i, random.randint(0, 40), random.randint(0, 2)) for k in range(8) for i in range(random.randint(1, 6))]
+    entries = [(k, i, random.randint(0, 40), random.randint(0, 2)) for k in range(8) for i in range(random.randint(1, 6))]
     pay = [(k, i, random.randint(0, 40), random.randint(0, 2)) for k in range(8) for i in range(random.randint(0, 6))]
-    c = spark.createDataFrame(claims, "key long, claim_id long, claim_cents long, d int").selectExpr("key", "claim_id", "claim_cents", "date_from_unix_date(d) as claim_day")
+    c = spark.createDataFrame(entries, "key long, entry_id long, entry_cents long, d int").selectExpr("key", "entry_id", "entry_cents", "date_from_unix_date(d) as entry_day")
     p = spark.createDataFrame(pay, "key long, pay_id long, pay_cents long, d int").selectExpr("key", "pay_id", "pay_cents", "date_from_unix_date(d) as pay_day")
     want, used = set(), set()
-    for k, i, cents, day in sorted(claims):
+    for k, i, cents, day in sorted(entries):
         free = [x for x in pay if x[0] == k and (k, x[1]) not in used]
         free = [x for x in free if x[3] == day] or free
         best = min(((abs(x[2] - cents), x[1]) for x in free), default=None)
@@ -198,8 +198,8 @@ def test_claims_take_payroll_rows_in_order(spark):
             used.add((k, best[1]))
             want.add((k, i, best[1]))
     assert {tuple(r) for r in totals.line_assign(c, p, 4).collect()} == want
-    found = {(r["key"], r["claim_id"]): (r["rule"], r["pay_ids"]) for r in totals.end_of_month(c, p, 4).collect()}
-    assert len(found) == len(claims)
+    found = {(r["key"], r["entry_id"]): (r["rule"], r["pay_ids"]) for r in totals.end_of_month(c, p, 4).collect()}
+    assert len(found) == len(entries)
     assert {k for k, v in found.items() if v[0] == "eom_line_match"} == {(k, i) for k, i, _ in want}
     taken = [(k, i) for (k, _), (rule, ids) in found.items() if rule == "eom_line_match" for i in ids.split(",")]
     assert len(taken) == len(set(taken))

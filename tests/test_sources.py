@@ -71,12 +71,12 @@ def test_csv_ledger_and_payroll(spark, tmp_path):
 
 
 def test_discovery(spark, tmp_path):
-    for name in ("claims report.csv", "actual.xlsx", "~$actual.xlsx", "payroll posting.xlsx", "pwd payroll.txt", "Sup port docs/jul 25.xlsx", "notes.txt"):
+    for name in ("account report.csv", "actual.xlsx", "~$actual.xlsx", "payroll posting.xlsx", "pwd payroll.txt", "Sup port docs/jul 25.xlsx", "notes.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x")
     files = discover.list_files(spark, str(tmp_path))
     pick = lambda df: df.first()["path"].rsplit("/", 1)[1]
-    assert pick(discover.ledger(files)) == "claims%20report.csv" or pick(discover.ledger(files)) == "claims report.csv"
+    assert pick(discover.ledger(files)) == "account%20report.csv" or pick(discover.ledger(files)) == "account report.csv"
     assert "payroll" in pick(discover.payroll(files)) and "pwd" in pick(discover.messages(files))
     chosen = discover.ledger(files).union(discover.payroll(files))
     assert [pick(discover.support(files, chosen)).replace("%20", " ")] == ["jul 25.xlsx"]
