@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, packing, pii, similar, toxicity
+from ledgerloom.llm import mixing, packing, pii, toxicity, wide
 from ledgerloom.llm.common import staged
 from ledgerloom.llm.queries import tokenizer_path
 
@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: texts that share 0.8 of their five-word shingles, followed from text to text."""
-    return similar.keep_one(docs)
+    """One document of each group stays: SimHash at five-word shingles and a similarity of 0.8, links followed from text to text."""
+    return wide.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.staging import shared_dir, staged
 
-__all__ = ["SPACE", "WORD", "documents", "lower_ascii", "neighbour", "shared_dir", "small_batches", "staged", "text_or_empty"]
+__all__ = ["SPACE", "WORD", "documents", "free_name", "lower_ascii", "measured", "neighbour", "shared_dir", "small_batches", "staged", "text_or_empty"]
 
 #: ASCII white space, as the operators' contracts have it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -15,12 +15,26 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Send texts to Python in batches of 8 MB, whatever their lengths, unless the session has a size of its own."""
+    """Send texts to Python in batches of 8 MB, whatever their lengths, unless the session has a size of its own.
+
+    This sets the session's configuration and stays so; operators that call it say so in the README.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "64m"):  # Spark's default
         spark.conf.set(key, "8m")
 
 
+def free_name(docs: DataFrame, stem: str) -> str:
+    """The first of ``stem_0``, ``stem_1``... that isn't a column of ``docs``."""
+    taken = set(docs.columns)
+    return next(name for k in range(len(taken) + 1) if (name := f"{stem}_{k}") not in taken)
+
+
+def measured(table: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written ``table`` of small rows, to be broadcast where it has at most ``most`` of them; else Spark joins as it sees fit."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

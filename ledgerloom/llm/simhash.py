@@ -14,17 +14,16 @@ edges of a spanning forest. Components are found by star contraction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import ceil, comb
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches, staged
+from ledgerloom.llm.common import free_name, measured, small_batches, staged
 
 BITS = 64
 SEED = 42
@@ -58,13 +57,16 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp",
     """``docs`` with its fingerprints as signed 64-bit integers in column ``name``."""
 
     small_batches(docs.sparkSession)
+    return docs.withColumn(name, _fp(F.col(text_col), size))
 
+
+def _fp(text: Column, size: int) -> Column:
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64))
 
-    return docs.withColumn(name, of(F.col(text_col)))
+    return of(text)
 
 
 def blocks_for(n: int, distance: int = 4) -> int:
@@ -182,11 +184,16 @@ def classes(by_doc: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def rooted_classes(fps: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, root, component_id) from distinct fingerprints (fp, first_id) and the edges (a, b) between them."""
+    """(fp, root, component_id) from distinct fingerprints (fp, first_id) and the edges (a, b) between them.
+
+    Only linked fingerprints meet their component's row, which is broadcast where the components are few.
+    """
     roots = components(edges).withColumnRenamed("node", "fp")
-    rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    rooted = staged(fps.select("fp", "first_id").join(roots, "fp", "left"), "simhash-rooted")
+    lone = rooted.where("root is null").select("fp", F.col("fp").alias("root"), F.col("first_id").alias("component_id"))
+    linked = rooted.where("root is not null")
+    least = staged(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
+    return lone.unionByName(linked.join(measured(least), "root").select("fp", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,30 +211,38 @@ def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, id_col: s
 
 
 def keep_one(docs: DataFrame, distance: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near duplicates: of each component the row of the smallest id stays, all columns with it.
+    """``docs`` without near duplicates: of each component the row of the smallest id stays, as :func:`keep_rows` has it."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    by_doc = staged(with_fingerprint(named, size=size).select("doc_id", "fp"), "simhash-fingerprints")
+    return keep_rows(docs, by_doc, classes(by_doc, distance), lambda text: _fp(text, size), id_col, text_col)
+
+
+def keep_rows(docs: DataFrame, by_doc: DataFrame, classed: DataFrame, fp_of: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the one of the smallest id.
+
+    ``by_doc``: (doc_id, fp) of every row; ``classed``: (fp, root, component_id);
+    ``fp_of`` computes a text's ``fp``. Of rows that share an id and lie in one
+    component those of the smallest ``fp`` count, and of these the one with the
+    smallest text, then the smallest hash of all its columns. Where all ids of a
+    component are null, one row stays. Repeated rows stay once.
 
-    Of rows alike in id and fingerprint one stays; where a component's ids are all null, one row stays.
+    Only ids and fingerprints are shuffled: texts meet the ids to drop, which are
+    broadcast where they are few. Rows with a null or repeated id are looked up by id
+    and fingerprint instead.
     """
+    odd = staged(by_doc.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("odd_id")), "simhash-odd")
+    is_odd = lambda df, c: df.join(measured(odd), F.col(c).eqNullSafe(F.col("odd_id")), "left_semi")
+    placed = by_doc.join(classed, "fp")
+    drop = staged(placed.where("doc_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("drop_id")), "simhash-drop")
+    once = docs.join(measured(drop), F.col(id_col) == F.col("drop_id"), "left_anti")
+    if odd.isEmpty():
+        return once
+    once = once.join(measured(odd), F.col(id_col).eqNullSafe(F.col("odd_id")), "left_anti")
+    chosen = is_odd(placed.where("doc_id <=> component_id"), "doc_id").groupBy("root", "component_id", "doc_id").agg(F.min("fp").alias("fp"))
+    chosen = staged(chosen.select(F.col("doc_id").alias("chosen_id"), F.col("fp").alias("chosen_fp")).distinct(), "simhash-chosen")
     fp = free_name(docs, "fp")
-    marked = staged(with_fingerprint(docs, text_col, fp, size), "simhash-documents")
-    by_doc = marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"))
-    return one_each(marked, by_doc, classes(by_doc, distance), fp, id_col).drop(fp)
-
-
-def free_name(docs: DataFrame, stem: str) -> str:
-    """The first of ``stem_0``, ``stem_1``... that isn't a column of ``docs``."""
-    taken = set(docs.columns)
-    return next(name for k in range(len(taken) + 1) if (name := f"{stem}_{k}") not in taken)
-
-
-def one_each(marked: DataFrame, by_doc: DataFrame, classed: DataFrame, fp: str, id_col: str) -> DataFrame:
-    """The rows of ``marked`` that stay: one of each component in ``classed`` (fp, root, component_id)."""
-    rows = by_doc.groupBy("doc_id", "fp").count().join(classed, "fp")
-    chosen = rows.groupBy("root", "component_id", "doc_id").agg(F.min("fp").alias("fp"), F.min_by("count", "fp").alias("n"))
-    chosen = chosen.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = staged(chosen.select("doc_id", "fp", "n"), "simhash-chosen")
-    left, right = marked.alias("l"), chosen.alias("r")
-    same = (F.col(f"l.{fp}") == F.col("r.fp")) & F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id"))
-    once = left.join(right.where("n = 1"), same, "left_semi")
-    often = left.join(right.where("n > 1"), same, "left_semi").dropDuplicates([id_col, fp])
-    return once.unionByName(often)
+    marked = is_odd(docs, id_col).withColumn(fp, fp_of(F.col(text_col)))
+    marked = marked.join(measured(chosen), (F.col(fp) == F.col("chosen_fp")) & F.col(id_col).eqNullSafe(F.col("chosen_id")), "left_semi")
+    row = F.struct(*docs.columns)
+    first = marked.groupBy(id_col, fp).agg(F.min_by(row, F.struct(F.col(text_col), F.xxhash64(*docs.columns))).alias(fp + "_row"))
+    return once.unionByName(first.select(fp + "_row.*"))

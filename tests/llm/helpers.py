@@ -22,3 +22,20 @@ def awkward(spark):
 
 def empty(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def grams(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def truth(texts, least=0.8):
+    """The smallest index of each component of texts by brute force."""
+    root = list(range(len(texts)))
+    sets = [grams(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return set(root)
