@@ -20,7 +20,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged, text_or_empty
+from ledgerloom.llm.common import free_name, staged, text_or_empty
 
 #: The kinds, base ones first, in the order of the results.
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
@@ -51,7 +51,9 @@ CUES = r"(?i)(?:mail|contact|kontakt|tel|phone|call|fax|mobil|ip|host|server|add
 LABELERS = 6
 
 SPAN = "struct<kn:int,start:bigint,end:bigint,base:boolean,final:boolean,votes:string,feats:array<int>>"
-MATCH = "struct<start:bigint,end:bigint,m:string>"
+MATCH = "struct<start:bigint,end:bigint,m:string,before:string,behind:string>"
+STRETCH = 64
+SEGMENT = 1024
 
 
 @dataclass(frozen=True)
@@ -62,104 +64,122 @@ class PiiRules:
     accept: float = 0.5
 
 
-def _matches(col: str, pattern: str, replacement: str = f"{OPEN}$0{CLOSE}") -> Column:
-    """The matches of a pattern with their places in code points, in order."""
-    parts = F.split(F.regexp_replace(F.col(col), pattern, replacement), f"[{OPEN}{CLOSE}]")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{MATCH}>").alias("found"))
+# The expressions below are SQL text: a span takes hundreds of functions, and each would be a call of its own to the JVM.
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.char_length(part)
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("m"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["found"])
+def _q(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _luhn(digits: Column) -> Column:
-    figures = F.transform(F.array_remove(F.split(F.reverse(digits), ""), ""), lambda c, i: c.cast("int") * F.when(i % 2 == 1, 2).otherwise(1))
-    return F.aggregate(figures, F.lit(0), lambda acc, x: acc + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
+def _let(value: str, name: str, use: str) -> str:
+    """``use``, with ``name`` standing for ``value``, which is computed once although ``use`` may read it in another function's steps."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
 
 
-def _vote(for_: Column, against: Column | None = None) -> Column:
-    other = F.lit("0") if against is None else F.when(against, "-").otherwise("0")
-    return F.when(for_, "+").otherwise(other)
+def _running(values: str, zero: str, op: str) -> str:
+    """At each place the reduction by ``op`` (of ``a`` and ``x``) of all values before it, in stretches of ``STRETCH``, so that long arrays take no quadratic time."""
+    at = lambda i: f"cast(floor(({i}) / {STRETCH}) as int)"
+    reduced = lambda part, start: f"aggregate({part}, {start}, (a, x) -> {op})"
+    sums = f"transform(sequence(0, {at('size(v) - 1')}), b -> {reduced(f'slice(v, b * {STRETCH} + 1, {STRETCH})', zero)})"
+    heads = f"transform(sequence(0, size(s) - 1), b -> {reduced('slice(s, 1, b)', zero)})"
+    inside = f"transform(v, (y, i) -> {reduced(f'slice(v, {at("i")} * {STRETCH} + 1, i % {STRETCH})', f'get(h, {at("i")})')})"
+    return _let(values, "v", f"if(size(v) > 0, {_let(_let(sums, 's', heads), 'h', inside)}, v)")
 
 
-def _digits(m: Column) -> Column:
-    return F.regexp_replace(m, "[^0-9]", "")
+def _matches(col: str, pattern: str, replacement: str = f"{OPEN}$0{CLOSE}") -> str:
+    """The matches of a pattern with their places in code points, in order, with the 24 characters before and the one behind."""
+    parts = f"split(regexp_replace({col}, {_q(pattern)}, {_q(replacement)}), '[{OPEN}{CLOSE}]')"
+    before = f"translate(right(array_join(slice(p, greatest(j - 12, 0) + 1, least(j, 12)), ''), 24), '{JOINT}', ' ')"  # six matches have 24 characters
+    behind = "left(concat(get(p, j + 1), coalesce(get(p, j + 2), '')), 1)"
+    one = f"named_struct('start', get(at, j), 'end', get(at, j) + char_length(get(p, j)), 'm', get(p, j), 'before', {before}, 'behind', {behind})"
+    starts = _running("transform(p, x -> cast(char_length(x) as bigint))", "0L", "a + x")
+    return _let(parts, "p", f"if(size(p) > 1, {_let(starts, 'at', f'transform(sequence(1, size(p) - 2, 2), j -> {one})')}, cast(array() as array<{MATCH}>))")
 
 
-def _span(kind: str, m: Column, source: str, rules: PiiRules, base: Column, final: Column) -> Column:
-    """A candidate: its place, the labelers' votes and its hashed features."""
-    text, digits = m["m"], _digits(m["m"])
-    left = F.substring(F.col(source), F.greatest(m["start"] - 23, F.lit(1)).cast("int"), F.least(m["start"], F.lit(24)).cast("int"))
-    right = F.substring(F.col(source), (m["end"] + 1).cast("int"), F.lit(1))
-    tail = F.element_at(F.split(F.lower(text), r"[^a-z0-9-]+"), -1)
-    code = F.regexp_extract(text, r"^\+([0-9]{1,3})", 1)
+def _luhn(digits: str) -> str:
+    figures = f"transform(array_remove(split(reverse({digits}), ''), ''), (c, i) -> cast(c as int) * if(i % 2 = 1, 2, 1))"
+    return f"aggregate({figures}, 0, (a, x) -> a + if(x > 9, x - 9, x)) % 10 = 0"
+
+
+def _vote(for_: str, against: str = "false") -> str:
+    return f"case when {for_} then '+' when {against} then '-' else '0' end"
+
+
+def _like(text: str, pattern: str) -> str:
+    return f"({text} rlike {_q(pattern)})"
+
+
+def _among(text: str, values: list[str]) -> str:
+    return f"({text} in ({', '.join(map(_q, values))}))"
+
+
+def _span(kind: str, rules: PiiRules, good: str | None) -> str:
+    """The candidate of a match ``m``: its place, the labelers' votes and its hashed features. ``good``: whether a base rule accepts it; None without such a rule."""
     shape = {
-        "email": tail.rlike("^[a-z]{2,24}$"),
-        "ip": ~text.rlike(r"(?:^|\.)0[0-9]") & text.rlike(r"[0-9]{2,}|:"),
-        "card": F.length(digits).isin(15, 16),
-        "phone": F.length(digits).between(10, 13),
-        "iban": F.length(F.regexp_replace(text, " ", "")).between(15, 34),
-        "secret": (F.length(text) >= 20) & text.rlike("[0-9]") & text.rlike("[A-Za-z]"),
+        "email": _like("tail", "^[a-z]{2,24}$"),
+        "ip": f"(not {_like('m.m', r'(?:^|[.])0[0-9]')} and {_like('m.m', '[0-9]{2,}|:')})",
+        "card": "(length(d) in (15, 16))",
+        "phone": "(length(d) between 10 and 13)",
+        "iban": "(length(replace(m.m, ' ', '')) between 15 and 34)",
+        "secret": f"(length(m.m) >= 20 and {_like('m.m', '[0-9]')} and {_like('m.m', '[A-Za-z]')})",
     }[kind]
+    code = r"regexp_extract(m.m, '^[+]([0-9]{1,3})', 1)"
     known = {
-        "email": _vote(tail.isin(TLDS)),
-        "ip": _vote(~text.rlike(PRIVATE), text.rlike(PRIVATE)),
-        "card": _vote(digits.rlike(ISSUERS), ~digits.rlike(ISSUERS)),
-        "phone": _vote(code.isin(CALLING) | F.substring(code, 1, 2).isin(CALLING) | F.substring(code, 1, 1).isin("1", "7")),
-        "iban": _vote(text.rlike("^(?:DE|FR|ES|IT|NL|BE|AT|CH|GB|PT|PL|SE|NO|DK|FI|IE|LU)")),
-        "secret": _vote(text.rlike("^(?:ghp_|sk_|pk_|AKIA|xox)")),
+        "email": _vote(_among("tail", TLDS)),
+        "ip": _vote(f"not {_like('m.m', PRIVATE)}", _like("m.m", PRIVATE)),
+        "card": _vote(_like("d", ISSUERS), f"not {_like('d', ISSUERS)}"),
+        "phone": _vote(f"{_among(code, CALLING)} or {_among(f'substring({code}, 1, 2)', CALLING)} or {_among(f'substring({code}, 1, 1)', ['1', '7'])}"),
+        "iban": _vote(_like("m.m", "^(?:DE|FR|ES|IT|NL|BE|AT|CH|GB|PT|PL|SE|NO|DK|FI|IE|LU)")),
+        "secret": _vote(_like("m.m", "^(?:ghp_|sk_|pk_|AKIA|xox)")),
     }[kind]
-    variety = F.size(F.array_distinct(F.split(F.lower(text), "")))
-    votes = F.concat(
-        F.when(final, "-").otherwise(F.when(base, "+").otherwise("0")),
-        _vote(shape, ~shape),
-        known,
-        _vote(left.rlike(CUES)),
-        _vote(~left.rlike(r"[\p{L}0-9]$") & ~right.rlike(r"^[\p{L}0-9]"), left.rlike(r"[\p{L}0-9]$") | right.rlike(r"^[\p{L}0-9]")),
-        _vote(variety >= 5, variety < 5),
-    )
-    form = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]+", "9"), "[A-Z]+", "A"), "[a-z]+", "a")
-    words = [F.concat(F.lit(f"{kind} n "), F.length(text).cast("string")), F.concat(F.lit(f"{kind} f "), F.substring(form, 1, 24)), F.concat(F.lit(f"{kind} l "), F.lower(F.regexp_extract(left, r"(\p{L}+)[^\p{L}]*$", 1))), F.concat(F.lit(f"{kind} r "), F.regexp_replace(F.regexp_replace(right, r"\p{L}", "a"), "[0-9]", "9"))]
-    feats = F.array(*[F.pmod(F.xxhash64(w), F.lit(rules.buckets)).cast("int") for w in words])
-    return F.struct(F.lit(KINDS.index(kind)).alias("kn"), m["start"].alias("start"), m["end"].alias("end"), base.alias("base"), final.alias("final"), votes.alias("votes"), feats.alias("feats"))
+    variety = "size(array_distinct(split(lower(m.m), '')))"
+    joined = f"{_like('m.before', '[' + chr(92) + 'p{L}0-9]$')} or {_like('m.behind', '^[' + chr(92) + 'p{L}0-9]')}"
+    checked = "'0'" if good is None else f"if({good}, '+', '-')"
+    votes = f"concat({checked}, {_vote(shape, f'not {shape}')}, {known}, {_vote(_like('m.before', CUES))}, {_vote(f'not ({joined})', joined)}, {_vote(f'{variety} >= 5', f'{variety} < 5')})"
+    form = "regexp_replace(regexp_replace(regexp_replace(m.m, '[0-9]+', '9'), '[A-Z]+', 'A'), '[a-z]+', 'a')"
+    word = f"lower(regexp_extract(m.before, {_q(r'(\p{L}+)[^\p{L}]*$')}, 1))"
+    mark = f"regexp_replace(regexp_replace(m.behind, {_q(r'\p{L}')}, 'a'), '[0-9]', '9')"
+    words = {"n": "cast(length(m.m) as string)", "f": f"substring({form}, 1, 24)", "l": word, "r": mark}
+    feats = ", ".join(f"cast(pmod(xxhash64(concat('{kind} {k} ', {w})), {rules.buckets}) as int)" for k, w in words.items())
+    base, final = ("false", "false") if good is None else (good, f"not {good}")
+    made = f"named_struct('kn', {KINDS.index(kind)}, 'start', m.start, 'end', m.end, 'base', {base}, 'final', {final}, 'votes', {votes}, 'feats', array({feats}))"
+    tail = f"element_at(split(lower(m.m), {_q('[^a-z0-9-]+')}), -1)"
+    return _let("regexp_replace(m.m, '[^0-9]', '')", "d", _let(tail, "tail", made) if kind == "email" else made)
 
 
 def candidates(docs: DataFrame, rules: PiiRules = PiiRules(), text_col: str = "text", name: str = "spans") -> DataFrame:
     """``docs`` with ``name``: the base spans and candidates of every text, by kind, then place."""
-    taken = set(docs.columns)
-    plain, dashed = (next(n for k in range(len(taken) + 1) if (n := f"{x}_{k}") not in taken) for x in ("plain", "dashed"))
+    plain, dashed = free_name(docs, "plain"), free_name(docs, "dashed")
     clean = F.translate(text_or_empty(text_col), OPEN + CLOSE + JOINT, OTHER * 3)
-    some = F.when(clean.rlike("[0-9@]|[)\\]]"), clean)  # others have no candidate of any kind
+    some = F.when(clean.rlike("[0-9@]|[)\\]]|(?i:token|secret|passw|key)"), clean)  # others have no candidate of any kind
     df = docs.withColumn(plain, some)
     df = df.withColumn(dashed, F.when(F.col(plain).rlike("[0-9]"), F.regexp_replace(F.col(plain), r"(?<=[0-9])[ -](?=[0-9])", JOINT)))
-    no = F.lit(False)
+    empty = f"cast(array() as array<{SPAN}>)"
 
-    def base(kind: str, col: str, pattern: str, ok, source: str = plain) -> Column:
-        found = F.transform(_matches(col, pattern), lambda m: _span(kind, m, source, rules, ok(m["m"]), ~ok(m["m"])))
-        return F.coalesce(found, F.array().cast(f"array<{SPAN}>"))
+    def base(kind: str, col: str, pattern: str, ok: str, when: str = "true", least: int = 0) -> str:
+        """Spans of matches with ``least`` characters or more; those that fail ``ok`` are final."""
+        found = _matches(col, pattern)
+        found = f"filter({found}, m -> m.end - m.start >= {least})" if least else found
+        return f"if({when}, coalesce(transform({found}, m -> {_let(ok, 'good', _span(kind, rules, 'good'))}), {empty}), {empty})"
 
-    def more(kind: str, pattern: str, when: str) -> Column:
-        found = F.transform(_matches(plain, pattern, f"$1{OPEN}$2{CLOSE}"), lambda m: _span(kind, m, plain, rules, no, no))
-        return F.coalesce(F.when(F.col(plain).rlike(when), found), F.array().cast(f"array<{SPAN}>"))
+    def more(kind: str, pattern: str, when: str) -> str:
+        found = f"transform({_matches(plain, pattern, f'$1{OPEN}$2{CLOSE}')}, m -> {_span(kind, rules, None)})"
+        return f"if({_like(plain, when)}, coalesce({found}, {empty}), {empty})"
 
-    card_digits = lambda m: F.translate(m, JOINT, "")
+    digits = f"translate(m.m, '{JOINT}', '')"
     lists = [
-        F.when(F.col(plain).contains("@"), base("email", plain, EMAIL, lambda m: F.lit(True))),
+        base("email", plain, EMAIL, "true", f"contains({plain}, '@')"),
         more("email", MASKED_EMAIL, r"[\[(] ?at ?[\])]"),
-        base("ip", plain, IP, lambda m: F.forall(F.split(m, r"\."), lambda p: p.rlike(BYTE))),
+        base("ip", plain, IP, f"forall(split(m.m, '[.]'), p -> {_like('p', BYTE)})"),
         more("ip", IP6, "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
-        F.filter(base("card", dashed, CARD, lambda m: F.length(card_digits(m)).between(13, 19) & _luhn(card_digits(m))), lambda s: s["end"] - s["start"] >= 13),
-        F.when(F.col(plain).contains("+"), base("phone", plain, PHONE, lambda m: F.length(_digits(m)).between(9, 15))),
+        base("card", dashed, CARD, f"length({digits}) between 13 and 19 and {_luhn(digits)}", least=13),
+        base("phone", plain, PHONE, "length(regexp_replace(m.m, '[^0-9]', '')) between 9 and 15", f"contains({plain}, '+')"),
         more("phone", LOCAL_PHONE, "[0-9]{3}-[0-9]{4}"),
         more("iban", IBAN, "[A-Z]{2}[0-9]{2}"),
         more("secret", SECRET, "(?i)token|secret|passw|key"),
     ]
-    empty = F.array().cast(f"array<{SPAN}>")
-    spans = F.when(F.col(plain).isNotNull(), F.concat(*[F.coalesce(x, empty) for x in lists])).otherwise(empty)
-    return df.withColumn(name, spans).drop(plain, dashed)
+    return df.withColumn(name, F.expr(f"if({plain} is not null, concat({', '.join(lists)}), {empty})")).drop(plain, dashed)
 
 
 @dataclass(frozen=True)
@@ -220,20 +240,20 @@ def fit(found: DataFrame, rules: PiiRules = PiiRules()) -> PiiModel:
 
 def decided(found: DataFrame, model: PiiModel, rules: PiiRules = PiiRules(), name: str = "spans") -> DataFrame:
     """``found`` with its candidates reduced to the base spans and the added ones that don't overlap them."""
-    table = F.split(F.lit(",".join(map(repr, model.weights))), ",").cast("array<double>")
-    base = F.filter(name, lambda s: s["base"])
-    least = log(rules.accept / (1 - rules.accept))
-
-    def wanted(s: Column) -> Column:
-        score = F.aggregate(F.array_distinct(s["feats"]), F.lit(model.bias), lambda acc, f: acc + F.get(table, f))
-        return ~s["base"] & ~s["final"] & (score >= least)
-
-    taken = set(found.columns)
-    kept, added = (next(n for k in range(len(taken) + 1) if (n := f"{x}_{k}") not in taken) for x in ("base", "added"))
-    df = found.withColumn(kept, base).withColumn(added, F.filter(name, wanted))
-    free = F.filter(added, lambda s: ~F.exists(kept, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    spans = F.transform(F.concat(kept, free), lambda s: F.struct(s["kn"].alias("kn"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    return df.withColumn(name, F.array_sort(F.array_distinct(spans))).drop(kept, added)
+    number = lambda x: f"double('{x!r}')"
+    table = f"cast(split('{','.join(map(repr, model.weights))}', ',') as array<double>)"
+    score = f"aggregate(array_distinct(s.feats), {number(model.bias)}, (a, f) -> a + get({table}, f))"
+    wanted = f"filter({name}, s -> not s.base and not s.final and {score} >= {number(log(rules.accept / (1 - rules.accept)))})"
+    kept, added = free_name(found, "base"), free_name(found, "added")
+    df = found.withColumn(kept, F.expr(f"filter({name}, s -> s.base)")).withColumn(added, F.expr(wanted))
+    form = lambda spans: f"transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'kn', s.kn, 'base', s.base))"
+    # An added span is free where the base spans before it have ended and the next begins behind it.
+    ended = _running("transform(sp, s -> if(s.base, s.end, -1L))", "-1L", "greatest(a, x)")
+    begins = f"reverse({_running(f'transform(reverse(sp), s -> if(s.base, s.start, {2**62}L))', f'{2**62}L', 'least(a, x)')})"
+    free = _let(ended, "u", _let(begins, "w", "filter(sp, (s, i) -> s.base or (get(u, i) <= s.start and get(w, i) >= s.end))"))
+    spans = f"if(size({added}) > 0, {_let(f'array_sort({form(f'concat({kept}, {added})')})', 'sp', free)}, {form(kept)})"
+    back = f"array_sort(transform({spans}, s -> named_struct('kn', s.kn, 'start', s.start, 'end', s.end, 'base', s.base)))"
+    return df.withColumn(name, F.expr(back)).drop(kept, added)
 
 
 def listed(spans: Column) -> Column:
@@ -248,7 +268,8 @@ def find(docs: DataFrame, rules: PiiRules = PiiRules(), id_col: str = "doc_id",
     ``kn`` is the place of the kind in ``KINDS``. Places count code points, ends
     are exclusive. Null text is empty and has no span; rows that share an id are
     read each for itself; an empty table gives an empty result; other columns are
-    not read.
+    not read. Texts of any length and density are read whole, in time that grows
+    little faster than their length.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = staged(candidates(named, rules).select("doc_id", "spans"), "pii-candidates")
@@ -256,23 +277,28 @@ def find(docs: DataFrame, rules: PiiRules = PiiRules(), id_col: str = "doc_id",
 
 
 def redact(docs: DataFrame, rules: PiiRules = PiiRules(), text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``<KIND>``; overlapping spans become one.
+    """``docs`` with every span of its texts replaced by ``<KIND>``; overlapping spans become one, named after the first.
 
-    Null text stays null. The texts are read twice: once to train, once to redact.
+    Null text stays null, an empty table stays empty, repeated rows are redacted alike
+    and other columns are kept. Texts of any length take time in proportion to their
+    length and spans. The texts are read twice: once to train, once to redact.
     """
-    taken = set(docs.columns)
-    name = next(n for k in range(len(taken) + 1) if (n := f"spans_{k}") not in taken)
-    model = fit(candidates(docs.select(text_col), rules, text_col, "spans"), rules)
-    df = decided(candidates(docs, rules, text_col, name), model, rules, name)
-    kinds, text = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS]), F.col(text_col)
-    by_place = F.array_sort(F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(kinds, s["kn"]).alias("mark"))))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(before, s["mark"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    new = F.when(F.size(name) > 0, F.aggregate(by_place, zero, step, rest)).otherwise(text)
-    return df.withColumn(text_col, new).drop(name)
+    name = free_name(docs, "spans")
+    found = staged(candidates(docs.select(text_col), rules, text_col, "spans").select("spans"), "pii-candidates")
+    df = decided(candidates(docs, rules, text_col, name), fit(found, rules), rules, name)
+    kinds = f"array({', '.join(_q(f'<{k.upper()}>') for k in KINDS)})"
+    spans = f"array_sort(transform({name}, s -> named_struct('start', s.start, 'end', s.end, 'mark', get({kinds}, s.kn))))"
+    text = free_name(docs, "whole")
+    pieces = f"regexp_extract_all({text}, '(?s).{{1,{SEGMENT}}}', 0)"  # so that no part is counted off from the beginning of the text
+
+    def between(a: str, b: str) -> str:
+        first = f"cast(floor({a} / {SEGMENT}) as int)"
+        some = f"array_join(slice(pieces, {first} + 1, cast(floor(({b} - 1) / {SEGMENT}) as int) - {first} + 1), '')"
+        return f"if({a} < {b}, substring({some}, cast({a} - {first} * {SEGMENT} + 1 as int), cast({b} - {a} as int)), '')"
+
+    ended = _running("transform(sp, s -> s.end)", "0L", "greatest(a, x)")
+    marked = f"transform(sp, (s, i) -> if(get(ends, i) <= s.start, concat({between('get(ends, i)', 's.start')}, s.mark), ''))"
+    rest = between("array_max(transform(sp, s -> s.end))", f"(cast(size(pieces) as bigint) * {SEGMENT})")
+    new = _let(spans, "sp", _let(pieces, "pieces", _let(ended, "ends", f"concat(array_join({marked}, ''), {rest})")))
+    df = df.withColumn(text, F.col(text_col))
+    return df.withColumn(text_col, F.expr(f"if(size({name}) > 0, {new}, {text})")).drop(name, text)

@@ -4,7 +4,7 @@ The 64 bits of :mod:`simhash` link copies that differ in a few bits. Sets of Jac
 similarity ``s`` have a cosine of at least ``2 s / (1 + s)``, so at 0.8 each bit of a
 fingerprint agrees with a chance of 0.85 and some ten bits of 64 differ. The
 fingerprint here is therefore as wide as it takes: it is cut into blocks, pairs that
-share a block are compared by the Hamming distance of 64 of their bits, and what is
+share a block are compared by the Hamming distance of 128 of their bits, and what is
 close is measured on the shingle sets themselves, so no other text is linked. Blocks
 grow with the logarithm of the table, their number follows from the chance ``MISS``
 that a pair of just 0.8 shares none (:func:`blocks_for`).
@@ -53,15 +53,15 @@ def agreement(least: float = LEAST) -> float:
 
 
 def blocks_for(n: int, least: float = LEAST, miss: float = MISS) -> tuple[int, int]:
-    """(bits of a block, number of blocks) for ``n`` texts: a group holds about a hundred members by chance."""
-    width = max(6, max(n, 2).bit_length() - 7)
+    """(bits of a block, number of blocks) for ``n`` texts: a group holds some two hundred members by chance."""
+    width = max(6, max(n, 2).bit_length() - 8)
     return width, ceil(log(miss) / log(1 - agreement(least) ** width))
 
 
 def reach(least: float = LEAST, sigmas: float = 3.7) -> int:
-    """The bits of 64 in which a pair of similarity ``least`` differs at most, but for a chance of one in ten thousand."""
+    """The bits of 128 in which a pair of similarity ``least`` differs at most, but for a chance of one in ten thousand."""
     p = agreement(least)
-    return int(64 * (1 - p) + sigmas * sqrt(64 * p * (1 - p)))
+    return int(128 * (1 - p) + sigmas * sqrt(128 * p * (1 - p)))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,21 +149,21 @@ def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, size: int, width: int, number: int, long_width: int) -> DataFrame:
-    """(doc_id, fp, n, bits, blocks, long) of ``docs`` (doc_id, text): set hash, size, 64 bits and the blocks of the fingerprint."""
-    words = ceil(max(width * number, long_width * LONG) / 64)
+    """(doc_id, fp, n, bits, more, blocks, long) of ``docs`` (doc_id, text): set hash, size, 128 bits and the blocks of the fingerprint."""
+    words = ceil(max(width * number, long_width * LONG, 128) / 64)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
         for batch in batches:
             sets = [shingles(text, size) for text in batch.column(1).to_pylist()]
             bits = [bits_of(grams, words) for grams in sets]
-            first = [np.packbits(b[:64], bitorder="little").view("<i8")[0] for b in bits]
+            heads = np.array([np.packbits(b[:128], bitorder="little").view("<i8") for b in bits], np.int64).reshape(-1, 2)
             blocks, long = ([blocks_of(b, *form) if len(grams) else none for grams, b in zip(sets, bits, strict=True)] for form in ((width, number), (long_width, LONG)))
-            plain = [pa.array(list(map(set_hash, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(first, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *plain, lists_of(blocks), lists_of(long)], names=["doc_id", "fp", "n", "bits", "blocks", "long"])
+            plain = [pa.array(list(map(set_hash, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(heads[:, 0]), pa.array(heads[:, 1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *plain, lists_of(blocks), lists_of(long)], names=["doc_id", "fp", "n", "bits", "more", "blocks", "long"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(of, f"doc_id {kind}, fp long, n int, bits long, blocks array<long>, long array<long>")
+    return docs.mapInArrow(of, f"doc_id {kind}, fp long, n int, bits long, more long, blocks array<long>, long array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFrame:
@@ -250,18 +250,21 @@ def crowds(docs: DataFrame, nodes: DataFrame, least: float, size: int, crowd: in
 
 
 def close_pairs(nodes: DataFrame, least: float, hot: int) -> DataFrame:
-    """(a, b): pairs of different roots that share a block, differ in few of their 64 bits and aren't too unequal in size.
+    """(a, b): pairs of different roots that share a block, differ in few of 128 bits and aren't too unequal in size.
 
-    In groups of over ``hot`` members those of the most frequent root are not paired with each other.
+    ``root`` is null where a node is its own. In groups of over ``hot`` members those of the most frequent root are not paired with each other.
     """
-    keyed = nodes.select("fp", "n", "bits", "root", F.explode("blocks").alias("key"))
+    columns = ("fp", "n", "bits", "more", "root")
+    keyed = nodes.select(*columns, F.explode("blocks").alias("key"))
     busy = staged(keyed.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > hot).select("key"), "wide-hot")
     few = measured(busy)
-    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "n", "bits", "root")])
-    close = (F.col("a_root") != F.col("b_root")) & (hamming("a_bits", "b_bits") <= reach(least)) & (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n"))
+    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    root = lambda x: F.coalesce(f"{x}_root", f"{x}_fp")
+    close = (root("a") != root("b")) & (hamming("a_bits", "b_bits") + hamming("a_more", "b_more") <= reach(least)) & (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n"))
     plain = keyed.join(few, "key", "left_anti")
     found = side(plain, "a").join(side(plain, "b"), "key").where((F.col("a_fp") < F.col("b_fp")) & close).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
     crowded = keyed.join(few, "key")
+    crowded = crowded.withColumn("root", F.coalesce("root", "fp"))
     main = crowded.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
     crowded = crowded.join(measured(staged(main, "wide-main")), "key")
     rare = crowded.where("root <> main")
@@ -294,10 +297,10 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float,
 
 def classes(docs: DataFrame, by_doc: DataFrame, least: float, size: int, crowd: int, chunk: int, hot: int, side: int) -> DataFrame:
     """(fp, root, component_id) for the sketches ``by_doc`` of ``docs`` (doc_id, text)."""
-    nodes = by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "bits", "blocks", "long")])
+    nodes = by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "bits", "more", "blocks", "long")])
     nodes = staged(nodes, "wide-nodes")
     near = crowds(docs, nodes, least, size, crowd, chunk)
-    rooted = nodes.drop("long").join(components(near).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = nodes.drop("long").join(components(near).withColumnRenamed("node", "fp"), "fp", "left")
     pairs = staged(close_pairs(staged(rooted, "wide-rooted"), least, hot), "wide-pairs")
     links = verified(docs, nodes, pairs, least, size, side)
     return rooted_classes(nodes.select("fp", "first_id"), near.unionByName(links))

@@ -1,5 +1,7 @@
 import random
 import re
+from collections import Counter
+from math import exp, log
 
 from helpers import awkward, documents, empty
 from pyspark.sql import functions as F
@@ -50,3 +52,52 @@ def test_awkward_and_empty(spark):
     assert pii.find(awkward(spark)).count() == 8
     assert pii.redact(awkward(spark)).columns == awkward(spark).columns
     assert pii.find(empty(spark)).count() == 0 and pii.redact(empty(spark)).count() == 0
+
+
+def test_many_spans_in_one_long_text(spark):
+    n = 8000
+    text = "".join(f"a 192.168.{i % 256}.{i % 200} b" for i in range(n)) + "\n" + "".join(f"555-123-{1000 + i % 9000} +1 555 123 {1000 + i % 9000}; " for i in range(300))
+    docs = documents(spark, [text, "x 1.2.3.4"])
+    rows = pii.candidates(docs).select("doc_id", pii.listed(F.filter("spans", lambda s: s["base"])).alias("b")).collect()
+    assert {r["doc_id"]: r["b"].split(",") for r in rows} == {i: [f"{k}:{a}:{z}" for k, a, z in base(t)] for i, t in enumerate([text, "x 1.2.3.4"])}
+    new = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert new[1] == "x <IP>" and new[0].startswith("a <IP> ba <IP> b") and new[0].count("<IP>") == n and new[0].count("<PHONE>") >= 300
+    assert not re.search(r"192|\+1", new[0])
+
+
+def decisions(rows, rules):
+    """Which candidates the method accepts, from their votes and features, in plain Python."""
+    spans = [s for r in rows for s in r["spans"]]
+    counts = Counter((s["kn"], s["votes"]) for s in spans)
+    p = {k: 1 / (1 + 3.0 ** (2 * k[1].count("-") - k[1].count("+"))) for k in counts}
+    for _ in range(rules.rounds):
+        share = {}
+        for y in (0, 1):
+            weight = {k: n * (p[k] if y else 1 - p[k]) for k, n in counts.items()}
+            for j in range(6):
+                for v in "+0-":
+                    share[y, j, v] = (1 + sum(w for (_, votes), w in weight.items() if votes[j] == v)) / (3 + sum(weight.values()))
+            for kn in range(6):
+                share[y, kn] = 1 + sum(w for (k, _), w in weight.items() if k == kn)
+        p = {(k, votes): 1 / (1 + exp(log(share[0, k] / share[1, k]) + sum(log(share[0, j, v] / share[1, j, v]) for j, v in enumerate(votes)))) for k, votes in counts}
+    yes, no = sum(counts[k] * p[k] for k in counts), sum(counts[k] * (1 - p[k]) for k in counts)
+    seen = [Counter(), Counter()]
+    for s in spans:
+        for f in set(s["feats"]):
+            seen[1][f] += p[s["kn"], s["votes"]]
+            seen[0][f] += 1 - p[s["kn"], s["votes"]]
+    weight = lambda f: log((seen[1][f] + 1) / (yes + 2)) - log((seen[0][f] + 1) / (no + 2))
+    accepted = lambda s: s["base"] or not s["final"] and log((yes + 1) / (no + 1)) + sum(map(weight, set(s["feats"]))) >= 0
+    clear = lambda s, all_: s["base"] or not any(b["base"] and b["start"] < s["end"] and s["start"] < b["end"] for b in all_)
+    return {r["doc_id"]: sorted((s["kn"], s["start"], s["end"], s["base"]) for s in r["spans"] if accepted(s) and clear(s, r["spans"])) for r in rows}
+
+
+def test_decisions_against_plain_python(spark):
+    rules = pii.PiiRules()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = ["tel 555-123-4567 and +1 555-123-4567", "password: abcdefghijklmnopqrstuv", "joe [at] example [dot] com, joe@example.com", "DE89 3704 0044 0532 0130 00", "key = 0123456789abcdef0123 1.2.3.4"]
+    docs = docs.unionByName(spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(extra * 3)], "doc_id long, text string"))
+    found = pii.candidates(docs, rules).select("doc_id", "spans").persist()
+    want = decisions(found.collect(), rules)
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find(docs, rules).collect()}
+    assert got == want and sum(not s[3] for spans in got.values() for s in spans) > 5
