@@ -9,9 +9,10 @@ close is measured on the shingle sets themselves, so no other text is linked. Bl
 grow with the logarithm of the table, their number follows from the chance ``MISS``
 that a pair of just 0.8 shares none (:func:`blocks_for`).
 
-Texts of one shingle set are one node. Large groups of near copies are first joined
-into components by a few longer blocks, in chunks of bounded size; afterwards only
-pairs of different components are compared.
+Texts of one shingle set are one node. Two blocks together are shared by many texts
+only in families of related texts, whose pairs would grow with the square of their
+number. No pair inside a family is emitted: a family is cut into chunks, every two
+chunks are a task that gets their sets and returns the edges of a spanning forest.
 """
 
 from __future__ import annotations
@@ -31,11 +32,10 @@ from ledgerloom.llm.simhash import LOWER, SEED, components, hamming, keep_rows,
 SIZE = 5
 LEAST = 0.8
 MISS = 1e-4
-#: Long blocks, which only near copies share: how many, and the members that make a group worth chunks of its own.
-LONG = 4
+#: Members of a group of two blocks that make it part of a family; chance brings less than one.
 CROWD = 16
-#: Shingles in a chunk of a group, and in one side of a block of pairs.
-CHUNK = 300_000
+#: Shingles in a chunk of a family, and in one side of a block of pairs.
+CHUNK = 2_000_000
 SIDE = 2_000_000
 #: Members of a block's group up to which all of its pairs are compared.
 HOT = 2048
@@ -148,9 +148,9 @@ def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.LargeListArray.from_arrays(ends, np.concatenate(arrays).view(np.int64)).cast(pa.list_(pa.int64())) if arrays else pa.array([], pa.list_(pa.int64()))
 
 
-def sketches(docs: DataFrame, size: int, width: int, number: int, long_width: int) -> DataFrame:
-    """(doc_id, fp, n, bits, more, blocks, long) of ``docs`` (doc_id, text): set hash, size, 128 bits and the blocks of the fingerprint."""
-    words = ceil(max(width * number, long_width * LONG, 128) / 64)
+def sketches(docs: DataFrame, size: int, width: int, number: int) -> DataFrame:
+    """(doc_id, fp, n, bits, more, blocks) of ``docs`` (doc_id, text): set hash, size, 128 bits and the blocks of the fingerprint."""
+    words = ceil(max(width * number, 128) / 64)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
@@ -158,12 +158,12 @@ def sketches(docs: DataFrame, size: int, width: int, number: int, long_width: in
             sets = [shingles(text, size) for text in batch.column(1).to_pylist()]
             bits = [bits_of(grams, words) for grams in sets]
             heads = np.array([np.packbits(b[:128], bitorder="little").view("<i8") for b in bits], np.int64).reshape(-1, 2)
-            blocks, long = ([blocks_of(b, *form) if len(grams) else none for grams, b in zip(sets, bits, strict=True)] for form in ((width, number), (long_width, LONG)))
+            blocks = [blocks_of(b, width, number) if len(grams) else none for grams, b in zip(sets, bits, strict=True)]
             plain = [pa.array(list(map(set_hash, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(heads[:, 0]), pa.array(heads[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *plain, lists_of(blocks), lists_of(long)], names=["doc_id", "fp", "n", "bits", "more", "blocks", "long"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *plain, lists_of(blocks)], names=["doc_id", "fp", "n", "bits", "more", "blocks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(of, f"doc_id {kind}, fp long, n int, bits long, more long, blocks array<long>, long array<long>")
+    return docs.mapInArrow(of, f"doc_id {kind}, fp long, n int, bits long, more long, blocks array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFrame:
@@ -180,33 +180,39 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFram
     return staged(sets.groupBy("fp").agg(F.first("grams").alias("grams")), f"{name}-sets")
 
 
-def forest(nodes: np.ndarray, sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
-    """Edges of a spanning forest of the links among ``nodes``, whose sets aren't empty."""
+def forest(nodes: np.ndarray, heads: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, least: float = LEAST) -> np.ndarray:
+    """Edges of a spanning forest of the links among ``nodes``, or only of those between the two sides.
+
+    ``heads`` are the nodes' 128 bits; their sets aren't empty.
+    """
     sizes = np.array([len(s) for s in sets])
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    mine_at = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+    cut = np.split(codes, np.cumsum(sizes)[:-1])
+    bits = heads.view(np.uint64)  # bitwise_count takes a signed number's absolute value
     has = np.zeros(len(values), np.int32)
     live = np.arange(len(nodes))  # not reached yet
-    live_codes, edges = codes, []
-    front: list[int] = []
+    front, edges = [], []
     while len(live):
         if not front:
             front.append(int(live[0]))
-            live_codes, live = live_codes[sizes[live[0]] :], live[1:]
-            if not len(live):
-                break
+            live = live[1:]
         now = front.pop()
-        mine = codes[slice(*mine_at[now])]
-        has[mine] = 1
-        common = np.add.reduceat(has[live_codes], np.cumsum(sizes[live]) - sizes[live])
-        has[mine] = 0
-        near = common / (sizes[live] + sizes[now] - common) >= least
-        if near.any():
-            found = live[near]
-            edges.append(np.column_stack([np.full(len(found), nodes[now]), nodes[found]]))
-            front.extend(found.tolist())
-            live_codes, live = live_codes[np.repeat(~near, sizes[live])], live[~near]
+        near = np.bitwise_count(bits[live] ^ bits[now]).sum(axis=1) <= reach(least)
+        near &= np.minimum(sizes[live], sizes[now]) >= least * np.maximum(sizes[live], sizes[now])
+        if side is not None:
+            near &= side[live] != side[now]
+        maybe = np.flatnonzero(near)
+        if not len(maybe):
+            continue
+        others = live[maybe]
+        has[cut[now]] = 1
+        common = np.add.reduceat(has[np.concatenate([cut[i] for i in others])], np.cumsum(sizes[others]) - sizes[others])
+        has[cut[now]] = 0
+        good = common / (sizes[others] + sizes[now] - common) >= least
+        found = others[good]
+        edges.append(np.column_stack([np.full(len(found), nodes[now]), nodes[found]]))
+        front.extend(found.tolist())
+        live = np.delete(live, maybe[good])
     return np.concatenate(edges) if edges else np.empty((0, 2), np.int64)
 
 
@@ -236,23 +242,36 @@ def alike(a: np.ndarray, b: np.ndarray, sets: dict[int, np.ndarray], least: floa
     return found
 
 
-def crowds(docs: DataFrame, nodes: DataFrame, least: float, size: int, crowd: int, chunk: int) -> DataFrame:
-    """(a, b): links inside the groups of the long blocks with over ``crowd`` members, each group cut into chunks at random."""
-    keyed = nodes.select("fp", "first_id", "n", F.explode("long").alias("key"))
-    busy = keyed.groupBy("key").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / chunk).cast("int").alias("pieces")).where(F.col("members") > crowd)
-    crowded = staged(keyed.join(measured(staged(busy, "wide-busy")), "key").withColumn("piece", F.pmod(F.xxhash64("fp", "key"), F.col("pieces"))), "wide-crowded")
-    sets = sets_of(docs, crowded.select("fp", "first_id").distinct(), size, "wide-crowd")
+def families(nodes: DataFrame, crowd: int) -> DataFrame:
+    """(fp, root) of the nodes that share two neighbouring blocks with over ``crowd`` others, followed from group to group."""
+    two = F.transform(F.sequence(F.lit(1), F.size("blocks") - 1, F.lit(2)), lambda i: F.xxhash64(F.get("blocks", i - 1), F.get("blocks", i)))
+    keyed = nodes.where("n > 0").select("fp", F.explode(two).alias("key"))
+    busy = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("fp").alias("head")).where(F.col("members") > crowd)
+    busy = measured(staged(busy.select("key", "head"), "wide-busy"))
+    return components(keyed.join(busy, "key").select(F.col("fp").alias("a"), F.col("head").alias("b"))).withColumnRenamed("node", "fp")
+
+
+def family_links(docs: DataFrame, rooted: DataFrame, least: float, size: int, chunk: int) -> DataFrame:
+    """(a, b): edges that connect exactly the members of each family which are linked."""
+    members = staged(rooted.where("root is not null").select("fp", "first_id", "n", "bits", "more", "root"), "wide-members")
+    sets = sets_of(docs, members.select("fp", "first_id"), size, "wide-family")
+    weights = measured(staged(members.groupBy("root").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("pieces")), "wide-weights"))
+    dealt = members.join(weights, "root").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = dealt.select("root", "fp", "bits", "more", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(sets, "fp")
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(forest(group["fp"].to_numpy(np.int64), group["grams"].tolist(), least), columns=["a", "b"])
+        heads = np.ascontiguousarray(group[["bits", "more"]].to_numpy(np.int64))
+        side = None if group["i"].iat[0] == group["j"].iat[0] else (group["mine"] == group["j"]).to_numpy()
+        return pd.DataFrame(forest(group["fp"].to_numpy(np.int64), heads, group["grams"].tolist(), side, least), columns=["a", "b"])
 
-    return staged(crowded.select("key", "piece", "fp").join(sets, "fp").groupBy("key", "piece").applyInPandas(links, "a long, b long"), "wide-crowd-links")
+    return staged(dealt.groupBy("root", "i", "j").applyInPandas(links, "a long, b long"), "wide-family-links")
 
 
 def close_pairs(nodes: DataFrame, least: float, hot: int) -> DataFrame:
-    """(a, b): pairs of different roots that share a block, differ in few of 128 bits and aren't too unequal in size.
+    """(a, b): pairs that share a block but no family, differ in few of 128 bits and aren't too unequal in size.
 
-    ``root`` is null where a node is its own. In groups of over ``hot`` members those of the most frequent root are not paired with each other.
+    ``root`` is the family, null for nodes without one. In groups of over ``hot`` members those of the most frequent root are not paired with each other.
     """
     columns = ("fp", "n", "bits", "more", "root")
     keyed = nodes.select(*columns, F.explode("blocks").alias("key"))
@@ -297,13 +316,12 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float,
 
 def classes(docs: DataFrame, by_doc: DataFrame, least: float, size: int, crowd: int, chunk: int, hot: int, side: int) -> DataFrame:
     """(fp, root, component_id) for the sketches ``by_doc`` of ``docs`` (doc_id, text)."""
-    nodes = by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "bits", "more", "blocks", "long")])
+    nodes = by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "bits", "more", "blocks")])
     nodes = staged(nodes, "wide-nodes")
-    near = crowds(docs, nodes, least, size, crowd, chunk)
-    rooted = nodes.drop("long").join(components(near).withColumnRenamed("node", "fp"), "fp", "left")
-    pairs = staged(close_pairs(staged(rooted, "wide-rooted"), least, hot), "wide-pairs")
-    links = verified(docs, nodes, pairs, least, size, side)
-    return rooted_classes(nodes.select("fp", "first_id"), near.unionByName(links))
+    rooted = staged(nodes.join(families(nodes, crowd), "fp", "left"), "wide-rooted")
+    near = family_links(docs, rooted, least, size, chunk)
+    pairs = staged(close_pairs(rooted, least, hot), "wide-pairs")
+    return rooted_classes(nodes.select("fp", "first_id"), near.unionByName(verified(docs, nodes, pairs, least, size, side)))
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS, crowd: int = CROWD, chunk: int = CHUNK, hot: int = HOT, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
@@ -319,7 +337,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, size: int = SIZE, id_
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     n = named.count()
     width, number = blocks_for(n, least, miss)
-    found = staged(sketches(named, size, width, number, max(24, max(n, 2).bit_length() + 2)), "wide-sketches")
+    found = staged(sketches(named, size, width, number), "wide-sketches")
     return found.select("doc_id", "fp"), classes(named, found, least, size, crowd, chunk, hot, side)
 
 

@@ -46,7 +46,7 @@ def test_blocks_follow_from_the_chance_of_a_miss():
     for n in (2, 10**5, 10**9):
         width, number = wide.blocks_for(n)
         assert (1 - wide.agreement() ** width) ** number <= wide.MISS < (1 - wide.agreement() ** width) ** (number - 1)
-    assert wide.blocks_for(10**9)[0] == 23
+    assert wide.blocks_for(10**9)[0] == 22
 
 
 def test_bits_agree_as_often_as_the_angle_says():
