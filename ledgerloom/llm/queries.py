@@ -18,30 +18,48 @@ def tokenizer_path() -> str:
 
 
 def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """The tables' conversations quote nothing, so every second message gets the one before as a quotation, wrapped anew, and some of these the one before that, a level deeper."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    earlier = lambda k, x: c.groupBy("conv_id", (F.col("turn") + k).alias("turn")).agg(F.min("text").alias(x))
+    wrapped = lambda x, mark: F.concat(F.lit(mark), F.regexp_replace(F.regexp_replace(x, "\n", "\n" + mark), "((?:[^ \n>]+ ){6})", "$1\n" + mark))
+    df = c.join(earlier(1, "a"), ["conv_id", "turn"], "left").join(earlier(2, "b"), ["conv_id", "turn"], "left")
+    deep = F.when((F.col("turn") % 4 == 3) & F.col("b").isNotNull(), F.concat(wrapped("b", ">> "), F.lit("\n"))).otherwise("")
+    quoting = F.concat(F.lit("On Monday they wrote:\n"), deep, wrapped("a", "> "), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return quotes.link(df.withColumn("text", F.when((F.col("turn") % 2 == 1) & F.col("a").isNotNull(), quoting).otherwise(F.col("text"))))
 
 
 OP1_SQL = r"""
-WITH l AS (
-  SELECT conv_id, turn, i, line,
-         len(regexp_replace(regexp_extract(line, '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g')) AS level,
-         trim(regexp_replace(translate(regexp_replace(line, '^(?:[ \t]{0,3}>)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r]+', ' ', 'g')) AS norm
-  FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM conversations)),
-m AS (SELECT conv_id, turn, count(*) FILTER (level > 0 AND norm <> '') AS n_quoted, coalesce(max(level) FILTER (norm <> ''), 0) AS max_level FROM l GROUP BY ALL),
-said AS (
-  SELECT l.* FROM l JOIN m USING (conv_id, turn)
-  WHERE level = 0 AND NOT (n_quoted > 0 AND regexp_matches(line, '(?i)^[ \t]*(?:on .{1,200} wrote|am .{1,200} schrieb .{0,100}|le .{1,200} a écrit|el .{1,200} escribió)[ \t]?:[ \t\r]*$'))),
-origin AS (SELECT conv_id, norm, min(turn) AS origin FROM said WHERE norm <> '' GROUP BY ALL),
+WITH e AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL),
+c AS (
+  SELECT c.conv_id, c.turn, c.role, CASE WHEN c.turn % 2 = 1 AND a.text IS NOT NULL THEN 'On Monday they wrote:' || chr(10)
+    || CASE WHEN c.turn % 4 = 3 AND b.text IS NOT NULL THEN '>> ' || regexp_replace(replace(b.text, chr(10), chr(10) || '>> '), '((?:[^ \n>]+ ){6})', '\1' || chr(10) || '>> ', 'g') || chr(10) ELSE '' END
+    || '> ' || regexp_replace(replace(a.text, chr(10), chr(10) || '> '), '((?:[^ \n>]+ ){6})', '\1' || chr(10) || '> ', 'g') || chr(10) || coalesce(c.text, '') ELSE c.text END AS text
+  FROM conversations c LEFT JOIN e a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN e b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2),
+l0 AS (
+  SELECT conv_id, turn, i, line, len(regexp_replace(regexp_extract(line, '^(?:[ \t]{0,3}>)+'), '[^>]', '', 'g')) AS level,
+         trim(regexp_replace(translate(regexp_replace(line, '^(?:[ \t]{0,3}>)+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\x01-\x03]+', ' ', 'g')) AS norm
+  FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM c)),
+l AS (
+  SELECT conv_id, turn, i, line, norm, CASE WHEN level = 0 AND bool_or(level > 0 AND norm <> '') OVER (PARTITION BY conv_id, turn)
+    AND regexp_matches(line, '(?i)^[ \t]*(?:on .{1,200} wrote|am .{1,200} schrieb .{0,100}|le .{1,200} a écrit|el .{1,200} escribió)[ \t]?:[ \t\r]*$') THEN -1 ELSE level END AS level FROM l0),
+r AS (SELECT *, CASE WHEN level <> lag(level) OVER w OR lag(norm) OVER w = '' THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+p AS (
+  SELECT conv_id, turn, level, k, string_agg(norm, ' ' ORDER BY i) AS passage
+  FROM (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY i) AS k FROM r) WHERE norm <> '' GROUP BY ALL),
+s AS (SELECT conv_id, turn, level, unnest(string_split(regexp_replace(passage, '([.!?]) ', '\1' || chr(3), 'g'), chr(3))) AS sentence FROM p),
+m AS (SELECT conv_id, turn, count(*) FILTER (level > 0) AS n_quoted, greatest(coalesce(max(level), 0), 0) AS max_level FROM s GROUP BY ALL),
+said AS (SELECT DISTINCT conv_id, turn, sentence FROM s WHERE level = 0),
 votes AS (
-  SELECT q.conv_id, q.turn, origin, count(*) AS n, count(*) FILTER (level = 1) AS direct
-  FROM l q JOIN origin o ON q.conv_id = o.conv_id AND q.norm = o.norm WHERE q.level > 0 AND origin < q.turn GROUP BY ALL),
-a AS (SELECT conv_id, turn, arg_max(origin, (direct, origin)) FILTER (direct > 0) AS answered, CAST(sum(n) AS BIGINT) AS n_linked FROM votes GROUP BY ALL),
-p AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
-own AS (SELECT conv_id, turn, regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY i), '^(?:[ \t\r]*\n)+', ''), '\s+$', '') AS own FROM said GROUP BY ALL)
+  SELECT conv_id, turn, level, origin, count(*) AS n FROM (
+    SELECT q.conv_id, q.turn, q.level, (SELECT max(o.turn) FROM said o WHERE o.conv_id = q.conv_id AND o.sentence = q.sentence AND o.turn < q.turn) AS origin FROM s q WHERE q.level > 0)
+  WHERE origin IS NOT NULL GROUP BY ALL),
+a AS (SELECT conv_id, turn, arg_max(origin, (-level, n, origin)) AS answered, CAST(sum(n) AS BIGINT) AS n_linked FROM votes GROUP BY ALL),
+b AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+own AS (SELECT conv_id, turn, regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY i), '^(?:[ \t\r]*\n)+', ''), '\s+$', '') AS own FROM l WHERE level = 0 GROUP BY ALL)
 SELECT c.conv_id, c.turn, c.role, coalesce(answered, previous) AS reply_to,
        coalesce(lpad(CAST(coalesce(answered, previous) + 1000000000000000000 AS VARCHAR), 19, '0'), repeat('0', 19)) || '.' || lpad(CAST(c.turn + 1000000000000000000 AS VARCHAR), 19, '0') AS reply_order,
-       n_quoted, CAST(max_level AS BIGINT) AS max_level, coalesce(n_linked, 0) AS n_linked, coalesce(own, '') AS own
-FROM conversations c JOIN m USING (conv_id, turn) JOIN p USING (conv_id, turn)
+       coalesce(n_quoted, 0) AS n_quoted, CAST(coalesce(max_level, 0) AS BIGINT) AS max_level, coalesce(n_linked, 0) AS n_linked, coalesce(own, '') AS own
+FROM conversations c JOIN b USING (conv_id, turn) LEFT JOIN m USING (conv_id, turn)
 LEFT JOIN a USING (conv_id, turn) LEFT JOIN own USING (conv_id, turn)
 """
 
@@ -98,8 +116,8 @@ START = 1_704_067_200  # 2024-01-01
 OP4_SQL = r"""
 WITH c AS (
   SELECT page_id, url, 1704067200 + (page_id * 7919) % 731 * 86400 + (page_id * 31) % 86400 AS fetched_at,
-         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '\.$', ''), '') AS host
-  FROM pages),
+         CASE WHEN length(name) BETWEEN 1 AND 253 THEN name END AS host
+  FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '\.$', '') AS name FROM pages)),
 x AS (SELECT regexp_replace(host, '^(?:www|blog|m)\.', '') AS domain, min(page_id) AS x FROM c WHERE host IS NOT NULL GROUP BY 1 HAVING min(page_id) % 4 <> 0),
 e AS (
   SELECT domain, ['malware', 'spam', 'adult'][1 + x % 3] AS category, 1704067200 + (x % 300) * 86400 AS since, 1704067200 + (x % 300 + 30 + x % 97) * 86400 AS until FROM x

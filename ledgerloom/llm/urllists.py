@@ -22,13 +22,14 @@ from ledgerloom.llm.common import neighbour
 BITS = 32
 FOREVER = (1 << BITS) - 1
 DAY = 86_400
+LONGEST = 253  # characters a host name may have
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL, or null."""
-    host = F.lower(F.regexp_extract(url, HOST, 1))
-    return F.when(host != "", F.regexp_replace(host, r"\.$", ""))
+    """The lower-case host of a URL, or null; what is longer than ``LONGEST`` characters is no host."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
+    return F.when(F.length(host).between(1, LONGEST), host)
 
 
 def domains_of(host: Column) -> Column:
@@ -95,8 +96,9 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", at_col:
     """``captures`` with ``verdict``: struct(host, blocked, domain, category, since, until).
 
     ``at_col`` holds epoch seconds. The entry reported is the one of the longest
-    domain, then of the first category by name. A null URL, a URL without a host or a
-    null time is never blocked. Repeated captures are judged alike and all stay; a
+    domain, then of the first category by name. A null URL, a URL without a host (one of
+    over 253 characters is none) or a null time is never blocked. Empty tables give
+    empty results, and a long URL costs its own length. Repeated captures are judged alike and all stay; a
     column that is already called ``verdict`` is replaced.
     """
     captures = captures.drop("verdict")

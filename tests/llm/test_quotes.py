@@ -26,6 +26,21 @@ def test_nested_quotes_find_their_messages(spark):
     assert all(order.index(found[1, t]["reply_to"]) < order.index(t) for t in (1, 2, 5, 6))
 
 
+def test_a_quotation_may_be_wrapped_anew_and_repeat(spark):
+    rows = [
+        (1, 0, "a", "The first sentence is rather long.\nThe second one is shorter. Yes!"),
+        (1, 1, "b", "Something else."),
+        (1, 2, "c", "> The first sentence\n> is rather  long. The second\n> one is shorter.\nI agree."),
+        (1, 3, "d", ">> The first sentence is rather long.\nOnly an ancestor is quoted."),
+        (1, 4, "e", "Something else."),
+        (1, 5, "f", "> Something else.\nThe later one."),
+        (1, 2000, "g", "> I agree.\n>\n>> Yes!\nSo do I."),
+    ]
+    found = linked(spark, rows)
+    assert [found[1, t]["reply_to"] for t in (2, 3, 5, 2000)] == [0, 0, 4, 2]
+    assert found[1, 2]["n_linked"] == 2 and found[1, 2000]["n_linked"] == 2 and found[1, 2000]["max_level"] == 2
+
+
 def test_many_turns_cross_stretches(spark):
     turns = [0, 1, 1023, 1024, 5000, 5001]
     found = linked(spark, [(1, t, "a", f"text {t}") for t in turns])
@@ -39,5 +54,5 @@ def test_odd_messages(spark):
     assert len(out) == len(rows)
     by = {(r["conv_id"], r["turn"]): r for r in out}
     assert by[1, 2]["n_quoted"] == 0 and by[1, 2]["own"] == "" and by[None, 1]["reply_to"] is None and by[1, None]["own"] == "own"
-    assert by[3, 2]["reply_to"] == -5 and by[4, 0]["n_quoted"] == 2000
+    assert by[3, 2]["reply_to"] == -5 and by[4, 0]["n_quoted"] == 1
     assert quotes.link(df.where("conv_id > 99")).count() == 0

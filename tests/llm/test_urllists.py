@@ -64,3 +64,10 @@ def test_odd_captures(spark):
     assert sorted((r["i"], r["verdict"]["blocked"]) for r in out.collect()) == [(1, False), (2, False), (3, False), (4, True), (4, True), (5, False), (6, False), (7, False)]
     assert urllists.judge(c.where("i < 0"), e).count() == 0
     assert urllists.judge(c, e.where("at < 0")).where("verdict.blocked").count() == 0
+
+
+def test_a_host_of_over_253_characters_is_none(spark):
+    host = ".".join(["a" * 49] * 5)  # 249 characters
+    rows = [(1, f"http://{host}/x"), (2, f"http://bbbb.{host}/x"), (3, "http://" + "a." * 200_000 + "com/")]
+    hosts = spark.createDataFrame(rows, "id long, url string").select("id", urllists.host_of(F.col("url")).alias("h")).collect()
+    assert {r["id"]: r["h"] for r in hosts} == {1: host, 2: None, 3: None}
