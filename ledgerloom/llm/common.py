@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.staging import shared_dir, staged
 
-__all__ = ["SPACE", "WORD", "documents", "free_name", "lower_ascii", "measured", "neighbour", "shared_dir", "small_batches", "staged", "text_or_empty"]
+__all__ = ["SPACE", "WORD", "documents", "free_name", "lower_ascii", "measured", "neighbour", "release", "released", "shared_dir", "small_batches", "staged", "text_or_empty"]
 
 #: ASCII white space, as the operators' contracts have it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -15,13 +20,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Send texts to Python in batches of 8 MB, whatever their lengths, unless the session has a size of its own.
+    """Send texts to Python in batches of 4 MB, whatever their lengths, unless the session has a size of its own.
 
     This sets the session's configuration and stays so; operators that call it say so in the README.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "64m"):  # Spark's default
-        spark.conf.set(key, "8m")
+        spark.conf.set(key, "4m")
+
+
+def release() -> None:
+    """Give memory that this Python worker no longer uses back to the system, where the C library can; idle workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a task's work on its batches, followed by :func:`release`."""
+
+    @wraps(run)
+    def of(batches):
+        yield from run(batches)
+        release()
+
+    return of
 
 
 def free_name(docs: DataFrame, stem: str) -> str:

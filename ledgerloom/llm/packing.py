@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches
+from ledgerloom.llm.common import released, small_batches
 
 WINDOW = 4096
 PIECES = "doc_id {id}, start long, length long, doc_tokens long, bucket int, ids binary, offset long"
@@ -129,13 +129,13 @@ def pack(
                         column.append(value)
                     start += n
                 held += len(data)
-                if held > 8_000_000:
+                if held > 4_000_000:
                     yield _batch(batch.column(0), rows)
                     rows, held = [[], [], [], [], [], []], 0
             if rows[0]:
                 yield _batch(batch.column(0), rows)
 
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, PIECES.format(id=kind.simpleString()))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(pieces), PIECES.format(id=kind.simpleString()))
     return out.withColumn("sequence_id", F.monotonically_increasing_id())
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches, staged
+from ledgerloom.llm.common import released, small_batches, staged
 
 #: Seed words of each symbol.
 INSULTS = "idiot moron stupid fool loser scum trash clown pathetic worthless disgusting imbecile dummkopf trottel arschloch crétin imbécile abruti idiota imbécil estúpido basura".split()
@@ -222,7 +222,7 @@ def counted(rows: DataFrame, longest: int, harmless: frozenset[str] = frozenset(
                 n.update(found if wanted is None else found & wanted)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["feature", "n"])
 
-    return rows.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(released(count), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(rows: DataFrame, rules: ToxicityRules) -> Lexicon:
@@ -247,7 +247,7 @@ def learn_lexicon(rows: DataFrame, rules: ToxicityRules) -> Lexicon:
             found = [sorted(word_features(t, longest, harmless) & wanted) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["found"])
 
-    left = [set(r[0]) for r in toxic.select("text").mapInArrow(sets, "found array<string>").collect()]  # at most rules.sample sets
+    left = [set(r[0]) for r in toxic.select("text").mapInArrow(released(sets), "found array<string>").collect()]  # at most rules.sample sets
     entries: dict[str, float] = {}
     while left:
         n = Counter(f for found in left for f in found)
@@ -276,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules
             found = [features(t, lexicon, machine) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], names=["x", "y"])
 
-    seen = rows.mapInArrow(run, "x array<double>, y int").groupBy("x", "y").count().collect()  # at most rules.sample rows
+    seen = rows.mapInArrow(released(run), "x array<double>, y int").groupBy("x", "y").count().collect()  # at most rules.sample rows
     prior = np.array([0.4, *[PRIOR[c] for c in CONTEXTS]])
     if not seen:
         return ToxicityModel(lexicon, prior.tolist(), -2.0)
@@ -312,7 +312,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "score", "features"])
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, f"doc_id {kind.simpleString()}, score double, features array<double>")
+    return named.mapInArrow(released(run), f"doc_id {kind.simpleString()}, score double, features array<double>")
 
 
 def scored(texts: Iterable[str | None], model: ToxicityModel, machine) -> tuple[list[list[float]], list[float]]:
@@ -327,6 +327,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, te
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
+    @released
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = model.lexicon.automaton()
         for texts in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import measured, small_batches, staged
+from ledgerloom.llm.common import measured, release, released, small_batches, staged
 from ledgerloom.llm.simhash import LOWER, SEED, components, hamming, keep_rows, rooted_classes
 
 SIZE = 5
@@ -163,7 +163,7 @@ def sketches(docs: DataFrame, size: int, width: int, number: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *plain, lists_of(blocks)], names=["doc_id", "fp", "n", "bits", "more", "blocks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(of, f"doc_id {kind}, fp long, n int, bits long, more long, blocks array<long>")
+    return docs.mapInArrow(released(of), f"doc_id {kind}, fp long, n int, bits long, more long, blocks array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFrame:
@@ -176,7 +176,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int, name: str) -> DataFram
 
     wanted = measured(staged(nodes.select(F.col("first_id").alias("wanted")).distinct(), f"{name}-ids"))
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = texts.select("text").mapInArrow(of, "fp long, grams array<long>").join(nodes.select("fp"), "fp", "left_semi")
+    sets = texts.select("text").mapInArrow(released(of), "fp long, grams array<long>").join(nodes.select("fp"), "fp", "left_semi")
     return staged(sets.groupBy("fp").agg(F.first("grams").alias("grams")), f"{name}-sets")
 
 
@@ -263,7 +263,9 @@ def family_links(docs: DataFrame, rooted: DataFrame, least: float, size: int, ch
     def links(group: pd.DataFrame) -> pd.DataFrame:
         heads = np.ascontiguousarray(group[["bits", "more"]].to_numpy(np.int64))
         side = None if group["i"].iat[0] == group["j"].iat[0] else (group["mine"] == group["j"]).to_numpy()
-        return pd.DataFrame(forest(group["fp"].to_numpy(np.int64), heads, group["grams"].tolist(), side, least), columns=["a", "b"])
+        edges = pd.DataFrame(forest(group["fp"].to_numpy(np.int64), heads, group["grams"].tolist(), side, least), columns=["a", "b"])
+        release()
+        return edges
 
     return staged(dealt.groupBy("root", "i", "j").applyInPandas(links, "a long, b long"), "wide-family-links")
 
@@ -309,7 +311,10 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float,
         if not len(some):
             return some[["a", "b"]]
         known = dict(zip(group["fp"].tolist(), group["grams"].tolist(), strict=True))
-        return some.loc[alike(some["a"].to_numpy(np.int64), some["b"].to_numpy(np.int64), known, least), ["a", "b"]]
+        good = alike(some["a"].to_numpy(np.int64), some["b"].to_numpy(np.int64), known, least)
+        del known
+        release()
+        return some.loc[good, ["a", "b"]]
 
     return dealt.groupBy("i", "j").cogroup(needed.groupBy("set_i", "set_j")).applyInPandas(check, "a long, b long")
 
@@ -353,6 +358,7 @@ def keep_one(docs: DataFrame, least: float = LEAST, size: int = SIZE, id_col: st
 
 def _fp(text: Column, size: int) -> Column:
     @F.pandas_udf("long")
+    @released
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([set_hash(shingles(t, size)) for t in texts], dtype="int64")
