@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import licences, mixing, packing, pii, quality, quotes, simhash, topk, toxicity, urllists
-from ledgerloom.llm.common import documents
+from ledgerloom.llm import clustering, licences, mixing, packing, pii, quality, quotes, simhash, tokenfile, topk, toxicity, urllists, whitening
+from ledgerloom.llm.common import documents, shared_dir
 
 
 def tokenizer_path() -> str:
@@ -204,6 +205,48 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op11_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.write(documents(spark, sf_dir), f"{shared_dir(spark)}/tokenfile-{uuid.uuid4().hex}", tokenizer_path())
+    return tokenfile.read(spark, path, with_ids=False)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed_order = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)
+    return clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), seed_order)
+
+
+def op13_sql(rounds: int = 10) -> str:
+    """Each round assigns and moves by plain sums over all dimensions; ``c0`` to ``c10`` are the rounds' centroids."""
+    nearest = lambda r: f"""
+  SELECT id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT e.id, k.c, CAST(sum((e.x - k.x) * (e.x - k.x)) AS BIGINT) AS d FROM e JOIN c{r} k USING (i) GROUP BY ALL) GROUP BY id"""
+    steps = "".join(
+        f"""
+a{r} AS MATERIALIZED ({nearest(r)}),
+c{r + 1} AS MATERIALIZED (
+  SELECT k.c, k.i, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, k.x) AS x
+  FROM c{r} k LEFT JOIN (SELECT a.c, e.i, CAST(sum(e.x) AS BIGINT) AS s, count(*) AS n FROM a{r} a JOIN e USING (id) GROUP BY ALL) m USING (c, i)),"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v),
+s AS (SELECT id, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS c FROM v),
+c0 AS MATERIALIZED (SELECT CAST(s.c AS INTEGER) AS c, e.i, e.x FROM s JOIN e USING (id) WHERE s.c < 8),{steps}
+f AS MATERIALIZED ({nearest(rounds)}),
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT v.vec_id, f.c AS cluster, f.d AS distance, CAST(sum(f.d) OVER (PARTITION BY f.c) AS BIGINT) AS cluster_inertia, CAST(sum(f.d) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+FROM f JOIN v USING (id) JOIN h ON h.c = f.c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotes": op1_quotes,
     "op2_topk": op2_topk,
@@ -215,5 +258,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_licences": op9_licences,
     "op10_quality": op10_quality,
+    "op11_tokenfile": op11_tokenfile,
+    "op12_whitening": op12_whitening,
+    "op13_clustering": op13_clustering,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quotes": OP1_SQL, "op2_topk": OP2_SQL, "op4_urllists": OP4_SQL, "op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quotes": OP1_SQL, "op2_topk": OP2_SQL, "op4_urllists": OP4_SQL, "op5_mixing": OP5_SQL, "op13_clustering": op13_sql()}
