@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,12 @@ class TextIds:
         return np.insert(ids, ends[1:], self.end_id), np.diff(ends) + 1
 
 
+@lru_cache(maxsize=1)
+def text_ids(path: str, end_id: int) -> TextIds:
+    """The encoder of this Python worker: its tokenizer and its bounded table of words serve all tasks that the worker runs."""
+    return TextIds(path, end_id)
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, block_ids: int = 65_536, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode ``docs`` and write them under ``path``, which must not exist; returns ``path``.
 
@@ -100,7 +107,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, bloc
     kind = docs.schema[id_col].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at, first = TextIds(tokenizer_path, end_id), TaskContext.get().partitionId(), 0, 0
+        encode, part, at, first = text_ids(tokenizer_path, end_id), TaskContext.get().partitionId(), 0, 0
         bits = encode.bits
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32())])
 
