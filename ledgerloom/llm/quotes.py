@@ -17,9 +17,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import lower_ascii, neighbour, text_or_empty
+from ledgerloom.llm.common import lower_ascii, neighbour, staged, text_or_empty
 
-MARKS = r"^(?:[ \t]{0,3}>)+"
+#: Repeated groups never give back what they took: the engine would recurse into them, once for each mark or line.
+MARKS = r"^(?:[ \t]{0,3}+>)++"
+BLANK_HEAD = r"^(?:[ \t\r]*+\n)++"
 #: The line that introduces a quotation, in four languages.
 ATTRIBUTION = r"(?i)^[ \t]*(?:on .{1,200} wrote|am .{1,200} schrieb .{0,100}|le .{1,200} a écrit|el .{1,200} escribió)[ \t]?:[ \t\r]*$"
 STRETCH = 1024
@@ -65,7 +67,7 @@ def _passages(lines: Column) -> Column:
 def _sentences(passage: Column) -> Column:
     """(level, hash) of the sentences of a passage."""
     parts = F.split(F.regexp_replace(passage, "([.!?]) ", f"$1{END}"), f"[{LEVEL}{END}]")
-    one = lambda p, s: F.struct(F.get(p, F.lit(0)).cast("int").alias("level"), F.md5(s.cast("binary")).alias("hash"))
+    one = lambda p, s: F.struct(F.get(p, F.lit(0)).cast("int").alias("level"), F.unhex(F.md5(s.cast("binary"))).alias("hash"))
     return _let(parts, lambda p: F.transform(F.slice(p, 2, F.size(p)), lambda s: one(p, s)))
 
 
@@ -75,7 +77,7 @@ def parsed(messages: DataFrame, text_col: str = "text") -> DataFrame:
     df = messages.withColumn("lines", _let(lines, _levelled))
     df = df.withColumn("sentences", F.flatten(F.transform(_let(F.col("lines"), _passages), _sentences)))
     text = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
-    own = F.regexp_replace(F.regexp_replace(text, r"^(?:[ \t\r]*\n)+", ""), r"\s+$", "")
+    own = F.rtrim(F.regexp_replace(text, BLANK_HEAD, ""), F.lit(" \t\n\u000b\f\r"))
     hashes = F.array_distinct(F.transform(F.filter("sentences", lambda x: x["level"] == 0), lambda x: x["hash"]))
     return df.withColumn("own", own).withColumn("own_hashes", hashes).withColumn("quoted", F.filter("sentences", lambda x: x["level"] > 0)).drop("lines", "sentences")
 
@@ -110,6 +112,8 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     stay, with one answer for the turn. Extra columns are not read.
     """
     df = parsed(messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))).drop("text")
+    levels = F.coalesce(F.array_max(F.transform("quoted", lambda q: q["level"])), F.lit(0))
+    df = staged(df.withColumns({"n_quoted": F.size("quoted").cast("long"), "max_level": levels.cast("long")}), "quotes-parsed")  # every text is parsed once
     key = ["conv_id", "turn"]
     placed = df.where("conv_id is not null and turn is not null")
     asked = placed.where(F.size("quoted") > 0).select(*key, F.explode("quoted").alias("q")).select(*key, "q.level", "q.hash")
@@ -120,8 +124,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     answers = votes.groupBy(*key).agg(F.max_by("origin", F.struct(-F.col("level"), "n", "origin")).alias("answered"), F.sum("n").alias("n_linked"))
     before = neighbour(placed.select(*key).distinct(), ["conv_id"], "turn", False, STRETCH, "previous")
     turns = before.join(answers, key, "left").select(*key, F.coalesce("answered", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
-    out = df.join(turns, key, "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long")))
+    out = df.drop("quoted", "own_hashes").join(turns, key, "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long")))
     digits = lambda c: F.lpad((c + 10**18).cast("string"), 19, "0")  # noqa: E731  turns may be negative
     order = F.concat(F.coalesce(digits(F.col("reply_to")), F.lit("0" * 19)), F.lit("."), digits(F.col("turn")))
-    levels = F.coalesce(F.array_max(F.transform("quoted", lambda q: q["level"])), F.lit(0))
-    return out.select("conv_id", "turn", "role", "reply_to", order.alias("reply_order"), F.size("quoted").cast("long").alias("n_quoted"), levels.cast("long").alias("max_level"), "n_linked", "own")
+    return out.select("conv_id", "turn", "role", "reply_to", order.alias("reply_order"), "n_quoted", "max_level", "n_linked", "own")

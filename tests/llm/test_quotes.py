@@ -56,3 +56,12 @@ def test_odd_messages(spark):
     assert by[1, 2]["n_quoted"] == 0 and by[1, 2]["own"] == "" and by[None, 1]["reply_to"] is None and by[1, None]["own"] == "own"
     assert by[3, 2]["reply_to"] == -5 and by[4, 0]["n_quoted"] == 1
     assert quotes.link(df.where("conv_id > 99")).count() == 0
+
+
+def test_long_runs_of_marks_blanks_and_empty_lines(spark):
+    n = 100_000
+    marks, blanks = ">" * n + " deep", "x" + " " * n + "y\n" + " \t" * n
+    rows = [(1, 0, "a", marks), (1, 1, "a", "> " * n + "deep"), (1, 2, "a", "\n" * n + "own"), (1, 3, "a", " \r\n" * n), (1, 4, "a", blanks), (1, 5, "a", (" " * n + "\n") * 3 + "on " * n + ":")]
+    found = linked(spark, rows)
+    assert found[1, 0]["max_level"] == found[1, 1]["max_level"] == n and found[1, 0]["n_quoted"] == 1
+    assert found[1, 2]["own"] == "own" and found[1, 3]["own"] == "" and found[1, 4]["own"] == "x" + " " * n + "y"
