@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, predicates, text
+from ledgerloom.staging import staged
 
 PAGE = ["file", "page"]
 CODE = "(?:" + "|".join(money.ISO) + ")"
@@ -13,18 +14,84 @@ DMY = r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
 FIGURE = r"-?\(?[0-9]{1,3}(?:[ ,][0-9]{3})*(?:[.,][0-9]{2})?\)?|-?\(?[0-9]+(?:[.,][0-9]{2})?\)?"
 
 
-def unwrap(pages: DataFrame) -> DataFrame:
-    """``pages`` with hard-wrapped lines joined: cents, currencies, dates and amounts that stand alone."""
-    rules = [
-        (r"([0-9])\.?[ \t]*\n[ \t]*([0-9]{2})[ \t]*(?=\n|$)", "$1.$2"),  # 123 / 45
-        (rf"[ \t]*\n[ \t]*({CODE})[ \t]*\n[ \t]*({FIGURE})[ \t]*(?=\n|$)", " $1 $2"),  # currency, then amount
-        (rf"({CODE})[ \t]*\n[ \t]*({DMY}|{FIGURE})", "$1 $2"),  # line ends in a currency
-        (rf"({DMY})[ \t]*\n[ \t]*(?=[A-Za-z])", "$1 "),  # line ends in a date
+#: What a line may be, by the letter that stands for it in its code; a code has one place for each, in this order.
+LINE_KINDS = {
+    "t": r"^\s*[0-9]{2}\s*$",  # two digits
+    "i": r"^\s*[0-9]{1,3}\s*$",  # a small whole number
+    "a": r"^\s*[-(]?\s*[0-9]{1,3}(?:[ ,.]?[0-9]{3})*(?:[.,][0-9]{2})?\)?\s*$",  # an amount alone
+    "k": rf"(?i)^\s*{CODE}\s*$",  # a currency alone
+    "e": rf"(?i)(?:^|[^A-Za-z]){CODE}\s*$",  # ends in a currency
+    "d": rf"^\s*{DMY}\b",  # begins with a date
+    "z": rf"{DMY}\s*$",  # ends in a date
+    "h": rf"(?i){CODE}\s+{DMY}",  # holds a currency and a date behind it
+    "n": r"(?:^|[^0-9.,/:-])[0-9][0-9,]*[0-9]\s*$",  # ends in a whole number of two digits or more
+    "s": rf"^\s*$|{predicates.TABLE_HEADER}|(?i)^\s*(?:{predicates.TOTAL_PHRASES})\b",  # blank, heading or total: nothing is read across it
+}
+
+
+def _like(kinds: str, without: str = "") -> str:
+    """A pattern for the code of a line that is all of ``kinds`` and none of ``without``."""
+    return "".join(k if k in kinds else f"[^{k}]" if k in without else "." for k in LINE_KINDS)
+
+
+def _wrapping() -> str:
+    """How many lines belong together, as a pattern over the codes of a page's lines; the first form that fits counts."""
+    cents, amount, code, text_ = _like("t"), _like("a"), _like("k"), _like("", "aks")
+    amounts = f"(?:{_like('an')}{cents}|{amount})*+"
+    forms = [
+        f"{_like('zh')}{code}{amounts}",  # row head up to its date, currency, amounts
+        f"{_like('z')}(?:{text_}){{1,3}}{code}{amount}",  # date, up to three lines of text, currency, amount
+        f"{_like('z')}{code}(?:{amount})?",  # date, currency, perhaps amount
+        f"{_like('e')}(?:{_like('dn')}{cents}|{_like('d')}{amounts})",  # currency, date and what follows
+        f"{_like('hn')}{cents}",  # row whose cents are below
+        f"{_like('h')}{amounts}",  # row whose amount is below
+        f"{_like('i')}{cents}",  # 55 / 28
+        f"{_like('n')}{cents}",  # ... 867 / 60
+        f"{_like('e')}(?:{_like('an')}{cents}|{amount})",  # ... SGD / 12.00
+        f"{text_}{code}{amount}",  # text, currency, amount
     ]
-    out = F.regexp_replace("text", r"\r\n?", "\n")
-    for pattern, joined in rules:
-        out = F.regexp_replace(out, pattern, joined)
-    return pages.withColumn("text", out)
+    return "(" + "|".join(forms) + f"|.{{{len(LINE_KINDS)}}})"
+
+
+def _wrapped(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``lines``: (line_no, last_no, line) of its lines with hard-wrapped ones joined.
+
+    Every line is classified once, and one pass over the classes tells which lines
+    belong together. Cents are joined by a dot, everything else by a blank; a line that
+    isn't joined stays as it is, but for cents a blank apart at its end. A date's year
+    is no amount that cents could follow.
+    """
+    width = len(LINE_KINDS)
+    code = lambda c: F.concat(*[F.when(c.rlike(p) & (F.lit(True) if k != "n" else ~c.rlike(LINE_KINDS["z"])), k).otherwise("-") for k, p in LINE_KINDS.items()])
+    df = pages.withColumn("raw", F.split(F.translate(F.coalesce("text", F.lit("")), "\u00a0\u2007\u202f", "   "), r"\R")).withColumn("codes", F.transform("raw", code))
+    runs = F.regexp_extract_all(F.array_join("codes", ""), F.lit(_wrapping()), F.lit(1))
+    begins = F.flatten(F.transform(runs, lambda r: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), (F.length(r) / width).cast("int") - 1))))
+    df = df.withColumn("begins", begins)
+    zipped = F.arrays_zip("raw", "codes", "begins", F.concat(F.array(F.lit("")), "codes").alias("before"), F.concat(F.slice("begins", 2, F.greatest(F.size("begins") - 1, F.lit(0))), F.array(F.lit(True))).alias("ends"))
+    cents = lambda x: F.startswith(x["codes"], F.lit("t")) & F.contains(x["before"], F.lit("n"))
+
+    def piece(x: Column) -> Column:
+        head = F.when(x["ends"], x["raw"]).otherwise(F.rtrim(x["raw"]))
+        return F.when(x["begins"], F.concat(F.lit("\n"), head)).when(cents(x), F.concat(F.lit("."), F.trim(x["raw"]))).otherwise(F.concat(F.lit(" "), F.trim(x["raw"])))
+
+    df = df.withColumn("joined", F.split(F.array_join(F.transform(F.filter(zipped, lambda x: x["raw"].isNotNull()), piece), ""), "\n"))
+    starts = F.filter(F.transform("begins", lambda b, i: F.when(b, i)), lambda i: i.isNotNull())
+    df = df.withColumns({"starts": starts, "n": F.size("raw")})
+    line = F.arrays_zip(F.col("starts").alias("line_no"), F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array("n")).alias("next_no"), F.slice("joined", 2, F.greatest(F.size("joined") - 1, F.lit(0))).alias("line"))
+    apart = lambda c: F.regexp_replace(c, r"(?<![0-9.,/:-])([0-9]{2,})[ \t]+([0-9]{2})[ \t]*$", "$1.$2")
+    whole = F.transform(line, lambda x: F.struct(x["line_no"].alias("line_no"), (x["next_no"] - 1).alias("last_no"), apart(x["line"]).alias("line")))
+    return df.withColumn("lines", whole).drop("raw", "codes", "begins", "joined", "starts", "n")
+
+
+def wrapped_lines(pages: DataFrame) -> DataFrame:
+    """(file, page, line_no, last_no, line): a page's lines with hard-wrapped ones joined; ``line_no`` and ``last_no`` are lines of the page."""
+    return _wrapped(pages).select(*PAGE, F.inline("lines"))
+
+
+def unwrap(pages: DataFrame) -> DataFrame:
+    """``pages`` with hard-wrapped lines joined: :func:`wrapped_lines` as text again."""
+    joined = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    return _wrapped(pages).withColumn("text", joined).drop("lines")
 
 
 def lines_of(pages: DataFrame) -> DataFrame:
@@ -32,6 +99,11 @@ def lines_of(pages: DataFrame) -> DataFrame:
     return pages.select(*PAGE, F.posexplode(F.split("text", r"\R")).alias("line_no", "line"))
 
 
+def line_order():
+    """A page's lines from top to bottom."""
+    return Window.partitionBy(*PAGE).orderBy("line_no")
+
+
 def with_context(lines: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
     """Non-blank lines with ``prev1``, ``prev2``... and ``next1``... of the same page."""
     order = Window.partitionBy(*PAGE).orderBy("line_no")
@@ -40,6 +112,12 @@ def with_context(lines: DataFrame, before: int = 1, after: int = 1) -> DataFrame
     return df.withColumns(near)
 
 
+def _last(lines: DataFrame, below: Column | None = None) -> Column:
+    """The last line of the page that a line of ``lines`` reaches; that of the line behind it where ``below``."""
+    own = F.col("last_no" if "last_no" in lines.columns else "line_no")
+    return own if below is None else F.when(below, F.lead(own).over(Window.partitionBy(*PAGE).orderBy("line_no"))).otherwise(own)
+
+
 def receipt_rows(lines: DataFrame) -> DataFrame:
     """(file, page, line_no, date, currency, description, amount, form) of one-line receipts.
 
@@ -69,9 +147,9 @@ def stacked_receipts(lines: DataFrame) -> DataFrame:
     before them ends the receipt. A further date line in between is text.
     """
     order = Window.partitionBy(*PAGE).orderBy("line_no")
-    onward = order.rowsBetween(0, Window.unboundedFollowing)
+    onward = Window.partitionBy(*PAGE).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)  # from the end: a frame that only grows
     next_at = lambda c: F.min(F.when(c, F.col("line_no"))).over(onward)
-    df = with_context(lines, 0, 1)
+    df = with_context(lines, 0, 1).withColumn("next_no", F.lead("line_no").over(order))
     pair = F.col("line").rlike(rf"(?i)^{CODE}$") & F.col("next1").rlike(r"^[0-9]{1,7}[.,][0-9]{2}$")
     df = df.withColumn("pair_at", next_at(pair)).withColumn("stop_at", next_at(predicates.is_table_header(F.col("line")) | predicates.is_total_row(F.col("line"))))
     begins = F.col("line").rlike(rf"^{DMY}$") & (F.col("stop_at").isNull() | (F.col("pair_at") < F.col("stop_at")))
@@ -79,20 +157,24 @@ def stacked_receipts(lines: DataFrame) -> DataFrame:
     df = df.withColumn("start", F.min(F.when(begins, F.col("line_no"))).over(Window.partitionBy(*PAGE, "pair_at"))).where("line_no >= start")
     words = F.array_sort(F.collect_list(F.when((F.col("line_no") > F.col("start")) & (F.col("line_no") < F.col("pair_at")), F.struct("line_no", "line"))))
     only = lambda c, at: F.max(F.when(F.col("line_no") == F.col(at), F.col(c)))
-    df = df.groupBy(*PAGE, "start", "pair_at").agg(words.alias("words"), only("line", "start").alias("day"), only("line", "pair_at").alias("code"), only("next1", "pair_at").alias("figure")).where(F.size("words") > 0)
+    df = df.groupBy(*PAGE, "start", "pair_at").agg(words.alias("words"), only("line", "start").alias("day"), only("line", "pair_at").alias("code"), only("next1", "pair_at").alias("figure"), only("next_no", "pair_at").alias("last_no")).where(F.size("words") > 0)
     description = text.spaced(F.array_join(F.transform("words", lambda w: w["line"]), " "))
-    return df.select(*PAGE, F.col("start").alias("line_no"), dates.parse_date(F.col("day")).alias("date"), F.upper("code").alias("currency"), description.alias("description"), money.parse_amount(F.col("figure")).alias("amount"))
+    return df.select(*PAGE, F.col("start").alias("line_no"), dates.parse_date(F.col("day")).alias("date"), F.upper("code").alias("currency"), description.alias("description"), money.parse_amount(F.col("figure")).alias("amount"), "last_no")
 
 
 def dual_currency_due(lines: DataFrame) -> DataFrame:
-    """(file, page, line_no, amount) in SGD where an amount due is given in USD and SGD, on a line or across two; once per match."""
+    """(file, page, line_no, last_no, amount) in SGD where an amount due is given in USD and SGD, on a line or across two; once per match."""
     figure = r"[$€£¥]?\s*(?<![0-9,.])([0-9]{1,3}(?:,[0-9]{3})+\.[0-9]{2}|[0-9]+\.[0-9]{2})"
     pattern = rf"(?i)\bamount\s+due\b.*?{figure}\s*USD.*?{figure}\s*SGD"
     df = with_context(lines, 0, 1)
     joined = F.concat_ws(" ", "line", "next1")
     crossing = ~F.col("line").rlike(pattern) & joined.rlike(pattern) & ~F.coalesce(F.col("next1").rlike(pattern), F.lit(False))
     hit = F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 2)).when(crossing, F.regexp_extract(joined, pattern, 2))
-    return df.withColumn("hit", hit).where("hit is not null").select(*PAGE, "line_no", money.parse_amount(F.regexp_replace("hit", ",", "")).alias("amount"))
+    return df.withColumns({"hit": hit, "ends": _last(lines, crossing)}).where("hit is not null").select(*PAGE, "line_no", F.col("ends").alias("last_no"), money.parse_amount(F.regexp_replace("hit", ",", "")).alias("amount"))
+
+
+#: A currency or an amount, as they are taken out of a line to leave its text.
+BARE = rf"(?i)(?:\b{CODE}\b|[A-Z]{{0,2}}[$€£¥])|\(?-?[0-9][0-9,]*\.[0-9]{{2}}\)?"
 
 
 def trailing_totals(lines: DataFrame, page: str = "SGD") -> DataFrame:
@@ -107,41 +189,77 @@ def trailing_totals(lines: DataFrame, page: str = "SGD") -> DataFrame:
     second = F.when(stop(one) | stop(two) | enough(first), first).otherwise(F.trim(F.concat_ws(" ", usable(two), first)))
     third = F.when(stop(one) | stop(two) | stop(three) | enough(second), second).otherwise(F.trim(F.concat_ws(" ", usable(three), second)))
     described = F.coalesce(text.null_if_empty(text.spaced(third)), F.lit("Item Total"))
-    return df.select(*PAGE, "line_no", F.left(described, F.lit(160)).alias("description"), "pick.currency", "pick.amount").where(money.nonzero(F.col("amount")))
+    return df.select(*PAGE, "line_no", _last(lines).alias("last_no"), F.left(described, F.lit(160)).alias("description"), "pick.currency", "pick.amount").where(money.nonzero(F.col("amount")))
 
 
 def labelled_amounts(lines: DataFrame, page: str = "SGD") -> DataFrame:
-    """(file, page, line_no, kind, currency, amount): totals and items named on a line, the line before or behind it."""
+    """(file, page, line_no, last_no, kind, description, currency, amount): totals and items named on a line whose amount stands there or on the next; the text is the name."""
     df = with_context(lines, 1, 1)
     total = predicates.says_total(F.col("line"))
     item = F.col("line").rlike(predicates.ITEM_LABEL) & ~total
-    df = df.withColumn("kind", F.when(total, "total").when(item, "item")).where("kind is not null")
     here, below = money.amounts(F.col("line"), F.lit(page)), money.amounts(F.coalesce("next1", F.lit("")), F.lit(page))
+    df = df.withColumn("last_no", _last(lines, F.size(here) == 0))
+    df = df.withColumn("kind", F.when(total, "total").when(item, "item")).where("kind is not null")
     df = df.withColumn("found", F.when(F.size(here) > 0, here).otherwise(below)).where(F.size("found") > 0)
     df = df.withColumn("pick", money.best_amount(F.col("line"), F.col("found"), F.lit(page)))
-    return df.select(*PAGE, "line_no", "kind", "pick.currency", "pick.amount").where(money.nonzero(F.col("amount")))
+    named = F.left(text.spaced(F.regexp_replace(F.regexp_replace("line", BARE, " "), r"[\s:;,.=-]+$", "")), F.lit(160))
+    return df.select(*PAGE, "line_no", "last_no", "kind", named.alias("description"), "pick.currency", "pick.amount").where(money.nonzero(F.col("amount")))
+
 
+FREE_FIGURE = rf"(?<![\w.,/-])((?:{CODE}\s+)[0-9]{{1,3}}(?:,?[0-9]{{3}})*\.[0-9]{{2}})(?![\w/])"
 
-def dated_amounts(pages: DataFrame, reach: int = 800, page: str = "SGD") -> DataFrame:
-    """(file, page, n, amount, currency, date): amounts of free text with the nearest date within ``reach`` characters.
 
-    Equally near: the first; none near: the page's last date.
+def dated_amounts(pages: DataFrame, reach: int = 800) -> DataFrame:
+    """(file, page, n, amount, currency, date, at, line_no, left): amounts of free text with the nearest date within ``reach`` characters.
+
+    Equally near: the first; none near: the page's last date. Dates and amounts are cut
+    out of a page in one pass; the last date before and the next behind an amount come
+    from two running windows, so a page costs a sort of its pieces. ``left`` is what
+    stands before the amount on its line, behind any date or amount there.
+    """
+    one, two, three = "\u0001", "\u0002", "\u0003"  # before a date, before an amount, behind either
+    marked = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), f"({dates.DATE_TOKEN})", f"{one}$1{three}"), FREE_FIGURE, f"{two}$1{three}")
+    parts = pages.select(*PAGE, F.posexplode(F.split(marked, f"(?=[{one}{two}])|{three}")).alias("k", "part"))
+    order = Window.partitionBy(*PAGE).orderBy("k")
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*PAGE).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)  # from the end: a frame that only grows
+    kind = F.left("part", F.lit(1))
+    parts = parts.withColumn("said", F.regexp_replace("part", f"^[{one}{two}]", "")).withColumn("broken", F.length("said") - F.length(F.replace("said", F.lit("\n"))))
+    parts = parts.withColumns({"at": F.coalesce(F.sum(F.length("said")).over(so_far), F.lit(0)), "line_no": F.coalesce(F.sum("broken").over(so_far), F.lit(0)).cast("int")})
+    day = F.when(kind == one, F.struct("at", "said"))
+    parts = parts.withColumns({"past": F.last(day, ignorenulls=True).over(so_far), "next": F.last(day, ignorenulls=True).over(behind), "text_before": F.lag("said").over(order), "kind_before": F.lag(kind).over(order)})
+    figures = parts.where(kind == two).withColumn("n", F.row_number().over(order) - 1)
+    near = lambda c: F.when(F.abs(F.col(f"{c}.at") - F.col("at")) <= reach, F.struct(F.abs(F.col(f"{c}.at") - F.col("at")).alias("apart"), F.col(f"{c}.at").alias("at"), F.col(f"{c}.said").alias("said")))
+    ending = parts.where(kind == one).groupBy(*PAGE).agg(F.max_by("said", "k").alias("ending"))
+    found = figures.join(ending, PAGE, "left")
+    picked = F.least(near("past"), near("next"))["said"]
+    amount = money.parse_amount(F.regexp_replace(F.regexp_extract("said", r"([0-9][0-9,]*\.[0-9]{2})", 1), ",", ""))
+    left = F.when(F.coalesce(F.col("kind_before").isin(one, two), F.lit(True)), "").otherwise(F.element_at(F.split("text_before", "\n"), -1))
+    return found.select(*PAGE, "n", amount.alias("amount"), F.left("said", F.lit(3)).alias("currency"), dates.parse_date(F.coalesce(picked, "ending")).alias("date"), "at", "line_no", left.alias("left"))
+
+
+def free_text_items(pages: DataFrame) -> DataFrame:
+    """(file, page, line_no, description, currency, amount, date, source) of amounts in running text.
+
+    The text is what stands left of the amount; while it has no two telling words, the
+    line above and then the line below are taken in, unless they are headings, totals
+    or side costs. Side costs themselves are no items, but totals are (``summary_total``).
     """
-    parts = F.split(F.regexp_replace("text", f"({dates.DATE_TOKEN})", "\u0001$1\u0002"), "[\u0001\u0002]")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<at:int,d:string>>").alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), p.alias("d"))))).otherwise(acc["out"]).alias("out"))
-    df = pages.withColumn("days", F.aggregate(parts, zero, step, lambda acc: acc["out"]))
-    marked = F.split(F.regexp_replace("text", rf"(?<![\w.,/-])((?:{CODE}\s+)[0-9]{{1,3}}(?:,?[0-9]{{3}})*\.[0-9]{{2}})(?![\w/])", "\u0001$1\u0002"), "[\u0001\u0002]")
-    df = df.withColumn("figures", F.aggregate(marked, zero, step, lambda acc: acc["out"]))
-    df = df.select(*PAGE, "days", F.posexplode("figures").alias("n", "f"))
-    near = F.array_min(F.transform(F.filter("days", lambda d: F.abs(d["at"] - F.col("f.at")) <= reach), lambda d: F.struct(F.abs(d["at"] - F.col("f.at")).alias("apart"), d["at"].alias("at"), d["d"].alias("d"))))
-    day = F.coalesce(near["d"], F.get(F.reverse("days"), 0)["d"])
-    amount = money.parse_amount(F.regexp_replace(F.regexp_extract("f.d", r"([0-9][0-9,]*\.[0-9]{2})", 1), ",", ""))
-    return df.select(*PAGE, "n", amount.alias("amount"), F.left("f.d", F.lit(3)).alias("currency"), dates.parse_date(day).alias("date"))
+    order = Window.partitionBy(*PAGE).orderBy("line_no")
+    lines = lines_of(pages).withColumn("line", F.trim("line")).withColumns({"above": F.lag("line").over(order), "below": F.lead("line").over(order)})
+    found = dated_amounts(pages).join(lines, [*PAGE, "line_no"])
+    good = lambda c: (F.size(text.tokens(c)) >= 2) & (F.length(c) >= 12)
+    bare = lambda c: c.isNotNull() & (c != "") & ~(predicates.is_table_header(c) | predicates.is_total_row(c) | predicates.is_side_cost(c))
+    own = text.compact_description(F.col("left"), 2, 12, 64)
+    one = F.when(good(own) | ~bare(F.col("above")), own).otherwise(F.concat_ws(" ", "above", own))
+    two = F.when(good(one) | ~bare(F.col("below")), one).otherwise(F.concat_ws(" ", one, F.col("below")))
+    found = found.withColumn("description", F.left(text.spaced(two), F.lit(160))).withColumn("total", predicates.says_total(F.col("description")))
+    kept = (F.col("description") != "") & (F.col("total") | ~predicates.is_side_cost(F.col("description"))) & money.nonzero(F.col("amount"))
+    return found.where(kept).select(*PAGE, "line_no", "description", "currency", "amount", "date", F.when(F.col("total"), "summary_total").otherwise("summary").alias("source"))
 
 
 def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
-    """(file, page, line_no, description, currency, amount, source, parent_line) of money lines without columns.
+    """(file, page, line_no, last_no, description, currency, amount, source, parent_line) of money lines without columns.
 
     ``text_row``: a line with an amount in a named currency; its text is what stands
     left of the amount, and grows upwards until it has two telling words.
@@ -158,7 +276,7 @@ def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
     df = df.withColumn("part", F.coalesce(inside, F.lit(False)))
     near = {f"prev{k}": F.lag("line", k).over(order) for k in (1, 2)} | {"next_line": F.lead("line").over(order), "next_found": F.lead("found").over(order)}
     df = df.withColumns(near).withColumn("total", predicates.says_total(F.col("line")))
-    df = df.withColumn("below", F.col("total") & (F.size("found") == 0) & (F.size("next_found") > 0))
+    df = df.withColumn("below", F.col("total") & (F.size("found") == 0) & (F.size("next_found") > 0)).withColumn("ends", _last(lines, F.col("below")))
     df = df.withColumn("pick", money.best_amount(F.col("line"), F.when(F.col("below"), F.col("next_found")).otherwise(F.col("found")), F.lit(page)))
     taken = F.coalesce(F.lag("below").over(order), F.lit(False))
     hint = F.col("line").rlike("(?i)" + CODE + r"|[$€£¥]")
@@ -166,7 +284,7 @@ def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
     df = df.withColumn("row", F.coalesce(row, F.lit(False)))
     parent = F.last(F.when(F.col("row"), F.struct("line_no", "pick.amount")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("parent", parent)
-    bare = F.trim(F.regexp_replace("line", rf"(?i)(?:\b{CODE}\b|[A-Z]{{0,2}}[$€£¥])|\(?-?[0-9][0-9,]*\.[0-9]{{2}}\)?", " "))
+    bare = F.trim(F.regexp_replace("line", BARE, " "))
     usable = lambda c: c.isNotNull() & (c != "") & ~(predicates.is_table_header(c) | predicates.is_total_row(c) | predicates.is_side_cost(c)) & (F.size(money.amounts(c, F.lit(page))) == 0)
     good = lambda c: F.size(text.tokens(c)) >= 2
     one = F.when(good(bare) | ~usable(F.col("prev1")), bare).otherwise(F.concat_ws(" ", "prev1", bare))
@@ -175,7 +293,7 @@ def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
     echo = F.abs(F.col("pick.amount") - F.col("parent.amount")) <= 0.005
     source = F.when(F.col("part"), F.when(echo, "text_row|echo").otherwise("text_row|alloc_part")).otherwise(F.when(F.col("total"), "text_row_total").otherwise("text_row"))
     wanted = (F.col("row") & (good(described) | F.col("total"))) | (F.col("part") & F.col("pick").isNotNull() & F.col("parent").isNotNull())
-    return df.where(wanted).select(*PAGE, "line_no", described.alias("description"), "pick.currency", "pick.amount", source.alias("source"), F.when(F.col("part"), F.col("parent.line_no")).alias("parent_line"))
+    return df.where(wanted).select(*PAGE, "line_no", F.col("ends").alias("last_no"), described.alias("description"), "pick.currency", "pick.amount", source.alias("source"), F.when(F.col("part"), F.col("parent.line_no")).alias("parent_line"))
 
 
 def header_table(lines: DataFrame, reach: int = 79, page: str = "SGD") -> DataFrame:
@@ -269,6 +387,27 @@ def layout_rows(words: DataFrame, page: str = "SGD", band: float = 15.0) -> Data
 # Items
 
 
+def claimed(found: DataFrame) -> DataFrame:
+    """Of ``found`` (file, page, item, claim, line_no, last_no, ...) what is left when every line of a page serves one extractor.
+
+    In the order of ``claim``, an item whose lines are all free, or taken by items of its
+    own claim, takes them; any other is withheld and takes nothing. Claims settle in
+    rounds over (page, line), each round one table; there are no more rounds than extractors.
+    """
+    waiting, kept = staged(found, "claims"), None
+    place = [*PAGE, "taken"]
+    while not waiting.isEmpty():
+        spread = waiting.select(*PAGE, "item", "claim", F.explode(F.sequence("line_no", "last_no")).alias("taken"))
+        top = spread.withColumn("top", F.min("claim").over(Window.partitionBy(*place)))
+        first = top.groupBy("item").agg(F.bool_and(F.col("claim") == F.col("top")).alias("free")).where("free").select("item")
+        won = staged(waiting.join(first, "item", "left_semi"), "claims-won")
+        kept = won if kept is None else kept.unionByName(won)
+        gone = won.select(*PAGE, "claim", F.explode(F.sequence("line_no", "last_no")).alias("taken")).distinct().withColumnRenamed("claim", "by")
+        barred = spread.join(gone, place).where(F.col("by") != F.col("claim")).select("item").distinct()
+        waiting = staged(waiting.join(won.select("item"), "item", "left_anti").join(barred, "item", "left_anti"), "claims")
+    return waiting if kept is None else kept
+
+
 def first_seen(items: DataFrame) -> DataFrame:
     """Items without repeats of (amount, description) in a file; the first emitted stays."""
     key = F.trim(F.regexp_replace(F.lower("description"), r"\s+", " "))

@@ -1,40 +1,88 @@
-"""Pages of text to the line-item relation: all extractors, tagged, without repeats."""
+"""Pages of text to the line-item relation: all extractors, each line claimed once, tagged, without repeats."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import ReconcileConfig
-from ledgerloom.functions import dates, money, text
+from ledgerloom.functions import dates, money, predicates, text
 from ledgerloom.operators import extract, netting
+from ledgerloom.staging import staged
 
+#: Who may claim a line first. Receipts have forms of their own and come before the readers of looser text.
+RANKS = ["receipt", "stack", "dual", "trailing", "table", "layout", "ragged", "named", "free", "bare"]
+FOUND = ["file", "page", "claim", "line_no", "last_no", "date", "description", "currency", "amount", "source", "parent_line"]
 
-def line_items(pages: DataFrame, config: ReconcileConfig = ReconcileConfig(), default_currency: str = "SGD") -> DataFrame:
-    """(docno, file, page, line_no, date, description, currency, cents, source, in_period, net_zero_pair) of all pages.
 
-    Extractors run on the same lines and are tagged by ``source``; of items alike in
-    amount and description a file keeps the first by page, line and source. Amounts
-    of zero go. A page's own date stays with its items.
+def _tagged(df: DataFrame, rank: str, source: Column | None = None) -> DataFrame:
+    """``df`` in the shape of ``FOUND``: what an extractor doesn't tell is null, a line ends where it begins."""
+    more = {"last_no": F.col("line_no"), "date": F.lit(None).cast("date"), "currency": F.lit(None).cast("string"), "parent_line": F.lit(None).cast("int")}
+    df = df.withColumns({c: v for c, v in more.items() if c not in df.columns} | {"claim": F.lit(RANKS.index(rank))})
+    return (df if source is None else df.withColumn("source", source)).select(*FOUND)
+
+
+def found_items(pages: DataFrame, default_currency: str = "SGD", words: DataFrame | None = None) -> DataFrame:
+    """What every extractor finds on ``pages`` (file, page, text), lines claimed (``extract.claimed``).
+
+    Receipts and tables are read from the lines as they are, everything else from lines
+    whose hard wraps are mended. Amounts without a currency have the page's. ``words``
+    are the positioned words of pages, for tables that only their layout shows.
     """
-    lines = extract.lines_of(extract.unwrap(pages))
-    key = ["file", "page", "line_no"]
-    day, code = F.lit(None).cast("date"), F.lit(default_currency)
-    found = [
-        extract.receipt_rows(lines).where("form <> 'bare'").select(*key, "date", "description", F.coalesce("currency", code).alias("currency"), "amount", F.lit("receipt_row").alias("source")),
-        extract.stacked_receipts(lines).select(*key, "date", "description", "currency", "amount", F.lit("receipt_stack").alias("source")),
-        extract.dual_currency_due(lines).select(*key, day.alias("date"), F.lit("Amount due").alias("description"), F.lit("SGD").alias("currency"), "amount", F.lit("kv_total").alias("source")),
-        extract.trailing_totals(lines, default_currency).select(*key, day.alias("date"), "description", "currency", "amount", F.lit("trail_total").alias("source")),
+    pages = pages.select("file", "page", "text").withColumn("page_currency", money.page_currency(F.col("text"), default_currency))
+    currency = pages.select("file", "page", "page_currency")
+    raw = staged(extract.lines_of(pages), "items-lines")
+    joined = staged(extract.wrapped_lines(pages).join(currency, ["file", "page"]), "items-joined")
+    own, word = F.col("page_currency"), lambda s: F.lit(s)
+    total = lambda name: F.concat(F.lit(name), F.when(predicates.says_total(F.col("description")), "_total").otherwise(""))
+    receipts = extract.receipt_rows(raw)
+    numbered = extract.free_text_items(extract.unwrap(pages))
+    whole = joined.withColumn("at", F.row_number().over(extract.line_order()) - 1).select("file", "page", "at", F.col("line_no").alias("first_no"), "last_no")
+    free = numbered.join(whole, (numbered["file"] == whole["file"]) & (numbered["page"] == whole["page"]) & (numbered["line_no"] == whole["at"])).select(numbered["file"], numbered["page"], F.col("first_no").alias("line_no"), "last_no", "date", "description", "currency", "amount", "source")
+    every = [
+        _tagged(receipts.where("form <> 'bare'"), "receipt", word("receipt_row")),
+        _tagged(extract.stacked_receipts(raw), "stack", word("receipt_stack")),
+        _tagged(extract.dual_currency_due(joined).withColumns({"description": F.lit("Amount due"), "currency": F.lit("SGD")}), "dual", word("kv_total")),
+        _tagged(extract.trailing_totals(joined, own), "trailing", word("trail_total")),
+        _tagged(extract.header_table(raw.join(currency, ["file", "page"]), page=own), "table", total("table")),
+        _tagged(extract.ragged_rows(joined, own), "ragged"),
+        _tagged(extract.labelled_amounts(joined, own), "named", F.concat(F.lit("kv_"), F.col("kind"))),
+        _tagged(free, "free"),
+        _tagged(receipts.where("form = 'bare'"), "bare", word("receipt_row")),
     ]
-    ragged = extract.ragged_rows(lines).where(~F.col("source").contains("|")).select(*key, day.alias("date"), "description", "currency", "amount", "source")
-    named = extract.receipt_rows(lines).select(*key)
-    found.append(ragged.join(named, key, "left_anti"))
-    every = found[0]
-    for df in found[1:]:
-        every = every.unionByName(df)
+    if words is not None:
+        placed = extract.layout_rows(words)
+        # Rows of a layout are numbered by position, not by lines: they claim among themselves.
+        every.append(_tagged(placed.withColumn("line_no", -1 - F.col("line_no")), "layout", total("layout")))
+    out = every[0]
+    for df in every[1:]:
+        out = out.unionByName(df)
+    kept = extract.claimed(out.where(money.nonzero(F.col("amount")) & ((F.col("description") != "") | F.col("parent_line").isNotNull())).withColumn("item", F.monotonically_increasing_id()))
+    return kept.join(currency, ["file", "page"], "left").withColumn("currency", F.coalesce("currency", "page_currency", F.lit(default_currency))).drop("page_currency")
+
+
+def line_items(pages: DataFrame, config: ReconcileConfig = ReconcileConfig(), default_currency: str = "SGD", words: DataFrame | None = None) -> DataFrame:
+    """(docno, file, page, line_no, date, description, currency, cents, source, in_period, net_zero_pair) of all pages, sorted by file, page, date and line.
+
+    Of items alike in amount and description a file keeps the first by page, line and
+    source. Parts of an allocation go; where they only repeat their row (an echo), the row
+    comes as often as it has echoes, and its copies are tagged ``|echo_synth``. An item
+    without a date has the file's last one.
+    """
+    found = staged(found_items(pages, default_currency, words), "items-found")
+    echo = found.where(F.contains("source", F.lit("|echo")))
+    first = extract.first_seen(found.where(~F.contains("source", F.lit("|"))).withColumn("cents", money.cents(F.col("amount"))).withColumn("emit_seq", F.struct("page", "line_no", "source")))
+    rows = first.where(F.col("claim") == RANKS.index("ragged")).select("file", "page", F.col("line_no").alias("parent_line"), F.col("item").alias("parent_id"))
+    tied = echo.join(rows, ["file", "page", "parent_line"])
+    both = first.withColumn("parent_id", F.lit(None).cast("long")).unionByName(tied.withColumns({"cents": money.cents(F.col("amount")), "emit_seq": F.struct("page", "line_no", "source")}))
+    items = extract.replicate_for_echoes(both.withColumnRenamed("item", "item_id"))
+    items = items.withColumn("source", F.concat("source", F.when(F.col("copy") > 1, "|echo_synth").otherwise("")))
+    days = pages.withColumn("day", F.try_element_at(F.filter(dates.date_tokens(F.coalesce("text", F.lit(""))), lambda d: dates.parse_date(d).isNotNull()), F.lit(-1))).where("day is not null")
+    last = days.groupBy("file").agg(dates.parse_date(F.max_by("day", "page")).alias("last_day"))
+    items = items.join(last, "file", "left").withColumn("date", F.coalesce("date", "last_day"))
     stem = F.regexp_replace("file", r"\.[A-Za-z0-9]{1,5}$", "")
     docno = text.doc_id(stem, config.docno_mode, config.docno_segment, config.docno_pattern, config.docno_group)
-    items = every.where(money.nonzero(F.col("amount"))).withColumn("cents", money.cents(F.col("amount"))).withColumn("docno", docno)
-    items = extract.first_seen(items.withColumn("emit_seq", F.struct("page", "line_no", "source")))
+    items = items.withColumn("docno", F.coalesce(text.null_if_empty(docno), text.doc_number(stem)))
     items = items.withColumn("in_period", dates.in_period(F.col("date"), config.period_start, config.period_end))
-    return netting.item_net_zero(items).select("docno", "file", "page", "line_no", "date", "description", "currency", "cents", "source", "in_period", "net_zero_pair")
+    out = netting.item_net_zero(items).select("docno", "file", "page", "line_no", "date", "description", "currency", "cents", "source", "in_period", "net_zero_pair")
+    return out.orderBy("file", "page", "date", "line_no", "source")

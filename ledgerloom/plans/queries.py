@@ -722,6 +722,30 @@ def line_items(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("docno", "date", "description", "cents", "source")
 
 
+FORMS = LEDGER + """, r AS (SELECT *, CAST(l_partkey % 9 AS INTEGER) AS form, trim(regexp_replace(description, '\\\\s+', ' ', 'g')) AS said FROM ledger WHERE cents > 0),
+i AS (SELECT docno, row_id, form, cents, CASE WHEN form IN (0, 1) THEN doc_date END AS own, CASE form WHEN 2 THEN 'Amount due' WHEN 6 THEN 'Amount' ELSE said END AS description,
+        CASE form WHEN 0 THEN 'receipt_row' WHEN 1 THEN 'receipt_stack' WHEN 2 THEN 'kv_total' WHEN 3 THEN 'trail_total' WHEN 4 THEN 'table' WHEN 6 THEN 'kv_item' WHEN 8 THEN 'summary' ELSE 'text_row' END AS source FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY docno, cents, lower(description) ORDER BY form, row_id) AS n FROM i),
+d AS (SELECT docno, arg_max(doc_date, (form, row_id)) AS last_day FROM r WHERE form IN (0, 1) GROUP BY 1)"""
+
+
+@query(f"""WITH {FORMS}
+SELECT 'o' || CAST(docno AS VARCHAR) AS file, form + 1 AS page, coalesce(own, last_day) AS date, description, 'SGD' AS currency, cents, source || CASE WHEN copy > 1 THEN '|echo_synth' ELSE '' END AS source
+FROM (SELECT *, unnest(CASE WHEN form = 5 AND row_id % 3 = 0 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE n = 1) LEFT JOIN d USING (docno)""", day="date")
+def line_items_all_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as items in nine forms, a page each; rows with two allocations that repeat them count twice."""
+    items = items_plan.line_items(views.forms(spark, sf))
+    return items.select("file", "page", "date", "description", "currency", "cents", "source")
+
+
+@query(f"WITH {LEDGER} SELECT 'o' || CAST(docno AS VARCHAR) AS file, doc_date AS date, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS description, cents, CAST(row_id % 9 AS INTEGER) AS wrap FROM ledger WHERE cents > 0", day="date")
+def wrapped_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Receipts broken over lines in nine ways, a page for each, mended to one line each."""
+    lines = extract.wrapped_lines(views.wrapped(spark, sf)).where("line <> ''")
+    part = lambda g: F.regexp_extract("line", r"^(?:SGD )?([0-9]{1,2}/[0-9]{1,2}/[0-9]{4}) (.*?)(?: SGD)? ([0-9]+\.[0-9]{2})$", g)
+    return lines.select("file", dates.parse_date(part(1)).alias("date"), text.spaced(part(2)).alias("description"), money.cents(money.parse_amount(part(3))).alias("cents"), F.col("page").alias("wrap"))
+
+
 # Verdicts
 
 

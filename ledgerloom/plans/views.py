@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
@@ -94,6 +94,62 @@ def receipts(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     return df.groupBy(F.concat(F.lit("o"), F.col("docno").cast("string")).alias("file"), F.lit(1).alias("page")).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
 
+def _pages(rows: DataFrame, page: Column, block: Column, head: Column | None = None) -> DataFrame:
+    """(file, page, text): the blocks of an order's rows, by page; an order's rows are few."""
+    ordered = F.array_sort(F.collect_list(F.struct("row_id", block.alias("block"))))
+    body = F.array_join(F.transform(ordered, lambda x: x["block"]), "\n")
+    text = body if head is None else F.concat(head, body)
+    return rows.groupBy(F.concat(F.lit("o"), F.col("docno").cast("string")).alias("file"), page.alias("page")).agg(text.alias("text"))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
+    """Ledger rows above zero, with how their amounts and days are written."""
+    amount = F.concat((F.expr("cents div 100")).cast("string"), F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"))
+    return ledger(spark, sf_dir).where("cents > 0"), amount, F.date_format("doc_date", "d/M/yyyy")
+
+
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of order lines in nine forms, by part."""
+    df, amount, day = _written(spark, sf_dir)
+    form = (F.col("l_partkey") % 9).cast("int")
+    priced = F.concat(F.lit("SGD "), amount)
+    echoes = F.when(F.col("row_id") % 3 == 0, F.concat(F.lit("\nAllocation by percentage\n"), priced, F.lit("\n"), priced, F.lit("\n"))).otherwise("")
+    blocks = [
+        F.concat_ws(" ", F.lit("SGD"), day, "description", amount),
+        F.concat_ws("\n", day, "description", F.lit("SGD"), amount),
+        F.concat_ws(" ", F.lit("Amount due 1.00 USD or"), amount, F.lit("SGD")),
+        F.concat(F.col("description"), F.lit("\nItem total: "), priced, F.lit("\n")),
+        F.concat_ws("    ", "description", amount),
+        F.concat(F.col("description"), F.lit(" "), priced, echoes),
+        F.concat(F.lit("Amount: "), amount),
+        F.concat(F.col("description"), F.lit(" SGD\n"), amount),
+        F.concat(F.lit("Service fees\n"), priced, F.lit("\n"), "description"),
+    ]
+    df = df.withColumn("block", F.get(F.array(*blocks), form))
+    return _pages(df, (form + 1), F.col("block"), F.when(F.first(form) == 4, "Description    Amount\n").otherwise(""))
+
+
+def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of order lines broken over lines in nine ways, by row."""
+    df, amount, day = _written(spark, sf_dir)
+    way = (F.col("row_id") % 9).cast("int")
+    whole, cents = F.expr("cents div 100").cast("string"), F.lpad((F.col("cents") % 100).cast("string"), 2, "0")
+    row = F.concat_ws(" ", F.lit("SGD"), day, "description")
+    two, one = "\n", " "
+    blocks = [
+        F.concat_ws(two, row, amount),  # the amount below its row
+        F.concat_ws(two, F.concat_ws(one, F.lit("SGD"), day, "description", whole), cents),  # the cents below
+        F.concat_ws(two, row, whole, cents),  # both, each on its own
+        F.concat_ws(two, F.lit("SGD"), F.concat_ws(one, day, "description", amount)),  # the currency above
+        F.concat_ws(two, F.lit("SGD"), F.concat_ws(one, day, "description", whole), cents),  # and the cents below
+        F.concat_ws(two, F.concat_ws(one, day, "description"), F.lit("SGD"), amount),  # text, currency, amount
+        F.concat_ws(two, day, "description", F.lit("SGD"), amount),  # a stack
+        F.concat_ws(two, F.concat_ws(one, day, "description", F.lit("SGD")), amount),  # ends in its currency
+        F.concat_ws(one, F.lit("SGD"), day, "description", whole, cents),  # cents a blank apart
+    ]
+    return _pages(df.withColumn("block", F.get(F.array(*blocks), way)), way, F.concat("block", F.lit("\n")))
+
+
 # A ledger and its documents, for the whole reconciliation
 
 
