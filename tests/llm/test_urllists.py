@@ -71,3 +71,9 @@ def test_a_host_of_over_253_characters_is_none(spark):
     rows = [(1, f"http://{host}/x"), (2, f"http://bbbb.{host}/x"), (3, "http://" + "a." * 200_000 + "com/")]
     hosts = spark.createDataFrame(rows, "id long, url string").select("id", urllists.host_of(F.col("url")).alias("h")).collect()
     assert {r["id"]: r["h"] for r in hosts} == {1: host, 2: None, 3: None}
+
+
+def test_the_host_stands_behind_the_last_at(spark):
+    urls = ["http://a@b@evil.com/x", "http://user:p@ss@evil.com:80", "http://evil.com/@home", "http://a@/x", "http://x@y"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    assert [r[0] for r in df.orderBy("i").select(urllists.host_of(df["url"])).collect()] == ["evil.com", "evil.com", "evil.com", None, "y"]
