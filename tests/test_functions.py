@@ -58,6 +58,12 @@ def test_routes(spark):
     assert [tuple(r) for r in values(spark, text.route, *rows)] == [("A St", "B Rd"), ("Work", "Home"), ("Office", "Airport"), ("Mall", "Zoo"), ("", ""), ("", "")]
 
 
+def test_places_lose_what_receipts_add(spark):
+    rows = [("• 08:43 at 12 Main St; SGX1234A",), ("8:43AM Harbour – Front (distance: 3.5 km)",), ("picked up on 3 May from Old Rd arrived on 3 May 9:00",), ("[Plaza]>>Sing 10:30",), ("",), (None,)]
+    assert values(spark, text.clean_place, *rows) == ["12 Main St", "Harbour Front", "Old Rd", "Plaza Sing 10 30", "", None]
+    assert values(spark, text.route_label, ("Grab from A St to B Rd",), ("lunch",), (None,)) == [" A St -> B Rd", "", ""]
+
+
 def test_small_text_helpers(spark):
     assert values(spark, text.last_words, ("a b c d e f",), ("a b",)) == ["d e f", "a b"]
     assert values(spark, text.from_number, ("SGX1 bike 26B Jalan",), ("none",)) == ["26B Jalan", "none"]
