@@ -118,7 +118,7 @@ OP4_SQL = r"""
 WITH c AS (
   SELECT page_id, url, 1704067200 + (page_id * 7919) % 731 * 86400 + (page_id * 31) % 86400 AS fetched_at,
          CASE WHEN length(name) BETWEEN 1 AND 253 THEN name END AS host
-  FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]+)', 1)), '\.$', '') AS name FROM pages)),
+  FROM (SELECT *, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#@]+)(?:[/:?#]|$)', 1)), '\.$', '') AS name FROM pages)),
 x AS (SELECT regexp_replace(host, '^(?:www|blog|m)\.', '') AS domain, min(page_id) AS x FROM c WHERE host IS NOT NULL GROUP BY 1 HAVING min(page_id) % 4 <> 0),
 e AS (
   SELECT domain, ['malware', 'spam', 'adult'][1 + x % 3] AS category, 1704067200 + (x % 300) * 86400 AS since, 1704067200 + (x % 300 + 30 + x % 97) * 86400 AS until FROM x

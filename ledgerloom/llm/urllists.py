@@ -23,7 +23,7 @@ BITS = 32
 FOREVER = (1 << BITS) - 1
 DAY = 86_400
 LONGEST = 253  # characters a host name may have
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#@]+)(?:[/:?#]|$)"
 
 
 def host_of(url: Column) -> Column:
