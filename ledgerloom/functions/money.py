@@ -108,20 +108,35 @@ def join_cents(line: Column) -> Column:
     return F.regexp_replace(line, r"\b([0-9]{2,})(?:\s+[oO]\s*|\s*[oO]\s+)([0-9]{2})(?![0-9.,])", "$1.$2")
 
 
+#: How a currency stands at a figure, and how a figure is written.
+AT_FIGURE = "(?:" + "|".join(ISO) + r"|US\$|S\$|A\$|HK\$|NT\$|\$|€|£|¥)"
+FIGURE = r"\(?-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]{1,2})?\)?"
+
+
+def figure_parts(line: Column) -> Column:
+    """A line cut at its figures and the currencies at them: every second part is a figure. Dates are ``#``."""
+    clean = F.regexp_replace(line, r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", "#")
+    marked = F.regexp_replace(clean, rf"(?<![\w.])((?:{AT_FIGURE}\s*)?{FIGURE}(?:\s*{AT_FIGURE})?)(?![\w])", "\u0001$1\u0002")
+    return F.split(marked, "[\u0001\u0002]")
+
+
+def counts(part: Column) -> Column:
+    """Whether a figure is an amount: a currency stands at it or it has cents."""
+    return part.rlike(AT_FIGURE) | part.rlike(r"\.[0-9]{2}\)?\s*\D*$")
+
+
+def figure_value(part: Column) -> Column:
+    return parse_amount(F.regexp_replace(F.regexp_extract(part, rf"({FIGURE})", 1), ",", ""))
+
+
 def amounts(line: Column, page: Column) -> Column:
     """The amounts of a line: array of (amount, currency, start), from the left.
 
     A figure counts if a currency stands at it or it has cents. Signs and brackets
     are kept, group separators may be missing. Dates give no amounts.
     """
-    code = "(?:" + "|".join(ISO) + r"|US\$|S\$|A\$|HK\$|NT\$|\$|€|£|¥)"
-    clean = F.regexp_replace(line, r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", "#")
-    figure = r"\(?-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]{1,2})?\)?"
-    marked = F.regexp_replace(clean, rf"(?<![\w.])((?:{code}\s*)?{figure}(?:\s*{code})?)(?![\w])", "\u0001$1\u0002")
-    parts = F.filter(F.transform(F.split(marked, "[\u0001\u0002]"), lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda p: p["i"] % 2 == 1)
-    counted = F.filter(parts, lambda p: p["s"].rlike(code) | p["s"].rlike(r"\.[0-9]{2}\)?\s*\D*$"))
-    number = lambda s: F.regexp_extract(s, rf"({figure})", 1)
-    return F.transform(counted, lambda p: F.struct(parse_amount(F.regexp_replace(number(p["s"]), ",", "")).alias("amount"), token_currency(p["s"], page).alias("currency"), p["i"].alias("start")))
+    parts = F.filter(F.transform(figure_parts(line), lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda p: p["i"] % 2 == 1)
+    return F.transform(F.filter(parts, lambda p: counts(p["s"])), lambda p: F.struct(figure_value(p["s"]).alias("amount"), token_currency(p["s"], page).alias("currency"), p["i"].alias("start")))
 
 
 def best_amount(line: Column, found: Column, page: Column) -> Column:

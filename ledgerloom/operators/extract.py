@@ -296,6 +296,34 @@ def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
     return df.where(wanted).select(*PAGE, "line_no", F.col("ends").alias("last_no"), described.alias("description"), "pick.currency", "pick.amount", source.alias("source"), F.when(F.col("part"), F.col("parent.line_no")).alias("parent_line"))
 
 
+def amounts_in_context(lines: DataFrame, page: str = "SGD", window: int = 24, heard: int = 56) -> DataFrame:
+    """(file, page, line_no, n, at, amount, currency, score, picked): every amount of a line with the currency named beside it.
+
+    A currency directly behind the figure, in brackets or not, counts first, then one
+    directly before it, with a colon or a hyphen between, both within ``window``
+    characters; then what stands at the figure itself, then the page's. ``score`` rates the words in
+    the ``heard`` characters on the left (``money.context_score``); a line's best is picked,
+    of equals the one further right. Figures and what stands between them are
+    rows, and neighbours come from windows over them, so a line costs a sort of its pieces.
+    """
+    parts = lines.select(*PAGE, "line_no", F.lit(page).alias("own"), F.posexplode(money.figure_parts(F.coalesce("line", F.lit("")))).alias("k", "part"))
+    order = Window.partitionBy(*PAGE, "line_no").orderBy("k")
+    near = F.collect_list("part").over(order.rowsBetween(-12, -1))
+    before, behind = F.right(F.lag("part").over(order), F.lit(window)), F.left(F.lead("part").over(order), F.lit(window))
+    parts = parts.withColumns({
+        "at": F.coalesce(F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "left": F.right(F.array_join(near, ""), F.lit(heard)),
+        "after": F.upper(F.regexp_extract(behind, rf"(?i)^\s*\(?\s*({CODE})\b", 1)),
+        "ahead": F.upper(F.regexp_extract(before, rf"(?i)\b({CODE})\s*[:\-]?\s*$", 1)),
+    })
+    found = parts.where((F.col("k") % 2 == 1) & money.counts(F.col("part")))
+    currency = F.coalesce(text.null_if_empty(F.col("after")), text.null_if_empty(F.col("ahead")), money.token_currency(F.col("part"), F.col("own")))
+    found = found.withColumns({"n": F.row_number().over(order) - 1, "amount": money.figure_value(F.col("part")), "currency": currency}).where("amount is not null")
+    found = found.withColumn("score", money.context_score(F.col("left"), F.col("currency"), F.col("own"), F.col("at")))
+    best = F.row_number().over(Window.partitionBy(*PAGE, "line_no").orderBy(F.desc("score"), F.desc("at")))
+    return found.withColumn("picked", best == 1).select(*PAGE, "line_no", "n", "at", "amount", "currency", "score", "picked")
+
+
 def header_table(lines: DataFrame, reach: int = 79, page: str = "SGD") -> DataFrame:
     """(file, page, line_no, description, currency, amount) of lines below a table's heading, up to its total row or ``reach`` lines.
 

@@ -623,6 +623,27 @@ def context_score(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", money.context_score(left, currency, F.lit("SGD"), F.col("c_nationkey")).alias("score"))
 
 
+@query("""WITH p AS (SELECT p_partkey AS k, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part),
+f AS (SELECT k, unnest(CASE k % 4
+    WHEN 0 THEN [{'n': 0, 'cents': c, 'currency': 'EUR', 'picked': true}, {'n': 1, 'cents': 300, 'currency': 'SGD', 'picked': false}]
+    WHEN 1 THEN [{'n': 0, 'cents': c, 'currency': 'USD', 'picked': true}]
+    WHEN 2 THEN [{'n': 0, 'cents': c, 'currency': 'USD', 'picked': false}, {'n': 1, 'cents': 725, 'currency': 'GBP', 'picked': true}]
+    ELSE [{'n': 0, 'cents': -c, 'currency': 'SGD', 'picked': true}, {'n': 1, 'cents': 50, 'currency': 'JPY', 'picked': false}] END) AS x FROM p)
+SELECT CAST(k AS VARCHAR) AS file, x.n AS n, CAST(x.cents AS BIGINT) AS cents, x.currency AS currency, x.picked AS picked FROM f""")
+def amount_currencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures whose currency stands behind, before or at them, and the one that the words on its left speak for."""
+    p = views.table(spark, sf, "part").withColumn("cents", money.cents(F.col("p_retailprice")))
+    amount = F.concat(F.expr("cents div 100").cast("string"), F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"))
+    ways = [
+        F.concat(F.lit("Total including GST "), amount, F.lit(" (EUR) and 17 pieces, GST payable SGD: 3.00")),
+        F.concat(F.lit("paid on 31/7/2025 usd - "), amount, F.lit(" net")),
+        F.concat(F.lit("US$"), amount, F.lit(" or GBP 7.25")),
+        F.concat(F.lit("refund ("), amount, F.lit(") less delivery 0.50 JPY")),
+    ]
+    lines = p.select(F.col("p_partkey").cast("string").alias("file"), F.lit(1).alias("page"), F.lit(0).alias("line_no"), F.get(F.array(*ways), (F.col("p_partkey") % 4).cast("int")).alias("line"))
+    return extract.amounts_in_context(lines).select("file", "n", money.cents(F.col("amount")).alias("cents"), "currency", "picked")
+
+
 @query("""SELECT CAST(c_nationkey AS VARCHAR) AS file, 's' AS sheet, CASE WHEN c_nationkey % 2 = 0 THEN 'Total pay' ELSE 'Paid' END AS "column", CAST(sum(CASE WHEN c_nationkey % 2 = 0 THEN 100 ELSE 100 * c_custkey END) AS BIGINT) AS cents FROM customer GROUP BY ALL""")
 def support_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Sheets whose total column is named, and sheets where the largest column is taken."""

@@ -83,3 +83,10 @@ def test_items_of_all_forms_once_sorted_and_dated(spark):
     assert (3, "2025-01-02", "red lamp big", 700, "table") in got and not any(g[3] == 5000 for g in got)
     assert {r["docno"] for r in rows} == {"12345"}
     assert line_items(pages(spark, "nothing to see", None, "")).count() == 0
+
+
+def test_currencies_beside_figures(spark):
+    texts = ["SGD: 5.00 (USD)", "EUR 1.00 2.00 GBP", "17 pcs 3.00", "GST payable 9.00 total incl. GST 8.00", "x" * 60 + " 4.00", "", None, "on 1/2/2025"]
+    lines = spark.createDataFrame([("f", 1, i, t) for i, t in enumerate(texts)], "file string, page int, line_no int, line string")
+    rows = extract.amounts_in_context(lines).orderBy("line_no", "n").collect()
+    assert [(r["line_no"], r["amount"], r["currency"], r["picked"]) for r in rows] == [(0, 5.0, "USD", True), (1, 1.0, "EUR", False), (1, 2.0, "GBP", True), (2, 3.0, "SGD", True), (3, 9.0, "SGD", False), (3, 8.0, "SGD", True), (4, 4.0, "SGD", True)]
