@@ -387,29 +387,56 @@ def vertical_groups(lines: DataFrame, gap: float = 20.0) -> DataFrame:
     return lines.withColumn("new", new).withColumn("grp", F.sum("new").over(order)).drop("new")
 
 
-def layout_rows(words: DataFrame, page: str = "SGD", band: float = 15.0) -> DataFrame:
-    """(file, page, line_no, description, amount) of a table given as positioned words (x, y, word).
-
-    Lines are two points high. The amount is the rightmost figure within ``band`` of
-    the page's dominant column; the text is what stands left of it by the page's
-    margin, without the page's noise words, two words at least.
+def layout_rows(words: DataFrame, page: str = "SGD", band: float = 15.0, gap: float = 20.0, down: int = 3, up: int = 2) -> DataFrame:
+    """(file, page, line_no, description, currency, amount) of a table given as positioned words (x, y, word).
+
+    Lines are two points high. The amount is the rightmost figure within ``band`` of the
+    page's dominant column, one in the page's currency before any other; the text is what
+    stands left of it by the page's margin, without the page's noise words. Up to
+    ``down`` lines without an amount below it and then up to ``up`` above it belong to
+    it, while lines are at most ``gap`` points apart and none is blank there, a heading or a total; a
+    line that one row has read on to is not read by the next. Two telling words at least make a row.
     """
+    line = [*PAGE, "line_no"]
     df = words.withColumn("line_no", F.floor(F.col("y") / 2).cast("int"))
-    value = money.parse_amount(F.regexp_replace("word", ",", ""))
-    df = df.withColumn("value", F.when(F.col("word").rlike(r"^\(?-?[0-9][0-9,]*\.[0-9]{2}\)?$"), value))
+    value = money.parse_amount(F.regexp_replace(F.regexp_extract("word", r"([(]?-?[0-9][0-9,]*\.[0-9]{2}[)]?)$", 1), ",", ""))
+    df = staged(df.withColumn("value", F.when(F.col("word").rlike(rf"^{money.AT_FIGURE}?\(?-?[0-9][0-9,]*\.[0-9]{{2}}\)?$"), value)), "layout-words")
     figures = df.where("value is not null")
     column = dominant_column(figures).select(*PAGE, F.col("x").alias("column"))
-    amounts = figures.join(column, PAGE).where(F.abs(F.col("x") - F.col("column")) <= band)
-    right = amounts.groupBy(*PAGE, "line_no").agg(F.max(F.struct("x", "value")).alias("a")).select(*PAGE, "line_no", F.col("a.x").alias("ax"), F.col("a.value").alias("amount"))
-    placed = df.where("value is null").join(right, [*PAGE, "line_no"])
-    gaps = placed.where("x < ax").groupBy(*PAGE, "line_no").agg((F.first("ax") - F.max("x")).alias("gap"))
-    noise = noise_words(placed.select(*PAGE, "line_no", "word")).select(*PAGE, "word")
-    texts = placed.join(right_margin(gaps), PAGE).where(F.col("x") < F.col("ax") - F.col("margin")).withColumn("low", F.lower("word"))
-    texts = texts.join(noise.withColumnRenamed("word", "low"), [*PAGE, "low"], "left_anti")
-    ordered = F.array_sort(F.collect_list(F.struct("x", "word")))
-    grouped = texts.groupBy(*PAGE, "line_no").agg(F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("description"))
-    out = grouped.join(right.drop("ax"), [*PAGE, "line_no"]).where(F.size(text.tokens(F.col("description"))) >= 2)
-    return out.select(*PAGE, "line_no", "description", "amount")
+    named = F.when(F.upper("word").isin(money.ISO), F.array_position(F.array(*map(F.lit, money.ISO)), F.upper("word")))
+    own = df.groupBy(*PAGE).agg(F.min(named).alias("code")).select(*PAGE, F.coalesce(F.get(F.array(*map(F.lit, money.ISO)), (F.col("code") - 1).cast("int")), F.lit(page)).alias("own"))
+    before = df.withColumn("named", F.when(named.isNotNull(), F.upper("word"))).withColumn("code", F.lag("named").over(Window.partitionBy(*line).orderBy("x", "word")))
+    amounts = before.where("value is not null").join(column, PAGE).where(F.abs(F.col("x") - F.col("column")) <= band).join(own, PAGE)
+    amounts = amounts.withColumn("currency", F.coalesce("code", money.token_currency(F.col("word"), F.col("own"))))
+    right = amounts.groupBy(*line).agg(F.max(F.struct((F.col("currency") == F.col("own")).alias("fits"), "x", "value", "currency")).alias("a"))
+    right = right.select(*line, F.col("a.x").alias("ax"), F.col("a.value").alias("amount"), "a.currency")
+    texts = df.where(F.col("value").isNull() & ~F.upper("word").isin(money.ISO))  # a currency alone is no text
+    placed = texts.join(right.select(*line, "ax"), line)
+    gaps = placed.where("x < ax").groupBy(*line).agg((F.first("ax") - F.max("x")).alias("gap"))
+    noise = noise_words(placed.select(*line, "word")).groupBy(*PAGE).agg(F.collect_list("word").alias("noise"))
+    said = texts.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("x", "word"))).alias("words"))
+    edge = column.join(right_margin(gaps), PAGE).join(noise, PAGE, "left")
+    df = said.join(right, line, "full").join(edge, PAGE)
+    limit = F.coalesce("ax", "column") - F.col("margin")
+    noisy = lambda w: F.array_contains(F.coalesce("noise", F.array().cast("array<string>")), F.lower(w["word"]))
+    kept = F.filter(F.coalesce("words", F.array().cast("array<struct<x:double,word:string>>")), lambda w: (w["x"] < limit) & ~noisy(w))
+    whole = F.array_join(F.transform("words", lambda w: w["word"]), " ")
+    stop = F.coalesce(predicates.is_table_header(whole) | predicates.is_total_row(whole), F.lit(False))
+    df = df.select(*line, "currency", "amount", F.array_join(F.transform(kept, lambda w: w["word"]), " ").alias("text"), stop.alias("stop"))
+
+    order = Window.partitionBy(*PAGE).orderBy("line_no")
+    steps = gap / 2
+    df = df.withColumns({"at": F.row_number().over(order), "wide_above": F.col("line_no") - F.lag("line_no").over(order) > steps, "wide_below": F.lead("line_no").over(order) - F.col("line_no") > steps})
+    closed = F.col("amount").isNotNull() | F.col("stop") | (F.col("text") == "")
+    mark = lambda cut: F.when(cut, F.struct("at", "line_no", F.col("amount").isNotNull().alias("row")))
+    ends = F.last(mark(closed | F.coalesce("wide_above", F.lit(True))), ignorenulls=True).over(order)
+    df = df.withColumn("near", ends).withColumn("owner", F.when(F.col("near.row") & (F.col("at") > F.col("near.at")) & (F.col("at") - F.col("near.at") <= down), F.col("near.line_no")))
+    begins = F.last(mark(closed | F.coalesce("wide_below", F.lit(True)) | F.col("owner").isNotNull()), ignorenulls=True).over(Window.partitionBy(*PAGE).orderBy(F.desc("line_no")))
+    df = df.withColumn("near", begins).withColumn("owner", F.coalesce("owner", F.when(F.col("near.row") & (F.col("near.at") > F.col("at")) & (F.col("near.at") - F.col("at") <= up), F.col("near.line_no"))))
+    df = df.withColumn("owner", F.when(F.col("amount").isNotNull(), F.col("line_no")).otherwise(F.col("owner"))).where("owner is not null")
+    parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("line_no", "text"))))
+    rows = df.groupBy(*PAGE, F.col("owner").alias("line_no")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("description"), F.max("currency").alias("currency"), F.max("amount").alias("amount"))
+    return rows.where(F.size(text.tokens(F.col("description"))) >= 2).select(*line, "description", "currency", "amount")
 
 
 # Items

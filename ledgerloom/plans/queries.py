@@ -667,6 +667,25 @@ def layout_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("file", "line_no", "description", money.cents(F.col("amount")).alias("cents"))
 
 
+@query(f"""WITH {LEDGER}, r AS (SELECT *, string_split(trim(regexp_replace(description, '\\s+', ' ', 'g')), ' ') AS w FROM ledger)
+SELECT 'o' || CAST(docno AS VARCHAR) AS file, CAST(row_id * 50 + 6 AS INTEGER) AS line_no,
+  array_to_string(list_transform(list_concat(CASE WHEN row_id % 3 = 1 THEN ['above', 'it'] ELSE [] END, list_concat(w, CASE WHEN row_id % 3 = 0 THEN [] ELSE ['one', 'two', 'three'] END)), lambda x: x || CAST(row_id AS VARCHAR)), ' ') AS description,
+  CASE WHEN row_id % 2 = 0 THEN 'USD' ELSE 'SGD' END AS currency, cents FROM r""")
+def layout_wrapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as words on a page, their text over up to five lines: one above, three below, a fourth too many."""
+    df = views.ledger(spark, sf).withColumn("words", F.split(F.trim("description"), r"\s+"))
+    amount = F.concat(F.expr("cents div 100").cast("string"), F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"))
+    n, k = F.col("row_id").cast("string"), F.col("row_id") % 3
+    word = lambda y, x, w: F.struct(F.lit(y).cast("double").alias("dy"), x.cast("double").alias("x"), w.alias("word"))
+    own = F.transform("words", lambda w, i: word(12, i * 50, F.concat(w, n)))
+    figure = F.array(word(12, F.lit(460), F.when(F.col("row_id") % 2 == 0, "USD").otherwise("SGD")), word(12, F.lit(500), amount))
+    above = F.when(k == 1, F.array(word(0, F.lit(0), F.concat(F.lit("above"), n)), word(0, F.lit(50), F.concat(F.lit("it"), n)))).otherwise(F.array().cast("array<struct<dy:double,x:double,word:string>>"))
+    below = F.when(k != 0, F.array(*[word(24 + 12 * i, F.lit(0), F.concat(F.lit(w), n)) for i, w in enumerate(["one", "two", "three", "four"])])).otherwise(F.array(word(24, F.lit(0), F.lit("Grand")), word(24, F.lit(50), F.lit("total")), word(36, F.lit(0), F.concat(F.lit("lost"), n))))
+    words = df.select(F.concat(F.lit("o"), F.col("docno").cast("string")).alias("file"), F.lit(1).alias("page"), "row_id", F.explode(F.concat(above, own, figure, below)).alias("w"))
+    rows = extract.layout_rows(words.select("file", "page", (F.col("row_id") * 100.0 + F.col("w.dy")).alias("y"), "w.x", "w.word"))
+    return rows.select("file", "line_no", "description", "currency", money.cents(F.col("amount")).alias("cents"))
+
+
 # Positioned words: the words of conversations, placed by their numbers
 
 
