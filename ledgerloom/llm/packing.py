@@ -15,8 +15,11 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +74,46 @@ class WordIds(dict):
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
 
+class TextIds:
+    """The ids of a batch of texts: every distinct word of the batch is looked up once, the rest is array work."""
+
+    def __init__(self, path: str, end_id: int):
+        self.words, self.end_id = WordIds(path), end_id
+        self.bits = max(self.words.tokenizer.get_vocab_size() - 1, end_id, 1).bit_length()
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as little-endian unsigned 32-bit integers, each text followed by the end id; number of ids of each text)."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        each = [self.words[w] for w in coded.dictionary.to_pylist()]
+        table, sizes = np.frombuffer(b"".join(each), "<u4"), np.array([len(e) // 4 for e in each], np.int64)
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        kind = np.int32 if max(upto[-1], len(table)) < 2**31 else np.int64
+        places = np.repeat(((np.cumsum(sizes) - sizes)[at] - upto[:-1]).astype(kind), n)
+        places += np.arange(upto[-1], dtype=kind)
+        bounds = np.asarray(split.offsets)
+        ends = upto[bounds - bounds[0]]
+        return np.insert(table[places], ends[1:], self.end_id), np.diff(ends) + 1
+
+
+@lru_cache(maxsize=1)
+def text_ids(path: str, end_id: int) -> TextIds:
+    """The encoder of this Python worker: its tokenizer and its bounded table of words serve all tasks that the worker runs."""
+    return TextIds(path, end_id)
+
+
+def portions(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts have ``most`` bytes together, or are one row."""
+    ends, low = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)), 0
+    while low < batch.num_rows:
+        begun = ends[low - 1] if low else 0
+        high = max(int(np.searchsorted(ends, begun + most, side="right")), low + 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def byte_letters() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte: itself, or the next from U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -113,25 +156,21 @@ def pack(
         raise ValueError("window must be a power of two")
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
-    end = end_id.to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordIds(tokenizer_path)
-        for batch in batches:
+        encode = text_ids(tokenizer_path, end_id)
+        for batch in (portion for whole in batches for portion in portions(whole, 1)):
+            values, totals = encode(batch.column(1))
+            held, begun = values.tobytes(), 0
             rows: list[list] = [[], [], [], [], [], []]
-            held = 0
-            for i, text in enumerate(batch.column(1)):
-                words = split_words(text.as_py() or "")
-                data = b"".join([table[w] for w in words if w]) + end
-                total, start = len(data) // 4, 0
+            for i, total in enumerate(totals.tolist()):
+                start = 0
                 for n in cuts(total, window):
-                    for column, value in zip(rows, (i, start, n, total, n.bit_length() - 1, data[4 * start : 4 * (start + n)]), strict=True):
+                    at = 4 * (begun + start)
+                    for column, value in zip(rows, (i, start, n, total, n.bit_length() - 1, held[at : at + 4 * n]), strict=True):
                         column.append(value)
                     start += n
-                held += len(data)
-                if held > 4_000_000:
-                    yield _batch(batch.column(0), rows)
-                    rows, held = [[], [], [], [], [], []], 0
+                begun += total
             if rows[0]:
                 yield _batch(batch.column(0), rows)
 

@@ -14,17 +14,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import released, small_batches
-from ledgerloom.llm.packing import WordIds
+from ledgerloom.llm.packing import text_ids
 
 BLOCK = "part int, block int, first long, n_ids long, bits int, least {id}, most {id}, doc_id array<{id}>, doc_tokens array<long>, data binary"
 LANES = 64
@@ -61,34 +59,6 @@ def unpack_bits(data: bytes, bits: int, count: int, start: int = 0) -> np.ndarra
     return ids[start - low * LANES :][:count].astype("<u4")
 
 
-class TextIds:
-    """The ids of a batch of texts: every distinct word of the batch is looked up once, the rest is array work."""
-
-    def __init__(self, path: str, end_id: int):
-        self.words, self.end_id = WordIds(path), end_id
-        self.bits = max(self.words.tokenizer.get_vocab_size() - 1, end_id, 1).bit_length()
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each text followed by the end id; number of ids of each text)."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = split.flatten().dictionary_encode()
-        each = [self.words[w] for w in coded.dictionary.to_pylist()]
-        table, sizes = np.frombuffer(b"".join(each), "<u4"), np.array([len(e) // 4 for e in each], np.int64)
-        at = coded.indices.to_numpy()
-        n = sizes[at]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.arange(upto[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], n)]
-        bounds = np.asarray(split.offsets)
-        ends = upto[bounds - bounds[0]]
-        return np.insert(ids, ends[1:], self.end_id), np.diff(ends) + 1
-
-
-@lru_cache(maxsize=1)
-def text_ids(path: str, end_id: int) -> TextIds:
-    """The encoder of this Python worker: its tokenizer and its bounded table of words serve all tasks that the worker runs."""
-    return TextIds(path, end_id)
-
-
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, block_ids: int = 65_536, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode ``docs`` and write them under ``path``, which must not exist; returns ``path``.
 

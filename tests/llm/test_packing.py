@@ -39,6 +39,15 @@ def test_word_cache_may_overflow():
     assert [small[w] for w in words] == [large[w] for w in words]
 
 
+def test_portions_hold_every_row_once():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 5, None, "", "b" * 30, "c" * 4, "d" * 4, "e"])], names=["i", "t"])
+    for most in (1, 8, 9, 1000):
+        got = [p.column(0).to_pylist() for p in packing.portions(batch, 1, most)]
+        assert sum(got, []) == list(range(7)) and all(len(g) == 1 or sum(len(batch.column(1)[i].as_py() or "") for i in g) <= most for g in got)
+
+
 def test_awkward_and_empty(spark):
     rows = packing.pack(awkward(spark), tokenizer_path()).collect()
     assert sum(r["start"] == 0 for r in rows) == 8

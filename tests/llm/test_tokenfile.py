@@ -6,7 +6,7 @@ import pytest
 from helpers import awkward, documents, empty
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import tokenfile
+from ledgerloom.llm import packing, tokenfile
 from ledgerloom.llm.common import shared_dir
 from ledgerloom.llm.queries import op11_tokenfile, tokenizer_path
 
@@ -74,7 +74,7 @@ def test_any_range_of_ids(spark):
 def test_the_fewest_bits_of_the_vocabulary(spark):
     path = written(spark, documents(spark, ["one", "two"]), "bits")
     assert {(r["bits"], len(r["data"])) for r in spark.read.parquet(f"{path}/blocks").collect()} == {(16, 2 * r) for r in [4]}
-    assert tokenfile.TextIds(tokenizer_path(), 70_000).bits == 17
+    assert packing.TextIds(tokenizer_path(), 70_000).bits == 17
 
 
 def test_awkward_and_empty(spark):
