@@ -112,3 +112,25 @@ def test_reports(spark, tmp_path):
     df = spark.range(3)
     ledger.write_reports(df, df, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "matches")).count() == 3
+
+
+def test_tables_of_a_run_appear_together(spark, tmp_path):
+    from ledgerloom.sources import sinks
+
+    df = spark.createDataFrame([("a b.pdf", 1, "plain words of a page that read well enough"), ("a b.pdf", 2, "\x00\x01\x02"), ("c.pdf", 1, None)], "file string, page int, text string")
+    out = str(tmp_path / "run")
+    sinks.write_run(sinks.page_tables(df), out, "one")
+    assert {r["name"]: r["n_rows"] for r in sinks.runs(spark, out).collect()} == {"dumps": 3, "garbage": 2, "index": 3}
+    assert {(r["name"], r["garbage"]) for r in sinks.read_run(spark, out, "index").collect()} == {("a_b_p01.txt", False), ("a_b_p02.txt", True), ("c_p01.txt", True)}
+    # A run that ends between two sinks.
+    broken = sinks.page_tables(df.limit(1)) | {"late": df.select(F.raise_error(F.lit("lost")).cast("string").alias("x"))}
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_run(broken, out, "two")
+    assert sinks.read_run(spark, out, "dumps").count() == 3 and sinks.leftovers(spark, out).count() == 1
+    with pytest.raises(LookupError):
+        sinks.read_run(spark, out, "dumps", "two")
+    # Repeated, and the first run replaced.
+    sinks.write_run(sinks.page_tables(df.limit(1)), out, "two")
+    assert sinks.read_run(spark, out, "dumps").count() == 1 and sinks.read_run(spark, out, "dumps", "one").count() == 3
+    sinks.write_run(sinks.page_tables(df.limit(2)), out, "one")
+    assert sinks.read_run(spark, out, "dumps", "one").count() == 2 and sinks.runs(spark, out).count() == 6 and sinks.leftovers(spark, out).count() == 2
