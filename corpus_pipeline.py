@@ -11,29 +11,36 @@ from ledgerloom.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar rejects go; it learns from the labels of documents that aren't held out."""
+    """Documents that the toxicity grammar rejects go; it learns from the labels of documents that aren't held out.
+
+    Null and empty texts have the model's base score; repeated rows share a verdict; an empty table stays empty.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: SimHash at five-word shingles and a similarity of 0.8, links followed from text to text."""
+    """One document of each group stays: SimHash at five-word shingles and a similarity of 0.8, links followed from text to text.
+
+    Texts without words, null ones among them, are one group; ties, null ids and repeated rows are settled as in
+    ``simhash.keep_rows``; an empty table stays empty.
+    """
     return wide.keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes ``<KIND>``; ``n_chars`` follows the text where there is such a column."""
+    """Personal data becomes ``<KIND>``; ``n_chars`` follows the text where there is such a column. Null text stays null; every row stays."""
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it; documents without words are never taken, a null source is a source of its own."""
     return mixing.repeated(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two pieces of token ids."""
+    """Power-of-two pieces of token ids, of every row for itself; an empty text gives its end id, an empty table nothing."""
     return packing.pack(docs, tokenizer_path())
 
 
