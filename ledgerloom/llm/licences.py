@@ -178,8 +178,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     notices and tagged expressions, 1 for none but free licences, 0.5 where
     nothing is found or nothing found is known. A notice whose words lie inside a
     longer one (``cc by`` in ``cc by nc``) counts as the longer only, base phrases
-    always count. Null text is empty; rows with the same doc_id are scanned each
-    for itself; other columns are not read.
+    always count. Null text is empty; texts of any length are read whole; rows with
+    the same doc_id are scanned each for itself; an empty table gives an empty
+    result; other columns are not read.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType

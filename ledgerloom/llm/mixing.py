@@ -73,8 +73,9 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text
 
     Null text has size 0; a null source is a source of its own, ranked last.
     Rows that share an id share its hash: they are taken together. A document
-    without words is never taken. An empty table gives an empty result. Columns
-    other than the three named are not read, whatever their names.
+    without words is never taken; texts of any length are counted whole. An empty
+    table gives an empty result. Columns other than the three named are not read,
+    whatever their names.
     """
     sized, targets, cuts, n = _planned(docs, plan, id_col, text_col, source_col)
     out = _near(sized, targets.join(cuts, "skey", "left"), n, plan)

@@ -146,9 +146,9 @@ def pack(
 
     ``ids`` are packed unsigned 32-bit integers, ``bucket`` is the base-2
     logarithm of ``length``. ``window`` must be a power of two. Null or empty
-    text gives the one piece that holds ``end_id``. Repeated rows are packed
-    each for itself under the same doc_id; a null doc_id stays null. Other
-    columns are not read. ``tokenizer_path`` must name the same file on every
+    text gives the one piece that holds ``end_id``; texts of any length are packed
+    whole. Repeated rows are packed each for itself under the same doc_id; a null
+    doc_id stays null. An empty table gives an empty result. Other columns are not read. ``tokenizer_path`` must name the same file on every
     executor. ``sequence_id`` is unique and depends only on how the input is
     partitioned, so a task that runs again gives the same ids.
     """

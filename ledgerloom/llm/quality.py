@@ -129,8 +129,8 @@ def judge(docs: DataFrame, weights: list[float], rules: QualityRules = QualityRu
     """doc_id, the base counts, base_failed, llr and kept for every row of ``docs``.
 
     Null text has no words and fails the base rules; a text without tokens has an
-    ``llr`` of 0. Rows that share an id are judged each for itself; other columns
-    are not read.
+    ``llr`` of 0. Texts of any length are read whole. Rows that share an id are judged
+    each for itself; an empty table gives an empty result; other columns are not read.
     """
     df = base_rules(docs, rules, id_col, text_col)
     df = df.withColumn("grams", grams("text", rules)).drop("text")

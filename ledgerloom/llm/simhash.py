@@ -202,8 +202,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, size: int = 4, id_col: s
     Null text has no words; texts without words have fingerprint zero, which is
     linked like any other. ``component_id`` is the smallest doc_id that can be
     reached over links; null ids are ignored there unless all are null. Rows that
-    share an id stay rows. An empty table gives an empty result; other columns
-    are not read.
+    share an id stay rows. Texts of any length are read whole. An empty table gives
+    an empty result; other columns are not read.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     by_doc = staged(with_fingerprint(named, size=size).select("doc_id", "fp"), "simhash-fingerprints")

@@ -299,8 +299,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     """(doc_id, score, features) for every row of ``docs``; the score sees the text only.
 
     ``features`` are those of :func:`features`. Null and empty texts have no match
-    and get the model's base score. Rows that share an id are scored each for
-    itself; an empty table gives an empty result; other columns are not read.
+    and get the model's base score; texts of any length are read whole. Rows that
+    share an id are scored each for itself; an empty table gives an empty result; other columns are not read.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
