@@ -1,4 +1,4 @@
-from helpers import awkward, truth
+from helpers import awkward, empty, truth
 
 import corpus_pipeline
 from ledgerloom.llm import toxicity
@@ -30,3 +30,10 @@ def test_stages_survive_awkward_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() >= 1, name
+
+
+def test_stages_of_an_empty_table_are_empty(spark):
+    docs = empty(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0, name
