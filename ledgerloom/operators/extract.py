@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,12 +82,13 @@ def _wrapped(pages: DataFrame) -> DataFrame:
     line = F.arrays_zip(F.col("starts").alias("line_no"), F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array("n")).alias("next_no"), F.slice("joined", 2, F.greatest(F.size("joined") - 1, F.lit(0))).alias("line"))
     apart = lambda c: F.regexp_replace(c, r"(?<![0-9.,/:-])([0-9]{2,})[ \t]+([0-9]{2})[ \t]*$", "$1.$2")
     whole = F.transform(line, lambda x: F.struct(x["line_no"].alias("line_no"), (x["next_no"] - 1).alias("last_no"), apart(x["line"]).alias("line")))
-    return df.withColumn("lines", whole).drop("raw", "codes", "begins", "joined", "starts", "n")
+    # Behind an array of one row, so that no filter on the lines brings their making in once more.
+    return df.select(*pages.columns, F.explode(F.array(whole)).alias("lines"))
 
 
 def wrapped_lines(pages: DataFrame) -> DataFrame:
     """(file, page, line_no, last_no, line): a page's lines with hard-wrapped ones joined; ``line_no`` and ``last_no`` are lines of the page."""
-    return _wrapped(pages).select(*PAGE, F.inline("lines"))
+    return _wrapped(pages).select(*PAGE, F.inline(F.filter("lines", lambda x: x["line"].isNotNull())))
 
 
 def unwrap(pages: DataFrame) -> DataFrame:
@@ -99,6 +102,11 @@ def lines_of(pages: DataFrame) -> DataFrame:
     return pages.select(*PAGE, F.posexplode(F.split("text", r"\R")).alias("line_no", "line"))
 
 
+def kept(row: Column, wanted: Callable[[Column], Column] = lambda x: F.lit(True)) -> Column:
+    """The fields of ``row`` (a struct) where it isn't null and ``wanted``, else no row: a filter that doesn't work the row out anew."""
+    return F.inline(F.filter(F.array(row), lambda x: x.isNotNull() & wanted(x)))
+
+
 def line_order():
     """A page's lines from top to bottom."""
     return Window.partitionBy(*PAGE).orderBy("line_no")
@@ -128,16 +136,19 @@ def receipt_rows(lines: DataFrame) -> DataFrame:
     row = rf"(?i)({CODE})\s+({DMY})\s+(.+?)\s+({FIGURE})\s*$"
     bare = rf"^\s*({FIGURE})\s*$"
     part = lambda p, g: F.regexp_extract("line", p, g)
+    none = F.lit(None).cast("string")
     form = F.when(F.col("line").rlike(wide), "wide").when(F.col("line").rlike(row), "row").when(F.col("line").rlike(bare), "bare")
-    df = lines.withColumn("form", form).where("form is not null")
-    pick = lambda w, r, b: F.when(F.col("form") == "wide", part(wide, w)).when(F.col("form") == "row", part(row, r)).otherwise(b)
-    return df.select(
-        *PAGE, "line_no",
-        dates.parse_date(pick(4, 2, F.lit(None).cast("string"))).alias("date"),
-        F.upper(pick(3, 1, F.lit(None).cast("string"))).alias("currency"),
-        text.spaced(pick(5, 3, F.lit("(no desc)"))).alias("description"),
-        money.parse_amount(F.regexp_replace(pick(6, 4, part(bare, 1)), ",", "")).alias("amount"), "form",
-    ).where("amount is not null and description <> ''")
+    pick = lambda f, w, r, b: F.when(f == "wide", part(wide, w)).when(f == "row", part(row, r)).otherwise(b)
+
+    def receipt(f: Column) -> Column:
+        return F.when(f.isNotNull(), F.struct(
+            dates.parse_date(pick(f, 4, 2, none)).alias("date"),
+            F.upper(pick(f, 3, 1, none)).alias("currency"),
+            text.spaced(pick(f, 5, 3, F.lit("(no desc)"))).alias("description"),
+            money.parse_amount(F.regexp_replace(pick(f, 6, 4, part(bare, 1)), ",", "")).alias("amount"), f.alias("form"),
+        ))
+
+    return lines.select(*PAGE, "line_no", kept(text.once(form, receipt), lambda x: x["amount"].isNotNull() & (x["description"] != "")))
 
 
 def stacked_receipts(lines: DataFrame) -> DataFrame:
@@ -155,7 +166,7 @@ def stacked_receipts(lines: DataFrame) -> DataFrame:
     begins = F.col("line").rlike(rf"^{DMY}$") & (F.col("stop_at").isNull() | (F.col("pair_at") < F.col("stop_at")))
     df = df.where("pair_at is not null")
     df = df.withColumn("start", F.min(F.when(begins, F.col("line_no"))).over(Window.partitionBy(*PAGE, "pair_at"))).where("line_no >= start")
-    words = F.array_sort(F.collect_list(F.when((F.col("line_no") > F.col("start")) & (F.col("line_no") < F.col("pair_at")), F.struct("line_no", "line"))))
+    words = F.sort_array(F.collect_list(F.when((F.col("line_no") > F.col("start")) & (F.col("line_no") < F.col("pair_at")), F.struct("line_no", "line"))))
     only = lambda c, at: F.max(F.when(F.col("line_no") == F.col(at), F.col(c)))
     df = df.groupBy(*PAGE, "start", "pair_at").agg(words.alias("words"), only("line", "start").alias("day"), only("line", "pair_at").alias("code"), only("next1", "pair_at").alias("figure"), only("next_no", "pair_at").alias("last_no")).where(F.size("words") > 0)
     description = text.spaced(F.array_join(F.transform("words", lambda w: w["line"]), " "))
@@ -179,17 +190,23 @@ BARE = rf"(?i)(?:\b{CODE}\b|[A-Z]{{0,2}}[$€£¥])|\(?-?[0-9][0-9,]*\.[0-9]{{2}
 
 def trailing_totals(lines: DataFrame, page: str = "SGD") -> DataFrame:
     """(file, page, line_no, description, currency, amount) of total lines; the text comes from up to three lines above."""
-    df = with_context(lines, 3, 0).where(predicates.is_trailing_total(F.col("line")))
-    df = df.withColumn("pick", money.best_amount(F.col("line"), money.amounts(F.col("line"), F.lit(page)), F.lit(page))).where("pick is not null")
+    df = with_context(lines, 3, 0).withColumn("last_no", _last(lines))
     stop = lambda c: c.isNull() | predicates.is_table_header(c) | predicates.says_total(c)
     usable = lambda c: F.when(predicates.is_side_cost(c), F.lit("")).otherwise(c)
-    one, two, three = (F.col(f"prev{k}") for k in (1, 2, 3))
     enough = lambda c: F.size(text.tokens(c)) >= 2
-    first = F.when(stop(one), "").otherwise(usable(one))
-    second = F.when(stop(one) | stop(two) | enough(first), first).otherwise(F.trim(F.concat_ws(" ", usable(two), first)))
-    third = F.when(stop(one) | stop(two) | stop(three) | enough(second), second).otherwise(F.trim(F.concat_ws(" ", usable(three), second)))
-    described = F.coalesce(text.null_if_empty(text.spaced(third)), F.lit("Item Total"))
-    return df.select(*PAGE, "line_no", _last(lines).alias("last_no"), F.left(described, F.lit(160)).alias("description"), "pick.currency", "pick.amount").where(money.nonzero(F.col("amount")))
+    prev = [F.col(f"prev{k}") for k in (1, 2, 3)]
+
+    def above(said: Column, k: int) -> Column:
+        """``said`` with the lines from ``k`` above on, until it has two telling words or something stops it."""
+        if k == len(prev):
+            return said
+        more = F.trim(F.concat_ws(" ", usable(prev[k]), said)) if k else usable(prev[0])
+        return F.when((enough(said) if k else F.lit(False)) | stop(prev[k]), said).otherwise(text.once(more, lambda c: above(c, k + 1)))
+
+    described = F.left(F.coalesce(text.null_if_empty(text.spaced(above(F.lit(""), 0))), F.lit("Item Total")), F.lit(160))
+    pick = F.when(predicates.is_trailing_total(F.col("line")), money.best_amount(F.col("line"), money.amounts(F.col("line"), F.lit(page)), F.lit(page)))
+    row = text.once(pick, lambda p: F.when(money.nonzero(p["amount"]), F.struct(described.alias("description"), p["currency"].alias("currency"), p["amount"].alias("amount"))))
+    return df.select(*PAGE, "line_no", "last_no", kept(row))
 
 
 def labelled_amounts(lines: DataFrame, page: str = "SGD") -> DataFrame:
@@ -198,12 +215,16 @@ def labelled_amounts(lines: DataFrame, page: str = "SGD") -> DataFrame:
     total = predicates.says_total(F.col("line"))
     item = F.col("line").rlike(predicates.ITEM_LABEL) & ~total
     here, below = money.amounts(F.col("line"), F.lit(page)), money.amounts(F.coalesce("next1", F.lit("")), F.lit(page))
-    df = df.withColumn("last_no", _last(lines, F.size(here) == 0))
-    df = df.withColumn("kind", F.when(total, "total").when(item, "item")).where("kind is not null")
-    df = df.withColumn("found", F.when(F.size(here) > 0, here).otherwise(below)).where(F.size("found") > 0)
-    df = df.withColumn("pick", money.best_amount(F.col("line"), F.col("found"), F.lit(page)))
+    df = df.withColumns({"ends": _last(lines), "next_ends": _last(lines, F.lit(True))})
     named = F.left(text.spaced(F.regexp_replace(F.regexp_replace("line", BARE, " "), r"[\s:;,.=-]+$", "")), F.lit(160))
-    return df.select(*PAGE, "line_no", "last_no", "kind", named.alias("description"), "pick.currency", "pick.amount").where(money.nonzero(F.col("amount")))
+
+    def labelled(kind: Column) -> Column:
+        return F.when(kind.isNotNull(), text.once(here, lambda own: text.once(
+            money.best_amount(F.col("line"), F.when(F.size(own) > 0, own).otherwise(below), F.lit(page)),
+            lambda pick: F.when(money.nonzero(pick["amount"]), F.struct(F.when(F.size(own) == 0, F.col("next_ends")).otherwise(F.col("ends")).alias("last_no"), kind.alias("kind"), named.alias("description"), pick["currency"].alias("currency"), pick["amount"].alias("amount"))),
+        )))
+
+    return df.select(*PAGE, "line_no", kept(text.once(F.when(total, "total").when(item, "item"), labelled)))
 
 
 FREE_FIGURE = rf"(?<![\w.,/-])((?:{CODE}\s+)[0-9]{{1,3}}(?:,?[0-9]{{3}})*\.[0-9]{{2}})(?![\w/])"
@@ -329,14 +350,15 @@ def header_table(lines: DataFrame, reach: int = 79, page: str = "SGD") -> DataFr
 
     Columns are two blanks apart in the raw line; the first is the text, the last the amount.
     """
-    marks = lines.withColumn("head", predicates.is_table_header(F.col("line"))).withColumn("stop", predicates.is_total_row(F.col("line")))
+    marks = lines.select("*", F.inline(F.array(F.struct(predicates.is_table_header(F.col("line")).alias("head"), predicates.is_total_row(F.col("line")).alias("stop")))))
     order = Window.partitionBy(*PAGE).orderBy("line_no")
     marks = marks.withColumn("at", F.last(F.when(F.col("head"), F.col("line_no")), ignorenulls=True).over(order))
     marks = marks.withColumn("ended", F.last(F.when(F.col("stop"), F.col("line_no")), ignorenulls=True).over(order))
     body = marks.where(~F.col("head") & ~F.col("stop") & (F.col("line_no") - F.col("at") <= reach) & (F.coalesce("ended", F.lit(-1)) < F.col("at")))
-    body = body.withColumn("cols", F.split(F.trim("line"), r"\s{2,}")).where(F.size("cols") >= 2)
-    body = body.withColumn("pick", money.best_amount(F.col("line"), money.amounts(F.element_at("cols", -1), F.lit(page)), F.lit(page))).where("pick is not null")
-    return body.select(*PAGE, "line_no", text.spaced(F.get("cols", 0)).alias("description"), "pick.currency", "pick.amount")
+    pick = lambda cols: money.best_amount(F.col("line"), money.amounts(F.element_at(cols, -1), F.lit(page)), F.lit(page))
+    cell = lambda cols, p: F.struct(text.spaced(F.get(cols, 0)).alias("description"), p["currency"].alias("currency"), p["amount"].alias("amount"))
+    row = lambda cols: F.when(F.size(cols) >= 2, text.once(pick(cols), lambda p: F.when(p.isNotNull(), cell(cols, p))))
+    return body.select(*PAGE, "line_no", kept(text.once(F.split(F.trim("line"), r"\s{2,}"), row)))
 
 
 def page_routes(pages: DataFrame) -> DataFrame:
@@ -356,7 +378,7 @@ def page_routes(pages: DataFrame) -> DataFrame:
 def assemble_lines(words: DataFrame) -> DataFrame:
     """(file, page, block, par, line, text) from scanned words, in order of ``word_no``; blank words don't count."""
     kept = words.where(F.trim("word") != "")
-    ordered = F.array_sort(F.collect_list(F.struct("word_no", "word")))
+    ordered = F.sort_array(F.collect_list(F.struct("word_no", "word")))
     return kept.groupBy(*PAGE, "block", "par", "line").agg(F.array_join(F.transform(ordered, lambda w: w["word"]), " ").alias("text"))
 
 
@@ -387,6 +409,76 @@ def vertical_groups(lines: DataFrame, gap: float = 20.0) -> DataFrame:
     return lines.withColumn("new", new).withColumn("grp", F.sum("new").over(order)).drop("new")
 
 
+def _fullest(xs: Column, width: int = 10) -> Column:
+    """:func:`dominant_column` of an array: the stretches are sorted and counted run by run."""
+    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("best"), F.lit(0).alias("most"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = F.when(x == acc["x"], acc["n"] + 1).otherwise(1)
+        return text.once(n, lambda k: F.struct(x.alias("x"), k.alias("n"), F.when(k > acc["most"], x).otherwise(acc["best"]).alias("best"), F.greatest(k, acc["most"]).alias("most")))
+
+    return F.aggregate(F.sort_array(F.transform(xs, lambda x: F.bround(x / width) * width)), start, step, lambda acc: acc["best"])
+
+
+def _quartile(xs: Column) -> Column:
+    """The lower quartile of a sorted array, as ``percentile`` has it."""
+    at = (F.size(xs) - 1) * 0.25
+    low, high = F.get(xs, F.floor(at).cast("int")), F.get(xs, F.ceil(at).cast("int"))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
+def _often(words: Column, least: Column) -> Column:
+    """The words that a sorted array has ``least`` times or more."""
+    return F.array_distinct(F.filter(text.once(words, lambda ws: F.transform(ws, lambda w, i: F.when(F.get(ws, i + least - 1) == w, w))), lambda w: w.isNotNull()))
+
+
+def _placed_lines(words: DataFrame, page: str, band: float) -> DataFrame:
+    """(dealt, file, page, column, lines, gaps, noise) of pages with amounts: ``lines`` of (line_no, texts, a), ``a`` being a line's amount.
+
+    Words are dealt once, by ``dealt``, a hash of the page; lines and pages are put together
+    where they then are. A line holds its words, a page its lines, so each step costs a pass over them.
+    """
+    value = money.parse_amount(F.regexp_replace(F.regexp_extract("word", r"([(]?-?[0-9][0-9,]*\.[0-9]{2}[)]?)$", 1), ",", ""))
+    value = F.when(F.col("word").rlike(rf"^{money.AT_FIGURE}?\(?-?[0-9][0-9,]*\.[0-9]{{2}}\)?$"), value)
+    named = F.when(F.length("word") == 3, text.once(F.upper("word"), lambda w: F.when(w.isin(money.ISO), w)))
+    page_, line = ["dealt", *PAGE], ["dealt", *PAGE, "line_no"]
+    df = words.where("word is not null").withColumn("dealt", F.xxhash64(*PAGE)).repartition("dealt").select(*page_, F.floor(F.col("y") / 2).cast("int").alias("line_no"), F.struct("x", "word", value.alias("value"), named.alias("named")).alias("w"))
+    df = df.groupBy(*line).agg(F.sort_array(F.collect_list("w")).alias("ws"))
+    codes = F.array(*map(F.lit, money.ISO))
+    behind = text.once(F.col("ws"), lambda ws: F.transform(ws, lambda w, i: F.struct(w["x"].alias("x"), w["word"].alias("word"), w["value"].alias("value"), F.get(ws, i - 1)["named"].alias("code"))))
+    parts = F.struct(
+        "line_no",
+        F.array_min(F.transform("ws", lambda w: F.when(w["named"].isNotNull(), F.array_position(codes, w["named"])))).alias("code"),
+        F.filter(behind, lambda w: w["value"].isNotNull()).alias("figures"),
+        # A currency alone is no text.
+        F.transform(F.filter("ws", lambda w: w["value"].isNull() & w["named"].isNull()), lambda w: F.struct(w["x"].alias("x"), w["word"].alias("word"))).alias("texts"),
+    )
+    df = df.groupBy(*page_).agg(F.sort_array(F.collect_list(parts)).alias("ls"))
+    own = F.coalesce(F.get(codes, F.array_min(F.transform("ls", lambda x: x["code"])).cast("int") - 1), F.lit(page))
+    figures = F.flatten(F.transform("ls", lambda x: F.transform(x["figures"], lambda f: f["x"])))
+    # What a later step names often goes through an array of one row, so that it isn't worked out there again.
+    df = df.select(*page_, "ls", F.inline(F.array(F.struct(_fullest(figures).alias("column"), own.alias("own"))))).where("column is not null")
+
+    def amount(f: Column) -> Column:
+        currency = F.coalesce(f["code"], money.token_currency(f["word"], F.col("own")))
+        return text.once(currency, lambda c: F.struct((c == F.col("own")).alias("fits"), f["x"].alias("x"), f["value"].alias("value"), c.alias("currency")))
+
+    near = lambda x: F.filter(x["figures"], lambda f: F.abs(f["x"] - F.col("column")) <= band)
+    lines = F.transform("ls", lambda x: F.struct(x["line_no"].alias("line_no"), x["texts"].alias("texts"), F.array_max(F.transform(near(x), amount)).alias("a")))
+    lines = F.filter(lines, lambda x: (F.size(x["texts"]) > 0) | x["a"].isNotNull())
+    df = df.select(*page_, "column", F.explode(F.array(lines)).alias("lines"))
+    gap = lambda x: x["a"]["x"] - F.array_max(F.transform(F.filter(x["texts"], lambda w: w["x"] < x["a"]["x"]), lambda w: w["x"]))
+    placed = F.filter("lines", lambda x: x["a"].isNotNull() & (F.size(x["texts"]) > 0))
+
+    def noisy(ls: Column) -> Column:
+        said = F.flatten(F.transform(ls, lambda x: F.array_distinct(F.filter(F.transform(x["texts"], lambda w: F.lower(w["word"])), lambda w: w.rlike("^[a-z]{3,}$")))))
+        return _often(F.sort_array(said), F.ceil(F.size(ls) * 0.6).cast("int"))
+
+    gaps = lambda ls: F.sort_array(F.filter(F.transform(ls, gap), lambda g: g.isNotNull()))
+    df = df.select(*page_, "column", "lines", F.inline(F.array(text.once(placed, lambda ls: F.struct(gaps(ls).alias("gaps"), noisy(ls).alias("noise"))))))
+    return df.where(F.size("gaps") > 0)
+
+
 def layout_rows(words: DataFrame, page: str = "SGD", band: float = 15.0, gap: float = 20.0, down: int = 3, up: int = 2) -> DataFrame:
     """(file, page, line_no, description, currency, amount) of a table given as positioned words (x, y, word).
 
@@ -397,46 +489,28 @@ def layout_rows(words: DataFrame, page: str = "SGD", band: float = 15.0, gap: fl
     it, while lines are at most ``gap`` points apart and none is blank there, a heading or a total; a
     line that one row has read on to is not read by the next. Two telling words at least make a row.
     """
-    line = [*PAGE, "line_no"]
-    df = words.withColumn("line_no", F.floor(F.col("y") / 2).cast("int"))
-    value = money.parse_amount(F.regexp_replace(F.regexp_extract("word", r"([(]?-?[0-9][0-9,]*\.[0-9]{2}[)]?)$", 1), ",", ""))
-    df = staged(df.withColumn("value", F.when(F.col("word").rlike(rf"^{money.AT_FIGURE}?\(?-?[0-9][0-9,]*\.[0-9]{{2}}\)?$"), value)), "layout-words")
-    figures = df.where("value is not null")
-    column = dominant_column(figures).select(*PAGE, F.col("x").alias("column"))
-    named = F.when(F.upper("word").isin(money.ISO), F.array_position(F.array(*map(F.lit, money.ISO)), F.upper("word")))
-    own = df.groupBy(*PAGE).agg(F.min(named).alias("code")).select(*PAGE, F.coalesce(F.get(F.array(*map(F.lit, money.ISO)), (F.col("code") - 1).cast("int")), F.lit(page)).alias("own"))
-    before = df.withColumn("named", F.when(named.isNotNull(), F.upper("word"))).withColumn("code", F.lag("named").over(Window.partitionBy(*line).orderBy("x", "word")))
-    amounts = before.where("value is not null").join(column, PAGE).where(F.abs(F.col("x") - F.col("column")) <= band).join(own, PAGE)
-    amounts = amounts.withColumn("currency", F.coalesce("code", money.token_currency(F.col("word"), F.col("own"))))
-    right = amounts.groupBy(*line).agg(F.max(F.struct((F.col("currency") == F.col("own")).alias("fits"), "x", "value", "currency")).alias("a"))
-    right = right.select(*line, F.col("a.x").alias("ax"), F.col("a.value").alias("amount"), "a.currency")
-    texts = df.where(F.col("value").isNull() & ~F.upper("word").isin(money.ISO))  # a currency alone is no text
-    placed = texts.join(right.select(*line, "ax"), line)
-    gaps = placed.where("x < ax").groupBy(*line).agg((F.first("ax") - F.max("x")).alias("gap"))
-    noise = noise_words(placed.select(*line, "word")).groupBy(*PAGE).agg(F.collect_list("word").alias("noise"))
-    said = texts.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("x", "word"))).alias("words"))
-    edge = column.join(right_margin(gaps), PAGE).join(noise, PAGE, "left")
-    df = said.join(right, line, "full").join(edge, PAGE)
-    limit = F.coalesce("ax", "column") - F.col("margin")
-    noisy = lambda w: F.array_contains(F.coalesce("noise", F.array().cast("array<string>")), F.lower(w["word"]))
-    kept = F.filter(F.coalesce("words", F.array().cast("array<struct<x:double,word:string>>")), lambda w: (w["x"] < limit) & ~noisy(w))
-    whole = F.array_join(F.transform("words", lambda w: w["word"]), " ")
-    stop = F.coalesce(predicates.is_table_header(whole) | predicates.is_total_row(whole), F.lit(False))
-    df = df.select(*line, "currency", "amount", F.array_join(F.transform(kept, lambda w: w["word"]), " ").alias("text"), stop.alias("stop"))
-
-    order = Window.partitionBy(*PAGE).orderBy("line_no")
+    line, place = ["dealt", *PAGE, "line_no"], ["dealt", *PAGE]  # rows stay where their page was dealt
+    df = _placed_lines(words, page, band).withColumn("margin", F.greatest(F.lit(12.0), F.least(F.lit(28.0), _quartile(F.col("gaps")))))
+    df = df.select(*place, "column", "margin", "noise", F.inline(F.filter("lines", lambda x: x["line_no"].isNotNull())))
+    limit = F.coalesce("a.x", "column") - F.col("margin")
+    left = F.filter("texts", lambda w: (w["x"] < limit) & ~F.array_contains("noise", F.lower(w["word"])))
+    whole = F.array_join(F.transform("texts", lambda w: w["word"]), " ")
+    stop = text.once(whole, lambda w: predicates.is_table_header(w) | predicates.is_total_row(w))
+    df = df.select(*line, F.col("a.currency").alias("currency"), F.col("a.value").alias("amount"), F.array_join(F.transform(left, lambda w: w["word"]), " ").alias("text"), stop.alias("stop"))
+
+    order = Window.partitionBy(*place).orderBy("line_no")
     steps = gap / 2
     df = df.withColumns({"at": F.row_number().over(order), "wide_above": F.col("line_no") - F.lag("line_no").over(order) > steps, "wide_below": F.lead("line_no").over(order) - F.col("line_no") > steps})
     closed = F.col("amount").isNotNull() | F.col("stop") | (F.col("text") == "")
     mark = lambda cut: F.when(cut, F.struct("at", "line_no", F.col("amount").isNotNull().alias("row")))
     ends = F.last(mark(closed | F.coalesce("wide_above", F.lit(True))), ignorenulls=True).over(order)
     df = df.withColumn("near", ends).withColumn("owner", F.when(F.col("near.row") & (F.col("at") > F.col("near.at")) & (F.col("at") - F.col("near.at") <= down), F.col("near.line_no")))
-    begins = F.last(mark(closed | F.coalesce("wide_below", F.lit(True)) | F.col("owner").isNotNull()), ignorenulls=True).over(Window.partitionBy(*PAGE).orderBy(F.desc("line_no")))
+    begins = F.last(mark(closed | F.coalesce("wide_below", F.lit(True)) | F.col("owner").isNotNull()), ignorenulls=True).over(Window.partitionBy(*place).orderBy(F.desc("line_no")))
     df = df.withColumn("near", begins).withColumn("owner", F.coalesce("owner", F.when(F.col("near.row") & (F.col("near.at") > F.col("at")) & (F.col("near.at") - F.col("at") <= up), F.col("near.line_no"))))
     df = df.withColumn("owner", F.when(F.col("amount").isNotNull(), F.col("line_no")).otherwise(F.col("owner"))).where("owner is not null")
-    parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("line_no", "text"))))
-    rows = df.groupBy(*PAGE, F.col("owner").alias("line_no")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("description"), F.max("currency").alias("currency"), F.max("amount").alias("amount"))
-    return rows.where(F.size(text.tokens(F.col("description"))) >= 2).select(*line, "description", "currency", "amount")
+    parts = F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("line_no", "text"))))
+    rows = df.groupBy(*place, F.col("owner").alias("line_no")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("description"), F.max("currency").alias("currency"), F.max("amount").alias("amount"))
+    return rows.where(F.size(text.tokens(F.col("description"))) >= 2).select(*PAGE, "line_no", "description", "currency", "amount")
 
 
 # Items

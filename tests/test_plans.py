@@ -1,0 +1,28 @@
+"""What a query's plan works out a row: Spark repeats the expression of a column wherever it is named, and that grows without a change in results."""
+
+import re
+
+import pytest
+
+from ledgerloom.plans import queries as plans
+
+SF = "/root/testdata/sf0.001"
+#: The most patterns a plan may hold, and the most times it may deal rows out.
+MOST = {
+    "layout_wrapped": (40, 3),
+    "layout_rows": (40, 3),
+    "wrapped_pages": (70, 3),
+    "receipt_rows": (70, 3),
+    "unwrapped_receipts": (90, 3),
+    "kv_totals": (60, 3),
+    "trailing_totals": (60, 3),
+    "header_table": (40, 3),
+}
+
+
+@pytest.mark.parametrize("name", sorted(MOST))
+def test_plans_work_things_out_once(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    patterns, deals = MOST[name]
+    assert len(re.findall("RLIKE|regexp_", plan)) <= patterns
+    assert len(re.findall("Exchange hashpartitioning", plan)) <= deals
