@@ -26,3 +26,12 @@ def test_plans_work_things_out_once(spark, name):
     patterns, deals = MOST[name]
     assert len(re.findall("RLIKE|regexp_", plan)) <= patterns
     assert len(re.findall("Exchange hashpartitioning", plan)) <= deals
+
+
+def test_no_tier_of_a_pool_goes_through_the_driver(spark):
+    from ledgerloom.operators import docpool
+
+    docs, book = plans.docs_and_ids(spark, SF)
+    left, ids = docpool.documents(docs), docpool.ledger_ids(book, "doc")
+    for tier in (docpool.by_equality, docpool.by_suffix, docpool.by_containment, docpool.by_tag, docpool.by_overlap):
+        assert "Broadcast" not in tier(left, ids)._jdf.queryExecution().executedPlan().toString(), tier.__name__
