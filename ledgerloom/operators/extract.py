@@ -107,6 +107,11 @@ def kept(row: Column, wanted: Callable[[Column], Column] = lambda x: F.lit(True)
     return F.inline(F.filter(F.array(row), lambda x: x.isNotNull() & wanted(x)))
 
 
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, behind an array of one row, so that no later step works them out anew."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def line_order():
     """A page's lines from top to bottom."""
     return Window.partitionBy(*PAGE).orderBy("line_no")
@@ -272,9 +277,10 @@ def free_text_items(pages: DataFrame) -> DataFrame:
     good = lambda c: (F.size(text.tokens(c)) >= 2) & (F.length(c) >= 12)
     bare = lambda c: c.isNotNull() & (c != "") & ~(predicates.is_table_header(c) | predicates.is_total_row(c) | predicates.is_side_cost(c))
     own = text.compact_description(F.col("left"), 2, 12, 64)
-    one = F.when(good(own) | ~bare(F.col("above")), own).otherwise(F.concat_ws(" ", "above", own))
-    two = F.when(good(one) | ~bare(F.col("below")), one).otherwise(F.concat_ws(" ", one, F.col("below")))
-    found = found.withColumn("description", F.left(text.spaced(two), F.lit(160))).withColumn("total", predicates.says_total(F.col("description")))
+    one = text.once(own, lambda c: F.when(good(c) | ~bare(F.col("above")), c).otherwise(F.concat_ws(" ", "above", c)))
+    two = text.once(one, lambda c: F.when(good(c) | ~bare(F.col("below")), c).otherwise(F.concat_ws(" ", c, F.col("below"))))
+    found = fixed(found, description=F.left(text.spaced(two), F.lit(160)))
+    found = fixed(found, total=predicates.says_total(F.col("description")))
     kept = (F.col("description") != "") & (F.col("total") | ~predicates.is_side_cost(F.col("description"))) & money.nonzero(F.col("amount"))
     return found.where(kept).select(*PAGE, "line_no", "description", "currency", "amount", "date", F.when(F.col("total"), "summary_total").otherwise("summary").alias("source"))
 
@@ -291,26 +297,29 @@ def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
     """
     order = Window.partitionBy(*PAGE).orderBy("line_no")
     latest = lambda c: F.last(F.when(c, F.col("line_no")), ignorenulls=True).over(order)
-    df = lines.withColumn("line", F.trim("line")).withColumn("found", money.amounts(F.col("line"), F.lit(page)))
-    df = df.withColumn("blank_at", latest(F.col("line") == "")).withColumn("alloc_at", latest(F.col("line").rlike(r"(?i)allocation|percentage")))
+    bad = predicates.is_table_header(F.col("line")) | predicates.is_total_row(F.col("line")) | predicates.is_side_cost(F.col("line"))
+    df = fixed(
+        lines.withColumn("line", F.trim("line")),
+        found=money.amounts(F.col("line"), F.lit(page)), alloc=F.col("line").rlike(r"(?i)allocation|percentage"), total=predicates.says_total(F.col("line")),
+        hint=F.col("line").rlike("(?i)" + CODE + r"|[$€£¥]"), bare=F.trim(F.regexp_replace("line", BARE, " ")), plain=F.coalesce((F.col("line") != "") & ~bad, F.lit(False)),
+    )
+    df = df.withColumn("usable", F.col("plain") & (F.size("found") == 0)).withColumn("blank_at", latest(F.col("line") == "")).withColumn("alloc_at", latest(F.col("alloc")))
     inside = (F.col("alloc_at") > F.coalesce("blank_at", F.lit(-1))) & (F.col("line_no") > F.col("alloc_at"))
     df = df.withColumn("part", F.coalesce(inside, F.lit(False)))
-    near = {f"prev{k}": F.lag("line", k).over(order) for k in (1, 2)} | {"next_line": F.lead("line").over(order), "next_found": F.lead("found").over(order)}
-    df = df.withColumns(near).withColumn("total", predicates.says_total(F.col("line")))
+    near = {f"prev{k}": F.lag("line", k).over(order) for k in (1, 2)} | {f"usable{k}": F.coalesce(F.lag("usable", k).over(order), F.lit(False)) for k in (1, 2)} | {"next_found": F.lead("found").over(order)}
+    df = df.withColumns(near)
     df = df.withColumn("below", F.col("total") & (F.size("found") == 0) & (F.size("next_found") > 0)).withColumn("ends", _last(lines, F.col("below")))
-    df = df.withColumn("pick", money.best_amount(F.col("line"), F.when(F.col("below"), F.col("next_found")).otherwise(F.col("found")), F.lit(page)))
+    df = fixed(df, pick=money.best_amount(F.col("line"), F.when(F.col("below"), F.col("next_found")).otherwise(F.col("found")), F.lit(page)))
     taken = F.coalesce(F.lag("below").over(order), F.lit(False))
-    hint = F.col("line").rlike("(?i)" + CODE + r"|[$€£¥]")
-    row = F.col("pick").isNotNull() & money.nonzero(F.col("pick.amount")) & ~F.col("part") & ~taken & (hint | F.col("total"))
+    row = F.col("pick").isNotNull() & money.nonzero(F.col("pick.amount")) & ~F.col("part") & ~taken & (F.col("hint") | F.col("total"))
     df = df.withColumn("row", F.coalesce(row, F.lit(False)))
     parent = F.last(F.when(F.col("row"), F.struct("line_no", "pick.amount")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("parent", parent)
-    bare = F.trim(F.regexp_replace("line", BARE, " "))
-    usable = lambda c: c.isNotNull() & (c != "") & ~(predicates.is_table_header(c) | predicates.is_total_row(c) | predicates.is_side_cost(c)) & (F.size(money.amounts(c, F.lit(page))) == 0)
     good = lambda c: F.size(text.tokens(c)) >= 2
-    one = F.when(good(bare) | ~usable(F.col("prev1")), bare).otherwise(F.concat_ws(" ", "prev1", bare))
-    two = F.when(good(one) | ~usable(F.col("prev1")) | ~usable(F.col("prev2")), one).otherwise(F.concat_ws(" ", F.col("prev2"), one))
-    described = F.left(text.spaced(two), F.lit(160))
+    one = F.when(~F.col("usable1"), F.col("bare")).when(good(F.col("bare")), F.col("bare")).otherwise(F.concat_ws(" ", "prev1", "bare"))
+    two = text.once(one, lambda c: F.when(~F.col("usable1") | ~F.col("usable2"), c).when(good(c), c).otherwise(F.concat_ws(" ", F.col("prev2"), c)))
+    df = fixed(df.where(F.col("row") | F.col("part")), described=F.left(text.spaced(two), F.lit(160)))
+    described = F.col("described")
     echo = F.abs(F.col("pick.amount") - F.col("parent.amount")) <= 0.005
     source = F.when(F.col("part"), F.when(echo, "text_row|echo").otherwise("text_row|alloc_part")).otherwise(F.when(F.col("total"), "text_row_total").otherwise("text_row"))
     wanted = (F.col("row") & (good(described) | F.col("total"))) | (F.col("part") & F.col("pick").isNotNull() & F.col("parent").isNotNull())

@@ -35,3 +35,13 @@ def test_no_tier_of_a_pool_goes_through_the_driver(spark):
     left, ids = docpool.documents(docs), docpool.ledger_ids(book, "doc")
     for tier in (docpool.by_equality, docpool.by_suffix, docpool.by_containment, docpool.by_tag, docpool.by_overlap):
         assert "Broadcast" not in tier(left, ids)._jdf.queryExecution().executedPlan().toString(), tier.__name__
+
+
+def test_ragged_rows_work_things_out_once(spark):
+    from ledgerloom.operators import extract
+
+    lines = spark.createDataFrame([("f", 1, 0, "Hotel room"), ("f", 1, 1, "deluxe SGD 12.00")], "file string, page int, line_no int, line string")
+    found = extract.ragged_rows(lines)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("RLIKE|regexp_", plan)) <= 120
+    assert [(r["description"], r["amount"]) for r in found.collect()] == [("Hotel room deluxe", 12.0)]
