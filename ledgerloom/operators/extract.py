@@ -150,7 +150,7 @@ def receipt_rows(lines: DataFrame) -> DataFrame:
             dates.parse_date(pick(f, 4, 2, none)).alias("date"),
             F.upper(pick(f, 3, 1, none)).alias("currency"),
             text.spaced(pick(f, 5, 3, F.lit("(no desc)"))).alias("description"),
-            money.parse_amount(F.regexp_replace(pick(f, 6, 4, part(bare, 1)), ",", "")).alias("amount"), f.alias("form"),
+            money.parse_amount(F.replace(pick(f, 6, 4, part(bare, 1)), F.lit(","), F.lit(""))).alias("amount"), f.alias("form"),
         ))
 
     return lines.select(*PAGE, "line_no", kept(text.once(form, receipt), lambda x: x["amount"].isNotNull() & (x["description"] != "")))
@@ -162,18 +162,22 @@ def stacked_receipts(lines: DataFrame) -> DataFrame:
     The text reads on up to the next currency and amount; a heading or total line
     before them ends the receipt. A further date line in between is text.
     """
-    order = Window.partitionBy(*PAGE).orderBy("line_no")
-    onward = Window.partitionBy(*PAGE).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)  # from the end: a frame that only grows
+    # All from the end, in one order: what is behind a line comes before it, and frames only grow.
+    upward = Window.partitionBy(*PAGE).orderBy(F.desc("line_no"))
+    onward = upward.rowsBetween(Window.unboundedPreceding, 0)
     next_at = lambda c: F.min(F.when(c, F.col("line_no"))).over(onward)
-    df = with_context(lines, 0, 1).withColumn("next_no", F.lead("line_no").over(order))
-    pair = F.col("line").rlike(rf"(?i)^{CODE}$") & F.col("next1").rlike(r"^[0-9]{1,7}[.,][0-9]{2}$")
-    df = df.withColumn("pair_at", next_at(pair)).withColumn("stop_at", next_at(predicates.is_table_header(F.col("line")) | predicates.is_total_row(F.col("line"))))
+    df = lines.where(F.trim("line") != "").withColumn("line", F.trim("line")).withColumns({"next1": F.lag("line").over(upward), "next_no": F.lag("line_no").over(upward)})
+    code, figure = F.col("line").rlike(rf"(?i)^{CODE}$"), F.col("next1").rlike(r"^[0-9]{1,7}[.,][0-9]{2}$")
+    stop = predicates.is_table_header(F.col("line")) | predicates.is_total_row(F.col("line"))
+    df = df.withColumns({"pair_at": next_at(code & figure), "stop_at": next_at(stop)})
     begins = F.col("line").rlike(rf"^{DMY}$") & (F.col("stop_at").isNull() | (F.col("pair_at") < F.col("stop_at")))
     df = df.where("pair_at is not null")
-    df = df.withColumn("start", F.min(F.when(begins, F.col("line_no"))).over(Window.partitionBy(*PAGE, "pair_at"))).where("line_no >= start")
-    words = F.sort_array(F.collect_list(F.when((F.col("line_no") > F.col("start")) & (F.col("line_no") < F.col("pair_at")), F.struct("line_no", "line"))))
-    only = lambda c, at: F.max(F.when(F.col("line_no") == F.col(at), F.col(c)))
-    df = df.groupBy(*PAGE, "start", "pair_at").agg(words.alias("words"), only("line", "start").alias("day"), only("line", "pair_at").alias("code"), only("next1", "pair_at").alias("figure"), only("next_no", "pair_at").alias("last_no")).where(F.size("words") > 0)
+    only = lambda c: F.max(F.when(F.col("line_no") == F.col("pair_at"), F.col(c)))
+    read = F.struct("line_no", "line", begins.alias("begins"))
+    df = df.groupBy(*PAGE, "pair_at").agg(F.sort_array(F.collect_list(read)).alias("read"), only("line").alias("code"), only("next1").alias("figure"), only("next_no").alias("last_no"))
+    first = F.get(F.filter("read", lambda x: x["begins"]), F.lit(0))
+    df = df.where(F.exists("read", lambda x: x["begins"])).select("*", F.inline(F.array(F.struct(first["line_no"].alias("start"), first["line"].alias("day")))))
+    df = df.withColumn("words", F.filter("read", lambda x: (x["line_no"] > F.col("start")) & (x["line_no"] < F.col("pair_at")))).where(F.size("words") > 0)
     description = text.spaced(F.array_join(F.transform("words", lambda w: w["line"]), " "))
     return df.select(*PAGE, F.col("start").alias("line_no"), dates.parse_date(F.col("day")).alias("date"), F.upper("code").alias("currency"), description.alias("description"), money.parse_amount(F.col("figure")).alias("amount"), "last_no")
 
