@@ -217,3 +217,31 @@ def test_end_of_month_rows(spark):
     rows = totals.end_of_month_rows(df, "Amount", "Document Date").collect()
     assert [(r["eom_cents"], str(r["eom_date"])) for r in rows] == [(500, "2025-06-30"), (700, "2025-06-30")]
     assert totals.end_of_month_rows(df.drop("Budget Category"), "Amount", "x").count() == 0 and totals.end_of_month_rows(df, "none", "x").count() == 0
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def payroll(spark):
+    entries = spark.createDataFrame([(1, 1, 100, "a"), (1, 2, 200, None), (70, 3, 100, "b")], "key long, entry_id long, entry_cents long, entry_day string")
+    return entries, spark.createDataFrame([(1, 1, 40, "a"), (1, 2, 60, "c"), (70, 3, 100, "c"), (70, 4, 900, "c")], "key long, pay_id long, pay_cents long, pay_day string")
+
+
+def test_same_day_rows_need_no_window_over_pairs(spark):
+    df = totals.same_day_candidates(*payroll(spark))
+    assert {tuple(r) for r in df.collect()} == {(1, 1, 100, 1, 40, True), (1, 2, 200, 1, 40, False), (1, 2, 200, 2, 60, False), (70, 3, 100, 3, 100, False), (70, 3, 100, 4, 900, False)}
+    assert "Window" not in optimized(df)
+
+
+def test_pair_sums_do_not_multiply_what_is_missing(spark):
+    df = totals.pair_sums(*payroll(spark), 0)
+    assert [tuple(r) for r in df.collect()] == [(1, 1, 1, 2)]
+    assert "explode(sequence" not in optimized(df) and "min(pay_cents" in optimized(df)
+
+
+def test_stacked_receipts_sort_a_page_once(spark):
+    lines = spark.createDataFrame([("f", 1, n, s) for n, s in enumerate(["1/2/2024", "Red pen", "SGD", "12.50", "", "3/2/2024", "4/2/2024", "Box", "USD", "1.00"])], "file string, page int, line_no int, line string")
+    df = extract.stacked_receipts(lines)
+    assert sorted((r.line_no, r.description, r.currency, r.amount, r.last_no) for r in df.collect()) == [(0, "Red pen", "SGD", 12.5, 3), (5, "4/2/2024 Box", "USD", 1.0, 9)]
+    assert "line_no ASC" not in optimized(df).replace("#", " ").replace("  ", " ") and optimized(df).count("Window [") <= 2
