@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerloom.config import ReconcileConfig
 from ledgerloom.operators import docpool, extract, matching, netting, totals, verdicts
 from ledgerloom.plans import reconcile
@@ -245,3 +247,13 @@ def test_stacked_receipts_sort_a_page_once(spark):
     df = extract.stacked_receipts(lines)
     assert sorted((r.line_no, r.description, r.currency, r.amount, r.last_no) for r in df.collect()) == [(0, "Red pen", "SGD", 12.5, 3), (5, "4/2/2024 Box", "USD", 1.0, 9)]
     assert "line_no ASC" not in optimized(df).replace("#", " ").replace("  ", " ") and optimized(df).count("Window [") <= 2
+
+
+def test_neighbouring_keys_share_a_call_and_keep_their_rows(spark):
+    entries = spark.createDataFrame([(k, k, 100, "a") for k in range(1, 40)], "key long, entry_id long, entry_cents long, entry_day string")
+    pay = spark.createDataFrame([(k, 1000 + k, 100 + k % 3, "a") for k in range(1, 40)], "key long, pay_id long, pay_cents long, pay_day string")
+    days = lambda df, c: df.withColumn(c, F.lit("2024-01-01").cast("date"))
+    df = totals.line_assign(days(entries, "entry_day"), days(pay, "pay_day"), 1)
+    assert {tuple(r) for r in df.collect()} == {(k, k, 1000 + k) for k in range(1, 40) if k % 3 < 2}
+    head = optimized(df).split("FlatMapGroupsInPandas")[1].split("]")[0]
+    assert "('docno, 64)" in head and "('island, 64)" in head  # no call for each key
