@@ -34,7 +34,8 @@ def parse_amount(c: Column) -> Column:
         value = once(digits, lambda d: F.when(d.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), d.try_cast("double")))
         return F.when(s.rlike(r"^\(.*\)$"), -value).otherwise(value)
 
-    return once(F.trim(c), number)
+    # Most amounts are plain figures, which one look tells.
+    return once(F.trim(c), lambda s: F.when(s.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), s.try_cast("double")).otherwise(number(s)))
 
 
 def plain_amount(c: Column) -> Column:
@@ -128,7 +129,7 @@ def counts(part: Column) -> Column:
 
 
 def figure_value(part: Column) -> Column:
-    return parse_amount(F.regexp_replace(F.regexp_extract(part, rf"({FIGURE})", 1), ",", ""))
+    return parse_amount(F.replace(F.regexp_extract(part, rf"({FIGURE})", 1), F.lit(","), F.lit("")))
 
 
 def amounts(line: Column, page: Column) -> Column:
