@@ -2,8 +2,7 @@
 
 Every join carries the document and a stretch of amounts as equality keys, so a
 large document is spread and an item meets only the rows near its amount. The greedy
-one-to-one assignment works on islands of amounts that can't reach each other, and in
-rounds where an island has several items and rows.
+one-to-one assignment settles what can reach nothing else at once, and the rest in rounds.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import money, text
 from ledgerloom.operators.reservations import reserve
+from ledgerloom.staging import staged
 
 ITEM = {"item_id": "item_id", "cents": "item_cents", "description": "item_desc"}
 ROW = {"row_id": "row_id", "cents": "row_cents", "description": "row_desc"}
@@ -115,27 +115,24 @@ def nearest_free(free: list[tuple[int, int]], cents: int) -> tuple[int, int] | N
 def greedy_assign(items: DataFrame, ledger: DataFrame, tol: int) -> DataFrame:
     """One-to-one: items in order take the nearest free row within ``tol`` (docno, item_id, row_id).
 
-    Islands with one item or one row are settled by a join and a minimum; those with
-    several of both by rounds of reservations, in which items of one amount are a class.
+    Items of one amount are a class; classes meet the rows near them once, and these pairs are
+    written once. An item and a row that can reach nothing else are settled by that, all
+    others by rounds of reservations. Documents, classes and rows are spread.
     """
-    left, right = amount_islands(items, ledger, tol)
-    left = left.select("docno", "island", "item_id", F.col("cents").alias("item_cents"))
-    right = right.select("docno", "island", "row_id", F.col("cents").alias("row_cents"))
-    key = ["docno", "island"]
-    sizes = left.groupBy(*key).agg(F.count("*").alias("n_items")).join(right.groupBy(*key).agg(F.count("*").alias("n_rows")), key)
-    plain = sizes.where("n_items = 1 or n_rows = 1")
-    apart = F.abs(F.col("item_cents") - F.col("row_cents"))
-    pairs = left.join(plain, key).join(right, key).where(apart <= tol)
-    first = F.struct(F.when(F.col("n_items") == 1, apart).otherwise(F.col("item_id")).alias("o"), "item_id", "row_id")
-    easy = pairs.groupBy(*key).agg(F.min(first).alias("b")).select("docno", "b.item_id", "b.row_id")
-    crowded = sizes.where("n_items > 1 and n_rows > 1").select(*key)
-    items_left, rows_left = left.join(crowded, key, "left_semi"), right.join(crowded, key, "left_semi")
-    amounts = items_left.groupBy("docno", "island", "item_cents").agg(F.min("item_id").alias("klass"))
-    order = Window.partitionBy("docno", "klass").orderBy("apart", "row_id")
-    options = near(amounts, rows_left, key, "item_cents", "row_cents", tol).withColumn("apart", apart).withColumn("rank", F.row_number().over(order))
-    members = items_left.join(amounts, [*key, "item_cents"]).select("docno", "item_id", "klass")
-    rest = reserve(members, options.select("docno", "klass", F.col("row_id").alias("row"), "rank"))
-    return easy.select("docno", "item_id", "row_id").unionByName(rest.select("docno", "item_id", F.col("row").alias("row_id")))
+    left = items.select("docno", "item_id", F.col("cents").alias("item_cents"))
+    right = ledger.select("docno", "row_id", F.col("cents").alias("row_cents"))
+    amounts = left.groupBy("docno", "item_cents").agg(F.min("item_id").alias("klass"), F.count("*").alias("n_items"))
+    pairs = near(amounts, right, ["docno"], "item_cents", "row_cents", tol).withColumn("apart", F.abs(F.col("item_cents") - F.col("row_cents")))
+    within = lambda c: F.count("*").over(Window.partitionBy("docno", c))
+    pairs = staged(pairs.drop("row_cents").withColumn("n_rows", within("klass")).withColumn("n_classes", within("row_id")), "greedy-pairs")
+    alone = (F.col("n_items") == 1) & (F.col("n_rows") == 1) & (F.col("n_classes") == 1)
+    easy, crowded = pairs.where(alone).select("docno", F.col("klass").alias("item_id"), "row_id"), pairs.where(~alone)
+    classes = crowded.select("docno", "item_cents", "klass", "n_items").distinct()
+    members = classes.where("n_items = 1").select("docno", F.col("klass").alias("item_id"), "klass")
+    members = members.unionByName(left.join(classes.where("n_items > 1"), ["docno", "item_cents"]).select("docno", "item_id", "klass"))
+    rank = F.row_number().over(Window.partitionBy("docno", "klass").orderBy("apart", "row_id"))
+    rest = reserve(members, crowded.select("docno", "klass", F.col("row_id").alias("row"), rank.alias("rank")))
+    return easy.unionByName(rest.select("docno", "item_id", F.col("row").alias("row_id")))
 
 
 def exact_assign(items: DataFrame, ledger: DataFrame) -> DataFrame:
