@@ -236,36 +236,37 @@ def labelled_amounts(lines: DataFrame, page: str = "SGD") -> DataFrame:
     return df.select(*PAGE, "line_no", kept(text.once(F.when(total, "total").when(item, "item"), labelled)))
 
 
-FREE_FIGURE = rf"(?<![\w.,/-])((?:{CODE}\s+)[0-9]{{1,3}}(?:,?[0-9]{{3}})*\.[0-9]{{2}})(?![\w/])"
+FREE_FIGURE = rf"(?=[A-Z]{{3}}\s)(?<![\w.,/-])((?:{CODE}\s+)[0-9]{{1,3}}(?:,?[0-9]{{3}})*\.[0-9]{{2}})(?![\w/])"
 
 
 def dated_amounts(pages: DataFrame, reach: int = 800) -> DataFrame:
     """(file, page, n, amount, currency, date, at, line_no, left): amounts of free text with the nearest date within ``reach`` characters.
 
     Equally near: the first; none near: the page's last date. Dates and amounts are cut
-    out of a page in one pass; the last date before and the next behind an amount come
+    out of a page in one pass, each with the text behind it; the last date before and the next behind an amount come
     from two running windows, so a page costs a sort of its pieces. ``left`` is what
     stands before the amount on its line, behind any date or amount there.
     """
     one, two, three = "\u0001", "\u0002", "\u0003"  # before a date, before an amount, behind either
     marked = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), f"({dates.DATE_TOKEN})", f"{one}$1{three}"), FREE_FIGURE, f"{two}$1{three}")
-    parts = pages.select(*PAGE, F.posexplode(F.split(marked, f"(?=[{one}{two}])|{three}")).alias("k", "part"))
+    parts = pages.select(*PAGE, F.posexplode(F.split(marked, f"(?=[{one}{two}])")).alias("k", "part"))
     order = Window.partitionBy(*PAGE).orderBy("k")
     so_far = order.rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy(*PAGE).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)  # from the end: a frame that only grows
-    kind = F.left("part", F.lit(1))
-    parts = parts.withColumn("said", F.regexp_replace("part", f"^[{one}{two}]", "")).withColumn("broken", F.length("said") - F.length(F.replace("said", F.lit("\n"))))
-    parts = parts.withColumns({"at": F.coalesce(F.sum(F.length("said")).over(so_far), F.lit(0)), "line_no": F.coalesce(F.sum("broken").over(so_far), F.lit(0)).cast("int")})
-    day = F.when(kind == one, F.struct("at", "said"))
-    parts = parts.withColumns({"past": F.last(day, ignorenulls=True).over(so_far), "next": F.last(day, ignorenulls=True).over(behind), "text_before": F.lag("said").over(order), "kind_before": F.lag(kind).over(order)})
-    figures = parts.where(kind == two).withColumn("n", F.row_number().over(order) - 1)
+    cut, token = F.split("part", three, 2), F.left("part", F.lit(1)).isin(one, two)
+    parts = parts.select(*PAGE, "k", F.when(token, F.left("part", F.lit(1))).otherwise("").alias("kind"), F.when(token, F.substring(cut[0], 2, 2**31 - 1)).otherwise("").alias("said"), F.when(token, F.get(cut, 1)).otherwise(F.col("part")).alias("rest"))
+    size = F.length("said") + F.length("rest")
+    broken = size - F.length(F.replace("said", F.lit("\n"))) - F.length(F.replace("rest", F.lit("\n")))
+    before = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0))
+    parts = parts.withColumns({"at": before(size), "line_no": before(broken).cast("int"), "n": before((F.col("kind") == two).cast("int")).cast("int")})
+    day = F.when(F.col("kind") == one, F.struct("at", "said"))
+    last = lambda frame: F.last(day, ignorenulls=True).over(frame)
+    parts = parts.withColumns({"past": last(so_far), "next": last(behind), "ending": last(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "text_before": F.lag("rest").over(order)})
     near = lambda c: F.when(F.abs(F.col(f"{c}.at") - F.col("at")) <= reach, F.struct(F.abs(F.col(f"{c}.at") - F.col("at")).alias("apart"), F.col(f"{c}.at").alias("at"), F.col(f"{c}.said").alias("said")))
-    ending = parts.where(kind == one).groupBy(*PAGE).agg(F.max_by("said", "k").alias("ending"))
-    found = figures.join(ending, PAGE, "left")
     picked = F.least(near("past"), near("next"))["said"]
-    amount = money.parse_amount(F.regexp_replace(F.regexp_extract("said", r"([0-9][0-9,]*\.[0-9]{2})", 1), ",", ""))
-    left = F.when(F.coalesce(F.col("kind_before").isin(one, two), F.lit(True)), "").otherwise(F.element_at(F.split("text_before", "\n"), -1))
-    return found.select(*PAGE, "n", amount.alias("amount"), F.left("said", F.lit(3)).alias("currency"), dates.parse_date(F.coalesce(picked, "ending")).alias("date"), "at", "line_no", left.alias("left"))
+    amount = money.parse_amount(F.replace(F.regexp_extract("said", r"([0-9][0-9,]*\.[0-9]{2})", 1), F.lit(","), F.lit("")))
+    left = F.coalesce(F.element_at(F.split("text_before", "\n"), -1), F.lit(""))
+    return parts.where(F.col("kind") == two).select(*PAGE, "n", amount.alias("amount"), F.left("said", F.lit(3)).alias("currency"), dates.parse_date(F.coalesce(picked, "ending.said")).alias("date"), "at", "line_no", left.alias("left"))
 
 
 def free_text_items(pages: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from ledgerloom.plans import queries as plans
 SF = "/root/testdata/sf0.001"
 #: The most patterns a plan may hold, and the most times it may deal rows out.
 MOST = {
+    "nearest_date": (30, 1),
+    "free_text_amounts": (20, 1),
     "greedy_tol_assign": (0, 0),
 }
 
