@@ -16,24 +16,29 @@ DMY = r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
 FIGURE = r"-?\(?[0-9]{1,3}(?:[ ,][0-9]{3})*(?:[.,][0-9]{2})?\)?|-?\(?[0-9]+(?:[.,][0-9]{2})?\)?"
 
 
-#: What a line may be, by the letter that stands for it in its code; a code has one place for each, in this order.
+#: What a line may be, by a letter; a line's code is a one and then a binary place for each, in this order.
 LINE_KINDS = {
     "t": r"^\s*[0-9]{2}\s*$",  # two digits
     "i": r"^\s*[0-9]{1,3}\s*$",  # a small whole number
     "a": r"^\s*[-(]?\s*[0-9]{1,3}(?:[ ,.]?[0-9]{3})*(?:[.,][0-9]{2})?\)?\s*$",  # an amount alone
     "k": rf"(?i)^\s*{CODE}\s*$",  # a currency alone
-    "e": rf"(?i)(?:^|[^A-Za-z]){CODE}\s*$",  # ends in a currency
+    "e": rf"(?i)(?:^|[^A-Za-z])(?=[A-Z]{{3}}\s*$){CODE}\s*$",  # ends in a currency
     "d": rf"^\s*{DMY}\b",  # begins with a date
     "z": rf"{DMY}\s*$",  # ends in a date
-    "h": rf"(?i){CODE}\s+{DMY}",  # holds a currency and a date behind it
-    "n": r"(?:^|[^0-9.,/:-])[0-9][0-9,]*[0-9]\s*$",  # ends in a whole number of two digits or more
-    "s": rf"^\s*$|{predicates.TABLE_HEADER}|(?i)^\s*(?:{predicates.TOTAL_PHRASES})\b",  # blank, heading or total: nothing is read across it
+    "h": rf"(?i)(?=[A-Z]{{3}}\s+[0-9]){CODE}\s+{DMY}",  # holds a currency and a date behind it
+    "n": r"[0-9](?<![0-9.,/:-][0-9])[0-9,]*[0-9]\s*$",  # ends in a whole number of two digits or more
+    "s": r"^\s*$",  # blank, or a heading or total: nothing is read across it
 }
 
 
 def _like(kinds: str, without: str = "") -> str:
     """A pattern for the code of a line that is all of ``kinds`` and none of ``without``."""
-    return "".join(k if k in kinds else f"[^{k}]" if k in without else "." for k in LINE_KINDS)
+    return "1" + "".join("1" if k in kinds else "0" if k in without else "." for k in LINE_KINDS)
+
+
+def _is(code: Column, kind: str) -> Column:
+    """Whether a line's code, or none, has ``kind``."""
+    return F.coalesce(F.substring(code, 2 + list(LINE_KINDS).index(kind), 1) == "1", F.lit(False))
 
 
 def _wrapping() -> str:
@@ -52,38 +57,47 @@ def _wrapping() -> str:
         f"{_like('e')}(?:{_like('an')}{cents}|{amount})",  # ... SGD / 12.00
         f"{text_}{code}{amount}",  # text, currency, amount
     ]
-    return "(" + "|".join(forms) + f"|.{{{len(LINE_KINDS)}}})"
+    # A code's first place stays outside, to be marked.
+    return "1(" + "|".join(form[1:] for form in [*forms, _like("")]) + ")"
+
+
+def _line_code(c: Column) -> Column:
+    """The code of a line. Lines of figures alone and lines of text are asked for what they can be, and for dates only where there is a slash."""
+    kinds = list(LINE_KINDS)
+    place = lambda k, said: F.when(said, 2 ** (len(kinds) - 1 - kinds.index(k))).otherwise(0)
+    is_ = lambda k: place(k, c.rlike(LINE_KINDS[k]))
+    days = F.when(F.contains(c, F.lit("/")), is_("d") + is_("z") + is_("h")).otherwise(0)
+    number = place("n", c.rlike(LINE_KINDS["n"]) & ~c.rlike(LINE_KINDS["z"]))
+    stop = place("s", predicates.is_total_row(c) | predicates.is_table_header(c))
+    figures, words = is_("t") + is_("i") + is_("a") + number + is_("s"), is_("k") + is_("e") + days + number + stop
+    return F.bin(F.when(c.rlike(r"^[\s0-9.,()-]*$"), figures).otherwise(words) + 2 ** len(kinds))
 
 
 def _wrapped(pages: DataFrame) -> DataFrame:
     """``pages`` with ``lines``: (line_no, last_no, line) of its lines with hard-wrapped ones joined.
 
-    Every line is classified once, and one pass over the classes tells which lines
-    belong together. Cents are joined by a dot, everything else by a blank; a line that
+    Every line is classified once, and one pass over the codes marks where lines that
+    belong together begin. Cents are joined by a dot, everything else by a blank; a line that
     isn't joined stays as it is, but for cents a blank apart at its end. A date's year
     is no amount that cents could follow.
     """
-    width = len(LINE_KINDS)
-    code = lambda c: F.concat(*[F.when(c.rlike(p) & (F.lit(True) if k != "n" else ~c.rlike(LINE_KINDS["z"])), k).otherwise("-") for k, p in LINE_KINDS.items()])
-    df = pages.withColumn("raw", F.split(F.translate(F.coalesce("text", F.lit("")), "\u00a0\u2007\u202f", "   "), r"\R")).withColumn("codes", F.transform("raw", code))
-    runs = F.regexp_extract_all(F.array_join("codes", ""), F.lit(_wrapping()), F.lit(1))
-    begins = F.flatten(F.transform(runs, lambda r: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), (F.length(r) / width).cast("int") - 1))))
-    df = df.withColumn("begins", begins)
-    zipped = F.arrays_zip("raw", "codes", "begins", F.concat(F.array(F.lit("")), "codes").alias("before"), F.concat(F.slice("begins", 2, F.greatest(F.size("begins") - 1, F.lit(0))), F.array(F.lit(True))).alias("ends"))
-    cents = lambda x: F.startswith(x["codes"], F.lit("t")) & F.contains(x["before"], F.lit("n"))
-
-    def piece(x: Column) -> Column:
-        head = F.when(x["ends"], x["raw"]).otherwise(F.rtrim(x["raw"]))
-        return F.when(x["begins"], F.concat(F.lit("\n"), head)).when(cents(x), F.concat(F.lit("."), F.trim(x["raw"]))).otherwise(F.concat(F.lit(" "), F.trim(x["raw"])))
-
-    df = df.withColumn("joined", F.split(F.array_join(F.transform(F.filter(zipped, lambda x: x["raw"].isNotNull()), piece), ""), "\n"))
-    starts = F.filter(F.transform("begins", lambda b, i: F.when(b, i)), lambda i: i.isNotNull())
-    df = df.withColumns({"starts": starts, "n": F.size("raw")})
-    line = F.arrays_zip(F.col("starts").alias("line_no"), F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array("n")).alias("next_no"), F.slice("joined", 2, F.greatest(F.size("joined") - 1, F.lit(0))).alias("line"))
-    apart = lambda c: F.regexp_replace(c, r"(?<![0-9.,/:-])([0-9]{2,})[ \t]+([0-9]{2})[ \t]*$", "$1.$2")
-    whole = F.transform(line, lambda x: F.struct(x["line_no"].alias("line_no"), (x["next_no"] - 1).alias("last_no"), apart(x["line"]).alias("line")))
+    usual = text.once(F.coalesce("text", F.lit("")), lambda c: F.when(c.rlike("[\u00a0\u2007\u202f]"), F.translate(c, "\u00a0\u2007\u202f", "   ")).otherwise(c))
+    df = pages.withColumn("raw", F.split(usual, r"\R")).withColumn("codes", F.array_join(F.transform("raw", _line_code), ""))
+    df = df.withColumn("marks", F.regexp_extract_all(F.regexp_replace("codes", _wrapping(), "#$1"), F.lit(f"([#1][01]{{{len(LINE_KINDS)}}})"), F.lit(1)))
+    begins = lambda m: F.startswith(m, F.lit("#"))
+
+    def piece(raw: Column, i: Column) -> Column:
+        mark, before = F.get("marks", i), F.get("marks", i - 1)
+        head = F.when(F.coalesce(begins(F.get("marks", i + 1)), F.lit(True)), raw).otherwise(F.rtrim(raw))
+        joint = F.when(_is(mark, "t") & _is(before, "n"), ".").otherwise(" ")
+        return F.when(begins(mark), F.concat_ws("\n", F.lit(""), head)).otherwise(F.concat_ws("", joint, F.trim(raw)))
+
+    starts = F.filter(F.transform("marks", lambda m, i: F.when(begins(m), i)), lambda i: i.isNotNull())
+    df = df.withColumns({"joined": F.split(F.array_join(F.transform("raw", piece), ""), "\n"), "starts": starts, "n": F.size("raw")})
+    apart = lambda c: F.when(c.rlike(r"[0-9][ \t]+[0-9]{2}[ \t]*$"), F.regexp_replace(c, r"(?<![0-9.,/:-])([0-9]{2,})[ \t]+([0-9]{2})[ \t]*$", "$1.$2")).otherwise(c)
+    line = lambda at, i: F.struct(at.alias("line_no"), (F.coalesce(F.get("starts", i + 1), "n") - 1).alias("last_no"), text.once(F.get("joined", i + 1), apart).alias("line"))
     # Behind an array of one row, so that no filter on the lines brings their making in once more.
-    return df.select(*pages.columns, F.explode(F.array(whole)).alias("lines"))
+    return df.select(*pages.columns, F.explode(F.array(F.transform("starts", line))).alias("lines"))
 
 
 def wrapped_lines(pages: DataFrame) -> DataFrame:
@@ -140,19 +154,20 @@ def receipt_rows(lines: DataFrame) -> DataFrame:
     wide = rf"^(\S.+?)\s{{2,}}(\S.+?)\s{{2,}}({CODE})\s+({DMY})\s{{2,}}(.+?)\s{{2,}}({FIGURE})\s*$"
     row = rf"(?i)({CODE})\s+({DMY})\s+(.+?)\s+({FIGURE})\s*$"
     bare = rf"^\s*({FIGURE})\s*$"
-    part = lambda p, g: F.regexp_extract("line", p, g)
-    none = F.lit(None).cast("string")
-    form = F.when(F.col("line").rlike(wide), "wide").when(F.col("line").rlike(row), "row").when(F.col("line").rlike(bare), "bare")
-    pick = lambda f, w, r, b: F.when(f == "wide", part(wide, w)).when(f == "row", part(row, r)).otherwise(b)
+    line, none, no_desc, mark = F.col("line"), F.lit(None).cast("string"), F.lit("(no desc)"), "\u0001"
+    # A form's parts (form, currency, date, amount, description) are cut out in one look; a line that hasn't the form stays as it is.
+    cut = lambda p, form, groups: F.regexp_replace(line, p, mark.join([form, *groups]))
 
     def receipt(f: Column) -> Column:
-        return F.when(f.isNotNull(), F.struct(
-            dates.parse_date(pick(f, 4, 2, none)).alias("date"),
-            F.upper(pick(f, 3, 1, none)).alias("currency"),
-            text.spaced(pick(f, 5, 3, F.lit("(no desc)"))).alias("description"),
-            money.parse_amount(F.replace(pick(f, 6, 4, part(bare, 1)), F.lit(","), F.lit(""))).alias("amount"), f.alias("form"),
-        ))
+        found = F.when(F.startswith(f, F.lit(f"wide{mark}")) | F.startswith(f, F.lit(f"row{mark}")), F.split(f, mark, 5))
+        found = found.otherwise(F.when(line.rlike(bare), F.array(F.lit("bare"), none, none, F.regexp_extract(line, bare, 1), no_desc)))
+        return text.once(found, lambda x: F.when(x.isNotNull(), F.struct(
+            dates.parse_date(x[2]).alias("date"), F.upper(x[1]).alias("currency"), text.spaced(x[4]).alias("description"),
+            money.parse_amount(F.replace(x[3], F.lit(","), F.lit(""))).alias("amount"), x[0].alias("form"),
+        )))
 
+    as_wide, as_row = cut(wide, "wide", ["$3", "$4", "$6", "$5"]), cut(rf"(?i)^.*?{row[4:]}", "row", ["$1", "$2", "$4", "$3"])
+    form = text.once(as_wide, lambda w: F.when(w != line, w).otherwise(as_row))
     return lines.select(*PAGE, "line_no", kept(text.once(form, receipt), lambda x: x["amount"].isNotNull() & (x["description"] != "")))
 
 
