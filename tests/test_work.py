@@ -15,6 +15,8 @@ MOST = {
     "receipt_rows": (40, 1),
     "nearest_date": (30, 1),
     "free_text_amounts": (20, 1),
+    "trailing_totals": (60, 1),
+    "header_table": (24, 1),
     "greedy_tol_assign": (0, 0),
 }
 
