@@ -61,6 +61,25 @@ def test_rules_fire_in_order(spark):
     assert matching.match_items(spark.createDataFrame([], ITEM), tables(spark, items, rows)[1], 5).count() == 0
 
 
+def test_busy_documents_give_what_quiet_ones_give(spark, monkeypatch):
+    random.seed(12)
+    words = ["blue pen", "Blue-Pen", "red pen 77", "ink for boxes", "boxes of ink", "car wash fees", "", None]
+    side = lambda d, n: [(d, i, random.choice(words), random.choice([None, random.randint(-300, 300)])) for i in range(n)]
+    sizes = {1: (90, 200), 2: (5, 70), 3: (80, 6), 4: (4, 64), 5: (3, 65), 6: (2, 0), 7: (0, 3), None: (3, 80)}
+    items, rows = [r for d, (n, _) in sizes.items() for r in side(d, n)], [r for d, (_, n) in sizes.items() for r in side(d, n)]
+    # A document that tallies as a whole, and one item with tax on top, in a document of either kind.
+    items += [(8, 1, "sum", 3000), (9, 1, "net", 10_000), (1, 900, "net", 20_000), (10, 1, "sum", 7000)]
+    rows += [(8, 1, "a", 1000), (8, 2, "b", 2000), (9, 1, "c", 10_900), (1, 900, "d", 21_800), *[(10, i, "e", 100) for i in range(70)]]
+    both, found = tables(spark, items, rows), {}
+    for most in (matching.BUSY, 0, 1000):
+        monkeypatch.setattr(matching, "BUSY", most)
+        found[most] = sorted(matching.match_items(*both, 5).collect(), key=repr)
+    assert found[0] == found[1000] == found[64] and len(found[0]) == len(items)
+    rule = {(r["docno"], r["item_id"]): (r["rule"], r["row_id"]) for r in found[64]}
+    assert rule[8, 1] == rule[10, 1] == ("price_doc_total_sum", None) and rule[9, 1] == ("price_grossup", 1) and rule[1, 900] == ("price_grossup", 900)
+    assert len({r["rule"] for r in found[64]}) == 6
+
+
 def test_each_tier(spark):
     docs = spark.createDataFrame([("INV12345",), ("9912345678",), ("a 87654321",), ("AB123x",), ("55443322118",), ("nothing at all",)], "docno string")
     book = spark.createDataFrame([("INV-12345",), ("0012345678",), ("ID876543219",), ("AB123",), ("5544332211A",), ("",), (None,)], "doc string")

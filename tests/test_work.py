@@ -18,6 +18,7 @@ MOST = {
     "trailing_totals": (60, 1),
     "header_table": (24, 1),
     "greedy_tol_assign": (0, 0),
+    "match_items": (12, 3),
 }
 
 
