@@ -73,7 +73,7 @@ def _line_code(c: Column) -> Column:
     return F.bin(F.when(c.rlike(r"^[\s0-9.,()-]*$"), figures).otherwise(words) + 2 ** len(kinds))
 
 
-def _wrapped(pages: DataFrame) -> DataFrame:
+def mended(pages: DataFrame) -> DataFrame:
     """``pages`` with ``lines``: (line_no, last_no, line) of its lines with hard-wrapped ones joined.
 
     Every line is classified once, and one pass over the codes marks where lines that
@@ -102,18 +102,27 @@ def _wrapped(pages: DataFrame) -> DataFrame:
 
 def wrapped_lines(pages: DataFrame) -> DataFrame:
     """(file, page, line_no, last_no, line): a page's lines with hard-wrapped ones joined; ``line_no`` and ``last_no`` are lines of the page."""
-    return _wrapped(pages).select(*PAGE, F.inline(F.filter("lines", lambda x: x["line"].isNotNull())))
+    return mended_lines(mended(pages))
+
+
+def mended_lines(pages: DataFrame, *more: str) -> DataFrame:
+    """:func:`wrapped_lines` of pages that are :func:`mended` already, with their columns ``more``."""
+    return pages.select(*PAGE, *more, F.inline(F.filter("lines", lambda x: x["line"].isNotNull())))
+
+
+def mended_text(lines: str = "lines") -> Column:
+    """The lines of a :func:`mended` page as one text."""
+    return F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
 
 
 def unwrap(pages: DataFrame) -> DataFrame:
     """``pages`` with hard-wrapped lines joined: :func:`wrapped_lines` as text again."""
-    joined = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
-    return _wrapped(pages).withColumn("text", joined).drop("lines")
+    return mended(pages).withColumn("text", mended_text()).drop("lines")
 
 
-def lines_of(pages: DataFrame) -> DataFrame:
-    """(file, page, line_no, line): the lines of every page, in order."""
-    return pages.select(*PAGE, F.posexplode(F.split("text", r"\R")).alias("line_no", "line"))
+def lines_of(pages: DataFrame, *more: str) -> DataFrame:
+    """(file, page, line_no, line): the lines of every page, in order, with the page's columns ``more``."""
+    return pages.select(*PAGE, *more, F.posexplode(F.split("text", r"\R")).alias("line_no", "line"))
 
 
 def kept(row: Column, wanted: Callable[[Column], Column] = lambda x: F.lit(True)) -> Column:
@@ -126,23 +135,23 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def line_order():
-    """A page's lines from top to bottom."""
-    return Window.partitionBy(*PAGE).orderBy("line_no")
-
-
 def with_context(lines: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
-    """Non-blank lines with ``prev1``, ``prev2``... and ``next1``... of the same page."""
+    """Non-blank lines with ``prev1``, ``prev2``... and ``next1``... of the same page, and ``ends`` and ``next_ends``: the last line of the page that a line and the one behind it reach.
+
+    ``lines`` may be pages that are :func:`mended`: these bring their lines along, so that nothing is dealt out or sorted.
+    """
+    if "lines" in lines.columns:
+        said = F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["last_no"].alias("ends"), F.trim(x["line"]).alias("line")))
+        at = lambda ls, i, c, name: F.get(ls, i)[c].alias(name)
+        above = lambda ls, i: [at(ls, i - k, "line", f"prev{k}") for k in range(1, before + 1)]
+        below = lambda ls, i: [at(ls, i + k, "line", f"next{k}") for k in range(1, after + 1)]
+        row = lambda ls: lambda x, i: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), x["ends"].alias("ends"), at(ls, i + 1, "ends", "next_ends"), *above(ls, i), *below(ls, i))
+        rows = text.once(F.filter(said, lambda x: x["line"] != ""), lambda ls: F.transform(ls, row(ls)))
+        return lines.select(*[c for c in lines.columns if c not in ("text", "lines")], F.inline(rows))
     order = Window.partitionBy(*PAGE).orderBy("line_no")
-    df = lines.where(F.trim("line") != "").withColumn("line", F.trim("line"))
+    df = lines.where(F.trim("line") != "").withColumns({"line": F.trim("line"), "ends": F.col("last_no" if "last_no" in lines.columns else "line_no")})
     near = {f"prev{k}": F.lag("line", k).over(order) for k in range(1, before + 1)} | {f"next{k}": F.lead("line", k).over(order) for k in range(1, after + 1)}
-    return df.withColumns(near)
-
-
-def _last(lines: DataFrame, below: Column | None = None) -> Column:
-    """The last line of the page that a line of ``lines`` reaches; that of the line behind it where ``below``."""
-    own = F.col("last_no" if "last_no" in lines.columns else "line_no")
-    return own if below is None else F.when(below, F.lead(own).over(Window.partitionBy(*PAGE).orderBy("line_no"))).otherwise(own)
+    return df.withColumns(near | {"next_ends": F.lead("ends").over(order)})
 
 
 def receipt_rows(lines: DataFrame) -> DataFrame:
@@ -168,7 +177,8 @@ def receipt_rows(lines: DataFrame) -> DataFrame:
 
     as_wide, as_row = cut(wide, "wide", ["$3", "$4", "$6", "$5"]), cut(rf"(?i)^.*?{row[4:]}", "row", ["$1", "$2", "$4", "$3"])
     form = text.once(as_wide, lambda w: F.when(w != line, w).otherwise(as_row))
-    return lines.select(*PAGE, "line_no", kept(text.once(form, receipt), lambda x: x["amount"].isNotNull() & (x["description"] != "")))
+    more = [c for c in lines.columns if c not in (*PAGE, "line_no", "last_no", "line")]
+    return lines.select(*PAGE, "line_no", *more, kept(text.once(form, receipt), lambda x: x["amount"].isNotNull() & (x["description"] != "")))
 
 
 def stacked_receipts(lines: DataFrame) -> DataFrame:
@@ -205,7 +215,7 @@ def dual_currency_due(lines: DataFrame) -> DataFrame:
     joined = F.concat_ws(" ", "line", "next1")
     crossing = ~F.col("line").rlike(pattern) & joined.rlike(pattern) & ~F.coalesce(F.col("next1").rlike(pattern), F.lit(False))
     hit = F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, 2)).when(crossing, F.regexp_extract(joined, pattern, 2))
-    return df.withColumns({"hit": hit, "ends": _last(lines, crossing)}).where("hit is not null").select(*PAGE, "line_no", F.col("ends").alias("last_no"), money.parse_amount(F.regexp_replace("hit", ",", "")).alias("amount"))
+    return df.withColumns({"hit": hit, "last_no": F.when(crossing, F.col("next_ends")).otherwise(F.col("ends"))}).where("hit is not null").select(*PAGE, "line_no", "last_no", money.parse_amount(F.regexp_replace("hit", ",", "")).alias("amount"))
 
 
 #: A currency or an amount, as they are taken out of a line to leave its text.
@@ -214,7 +224,7 @@ BARE = rf"(?i)(?:\b{CODE}\b|[A-Z]{{0,2}}[$€£¥])|\(?-?[0-9][0-9,]*\.[0-9]{{2}
 
 def trailing_totals(lines: DataFrame, page: str = "SGD") -> DataFrame:
     """(file, page, line_no, description, currency, amount) of total lines; the text comes from up to three lines above."""
-    df = with_context(lines, 3, 0).withColumn("last_no", _last(lines))
+    df = with_context(lines, 3, 0).withColumn("last_no", F.col("ends"))
     stop = lambda c: c.isNull() | predicates.is_table_header(c) | predicates.says_total(c)
     usable = lambda c: F.when(predicates.is_side_cost(c), F.lit("")).otherwise(c)
     enough = lambda c: F.size(text.tokens(c)) >= 2
@@ -239,7 +249,6 @@ def labelled_amounts(lines: DataFrame, page: str = "SGD") -> DataFrame:
     total = predicates.says_total(F.col("line"))
     item = F.col("line").rlike(predicates.ITEM_LABEL) & ~total
     here, below = money.amounts(F.col("line"), F.lit(page)), money.amounts(F.coalesce("next1", F.lit("")), F.lit(page))
-    df = df.withColumns({"ends": _last(lines), "next_ends": _last(lines, F.lit(True))})
     named = F.left(text.spaced(F.regexp_replace(F.regexp_replace("line", BARE, " "), r"[\s:;,.=-]+$", "")), F.lit(160))
 
     def labelled(kind: Column) -> Column:
@@ -290,10 +299,18 @@ def free_text_items(pages: DataFrame) -> DataFrame:
     The text is what stands left of the amount; while it has no two telling words, the
     line above and then the line below are taken in, unless they are headings, totals
     or side costs. Side costs themselves are no items, but totals are (``summary_total``).
+    Of pages that are :func:`mended` the mended lines are read, and ``last_no`` is told.
     """
-    order = Window.partitionBy(*PAGE).orderBy("line_no")
-    lines = lines_of(pages).withColumn("line", F.trim("line")).withColumns({"above": F.lag("line").over(order), "below": F.lead("line").over(order)})
-    found = dated_amounts(pages).join(lines, [*PAGE, "line_no"])
+    known = "lines" in pages.columns
+    if known:
+        pages = pages.withColumn("text", mended_text())
+    else:
+        pages = pages.withColumn("lines", F.transform(F.split("text", r"\R"), lambda c, i: F.struct(i.alias("line_no"), i.alias("last_no"), c.alias("line"))))
+    # A page's amounts meet its lines as a list, so neither side is dealt out by lines.
+    listed = dated_amounts(pages).groupBy(*PAGE).agg(F.collect_list(F.struct("line_no", "amount", "currency", "date", "left")).alias("listed"))
+    line = lambda i: F.trim(F.get("lines", i)["line"])
+    near = lambda f: F.struct(F.get("lines", f["line_no"]).alias("at"), f.alias("f"), line(f["line_no"] - 1).alias("above"), line(f["line_no"] + 1).alias("below"))
+    found = listed.join(pages.select(*PAGE, "lines"), PAGE).select(*PAGE, F.inline(F.transform("listed", near))).where("at is not null").select(*PAGE, "at.line_no", "at.last_no", "f.amount", "f.currency", "f.date", "f.left", "above", "below")
     good = lambda c: (F.size(text.tokens(c)) >= 2) & (F.length(c) >= 12)
     bare = lambda c: c.isNotNull() & (c != "") & ~(predicates.is_table_header(c) | predicates.is_total_row(c) | predicates.is_side_cost(c))
     own = text.compact_description(F.col("left"), 2, 12, 64)
@@ -302,7 +319,7 @@ def free_text_items(pages: DataFrame) -> DataFrame:
     found = fixed(found, description=F.left(text.spaced(two), F.lit(160)))
     found = fixed(found, total=predicates.says_total(F.col("description")))
     kept = (F.col("description") != "") & (F.col("total") | ~predicates.is_side_cost(F.col("description"))) & money.nonzero(F.col("amount"))
-    return found.where(kept).select(*PAGE, "line_no", "description", "currency", "amount", "date", F.when(F.col("total"), "summary_total").otherwise("summary").alias("source"))
+    return found.where(kept).select(*PAGE, "line_no", *(["last_no"] if known else []), "description", "currency", "amount", "date", F.when(F.col("total"), "summary_total").otherwise("summary").alias("source"))
 
 
 def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
@@ -315,7 +332,7 @@ def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
     line, amounts belong to the row above it: ``text_row|echo`` where they repeat it,
     else ``text_row|alloc_part``.
     """
-    order = Window.partitionBy(*PAGE).orderBy("line_no")
+    order, last = Window.partitionBy(*PAGE).orderBy("line_no"), "last_no" if "last_no" in lines.columns else "line_no"
     latest = lambda c: F.last(F.when(c, F.col("line_no")), ignorenulls=True).over(order)
     bad = predicates.is_table_header(F.col("line")) | predicates.is_total_row(F.col("line")) | predicates.is_side_cost(F.col("line"))
     df = fixed(
@@ -328,7 +345,7 @@ def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
     df = df.withColumn("part", F.coalesce(inside, F.lit(False)))
     near = {f"prev{k}": F.lag("line", k).over(order) for k in (1, 2)} | {f"usable{k}": F.coalesce(F.lag("usable", k).over(order), F.lit(False)) for k in (1, 2)} | {"next_found": F.lead("found").over(order)}
     df = df.withColumns(near)
-    df = df.withColumn("below", F.col("total") & (F.size("found") == 0) & (F.size("next_found") > 0)).withColumn("ends", _last(lines, F.col("below")))
+    df = df.withColumn("below", F.col("total") & (F.size("found") == 0) & (F.size("next_found") > 0)).withColumn("ends", F.when(F.col("below"), F.lead(last).over(order)).otherwise(F.col(last)))
     df = fixed(df, pick=money.best_amount(F.col("line"), F.when(F.col("below"), F.col("next_found")).otherwise(F.col("found")), F.lit(page)))
     taken = F.coalesce(F.lag("below").over(order), F.lit(False))
     row = F.col("pick").isNotNull() & money.nonzero(F.col("pick.amount")) & ~F.col("part") & ~taken & (F.col("hint") | F.col("total"))
@@ -549,27 +566,27 @@ def claimed(found: DataFrame) -> DataFrame:
     """Of ``found`` (file, page, item, claim, line_no, last_no, ...) what is left when every line of a page serves one extractor.
 
     In the order of ``claim``, an item whose lines are all free, or taken by items of its
-    own claim, takes them; any other is withheld and takes nothing. Claims settle in
-    rounds over (page, line), each round one table; there are no more rounds than extractors.
+    own claim, takes them; any other is withheld and takes nothing. Items are dealt by page once a
+    round, and each round is one table: an item whose lines no lower claim can still take wins, and those
+    that share a line with a winner of another claim are withheld. Few items wait for a second round, and there are no more rounds than extractors.
     """
-    waiting, kept = staged(found, "claims"), None
-    place = [*PAGE, "taken"]
-    while not waiting.isEmpty():
-        spread = waiting.select(*PAGE, "item", "claim", F.explode(F.sequence("line_no", "last_no")).alias("taken"))
-        top = spread.withColumn("top", F.min("claim").over(Window.partitionBy(*place)))
-        first = top.groupBy("item").agg(F.bool_and(F.col("claim") == F.col("top")).alias("free")).where("free").select("item")
-        won = staged(waiting.join(first, "item", "left_semi"), "claims-won")
+    waiting, kept = found, None
+    of_line, of_item = Window.partitionBy(*PAGE, "taken"), Window.partitionBy(*PAGE, "item")
+    while kept is None or not waiting.isEmpty():
+        spread = waiting.repartition(*PAGE).withColumn("taken", F.explode(F.sequence("line_no", "last_no")))
+        spread = spread.withColumn("top", F.min("claim").over(of_line)).withColumn("won", F.bool_and(F.col("claim") == F.col("top")).over(of_item))
+        spread = spread.withColumn("by", F.min(F.when(F.col("won"), F.col("claim"))).over(of_line))
+        spread = spread.withColumn("barred", F.coalesce(F.bool_or(F.col("by") != F.col("claim")).over(of_item), F.lit(False)))
+        told = staged(spread.where(F.col("taken") == F.col("line_no")).where("won or not barred").select(*found.columns, "won"), "claims")
+        won, waiting = told.where("won").drop("won"), told.where("not won").drop("won")
         kept = won if kept is None else kept.unionByName(won)
-        gone = won.select(*PAGE, "claim", F.explode(F.sequence("line_no", "last_no")).alias("taken")).distinct().withColumnRenamed("claim", "by")
-        barred = spread.join(gone, place).where(F.col("by") != F.col("claim")).select("item").distinct()
-        waiting = staged(waiting.join(won.select("item"), "item", "left_anti").join(barred, "item", "left_anti"), "claims")
-    return waiting if kept is None else kept
+    return kept
 
 
-def first_seen(items: DataFrame) -> DataFrame:
-    """Items without repeats of (amount, description) in a file; the first emitted stays."""
-    key = F.trim(F.regexp_replace(F.lower("description"), r"\s+", " "))
-    rank = F.row_number().over(Window.partitionBy("file", "cents", key).orderBy("emit_seq"))
+def first_seen(items: DataFrame, place: list[str] | None = None) -> DataFrame:
+    """Items without repeats of (amount, description) in a file, or in ``place``; the first emitted stays. ``nkey``, where there, is the description's key."""
+    key = F.col("nkey") if "nkey" in items.columns else text.alike(F.col("description"))
+    rank = F.row_number().over(Window.partitionBy(*(place or ["file"]), "cents", key).orderBy("emit_seq"))
     return items.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 

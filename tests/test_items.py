@@ -90,3 +90,35 @@ def test_currencies_beside_figures(spark):
     lines = spark.createDataFrame([("f", 1, i, t) for i, t in enumerate(texts)], "file string, page int, line_no int, line string")
     rows = extract.amounts_in_context(lines).orderBy("line_no", "n").collect()
     assert [(r["line_no"], r["amount"], r["currency"], r["picked"]) for r in rows] == [(0, 5.0, "USD", True), (1, 1.0, "EUR", False), (1, 2.0, "GBP", True), (2, 3.0, "SGD", True), (3, 9.0, "SGD", False), (3, 8.0, "SGD", True), (4, 4.0, "SGD", True)]
+
+
+def test_pages_that_bring_their_lines_are_read_alike(spark):
+    texts = [
+        "hotel room deluxe\n\n   \nItem total:\nSGD\n12.00\nAmount\n5.00\ngst 1.00",
+        "Amount due 1,000.00 USD or\n1,350.00 SGD\nTotal 1,867\n60\n\ntwo words\ndelivery\nInvoice total SGD 9.50",
+        "two telling words\nSGD 5.00\n\nDelivery charge\nSGD\n7.00\nblue pen sets\nGrand total\n1/2/2025 SGD 9.00",
+        "",
+        None,
+    ]
+    whole = extract.mended(pages(spark, *texts).withColumn("page_currency", F.lit("SGD")))
+    lines = extract.wrapped_lines(pages(spark, *texts))
+    rows = lambda df: sorted(str(r) for r in df.select(sorted(df.columns)).collect())
+    for read in (extract.dual_currency_due, extract.trailing_totals, extract.labelled_amounts):
+        assert rows(read(whole)) == rows(read(lines)) != [], read.__name__
+    at = lambda df, *more: {(r["page"], r["amount"], r["description"], r["source"], *[r[c] for c in more]) for r in df.collect()}
+    free = at(extract.free_text_items(whole), "line_no", "last_no")
+    assert {f[:4] for f in free} == at(extract.free_text_items(extract.unwrap(pages(spark, *texts)))) and (1, 12.0, "Amount", "summary", 4, 5) in free
+
+
+def test_claims_deal_items_out_once(spark, monkeypatch):
+    rows = [(i, i % 9, i % 40, i % 40 + i % 3) for i in range(200)]
+    df = spark.createDataFrame([("f", 1, *r) for r in rows], "file string, page int, item long, claim int, line_no int, last_no int")
+    written, staged = [], extract.staged
+    monkeypatch.setattr(extract, "staged", lambda df, name: written.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, name))
+    got = {r["item"] for r in extract.claimed(df).collect()}
+    taken, wanted = {}, set()
+    for claim in range(9):
+        won = [r for r in rows if r[1] == claim and all(taken.get(n, claim) == claim for n in range(r[2], r[3] + 1))]
+        wanted |= {r[0] for r in won}
+        taken |= {n: claim for r in won for n in range(r[2], r[3] + 1)}
+    assert got == wanted and written and all(p.count("Exchange hashpartitioning") <= 1 for p in written)
