@@ -335,12 +335,12 @@ def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
     order, last = Window.partitionBy(*PAGE).orderBy("line_no"), "last_no" if "last_no" in lines.columns else "line_no"
     latest = lambda c: F.last(F.when(c, F.col("line_no")), ignorenulls=True).over(order)
     bad = predicates.is_table_header(F.col("line")) | predicates.is_total_row(F.col("line")) | predicates.is_side_cost(F.col("line"))
-    df = fixed(
-        lines.withColumn("line", F.trim("line")),
-        found=money.amounts(F.col("line"), F.lit(page)), alloc=F.col("line").rlike(r"(?i)allocation|percentage"), total=predicates.says_total(F.col("line")),
-        hint=F.col("line").rlike("(?i)" + CODE + r"|[$€£¥]"), bare=F.trim(F.regexp_replace("line", BARE, " ")), plain=F.coalesce((F.col("line") != "") & ~bad, F.lit(False)),
-    )
-    df = df.withColumn("usable", F.col("plain") & (F.size("found") == 0)).withColumn("blank_at", latest(F.col("line") == "")).withColumn("alloc_at", latest(F.col("alloc")))
+    # Lines without a digit have no amounts, and only lines without amounts are asked whether a row may read on to them.
+    figures = F.when(F.col("line").rlike("[0-9]"), money.amounts(F.col("line"), F.lit(page))).otherwise(F.array().cast("array<struct<amount:double,currency:string,start:int>>"))
+    df = fixed(lines.withColumn("line", F.trim("line")), found=figures)
+    alloc = predicates.holds(F.col("line"), ["allocation", "percentage"])
+    df = fixed(df, alloc=alloc, total=predicates.says_total(F.col("line")), usable=F.coalesce((F.size("found") == 0) & (F.col("line") != "") & ~bad, F.lit(False)))
+    df = df.withColumn("blank_at", latest(F.col("line") == "")).withColumn("alloc_at", latest(F.col("alloc")))
     inside = (F.col("alloc_at") > F.coalesce("blank_at", F.lit(-1))) & (F.col("line_no") > F.col("alloc_at"))
     df = df.withColumn("part", F.coalesce(inside, F.lit(False)))
     near = {f"prev{k}": F.lag("line", k).over(order) for k in (1, 2)} | {f"usable{k}": F.coalesce(F.lag("usable", k).over(order), F.lit(False)) for k in (1, 2)} | {"next_found": F.lead("found").over(order)}
@@ -348,12 +348,14 @@ def ragged_rows(lines: DataFrame, page: str = "SGD") -> DataFrame:
     df = df.withColumn("below", F.col("total") & (F.size("found") == 0) & (F.size("next_found") > 0)).withColumn("ends", F.when(F.col("below"), F.lead(last).over(order)).otherwise(F.col(last)))
     df = fixed(df, pick=money.best_amount(F.col("line"), F.when(F.col("below"), F.col("next_found")).otherwise(F.col("found")), F.lit(page)))
     taken = F.coalesce(F.lag("below").over(order), F.lit(False))
-    row = F.col("pick").isNotNull() & money.nonzero(F.col("pick.amount")) & ~F.col("part") & ~taken & (F.col("hint") | F.col("total"))
+    hint = F.col("line").rlike("(?i)" + CODE + r"|[$€£¥]")
+    row = F.col("pick").isNotNull() & money.nonzero(F.col("pick.amount")) & ~F.col("part") & ~taken & (F.col("total") | hint)
     df = df.withColumn("row", F.coalesce(row, F.lit(False)))
     parent = F.last(F.when(F.col("row"), F.struct("line_no", "pick.amount")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("parent", parent)
     good = lambda c: F.size(text.tokens(c)) >= 2
-    one = F.when(~F.col("usable1"), F.col("bare")).when(good(F.col("bare")), F.col("bare")).otherwise(F.concat_ws(" ", "prev1", "bare"))
+    bare = F.trim(F.regexp_replace("line", BARE, " "))
+    one = text.once(bare, lambda c: F.when(~F.col("usable1"), c).when(good(c), c).otherwise(F.concat_ws(" ", "prev1", c)))
     two = text.once(one, lambda c: F.when(~F.col("usable1") | ~F.col("usable2"), c).when(good(c), c).otherwise(F.concat_ws(" ", F.col("prev2"), c)))
     df = fixed(df.where(F.col("row") | F.col("part")), described=F.left(text.spaced(two), F.lit(160)))
     described = F.col("described")

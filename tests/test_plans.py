@@ -45,3 +45,20 @@ def test_ragged_rows_work_things_out_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("RLIKE|regexp_", plan)) <= 120
     assert [(r["description"], r["amount"]) for r in found.collect()] == [("Hotel room deluxe", 12.0)]
+
+
+def test_line_items_deal_pages_and_items_out_a_few_times(spark, monkeypatch):
+    from ledgerloom.operators import extract
+    from ledgerloom.plans import line_items
+
+    written, staged = [], extract.staged
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (extract, line_items):
+        monkeypatch.setattr(module, "staged", lambda df, name: written.append((name, plan(df))) or staged(df, name))
+    last = plan(plans.line_items_all_forms(spark, SF))
+    assert [name for name, _ in written] in (["items-pages", "claims", "items-found"], ["items-pages", "claims", "claims", "items-found"])
+    deals = [p.count("Exchange hashpartitioning") for p in [*dict(written).values(), last]]
+    assert deals[0] <= 3 and sum(deals) <= 16, deals
+    # Ragged rows: amounts, labels and the text of a row are looked for only where they can be.
+    lines = spark.createDataFrame([("f", 1, 0, "x")], "file string, page int, line_no int, line string")
+    assert len(re.findall("RLIKE|regexp_", plan(extract.ragged_rows(lines)))) <= 60
