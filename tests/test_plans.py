@@ -62,3 +62,46 @@ def test_line_items_deal_pages_and_items_out_a_few_times(spark, monkeypatch):
     # Ragged rows: amounts, labels and the text of a row are looked for only where they can be.
     lines = spark.createDataFrame([("f", 1, 0, "x")], "file string, page int, line_no int, line string")
     assert len(re.findall("RLIKE|regexp_", plan(extract.ragged_rows(lines)))) <= 60
+
+
+def test_what_was_shuffled_for_a_written_table_goes_from_the_disk(spark):
+    import time
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from ledgerloom.staging import CLEAN_UP, staged
+
+    local, before = Path(spark.sparkContext.getConf().get("spark.local.dir")), spark.conf.get(CLEAN_UP)
+    files = lambda: {f for f in local.rglob("shuffle_*.data")}
+    kept = spark.range(100_000).groupBy((F.col("id") % 977).alias("k")).count()
+    assert kept.count() == 977
+    old = files()
+    df = staged(spark.range(1_000_000).groupBy((F.col("id") % 300_007).alias("k")).count(), "shuffled")
+    until = time.time() + 20
+    while files() - old and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - old and df.count() == 300_007
+    assert spark.conf.get(CLEAN_UP) == before and kept.count() == 977
+
+
+def test_options_of_a_class_as_one_by_one(spark):
+    """The rows a class may take: as many as its document has items, over both stretches of amounts that it meets."""
+    from ledgerloom.plans import reconcile
+
+    said = ["red lamp", "red lamp big", "blue pen", "lamp"]
+    rows = [("P", (f"d{i}", i), 1000 + i % 13, said[i % 4]) for i in range(60)]
+    seen, book = {}, []
+    for pool, row, cents, text in sorted(rows, key=lambda r: r[1]):
+        seen[cents, text] = seen.get((cents, text), 0) + 1
+        book.append((pool, (row[1], row[0]), cents, text, seen[cents, text]))
+    book = spark.createDataFrame(book, "pool string, row struct<row_id: long, docno: string>, row_cents long, row_ndesc string, nth int")
+    asks = [("a", 1, 1003, "red lamp", 3), ("a", 2, 1009, "lamp", 3), ("b", 1, 1003, "red lamp", 9), ("c", 1, 5, "lamp", 2)]
+    wanted = spark.createDataFrame([(*a, "P") for a in asks], "docno string, klass long, cents long, ndesc string, need long, pool string")
+    got = {}
+    for r in reconcile.ranked_options(wanted, book, 5, 0).collect():
+        got.setdefault((r["docno"], r["klass"]), []).append((r["rank"], r["row"]["row_id"]))
+    share = lambda asked, have: 1.0 if asked in have else sum(w in have.split() for w in asked.split()) / len(asked.split())
+    for doc, klass, cents, text, need in asks:
+        near = [(t != text, abs(c - cents) if t == text else 0, -(1.0 if t == text else share(t, text)), row[1]) for _, row, c, t in rows if abs(c - cents) <= 5]
+        assert [i for _, i in sorted(got.get((doc, klass), []))] == [n[3] for n in sorted(near)[:need]], (doc, klass)
