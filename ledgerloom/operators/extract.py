@@ -483,27 +483,34 @@ def _often(words: Column, least: Column) -> Column:
 def _placed_lines(words: DataFrame, page: str, band: float) -> DataFrame:
     """(dealt, file, page, column, lines, gaps, noise) of pages with amounts: ``lines`` of (line_no, texts, a), ``a`` being a line's amount.
 
-    Words are dealt once, by ``dealt``, a hash of the page; lines and pages are put together
-    where they then are. A line holds its words, a page its lines, so each step costs a pass over them.
+    Words are dealt once, by ``dealt``, a hash of the page; pages are put together where they
+    then are, and their words, in order, are cut into lines, so each step costs a pass over them.
     """
     value = money.parse_amount(F.regexp_replace(F.regexp_extract("word", r"([(]?-?[0-9][0-9,]*\.[0-9]{2}[)]?)$", 1), ",", ""))
-    value = F.when(F.col("word").rlike(rf"^{money.AT_FIGURE}?\(?-?[0-9][0-9,]*\.[0-9]{{2}}\)?$"), value)
-    named = F.when(F.length("word") == 3, text.once(F.upper("word"), lambda w: F.when(w.isin(money.ISO), w)))
-    page_, line = ["dealt", *PAGE], ["dealt", *PAGE, "line_no"]
-    df = words.where("word is not null").withColumn("dealt", F.xxhash64(*PAGE)).repartition("dealt").select(*page_, F.floor(F.col("y") / 2).cast("int").alias("line_no"), F.struct("x", "word", value.alias("value"), named.alias("named")).alias("w"))
-    df = df.groupBy(*line).agg(F.sort_array(F.collect_list("w")).alias("ws"))
+    value = F.when(F.contains("word", F.lit(".")) & F.col("word").rlike(rf"^{money.AT_FIGURE}?\(?-?[0-9][0-9,]*\.[0-9]{{2}}\)?$"), value)
     codes = F.array(*map(F.lit, money.ISO))
-    behind = text.once(F.col("ws"), lambda ws: F.transform(ws, lambda w, i: F.struct(w["x"].alias("x"), w["word"].alias("word"), w["value"].alias("value"), F.get(ws, i - 1)["named"].alias("code"))))
-    parts = F.struct(
-        "line_no",
-        F.array_min(F.transform("ws", lambda w: F.when(w["named"].isNotNull(), F.array_position(codes, w["named"])))).alias("code"),
-        F.filter(behind, lambda w: w["value"].isNotNull()).alias("figures"),
-        # A currency alone is no text.
-        F.transform(F.filter("ws", lambda w: w["value"].isNull() & w["named"].isNull()), lambda w: F.struct(w["x"].alias("x"), w["word"].alias("word"))).alias("texts"),
-    )
-    df = df.groupBy(*page_).agg(F.sort_array(F.collect_list(parts)).alias("ls"))
-    own = F.coalesce(F.get(codes, F.array_min(F.transform("ls", lambda x: x["code"])).cast("int") - 1), F.lit(page))
-    figures = F.flatten(F.transform("ls", lambda x: F.transform(x["figures"], lambda f: f["x"])))
+    named = F.when(F.length("word") == 3, F.nullif(F.array_position(codes, F.upper("word")), F.lit(0))).cast("int")
+    page_, line_no = ["dealt", *PAGE], F.floor(F.col("y") / 2).cast("int").alias("line_no")
+    df = words.where("word is not null").withColumn("dealt", F.xxhash64(*PAGE)).repartition("dealt").select(*page_, F.struct(line_no, "x", "word", value.alias("value"), named.alias("named")).alias("w"))
+    df = df.groupBy(*page_).agg(F.sort_array(F.collect_list("w")).alias("ws"))
+    starts = F.filter(F.transform("ws", lambda w, i: F.when((i == 0) | ~F.equal_null(F.get("ws", i - 1)["line_no"], w["line_no"]), i)), lambda i: i.isNotNull())
+    df = df.select(*page_, "ws", F.explode(F.array(starts)).alias("starts"))
+
+    def parts(ws: Column) -> Column:
+        """A line of its words, from the left."""
+        figure = lambda w, i: F.when(w["value"].isNotNull(), F.struct(w["x"].alias("x"), w["word"].alias("word"), w["value"].alias("value"), F.get(codes, F.get(ws, i - 1)["named"] - 1).alias("code")))
+        return F.struct(
+            F.get(ws, F.lit(0))["line_no"].alias("line_no"),
+            F.array_min(ws["named"]).alias("code"),
+            F.filter(F.transform(ws, figure), lambda w: w.isNotNull()).alias("figures"),
+            # A currency alone is no text.
+            F.filter(ws, lambda w: w["value"].isNull() & w["named"].isNull()).alias("texts"),
+        )
+
+    cut = F.transform("starts", lambda s, k: text.once(F.slice("ws", s + 1, F.coalesce(F.get("starts", k + 1), F.size("ws")) - s), parts))
+    df = df.select(*page_, F.explode(F.array(cut)).alias("ls"))
+    own = F.coalesce(F.get(codes, F.array_min(F.col("ls")["code"]) - 1), F.lit(page))
+    figures = F.flatten(F.transform("ls", lambda x: x["figures"]["x"]))
     # What a later step names often goes through an array of one row, so that it isn't worked out there again.
     df = df.select(*page_, "ls", F.inline(F.array(F.struct(_fullest(figures).alias("column"), own.alias("own"))))).where("column is not null")
 
@@ -515,11 +522,11 @@ def _placed_lines(words: DataFrame, page: str, band: float) -> DataFrame:
     lines = F.transform("ls", lambda x: F.struct(x["line_no"].alias("line_no"), x["texts"].alias("texts"), F.array_max(F.transform(near(x), amount)).alias("a")))
     lines = F.filter(lines, lambda x: (F.size(x["texts"]) > 0) | x["a"].isNotNull())
     df = df.select(*page_, "column", F.explode(F.array(lines)).alias("lines"))
-    gap = lambda x: x["a"]["x"] - F.array_max(F.transform(F.filter(x["texts"], lambda w: w["x"] < x["a"]["x"]), lambda w: w["x"]))
+    gap = lambda x: x["a"]["x"] - F.array_max(F.filter(x["texts"]["x"], lambda at: at < x["a"]["x"]))
     placed = F.filter("lines", lambda x: x["a"].isNotNull() & (F.size(x["texts"]) > 0))
 
     def noisy(ls: Column) -> Column:
-        said = F.flatten(F.transform(ls, lambda x: F.array_distinct(F.filter(F.transform(x["texts"], lambda w: F.lower(w["word"])), lambda w: w.rlike("^[a-z]{3,}$")))))
+        said = F.flatten(F.transform(ls, lambda x: F.array_distinct(F.filter(F.transform(x["texts"]["word"], F.lower), lambda w: w.rlike("^[a-z]{3,}$")))))
         return _often(F.sort_array(said), F.ceil(F.size(ls) * 0.6).cast("int"))
 
     gaps = lambda ls: F.sort_array(F.filter(F.transform(ls, gap), lambda g: g.isNotNull()))
@@ -541,10 +548,10 @@ def layout_rows(words: DataFrame, page: str = "SGD", band: float = 15.0, gap: fl
     df = _placed_lines(words, page, band).withColumn("margin", F.greatest(F.lit(12.0), F.least(F.lit(28.0), _quartile(F.col("gaps")))))
     df = df.select(*place, "column", "margin", "noise", F.inline(F.filter("lines", lambda x: x["line_no"].isNotNull())))
     limit = F.coalesce("a.x", "column") - F.col("margin")
-    left = F.filter("texts", lambda w: (w["x"] < limit) & ~F.array_contains("noise", F.lower(w["word"])))
-    whole = F.array_join(F.transform("texts", lambda w: w["word"]), " ")
+    left = F.filter("texts", lambda w: (w["x"] < limit) & ((F.size("noise") == 0) | ~F.array_contains("noise", F.lower(w["word"]))))
+    whole = F.array_join(F.col("texts")["word"], " ")
     stop = text.once(whole, lambda w: predicates.is_table_header(w) | predicates.is_total_row(w))
-    df = df.select(*line, F.col("a.currency").alias("currency"), F.col("a.value").alias("amount"), F.array_join(F.transform(left, lambda w: w["word"]), " ").alias("text"), stop.alias("stop"))
+    df = df.select(*line, F.col("a.currency").alias("currency"), F.col("a.value").alias("amount"), F.array_join(left["word"], " ").alias("text"), stop.alias("stop"))
 
     order = Window.partitionBy(*place).orderBy("line_no")
     steps = gap / 2
@@ -553,7 +560,8 @@ def layout_rows(words: DataFrame, page: str = "SGD", band: float = 15.0, gap: fl
     mark = lambda cut: F.when(cut, F.struct("at", "line_no", F.col("amount").isNotNull().alias("row")))
     ends = F.last(mark(closed | F.coalesce("wide_above", F.lit(True))), ignorenulls=True).over(order)
     df = df.withColumn("near", ends).withColumn("owner", F.when(F.col("near.row") & (F.col("at") > F.col("near.at")) & (F.col("at") - F.col("near.at") <= down), F.col("near.line_no")))
-    begins = F.last(mark(closed | F.coalesce("wide_below", F.lit(True)) | F.col("owner").isNotNull()), ignorenulls=True).over(Window.partitionBy(*place).orderBy(F.desc("line_no")))
+    # No row reaches further up than ``up`` lines, so none looks further down, and lines are sorted once.
+    begins = F.first(mark(closed | F.coalesce("wide_below", F.lit(True)) | F.col("owner").isNotNull()), ignorenulls=True).over(order.rowsBetween(0, up))
     df = df.withColumn("near", begins).withColumn("owner", F.coalesce("owner", F.when(F.col("near.row") & (F.col("near.at") > F.col("at")) & (F.col("near.at") - F.col("at") <= up), F.col("near.line_no"))))
     df = df.withColumn("owner", F.when(F.col("amount").isNotNull(), F.col("line_no")).otherwise(F.col("owner"))).where("owner is not null")
     parts = F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("line_no", "text"))))

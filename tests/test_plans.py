@@ -105,3 +105,14 @@ def test_options_of_a_class_as_one_by_one(spark):
     for doc, klass, cents, text, need in asks:
         near = [(t != text, abs(c - cents) if t == text else 0, -(1.0 if t == text else share(t, text)), row[1]) for _, row, c, t in rows if abs(c - cents) <= 5]
         assert [i for _, i in sorted(got.get((doc, klass), []))] == [n[3] for n in sorted(near)[:need]], (doc, klass)
+
+
+def test_words_of_a_layout_are_put_together_once(spark):
+    from ledgerloom.operators import extract
+
+    words = [("f", 1, 24.0, 10.0, "blue1"), ("f", 1, 24.0, 60.0, "lamp1"), ("f", 1, 24.0, 480.0, "USD"), ("f", 1, 24.0, 500.0, "12.00"), ("f", 1, 12.0, 10.0, "SGD"), ("f", 1, 36.0, 10.0, "v1.5"), ("f", 1, 36.0, 60.0, None), ("f", 2, 24.0, 500.0, "7.00")]
+    words += [("f", 3, 24.0, 10.0, "red3"), ("f", 3, 24.0, 60.0, "pen3"), ("f", 3, 24.0, 470.0, "EUR"), ("f", 3, 26.0, 500.0, "9.00"), ("f", 3, 26.0, 10.0, "two3"), ("f", 3, 26.0, 60.0, "sets3")]
+    rows = extract.layout_rows(spark.createDataFrame(words, "file string, page int, y double, x double, word string"))
+    got = sorted((r["page"], r["line_no"], r["description"], r["currency"], r["amount"]) for r in rows.collect())
+    assert got == [(1, 12, "blue1 lamp1 v1.5", "USD", 12.0), (3, 13, "red3 pen3 two3 sets3", "EUR", 9.0)]
+    assert len(re.findall("Aggregate", rows._jdf.queryExecution().optimizedPlan().toString())) == 2
